@@ -22,16 +22,16 @@ def hash_bucket(hash_column: Column, prefix: int = HASH_PREFIX) -> Column:
 
 def rank_within(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], out: str = "rank") -> DataFrame:
     """1-based row number per `by` group, ordered by `order`; `bucket` must follow it."""
-    keyed = df.withColumn("_bucket", bucket)
-    sizes = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    keyed = df.withColumn("_rank_bucket", bucket)
+    sizes = keyed.groupBy(*by, "_rank_bucket").agg(F.count(F.lit(1)).alias("_rank_rows"))
+    before = Window.partitionBy(*by).orderBy("_rank_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "_rank_bucket", F.coalesce(F.sum("_rank_rows").over(before), F.lit(0)).alias("_rank_before"))
+    inside = Window.partitionBy(*by, "_rank_bucket").orderBy(*order)
     return (
-        keyed.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*by, "_bucket"])
-        .withColumn(out, F.col("_before") + F.col("_inside"))
-        .drop("_bucket", "_inside", "_before")
+        keyed.withColumn("_rank_inside", F.row_number().over(inside))
+        .join(offsets, [*by, "_rank_bucket"])
+        .withColumn(out, F.col("_rank_before") + F.col("_rank_inside"))
+        .drop("_rank_bucket", "_rank_inside", "_rank_before")
     )
 
 
@@ -109,13 +109,13 @@ def previous_row(
     """Struct of `columns` of the preceding row per group (lag across ordered buckets)."""
     packed, key = F.struct(*columns), F.struct(*order)
     inside = Window.partitionBy(*by, bucket).orderBy(*order)
-    last = df.groupBy(*by, bucket).agg(F.max_by(packed, key).alias("_last"))
-    carry = last.select(*by, bucket, F.lag("_last").over(Window.partitionBy(*by).orderBy(bucket)).alias("_carry"))
+    last = df.groupBy(*by, bucket).agg(F.max_by(packed, key).alias("_scan_last"))
+    carry = last.select(*by, bucket, F.lag("_scan_last").over(Window.partitionBy(*by).orderBy(bucket)).alias("_scan_carry"))
     return (
-        df.withColumn("_prev", F.lag(packed).over(inside))
+        df.withColumn("_scan_prev", F.lag(packed).over(inside))
         .join(carry, [*by, bucket])
-        .withColumn(out, F.coalesce("_prev", "_carry"))
-        .drop("_prev", "_carry")
+        .withColumn(out, F.coalesce("_scan_prev", "_scan_carry"))
+        .drop("_scan_prev", "_scan_carry")
     )
 
 
@@ -125,13 +125,13 @@ def running_sum(
     """Inclusive running sum per group across ordered buckets."""
     inside = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*by, bucket).agg(F.sum(value).alias("_t"))
-    offsets = totals.select(*by, bucket, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"))
+    totals = df.groupBy(*by, bucket).agg(F.sum(value).alias("_scan_total"))
+    offsets = totals.select(*by, bucket, F.coalesce(F.sum("_scan_total").over(earlier), F.lit(0)).alias("_scan_offset"))
     return (
-        df.withColumn("_in", F.sum(value).over(inside))
+        df.withColumn("_scan_inside", F.sum(value).over(inside))
         .join(offsets, [*by, bucket])
-        .withColumn(out, F.col("_in") + F.col("_off"))
-        .drop("_in", "_off")
+        .withColumn(out, F.col("_scan_inside") + F.col("_scan_offset"))
+        .drop("_scan_inside", "_scan_offset")
     )
 
 

@@ -129,6 +129,15 @@ def stratified_sample(
 
 # -- W4 rare-character repair ------------------------------------------------
 
+def _occurrences(label: str, char: str) -> Column:
+    return (F.length(label) - F.length(F.replace(F.col(label), F.lit(char), F.lit("")))).cast("int")
+
+
+def _character_totals(df: DataFrame, label: str, vocabulary: str) -> dict[str, int]:
+    found = df.agg(*[F.sum(_occurrences(label, c)).alias(f"c{k}") for k, c in enumerate(vocabulary)]).first()
+    return {c: int(found[k] or 0) for k, c in enumerate(vocabulary)}
+
+
 def repair_coverage(
     rows: DataFrame, selected: DataFrame, vocabulary: str, minimum: int, split: str, stratum: str, parent: str,
     row_id: str, label: str, seed: int,
@@ -137,65 +146,60 @@ def repair_coverage(
 
     Each step takes the best candidate that holds the rarest missing character:
     new parent first, then low stratum excess, high gain, rarely used parent,
-    hash.  One step is one distributed minimum over the candidates; only counts
-    per character, per stratum and the added ids stay on the driver, all
-    bounded by the vocabulary, the strata and the additions.
+    hash.  The choice is sequential by definition; one step is one distributed
+    minimum over the candidates, which carry their counts of the missing
+    characters as an array.  The driver keeps only what is bounded by the
+    vocabulary, the strata and the additions.
     """
-    rows = rows.where(F.col(row_id).isNotNull())
-
-    def char_counts(df: DataFrame) -> dict[str, int]:
-        text = F.col(label)
-        sums = [F.sum(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).alias(f"c{k}") for k, c in enumerate(vocabulary)]
-        found = df.agg(*sums).first()
-        return {c: int(found[k] or 0) for k, c in enumerate(vocabulary)}
-
-    full, have = char_counts(rows), char_counts(selected)
+    full, have = _character_totals(rows, label, vocabulary), _character_totals(selected, label, vocabulary)
     goal = {c: min(minimum, full[c]) for c in vocabulary}
-    lacking = {c for c in vocabulary if have[c] < goal[c]}
-    if not lacking:
+    watched = [c for c in vocabulary if have[c] < goal[c]]
+    if not watched:
         return selected, []
     sizes = {r[0]: r[1] for r in rows.groupBy(stratum).count().collect()}      # one row per stratum
     taken = {r[0]: r[1] for r in selected.groupBy(stratum).count().collect()}
-    total, chosen = sum(sizes.values()), sum(taken.values())
+    names, total, chosen = sorted(sizes), sum(sizes.values()), sum(taken.values())
     used = selected.groupBy(parent).agg(F.count(F.lit(1)).alias("_used"))
-    some = [F.contains(F.col(label), F.lit(c)) for c in sorted(lacking)]
-    has_any = some[0]
-    for s in some[1:]:
-        has_any = has_any | s
+    counts = F.array(*[_occurrences(label, c) for c in watched])
     candidates = (
-        rows.where(has_any).join(selected.select(row_id), row_id, "left_anti").join(used, parent, "left")
-        .withColumn("_used", F.coalesce("_used", F.lit(0)))
-        .withColumn("_hash", hash_rank(seed, F.col(split), "repair", F.col(row_id)))
+        rows.select(row_id, parent, stratum, split, counts.alias("_n"))
+        .where(F.exists("_n", lambda n: n > 0))
+        .join(selected.select(row_id), row_id, "left_anti").join(used, parent, "left")
+        .select(
+            row_id, parent, "_n", F.coalesce("_used", F.lit(0)).alias("_used"),
+            (F.array_position(F.array(*[F.lit(s) for s in names]), F.col(stratum)) - 1).cast("int").alias("_s"),
+            hash_rank(seed, F.col(split), "repair", F.col(row_id)).alias("_hash"),
+        )
         .persist()
     )
     added: list[dict] = []
     again: dict = {}
-    while lacking:
+    while True:
+        lacking = [c for c in watched if have[c] < goal[c]]
+        if not lacking:
+            break
         char = min(lacking, key=lambda c: (full[c], c))
-        here = F.lit(0)
-        for c in sorted(lacking):
-            occurrences = F.length(label) - F.length(F.replace(F.col(label), F.lit(c), F.lit("")))
-            here = here + F.least(occurrences, F.lit(goal[c] - have[c]))
-        excess = F.lit(0.0)
-        for name, size in sizes.items():
-            value = max(0.0, (taken.get(name, 0) + 1) / (chosen + 1) - size / total)
-            excess = F.when(F.col(stratum) == name, F.lit(value)).otherwise(excess)
+        need = F.array(*[F.lit(max(0, goal[c] - have[c])) for c in watched])
+        gain = F.aggregate(F.zip_with("_n", need, lambda n, k: F.least(n, k)), F.lit(0), lambda a, x: a + x)
+        excess = [max(0.0, (taken.get(s, 0) + 1) / (chosen + 1) - sizes[s] / total) for s in names]
+        over = F.get(F.array(*[F.lit(e) for e in excess]), F.col("_s"))
         uses = F.col("_used")
-        for p, n in again.items():
-            uses = F.when(F.col(parent) == p, uses + n).otherwise(uses)
-        open_rows = candidates.where(F.contains(F.col(label), F.lit(char)))
+        if again:
+            counted = F.create_map(*[F.lit(x) for pair in again.items() for x in pair])
+            uses = uses + F.coalesce(F.try_element_at(counted, F.col(parent)), F.lit(0))
+        open_rows = candidates.where(F.get("_n", F.lit(watched.index(char))) > 0)
         if added:
             open_rows = open_rows.where(~F.col(row_id).isin([a[row_id] for a in added]))
-        best = open_rows.orderBy((uses > 0).cast("int"), excess, -here, uses, "_hash").select(row_id, parent, stratum, label).first()
+        key = F.struct((uses > 0).alias("new"), over.alias("over"), (-gain).alias("gain"), uses.alias("uses"), F.col("_hash").alias("h"))
+        best = open_rows.agg(F.min_by(F.struct(row_id, parent, "_n", "_s"), key).alias("b")).first()["b"]
         if best is None:
             raise AssertionError("characters are missing but no candidate is left")
         added.append({row_id: best[row_id], "trigger": char})
-        for c in vocabulary:
-            have[c] += best[label].count(c)
-        taken[best[stratum]] = taken.get(best[stratum], 0) + 1
+        for c, n in zip(watched, best["_n"]):
+            have[c] += n
+        taken[names[best["_s"]]] = taken.get(names[best["_s"]], 0) + 1
         again[best[parent]] = again.get(best[parent], 0) + 1
         chosen += 1
-        lacking = {c for c in lacking if have[c] < goal[c]}
     extra = rows.where(F.col(row_id).isin([a[row_id] for a in added]))
     candidates.unpersist()
     return selected.unionByName(extra.select(*selected.columns)), added

@@ -287,15 +287,12 @@ def a32(spark, sf):
 
 
 @query("o05_vocabulary_difference", with_ctes("""
-, c AS (SELECT DISTINCT split, unnest(string_split(raw_label, '')) AS character FROM tier_base)
-SELECT split, character FROM c WHERE split <> 'train' AND character <> '' AND character NOT IN (SELECT character FROM c WHERE split = 'train')
-UNION ALL SELECT 'train_only', character FROM c WHERE split = 'train' AND character <> '' AND character NOT IN (SELECT character FROM c WHERE split <> 'train')""".strip(), B.TIER_BASE_SQL))
+, c AS (SELECT DISTINCT lang, unnest(string_split(raw_label, '')) AS character FROM tier_base)
+SELECT lang, character FROM c WHERE lang <> 'en' AND character <> '' AND character NOT IN (SELECT character FROM c WHERE lang = 'en')""".strip(), B.TIER_BASE_SQL))
 def o05(spark, sf):
-    """Characters of one side of the split that the other side lacks."""
-    chars = R.character_counts(B.raw_tiers(spark, sf), "raw_label", ["split"]).select("split", "character")
-    train, other = chars.where("split = 'train'"), chars.where("split <> 'train'")
-    only = train.join(other.select("character"), "character", "left_anti").select(F.lit("train_only").alias("split"), "character")
-    return other.join(train.select("character"), "character", "left_anti").select("split", "character").unionByName(only)
+    """Characters of the other languages that English lines lack."""
+    chars = R.character_counts(B.raw_tiers(spark, sf), "raw_label", ["lang"]).select("lang", "character")
+    return chars.where("lang <> 'en'").join(chars.where("lang = 'en'").select("character"), "character", "left_anti").select("lang", "character")
 
 
 @query("o06_set_equality", """

@@ -287,7 +287,8 @@ def candidate_pages(spark: SparkSession, sf: str) -> DataFrame:
         one("C4", ok, F.col("raw_prediction")), one("C5", ok | (kind == "1"), F.col("prediction")),
         one("D1", ok | (kind != "5"), F.col("truth")),
     )
-    wide = img.drop("prediction", "raw_prediction").withColumn("o", F.explode(options)).select("*", "o.*").drop("o")
+    kept = ["image_id", "parent_id", "validity", "paired_category", "variant", "partition", "price", "truth"]
+    wide = img.select(*kept, F.explode(options).alias("o")).select(*kept, "o.*")
     reason = F.when(~F.col("proposal"), F.when(kind == "3", "row_count_mismatch").otherwise("no_safe_proposal")).when(~F.col("correct"), "wrong_segmentation").otherwise("ok")
     return wide.withColumn("reason", reason).withColumnRenamed("image_id", "case_id")
 
@@ -376,8 +377,8 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
     """Events in order per user with microseconds since the epoch and the day as order bucket."""
     e = table(spark, sf, "events")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return e.select("user_id", "event_id", "event_type", "value", micros.alias("at"), F.floor(micros / 86_400_000_000).alias("day"))
+    return e.select("user_id", "event_id", "event_type", "value", micros.alias("at_us"), F.floor(micros / 86_400_000_000).alias("day"))
 
 
 PATHS_SQL = """
-paths AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) AS at, epoch_us(ts) // 86400000000 AS day FROM events)"""
+paths AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) AS at_us, epoch_us(ts) // 86400000000 AS day FROM events)"""

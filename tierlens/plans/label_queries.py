@@ -311,8 +311,8 @@ def p14(spark, sf):
     """Class path of a user; the path is ordered and merged without gathering a user in one place."""
     from tierlens.operators.sequence import run_length
 
-    e = B.paths(spark, sf).select("user_id", "day", "at", "event_id", "event_type")
-    runs = run_length(e, ["user_id"], "day", ["at", "event_id"], "event_type", "view").where("event_type <> 'view'")
+    e = B.paths(spark, sf).select("user_id", "day", "at_us", "event_id", "event_type")
+    runs = run_length(e, ["user_id"], "day", ["at_us", "event_id"], "event_type", "view").where("event_type <> 'view'")
     users = e.select("user_id").distinct()
     text = runs.groupBy("user_id").agg(F.listagg(F.col("event_type"), F.lit(",")).alias("_x")) if False else runs.groupBy("user_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "event_type"))), lambda r: r["event_type"]), ",").alias("collapsed")
