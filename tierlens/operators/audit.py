@@ -223,3 +223,27 @@ def family_quartets(records: DataFrame, parent: str, validity: str, variant: str
     for name in cell:
         complete = complete & (F.col(name) == 1)
     return counts.withColumn("complete", complete)
+
+
+def mutation_issues(records: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """Contract faults of mutated and valid records, exploded as (image_id, issue).
+
+    `rules` maps every allowed invalidity category to its rule.  Invalid records
+    need a known category with its rule and carry no target; valid ones have a
+    target and the category none.
+    """
+    c = F.col
+    invalid, valid = c("validity") == "INVALID", c("validity") == "VALID"
+    known = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
+    rule = F.try_element_at(known, c("category"))
+    checks = [
+        ("unsupported_validity", ~(invalid | valid)),
+        ("expected_outcome_disagrees", c("expected_outcome") != F.when(valid, "ACCEPT").otherwise("REJECT_INVALID")),
+        ("unsupported_category", invalid & rule.isNull()),
+        ("rule_disagrees", invalid & rule.isNotNull() & ~F.equal_null(rule, c("rule"))),
+        ("fabricated_target", invalid & c("target").isNotNull()),
+        ("valid_without_target", valid & c("target").isNull()),
+        ("valid_with_category", valid & (c("category") != "none")),
+        ("unsafe_identifier", ~c("image_id").cast("string").rlike("^[a-z0-9_]+$")),
+    ]
+    return records.select("image_id", F.explode(L.named_issues(checks)).alias("issue"))

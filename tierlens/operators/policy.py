@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tierlens.functions import notation as N
-from tierlens.functions.labels import named_issues
+from tierlens.functions.labels import fidelity_key, named_issues
 
 VIOLATION = "struct<outcome:string,code:string,row:bigint,role:string,glyphs:string>"
 WRONG_GLYPH = "DECODED_UNSUPPORTED_OR_WRONG_TIER_GLYPH"
@@ -329,3 +329,20 @@ def review_queue(df: DataFrame, urgent: Column, isolated: Column, tie: Sequence[
     priority = F.when(F.coalesce(urgent, F.lit(False)), 1).when(F.size("flags") > 0, 2).otherwise(3)
     queued = df.where("quality_result <> 'OBJECTIVE_EXCLUDE'").withColumn("priority", priority).withColumn("isolated", isolated)
     return queued.orderBy(F.col("isolated").cast("int"), "priority", *tie)
+
+
+def offline_cohorts(df: DataFrame) -> DataFrame:
+    """Scoring-only cohorts of decided records (truth enters here, after the decision)."""
+    c = F.col
+    same = lambda **kw: fidelity_key(c("prediction"), **kw) == fidelity_key(c("truth"), **kw)
+    pattern, glyph = same(aliases=True), same(ink_only=True, aliases=True)
+    accepted = (c("validity") == "INVALID") & (c("outcome") == "ACCEPT")
+    text = F.trim(c("truth"))
+    lost = F.contains(text, F.lit(" ")) & (c("prediction") != text) & (c("prediction") == F.replace(text, F.lit(" "), F.lit("")))
+    return df.withColumns(
+        {
+            "pattern_faithful": pattern, "glyph_faithful": glyph, "invalid_accept": accepted,
+            "faithful_invalid_accept": pattern & accepted, "lost_gap": lost,
+            "wrong_tier_invalid_accept": accepted & F.array_contains("reason_codes", WRONG_GLYPH),
+        }
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tierlens.functions.hashing import hash_rank, tagged_hash
 from tierlens.operators.ranking import hash_bucket, rank_within
+from tierlens.session import materialize
 
 SPLIT_NAMES = ("protected_test", "validation_calibration", "development_design")
 
@@ -109,7 +110,7 @@ def stratified_sample(
     """
     quota = allocation.select(split, stratum, "allocation")
     drawn = tier_passes(df, split, stratum, parent, row_id, seed).join(quota, [split, stratum])
-    drawn = drawn.where(F.col("pass") <= F.col("allocation"))
+    drawn = materialize(drawn.where(F.col("pass") <= F.col("allocation")), "passes")
     sizes = drawn.groupBy(split, stratum, "pass", "allocation").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(split, stratum).orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))

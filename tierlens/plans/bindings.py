@@ -373,10 +373,17 @@ decoded AS (
 
 # -- event paths -------------------------------------------------------------
 
+def wall_micros(ts: Column) -> Column:
+    """Microseconds since the epoch of a zone-less timestamp, whatever the session zone is."""
+    day = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
+    second = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return ((day * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000_000 + second
+
+
 def paths(spark: SparkSession, sf: str) -> DataFrame:
     """Events in order per user with microseconds since the epoch and the day as order bucket."""
     e = table(spark, sf, "events")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    micros = wall_micros(F.col("ts"))
     return e.select("user_id", "event_id", "event_type", "value", micros.alias("at_us"), F.floor(micros / 86_400_000_000).alias("day"))
 
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tierlens.functions import ctc as C, hashing as H, labels as L, notation as N
@@ -14,16 +10,10 @@ from tierlens.operators import audit as A
 from tierlens.operators.metrics import page_errors, recognition_metrics, score_pairs
 from tierlens.plans import bindings as B
 from tierlens.plans.registry import query, with_ctes
-from tierlens.session import checkpoint_dir
+from tierlens.session import scratch
 from tierlens.sources import journal as J, manifest as M, samples as S
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the shared folder of the cluster (a temporary one locally)."""
-    base = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="spark-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
-
-
 _MANIFEST_COLS = ", ".join(M.MANIFEST_COLUMNS)
 
 

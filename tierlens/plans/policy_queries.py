@@ -1 +1,394 @@
-"""Registered queries."""
+"""Grammar checks, decisions, repair, alignment search and review policies."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from tierlens.functions import notation as N
+from tierlens.operators import alignment as X, audit as A, compare as P, policy as Y
+from tierlens.plans import bindings as B
+from tierlens.plans.registry import query, with_ctes
+from tierlens.session import materialize
+
+STATUS = ["preprocessing_status", "segmentation_accepted", "ocr_status", "legal_alternatives", "role_margin", "rejection", "nonblank_geomean"]
+MAPPING = [("X", "B", "upper"), ("Y", "P", "upper"), ("Y", "F", "upper"), ("B", "R", "lower")]
+MARGIN = 0.1
+
+
+def pages(spark, sf) -> DataFrame:
+    """Status columns of every page that has a decision to make."""
+    return B.images(spark, sf).select(F.col("image_id").alias("page"), *STATUS)
+
+
+_UP, _DOWN, _CNT = "'ABCDEFGHIJKLMNPQ'", r"'RSTUVWXYZ[\]^_'", "'abcdefghijklmnopqrstuvwxyz{|''()*+,'"
+
+
+def _bad(text: str, alphabet: str) -> str:
+    return f"array_to_string(list_sort(list_distinct(list_filter(string_split({text}, ''), lambda c: c NOT IN ('', ' ', 'O') AND strpos({alphabet}, c) = 0))), '')"
+
+
+def _role_sql(role: str, alphabet: str) -> str:
+    return (
+        f"WHEN {role} IS NOT NULL AND trim({role}) = '' THEN ['REVIEW_UNCERTAIN', 'EMPTY_DECODED_TIER', '{role}', NULL] "
+        f"WHEN strpos({role}, 'O') > 0 THEN ['REVIEW_UNCERTAIN', 'AMBIGUOUS_NOTATION', '{role}', NULL] "
+        f"WHEN {role} IS NOT NULL AND {_bad(role, alphabet)} <> '' THEN ['REJECT_INVALID', 'DECODED_UNSUPPORTED_OR_WRONG_TIER_GLYPH', '{role}', {_bad(role, alphabet)}] "
+    )
+
+
+def _syntax_sql(src: str, out: str, base: str = "images") -> str:
+    """Page outcome of the observable grammar over the tier table `src`."""
+    return f"""
+{out}_rows AS (SELECT page, row, CASE WHEN count IS NULL THEN ['REVIEW_UNCERTAIN', 'MISSING_COUNT_TIER', NULL, NULL] {_role_sql('upper', _UP)} {_role_sql('count', _CNT)} {_role_sql('lower', _DOWN)}
+   WHEN upper IS NULL AND lower IS NULL THEN ['REVIEW_UNCERTAIN', 'COUNT_WITHOUT_SYMBOL_TIER', NULL, NULL] END AS v FROM {src}),
+{out}_first AS (SELECT page, arg_min(v, row) FILTER (WHERE v IS NOT NULL) AS v, min(row) FILTER (WHERE v IS NOT NULL) AS r, count(*) AS decoded_rows FROM {out}_rows GROUP BY page),
+{out} AS (SELECT i.*, i.image_id AS page, CASE WHEN f.page IS NULL THEN 'REVIEW_UNCERTAIN' ELSE coalesce(v[1], 'ACCEPT') END AS syntax_outcome,
+   CASE WHEN f.page IS NULL THEN 'NO_DECODED_ROWS' ELSE coalesce(v[2], 'OBSERVABLE_SYNTAX_OK') END AS syntax_code, f.r::BIGINT AS syntax_row, v[3] AS syntax_role, v[4] AS syntax_glyphs, coalesce(decoded_rows, 0) AS decoded_rows
+   FROM {base} i LEFT JOIN {out}_first f ON f.page = i.image_id)"""
+
+
+def _evidence_sql(src: str, out: str, low: str = "[]::VARCHAR[]") -> str:
+    return f"""
+{out}_f AS (SELECT *, list_concat(list_filter([
+    CASE WHEN preprocessing_status IN ('unreadable', 'no_ink') THEN 'INPUT_' || upper(preprocessing_status) END,
+    CASE WHEN preprocessing_status NOT IN ('unreadable', 'no_ink') AND (preprocessing_status <> 'ok' OR NOT segmentation_accepted) THEN 'NO_SAFE_PROPOSAL' END,
+    CASE WHEN coalesce(ocr_status <> 'ok', true) AND preprocessing_status = 'ok' AND segmentation_accepted THEN 'OCR_UNAVAILABLE' END,
+    CASE WHEN (coalesce(ocr_status = 'ok', false) OR decoded_rows > 0) AND syntax_outcome <> 'ACCEPT' THEN syntax_code END], lambda x: x IS NOT NULL),
+    CASE WHEN preprocessing_status = 'ok' AND segmentation_accepted AND coalesce(ocr_status = 'ok', false) THEN {low} ELSE [] END) AS f FROM {src}),
+{out} AS (SELECT * EXCLUDE (f), CASE WHEN preprocessing_status IN ('unreadable', 'no_ink') THEN 'REJECT_INVALID' WHEN len(f) > 0 THEN 'REVIEW_UNCERTAIN' ELSE 'ACCEPT' END AS outcome,
+    CASE WHEN len(f) > 0 THEN f ELSE ['OBSERVABLE_CHECKS_PASSED'] END AS reasons FROM {out}_f)"""
+
+
+_BASE = (B.IMAGES_SQL, B.NOTATION_SQL, B.DECODED_SQL)
+
+
+@query("r01_tier_grammar", with_ctes("SELECT page, syntax_outcome, syntax_code, syntax_row, syntax_role, syntax_glyphs, decoded_rows FROM syn", *_BASE, _syntax_sql("decoded", "syn")))
+def r01(spark, sf):
+    v = Y.validate_pages(pages(spark, sf), B.decoded(spark, sf), "page", "row")
+    return v.select("page", "syntax_outcome", "syntax_code", "syntax_row", "syntax_role", "syntax_glyphs", "decoded_rows")
+
+
+# -- aligned rows ------------------------------------------------------------
+
+def _decode_sql(t: str) -> str:
+    return (
+        f"CASE WHEN length({t}) = 1 AND strpos('abcdefghi', {t}) > 0 THEN strpos('abcdefghi', {t}) WHEN length({t}) = 1 AND strpos('jklmnopqrstuvwxyz{{|''()*+,', {t}) > 0 THEN 10 * strpos('jklmnopqrstuvwxyz{{|''()*+,', {t}) "
+        f"WHEN length({t}) = 2 AND strpos('jklmnopqrstuvwxyz{{|''()*+,', {t}[1]) > 0 AND strpos('abcdefghi', {t}[2]) > 0 THEN 10 * strpos('jklmnopqrstuvwxyz{{|''()*+,', {t}[1]) + strpos('abcdefghi', {t}[2]) END"
+    )
+
+
+def _aligned_sql(src: str, out: str) -> str:
+    """Verdict of aligned rows with the columns u, c, l."""
+    return rf"""
+{out}_p AS (SELECT *, list_filter(range(1, greatest(length(u), length(l)) + 1), lambda i: trim(u[i]) <> '' OR trim(l[i]) <> '') AS pos FROM {src}),
+{out}_r AS (SELECT *, list_transform(range(1, len(pos) + 1), lambda k: {{'s': pos[k] - 1, 'up': trim(u[pos[k]]), 'dn': trim(l[pos[k]]), 'tok': ltrim(substr(c, pos[k], greatest(coalesce(pos[k + 1] - 1, length(c)) - (pos[k] - 1), 0)))}}) AS rs FROM {out}_p),
+{out}_t AS (SELECT *, list_transform(rs, lambda r: {{'s': r.s, 'up': r.up, 'dn': r.dn, 'sym': CASE WHEN r.up <> '' THEN r.up ELSE r.dn END, 'tok': r.tok, 'n': {_decode_sql('r.tok')}}}) AS runs FROM {out}_r),
+{out}_f AS (SELECT *, list_filter(list_transform(range(1, len(runs) + 1), lambda k: CASE WHEN (runs[k].up <> '') = (runs[k].dn <> '') THEN 'SYMBOL_POSITION_CONTRADICTION' WHEN runs[k].sym = 'O' THEN 'AMBIGUOUS_NOTATION'
+     WHEN (runs[k].up <> '' AND strpos({_UP}, runs[k].sym) = 0) OR (runs[k].up = '' AND strpos({_DOWN}, runs[k].sym) = 0) THEN 'WRONG_SYMBOL_DIRECTION'
+     WHEN runs[k].n IS NULL THEN 'NONCANONICAL_COUNT_TOKEN' WHEN k > 1 AND runs[k - 1].sym = runs[k].sym THEN 'ADJACENT_IDENTICAL_RUNS' END), lambda x: x IS NOT NULL) AS faults FROM {out}_t),
+{out}_v AS (SELECT *, CASE WHEN c IS NULL THEN 'MALFORMED_ALIGNED_TEXT' WHEN len(runs) = 0 OR runs[1].s <> 0 THEN 'MISSING_ALIGNED_SYMBOL' WHEN len(faults) > 0 THEN faults[1]
+     WHEN array_to_string(list_transform(runs, lambda r: r.tok), '') <> c
+       OR rtrim(array_to_string(list_transform(runs, lambda r: CASE WHEN r.up <> '' THEN rpad(r.sym, length(r.tok)::INT, ' ') ELSE repeat(' ', length(r.tok)) END), '')) <> u
+       OR rtrim(array_to_string(list_transform(runs, lambda r: CASE WHEN r.up <> '' THEN repeat(' ', length(r.tok)) ELSE rpad(r.sym, length(r.tok)::INT, ' ') END), '')) <> l THEN 'NONCANONICAL_ALIGNMENT'
+     ELSE 'ALIGNED_CANONICAL_OK' END AS code FROM {out}_f),
+{out} AS (SELECT *, CASE WHEN code = 'ALIGNED_CANONICAL_OK' THEN 'ACCEPT' WHEN code IN ('MALFORMED_ALIGNED_TEXT', 'AMBIGUOUS_NOTATION') THEN 'REVIEW_UNCERTAIN' ELSE 'REJECT_INVALID' END AS verdict,
+     CASE WHEN code = 'ALIGNED_CANONICAL_OK' THEN list_sum(list_transform(runs, lambda r: r.n))::INT END AS total, array_to_string(list_transform(runs, lambda r: r.sym || r.tok), '') AS reading FROM {out}_v)"""
+
+
+_MARKED_SQL = """
+aligned_rows AS (SELECT page, row, CASE WHEN discount >= 9 THEN translate(upper, 'B', 'X') ELSE upper END AS u, CASE WHEN tax = 8 THEN substr(count, 1, 1) || ' ' || substr(count, 2) WHEN tax = 5 THEN count || 'a' ELSE count END AS c,
+   CASE WHEN tax = 6 THEN translate(lower, 'T', 'O') ELSE lower END AS l FROM notation)"""
+
+
+@query("r02_aligned_rows", with_ctes("SELECT page, row, code AS aligned_code, verdict AS aligned_outcome, total AS row_total FROM al", B.NOTATION_SQL, _MARKED_SQL, _aligned_sql("aligned_rows", "al")))
+def r02(spark, sf):
+    """Aligned rows, some with a misread symbol, a count gap or a surplus count."""
+    count = F.when(F.col("tax") == 8, F.concat(F.substr("count", F.lit(1), F.lit(1)), F.lit(" "), F.substr("count", F.lit(2)))).when(F.col("tax") == 5, F.concat("count", F.lit("a"))).otherwise(F.col("count"))
+    rows = B.notation(spark, sf).select(
+        "page", "row", F.when(F.col("discount") >= 9, F.translate("upper", "B", "X")).otherwise(F.col("upper")).alias("upper"), count.alias("count"),
+        F.when(F.col("tax") == 6, F.translate("lower", "T", "O")).otherwise(F.col("lower")).alias("lower"),
+    )
+    return Y.validate_aligned(rows).select("page", "row", "aligned_code", "aligned_outcome", "row_total")
+
+
+# -- decisions ---------------------------------------------------------------
+
+@query("r03_evidence_decision", with_ctes("SELECT page, outcome, array_to_string(reasons, ';') AS reason_codes FROM dec", *_BASE, _syntax_sql("decoded", "syn"), _evidence_sql("syn", "dec")))
+def r03(spark, sf):
+    v = Y.validate_pages(pages(spark, sf), B.decoded(spark, sf), "page", "row")
+    return Y.evidence_decision(v).select("page", "outcome", F.array_join("reason_codes", ";").alias("reason_codes"))
+
+
+@query("r03_baseline_decision", with_ctes("""
+SELECT image_id AS page, CASE WHEN preprocessing_status IN ('unreadable', 'no_ink') THEN 'REJECT_INVALID' WHEN preprocessing_status <> 'ok' OR NOT segmentation_accepted OR coalesce(ocr_status <> 'ok', true) THEN 'REVIEW_UNCERTAIN' ELSE 'ACCEPT' END AS outcome,
+  CASE WHEN preprocessing_status IN ('unreadable', 'no_ink') THEN 'INPUT_' || upper(preprocessing_status) WHEN preprocessing_status <> 'ok' OR NOT segmentation_accepted THEN 'NO_SAFE_PROPOSAL' WHEN coalesce(ocr_status <> 'ok', true) THEN 'OCR_UNAVAILABLE' ELSE 'PROPOSAL_WITH_OUTPUT' END AS reason_codes
+FROM images""", B.IMAGES_SQL))
+def r03b(spark, sf):
+    return Y.baseline_decision(pages(spark, sf)).select("page", "outcome", F.array_join("reason_codes", ";").alias("reason_codes"))
+
+
+THRESHOLDS = {"nonblank_geomean": 0.2, "role_margin": 0.15}
+_LOW_SQL = """list_filter([CASE WHEN nonblank_geomean IS NULL THEN 'CONFIDENCE_MISSING_NONBLANK_GEOMEAN' END, CASE WHEN nonblank_geomean < 0.2 THEN 'CONFIDENCE_LOW_NONBLANK_GEOMEAN' END,
+  CASE WHEN role_margin IS NULL THEN 'CONFIDENCE_MISSING_ROLE_MARGIN' END, CASE WHEN role_margin < 0.15 THEN 'CONFIDENCE_LOW_ROLE_MARGIN' END], lambda x: x IS NOT NULL)"""
+
+
+@query("r04_confidence", with_ctes("SELECT page, outcome, array_to_string(reasons, ';') AS reason_codes FROM dec", *_BASE, _syntax_sql("decoded", "syn"), _evidence_sql("syn", "dec", _LOW_SQL)))
+def r04(spark, sf):
+    """Decision with minimum confidence values on top."""
+    v = Y.validate_pages(pages(spark, sf), B.decoded(spark, sf), "page", "row")
+    return Y.evidence_decision(v, THRESHOLDS).select("page", "outcome", F.array_join("reason_codes", ";").alias("reason_codes"))
+
+
+_GAP_SQL = """
+gapped AS (SELECT d.*, coalesce(g.n, 0) AS gap_rows FROM dec d LEFT JOIN (SELECT page, count(*) AS n FROM decoded WHERE strpos(trim(count), ' ') > 0 GROUP BY page) g ON g.page = d.page)"""
+
+
+@query("r05_gap_guard", with_ctes("""
+SELECT page, gap_rows, outcome AS outcome_before, CASE WHEN gap_rows > 0 AND outcome = 'ACCEPT' THEN 'REVIEW_UNCERTAIN' ELSE outcome END AS outcome,
+  array_to_string(CASE WHEN gap_rows > 0 THEN list_append(reasons, 'INTERNAL_COUNT_GAP') ELSE reasons END, ';') AS reason_codes FROM gapped""", *_BASE, _syntax_sql("decoded", "syn"), _evidence_sql("syn", "dec"), _GAP_SQL))
+def r05(spark, sf):
+    rows = B.decoded(spark, sf)
+    d = Y.gap_guard(Y.evidence_decision(Y.validate_pages(pages(spark, sf), rows, "page", "row")), rows, "page")
+    return d.select("page", "gap_rows", "outcome_before", "outcome", F.array_join("reason_codes", ";").alias("reason_codes"))
+
+
+def _repair_sql(role: str, alphabet: str) -> str:
+    """Repair of one tier by the mapping above, written as a case list."""
+    single, several = {"upper": ("'X'", "'Y'"), "count": ("''", "''"), "lower": ("'B'", "''")}[role]
+    target = {"upper": "'B'", "count": "''", "lower": "'R'"}[role]
+    res = f"array_to_string(list_filter(string_split({role}, ''), lambda c: c NOT IN ('', ' ') AND strpos({alphabet}, c) = 0), '')"
+    none = f"len(list_filter(string_split({res}, ''), lambda c: c <> '' AND c NOT IN ({single}, {several}))) > 0"
+    multi = f"strpos({res}, {several}) > 0" if several != "''" else "false"
+    fixed = f"replace({role}, {single}, {target})" if single != "''" else role
+    return f"""CASE WHEN {role} IS NULL THEN NULL ELSE {{'doubt': NOT ok OR {none} OR {multi}, 'n': CASE WHEN NOT ok OR {none} OR {multi} THEN 0 ELSE length({res}) END, 't': CASE WHEN NOT ok OR {none} OR {multi} THEN {role} ELSE {fixed} END}} END AS x_{role}"""
+
+
+_RELIABLE_SQL = f"""
+reliable AS (SELECT image_id AS page, list_filter([CASE WHEN NOT (preprocessing_status = 'ok' AND segmentation_accepted AND coalesce(ocr_status = 'ok', false)) THEN 'SEGMENTATION_OR_OCR_NOT_READY' END,
+  CASE WHEN NOT (legal_alternatives = 1 OR coalesce(legal_alternatives >= 2 AND role_margin >= {MARGIN}, false)) THEN 'ROLE_CONFIDENCE_NOT_SUPPORTED' END, CASE WHEN rejection <> '' THEN 'REJECTION_PRESENT' END], lambda x: x IS NOT NULL) AS why FROM images)"""
+_REPAIRED_SQL = f"""
+repaired_x AS (SELECT d.page, d.row, {_repair_sql('upper', _UP)}, {_repair_sql('count', _CNT)}, {_repair_sql('lower', _DOWN)}
+  FROM (SELECT decoded.*, len(r.why) = 0 AS ok FROM decoded JOIN reliable r ON r.page = decoded.page) d),
+repaired AS (SELECT page, row, x_upper.t AS upper, x_count.t AS count, x_lower.t AS lower, coalesce(x_upper.n, 0) + coalesce(x_count.n, 0) + coalesce(x_lower.n, 0) AS corrections,
+  coalesce(x_upper.doubt, false) OR coalesce(x_count.doubt, false) OR coalesce(x_lower.doubt, false) AS uncertain FROM repaired_x)"""
+
+
+@query("r06_tier_repair", with_ctes("SELECT page, row, upper, count, lower, corrections, uncertain FROM repaired", *_BASE, _RELIABLE_SQL, _REPAIRED_SQL))
+def r06(spark, sf):
+    return Y.interpret_rows(B.decoded(spark, sf), pages(spark, sf), "page", MAPPING, MARGIN)
+
+
+@query("r07_role_reliability", with_ctes("SELECT page, array_to_string(why, ';') AS reasons, len(why) = 0 AS reliable FROM reliable", B.IMAGES_SQL, _RELIABLE_SQL))
+def r07(spark, sf):
+    p = pages(spark, sf)
+    why = Y.role_reliability(p, MARGIN)
+    return p.select("page", F.array_join(why, ";").alias("reasons"), (F.size(why) == 0).alias("reliable"))
+
+
+_CONTEXT_SQL = """
+context AS (SELECT n.page, r.outcome AS raw_outcome, CASE WHEN coalesce(c.uncertain, false) AND n.outcome = 'ACCEPT' THEN 'REVIEW_UNCERTAIN' ELSE n.outcome END AS outcome,
+  CASE WHEN coalesce(c.uncertain, false) AND n.outcome = 'ACCEPT' THEN list_append(n.reasons, 'CONTEXT_UNCERTAIN') ELSE n.reasons END AS reasons, coalesce(c.corrections, 0)::BIGINT AS corrections,
+  coalesce(c.uncertain, false) AS uncertain, r.syntax_outcome <> 'ACCEPT' AND n.syntax_outcome = 'ACCEPT' AS syntax_resolved, n.preprocessing_status, n.segmentation_accepted, n.ocr_status
+FROM dec2 n JOIN dec r ON r.page = n.page LEFT JOIN (SELECT page, sum(corrections) AS corrections, bool_or(uncertain) AS uncertain FROM repaired GROUP BY page) c ON c.page = n.page)"""
+_CONTEXT = (*_BASE, _RELIABLE_SQL, _REPAIRED_SQL, _syntax_sql("decoded", "syn"), _evidence_sql("syn", "dec"), _syntax_sql("repaired", "syn2"), _evidence_sql("syn2", "dec2"), _CONTEXT_SQL)
+
+
+def contextual(spark, sf, enabled: bool = True) -> DataFrame:
+    return Y.contextual_decision(pages(spark, sf), B.decoded(spark, sf), "page", "row", MAPPING, MARGIN, enabled)
+
+
+@query("r08_contextual_decision", with_ctes("SELECT page, raw_outcome, outcome, array_to_string(reasons, ';') AS reason_codes, corrections, uncertain, syntax_resolved FROM context", *_CONTEXT))
+def r08(spark, sf):
+    return contextual(spark, sf).select("page", "raw_outcome", "outcome", F.array_join("reason_codes", ";").alias("reason_codes"), "corrections", "uncertain", "syntax_resolved")
+
+
+# -- alignment search --------------------------------------------------------
+
+_SEARCH_SQL = r"""
+search_rows AS (SELECT page, row, coalesce(upper, '') AS u0, count AS c, coalesce(lower, '') AS l0 FROM decoded),
+search_ok AS (SELECT *, CASE WHEN c IS NULL THEN 'COUNT_TIER_UNAVAILABLE' WHEN c = '' THEN 'EMPTY_COUNT' WHEN regexp_matches(u0, '[\t\r\n]') OR regexp_matches(c, '[\t\r\n]') OR regexp_matches(l0, '[\t\r\n]') THEN 'CONTROL_WHITESPACE'
+   WHEN (u0 <> '' AND trim(u0) = '') OR (l0 <> '' AND trim(l0) = '') THEN 'WHITESPACE_ONLY_SYMBOL_TIER' WHEN trim(c) = '' THEN 'WHITESPACE_ONLY_COUNT' WHEN u0 LIKE ' %' OR c LIKE ' %' OR l0 LIKE ' %' THEN 'LEADING_BLANKS_OBSERVED' END AS unsupported FROM search_rows),
+search_size AS (SELECT *, coalesce(unsupported IS NULL AND length(u0) <= length(c) AND length(l0) <= length(c), false) AS fits FROM search_ok),
+search_offsets AS (SELECT *, list_concat(
+   CASE WHEN fits AND u0 <> '' THEN list_transform(range(0, CASE WHEN l0 <> '' THEN length(c) - length(l0) ELSE 0 END + 1), lambda o: {'ou': 0::BIGINT, 'ol': o}) ELSE [] END,
+   CASE WHEN fits AND l0 <> '' THEN list_transform(range(CASE WHEN u0 <> '' THEN 1 ELSE 0 END, CASE WHEN u0 <> '' THEN length(c) - length(u0) ELSE 0 END + 1), lambda o: {'ou': o, 'ol': 0::BIGINT}) ELSE [] END) AS os FROM search_size),
+search_each AS (SELECT page, row, u0, c, l0, unsupported, o.ou AS ou, o.ol AS ol, o IS NOT NULL AS tested, CASE WHEN u0 <> '' THEN repeat(' ', o.ou) || u0 ELSE '' END AS u, CASE WHEN l0 <> '' THEN repeat(' ', o.ol) || l0 ELSE '' END AS l
+   FROM (SELECT *, unnest(CASE WHEN len(os) = 0 THEN [NULL] ELSE os END) AS o FROM search_offsets))"""
+_FOUND_SQL = """
+found AS (SELECT page, row, unsupported, tested, CASE WHEN u0 <> '' THEN ou END AS upper_offset, CASE WHEN l0 <> '' THEN ol END AS lower_offset, CASE WHEN tested THEN code END AS code,
+   CASE WHEN tested THEN verdict END AS outcome, CASE WHEN tested THEN total END AS row_total, CASE WHEN tested AND verdict = 'ACCEPT' THEN reading END AS reading FROM sx)"""
+_SEARCH = (B.NOTATION_SQL, B.DECODED_SQL, _SEARCH_SQL, _aligned_sql("search_each", "sx"), _FOUND_SQL)
+_ANALYSIS_SQL = """
+row_analysis AS (SELECT page, row, any_value(unsupported) AS unsupported, count(*) FILTER (WHERE tested) AS tested, count(*) FILTER (WHERE outcome = 'ACCEPT') AS passing, count(*) FILTER (WHERE outcome = 'REVIEW_UNCERTAIN') AS uncertain, count(DISTINCT row_total) AS totals FROM found GROUP BY page, row),
+row_status AS (SELECT *, CASE WHEN unsupported IS NOT NULL THEN 'unsupported' WHEN passing > 1 THEN 'multiple_in_search' WHEN passing = 1 THEN 'one_in_search' ELSE 'none_in_search' END AS status,
+   unsupported IS NULL AND uncertain = 0 AS complete FROM row_analysis),
+page_rows AS (SELECT page, count(*) AS rows, bool_and(complete) AS exhaustive, bool_or(complete AND passing = 0) AS row_contradiction, bool_or(uncertain > 0) AS uncertain, bool_or(passing > 1) AS multiple_candidates, bool_or(status = 'unsupported') AS unsupported FROM row_status GROUP BY page)"""
+
+
+def _totals_sql(out: str, ways: str, src: str = "found") -> str:
+    return f"""
+{out} AS (SELECT w.page, w.row_total, product(n) AS readings FROM (SELECT page, row_total, row, {ways} AS n FROM {src} WHERE outcome = 'ACCEPT' GROUP BY ALL) w JOIN page_rows p ON p.page = w.page GROUP BY w.page, w.row_total HAVING count(*) = any_value(p.rows))"""
+
+
+def _combined_sql(out: str, totals: str) -> str:
+    return f"""
+{out} AS (SELECT p.*, coalesce(t.n, 0) AS common_totals, coalesce(t.readings, 0)::BIGINT AS readings, row_contradiction OR (exhaustive AND coalesce(t.n, 0) = 0) AS contradiction,
+   CASE WHEN coalesce(t.n, 0) > 0 THEN 'consistent_candidate_found' WHEN row_contradiction OR exhaustive THEN 'text_contradiction_complete_model' ELSE 'unknown_incomplete_or_unsupported' END AS status,
+   coalesce(t.readings, 0) = 1 AND exhaustive AS unique_page FROM page_rows p LEFT JOIN (SELECT page, count(*) AS n, sum(readings) AS readings FROM {totals} GROUP BY page) t ON t.page = p.page)"""
+
+
+def search(spark, sf) -> DataFrame:
+    """All candidate offsets with their verdicts, written once: the policies read them several times."""
+    return materialize(X.candidates(B.decoded(spark, sf), "page", "row"), "candidates")
+
+
+@query("r10_alignment_search", with_ctes("SELECT page, row, unsupported, tested, passing, uncertain, totals, status, complete, complete AND passing = 0 AS contradiction, complete AND passing = 1 AS unique_reading FROM row_status", *_SEARCH, _ANALYSIS_SQL))
+def r10(spark, sf):
+    found = X.candidates(B.decoded(spark, sf), "page", "row")
+    return X.analyse_rows(found, "page", "row").drop("exhaustive")
+
+
+@query("r10_candidates", with_ctes("SELECT page, row, upper_offset, lower_offset, code, outcome, row_total, reading FROM found WHERE tested", *_SEARCH))
+def r10b(spark, sf):
+    c = X.candidates(B.decoded(spark, sf), "page", "row").where("tested")
+    return c.select("page", "row", F.col("upper_offset").cast("long").alias("upper_offset"), F.col("lower_offset").cast("long").alias("lower_offset"), "code", "outcome", "row_total", "reading")
+
+
+@query("r11_page_combination", with_ctes("SELECT page, rows, exhaustive, uncertain, multiple_candidates, unsupported, common_totals, readings, contradiction, status, unique_page FROM combined", *_SEARCH, _ANALYSIS_SQL, _totals_sql("totals", "count(*)"), _combined_sql("combined", "totals")))
+def r11(spark, sf):
+    return X.combine_pages(search(spark, sf), "page", "row").drop("row_contradiction")
+
+
+_REVIEW_SQL = """
+reviewed AS (SELECT d.page, d.outcome AS outcome_before, d.outcome = 'ACCEPT' AND NOT coalesce(d.preprocessing_status = 'ok' AND d.segmentation_accepted AND d.ocr_status = 'ok' AND a.status = 'consistent_candidate_found' AND a.exhaustive AND a.readings >= 1 AND NOT a.uncertain, false) AS new_review,
+   CASE WHEN a.contradiction THEN 'COMPLETE_TEXT_CONTRADICTION' WHEN a.unsupported THEN 'UNSUPPORTED_REPRESENTATION' WHEN a.uncertain THEN 'CANONICAL_INTERPRETATION_UNCERTAIN' ELSE 'INSUFFICIENT_ALIGNMENT_EVIDENCE' END AS finding, d.reasons
+   FROM dec d LEFT JOIN combined a ON a.page = d.page)"""
+_REVIEW = (*_SEARCH, B.IMAGES_SQL, _syntax_sql("decoded", "syn"), _evidence_sql("syn", "dec"), _ANALYSIS_SQL, _totals_sql("totals", "count(*)"), _combined_sql("combined", "totals"), _REVIEW_SQL)
+
+
+def reviewed(spark, sf, found: DataFrame) -> DataFrame:
+    d = Y.evidence_decision(Y.validate_pages(pages(spark, sf), B.decoded(spark, sf), "page", "row"))
+    return X.review_policy(d, X.combine_pages(found, "page", "row"), "page")
+
+
+@query("r12_review_policy", with_ctes("""
+SELECT page, outcome_before, CASE WHEN new_review THEN 'REVIEW_UNCERTAIN' ELSE outcome_before END AS outcome, new_review, array_to_string(CASE WHEN new_review THEN list_append(reasons, finding) ELSE reasons END, ';') AS reason_codes FROM reviewed""", *_REVIEW))
+def r12(spark, sf):
+    r = reviewed(spark, sf, search(spark, sf))
+    return r.select("page", "outcome_before", "outcome", "new_review", F.array_join("reason_codes", ";").alias("reason_codes"))
+
+
+@query("r13_distinct_readings", with_ctes("""
+SELECT page, sum(readings)::BIGINT AS readings, count(*) AS common_totals, CASE WHEN sum(readings) = 1 THEN max(row_total) END AS selected_total FROM dtotals GROUP BY page""", *_SEARCH, _ANALYSIS_SQL, _totals_sql("dtotals", "count(DISTINCT reading)")))
+def r13(spark, sf):
+    found = search(spark, sf)
+    counts = X.analyse_rows(found, "page", "row").groupBy("page").agg(F.count(F.lit(1)).alias("rows"))
+    return X.distinct_readings(found, counts, "page", "row")
+
+
+# measured offsets: the true leading blanks of a tier, disturbed by a rule on the row
+_MEASURED_SQL = """
+measured AS (SELECT page, row, tier, o + shift AS off, greatest(o + shift - width, 0) AS lo, o + shift + width AS hi FROM (
+  SELECT page, row, tier, o::DOUBLE AS o, CASE WHEN tax = 2 THEN 1.0 WHEN tax = 4 THEN 0.25 ELSE 0 END::DOUBLE AS shift, CASE WHEN discount = 5 THEN 0.4 ELSE 0.125 END::DOUBLE AS width FROM (
+    SELECT page, row, tax, discount, 'upper' AS tier, length(upper) - length(ltrim(upper)) AS o FROM notation WHERE trim(upper) <> '' AND discount <> 3
+    UNION ALL SELECT page, row, tax, discount, 'lower', length(lower) - length(ltrim(lower)) FROM notation WHERE trim(lower) <> ''
+    UNION ALL SELECT page, row, 0, discount, 'count', 0 FROM notation)))"""
+
+
+def measured(spark, sf) -> DataFrame:
+    n = B.notation(spark, sf)
+    lead = lambda c: F.length(c) - F.length(F.ltrim(c))
+    tiers = F.array_compact(F.array(
+        F.when((F.trim("upper") != "") & (F.col("discount") != 3), F.struct(F.lit("upper").alias("tier"), lead(F.col("upper")).alias("o"), F.col("tax").alias("t"))),
+        F.when(F.trim("lower") != "", F.struct(F.lit("lower").alias("tier"), lead(F.col("lower")).alias("o"), F.col("tax").alias("t"))),
+        F.struct(F.lit("count").alias("tier"), F.lit(0).alias("o"), F.lit(0).alias("t")),
+    ))
+    long = n.select("page", "row", "discount", F.explode(tiers).alias("m"))
+    at = F.col("m.o") + F.when(F.col("m.t") == 2, 1.0).when(F.col("m.t") == 4, 0.25).otherwise(0.0)
+    width = F.when(F.col("discount") == 5, 0.4).otherwise(0.125)
+    return long.select("page", "row", "m.tier", at.alias("offset"), F.greatest(at - width, F.lit(0.0)).alias("low"), (at + width).alias("high"))
+
+
+_MATCH_SQL = """
+wide AS (SELECT page, row, max(off) FILTER (WHERE tier = 'upper') AS uo, max(lo) FILTER (WHERE tier = 'upper') AS ul, max(hi) FILTER (WHERE tier = 'upper') AS uh,
+   max(off) FILTER (WHERE tier = 'lower') AS lo_, max(lo) FILTER (WHERE tier = 'lower') AS ll, max(hi) FILTER (WHERE tier = 'lower') AS lh,
+   max(off) FILTER (WHERE tier = 'count') AS co, max(lo) FILTER (WHERE tier = 'count') AS cl, max(hi) FILTER (WHERE tier = 'count') AS ch FROM measured GROUP BY page, row),
+checks AS (SELECT f.*, w.*EXCLUDE (page, row), [{'x': upper_offset, 'o': uo, 'l': ul, 'h': uh}, {'x': lower_offset, 'o': lo_, 'l': ll, 'h': lh}, {'x': 0, 'o': co, 'l': cl, 'h': ch}] AS cs FROM found f LEFT JOIN wide w ON w.page = f.page AND w.row = f.row WHERE outcome = 'ACCEPT'),
+matched AS (SELECT *, len(list_filter(cs, lambda k: k.x IS NOT NULL AND NOT coalesce(abs(k.x - k.o) <= 0.5, false))) = 0 AS retained,
+   len(list_filter(cs, lambda k: k.x IS NOT NULL AND k.o IS NULL)) = 0 AS measured,
+   len(list_filter(cs, lambda k: k.x IS NOT NULL AND coalesce(NOT (k.x - 0.5 <= k.l AND k.h <= k.x + 0.5) AND NOT (k.h < k.x - 0.5 OR k.l > k.x + 0.5), false))) > 0
+     AND len(list_filter(cs, lambda k: k.x IS NOT NULL AND coalesce(k.h < k.x - 0.5 OR k.l > k.x + 0.5, false))) = 0 AS boundary_uncertain FROM checks)"""
+
+
+@query("j16_measured_offsets", with_ctes("SELECT page, row, upper_offset, lower_offset, reading, retained, boundary_uncertain, measured FROM matched", *_SEARCH, _MEASURED_SQL, _MATCH_SQL))
+def j16(spark, sf):
+    m = X.match_offsets(X.candidates(B.decoded(spark, sf), "page", "row"), measured(spark, sf), "page", "row")
+    return m.select("page", "row", F.col("upper_offset").cast("long").alias("upper_offset"), F.col("lower_offset").cast("long").alias("lower_offset"), "reading", "retained", "boundary_uncertain", "measured")
+
+
+_MEASURED_POLICY_SQL = """
+retained_found AS (SELECT * FROM matched WHERE retained),
+doubt AS (SELECT m.page, bool_or(boundary_uncertain) AS d FROM matched m SEMI JOIN dtotals t ON t.page = m.page AND t.row_total = m.row_total GROUP BY m.page),
+avail AS (SELECT page, bool_and(measured) AS ok FROM matched GROUP BY page),
+n1 AS (SELECT page, sum(readings) AS n, CASE WHEN sum(readings) = 1 THEN max(row_total) END AS t FROM dtotals GROUP BY page),
+n2 AS (SELECT page, sum(readings) AS n, CASE WHEN sum(readings) = 1 THEN max(row_total) END AS t FROM rtotals GROUP BY page),
+final AS (SELECT r.page, r.out AS outcome_before, coalesce(p.exhaustive AND NOT p.uncertain, false) AS complete, coalesce(n1.n, 0) AS nb, coalesce(n2.n, 0) AS na, n1.t AS tb, n2.t AS ta, coalesce(avail.ok, false) AND NOT coalesce(doubt.d, false) AS pos, p.page IS NULL AS no_rows
+  FROM (SELECT page, CASE WHEN new_review THEN 'REVIEW_UNCERTAIN' ELSE outcome_before END AS out FROM reviewed) r LEFT JOIN page_rows p ON p.page = r.page LEFT JOIN n1 ON n1.page = r.page LEFT JOIN n2 ON n2.page = r.page LEFT JOIN doubt ON doubt.page = r.page LEFT JOIN avail ON avail.page = r.page),
+judged AS (SELECT *, CASE WHEN outcome_before = 'ACCEPT' THEN CASE WHEN NOT complete OR nb = 0 THEN 'ALIGNMENT_UNAVAILABLE' WHEN pos AND na = 0 THEN 'MEASURED_POSITION_MISMATCH' WHEN pos AND na > 1 THEN 'AMBIGUOUS_AFTER_MEASUREMENT' WHEN NOT pos AND nb <> 1 THEN 'POSITION_UNAVAILABLE' END END AS finding FROM final)"""
+
+
+@query("r14_measured_policy", with_ctes("""
+SELECT page, outcome_before, CASE WHEN finding IS NOT NULL THEN 'REVIEW_UNCERTAIN' ELSE outcome_before END AS outcome, finding, CASE WHEN outcome_before = 'ACCEPT' AND finding IS NULL THEN CASE WHEN pos THEN ta ELSE tb END END AS selected_total,
+  outcome_before = 'ACCEPT' AND finding IS NULL AND pos AS position_verified FROM judged""", *_REVIEW, _totals_sql("dtotals", "count(DISTINCT reading)"), _MEASURED_SQL, _MATCH_SQL,
+    _MEASURED_POLICY_SQL.replace("doubt AS (", _totals_sql("rtotals", "count(DISTINCT reading)", "retained_found").strip() + ",\ndoubt AS (")))
+def r14(spark, sf):
+    found = search(spark, sf)
+    d = reviewed(spark, sf, found).drop("outcome_before")
+    out = X.measured_policy(d, found, measured(spark, sf), "page", "row")
+    return out.select("page", "outcome_before", "outcome", "finding", "selected_total", "position_verified")
+
+
+@query("r15_monotonicity", with_ctes("""
+SELECT outcome_a, outcome_b, count(*) AS violations FROM (SELECT a.outcome AS outcome_a, b.outcome AS outcome_b FROM r0 a JOIN r1 b ON a.image_id = b.image_id)
+WHERE NOT (outcome_a = outcome_b OR (outcome_a = 'ACCEPT' AND outcome_b = 'REVIEW_UNCERTAIN')) GROUP BY ALL""", B.IMAGES_SQL, B.outcomes_sql("r0", "R0"), B.outcomes_sql("r1", "R1")))
+def r15(spark, sf):
+    """Changes a review-only policy may not make, on a pair of candidates that is not review-only."""
+    pairs = P.paired(B.outcomes(spark, sf, "R0"), B.outcomes(spark, sf, "R1"), "image_id", ["validity"], ["outcome"])
+    return P.monotonicity_violations(pairs, "outcome_a", "outcome_b").groupBy("outcome_a", "outcome_b").agg(F.count(F.lit(1)).alias("violations"))
+
+
+RULES = {"1-URGENT": "rule-urgent", "2-HIGH": "rule-high", "3-MEDIUM": "rule-medium", "5-LOW": "rule-low"}
+
+
+@query("r17_mutation_records", """
+WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'INVALID' WHEN o_totalprice > 495000 THEN 'MAYBE' ELSE 'VALID' END AS validity, CASE WHEN o_orderstatus = 'F' OR o_totalprice < 3000 THEN o_orderpriority ELSE 'none' END AS category,
+   'rule-' || lower(split_part(o_orderpriority, '-', 2)) AS rule, CASE WHEN o_totalprice < 250000 THEN 'ACCEPT' ELSE 'REJECT_INVALID' END AS expected, CASE WHEN o_totalprice BETWEEN 2000 AND 300000 THEN o_orderpriority END AS target FROM orders)
+SELECT issue, count(*) AS rows FROM (SELECT unnest(list_filter([CASE WHEN validity = 'MAYBE' THEN 'unsupported_validity' END, CASE WHEN expected <> CASE WHEN validity = 'VALID' THEN 'ACCEPT' ELSE 'REJECT_INVALID' END THEN 'expected_outcome_disagrees' END,
+  CASE WHEN validity = 'INVALID' AND category = '4-NOT SPECIFIED' THEN 'unsupported_category' END, CASE WHEN validity = 'INVALID' AND target IS NOT NULL THEN 'fabricated_target' END,
+  CASE WHEN validity = 'VALID' AND target IS NULL THEN 'valid_without_target' END, CASE WHEN validity = 'VALID' AND category <> 'none' THEN 'valid_with_category' END], lambda x: x IS NOT NULL)) AS issue FROM r) GROUP BY issue""")
+def r17(spark, sf):
+    """Mutation contract over orders played as mutated and valid records."""
+    o = B.table(spark, sf, "orders")
+    c = F.col
+    r = o.select(
+        F.concat(F.lit("img_"), c("o_orderkey").cast("string")).alias("image_id"),
+        F.when(c("o_orderstatus") == "F", "INVALID").when(c("o_totalprice") > 495000, "MAYBE").otherwise("VALID").alias("validity"),
+        F.when((c("o_orderstatus") == "F") | (c("o_totalprice") < 3000), c("o_orderpriority")).otherwise("none").alias("category"),
+        F.concat(F.lit("rule-"), F.lower(F.split_part("o_orderpriority", F.lit("-"), F.lit(2)))).alias("rule"),
+        F.when(c("o_totalprice") < 250000, "ACCEPT").otherwise("REJECT_INVALID").alias("expected_outcome"),
+        F.when(c("o_totalprice").between(2000, 300000), c("o_orderpriority")).alias("target"),
+    )
+    return A.mutation_issues(r, RULES).groupBy("issue").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("r18_offline_cohorts", with_ctes("""
+SELECT cohort, count(*) AS images, count(DISTINCT parent_id) AS parents FROM (SELECT parent_id, unnest(list_filter([
+  CASE WHEN translate(trim(prediction), 'X', 'B') = translate(trim(truth), 'X', 'B') THEN 'pattern_faithful' END, CASE WHEN translate(replace(prediction, ' ', ''), 'X', 'B') = translate(replace(truth, ' ', ''), 'X', 'B') THEN 'glyph_faithful' END,
+  CASE WHEN acc THEN 'invalid_accept' END, CASE WHEN acc AND translate(trim(prediction), 'X', 'B') = translate(trim(truth), 'X', 'B') THEN 'faithful_invalid_accept' END,
+  CASE WHEN strpos(truth, ' ') > 0 AND prediction <> truth AND prediction = replace(truth, ' ', '') THEN 'lost_gap' END, CASE WHEN acc AND wrong_tier THEN 'wrong_tier_invalid_accept' END], lambda x: x IS NOT NULL)) AS cohort
+FROM (SELECT *, validity = 'INVALID' AND outcome = 'ACCEPT' AS acc FROM r1)) GROUP BY cohort""", B.IMAGES_SQL, B.outcomes_sql("r1", "R1")))
+def r18(spark, sf):
+    from tierlens.operators.metrics import flag_table
+
+    names = ["pattern_faithful", "glyph_faithful", "invalid_accept", "faithful_invalid_accept", "lost_gap", "wrong_tier_invalid_accept"]
+    marked = Y.offline_cohorts(B.outcomes(spark, sf))
+    return flag_table(marked, {n: F.col(n) for n in names}, "parent_id").withColumnRenamed("flag", "cohort")

@@ -10,25 +10,32 @@ from tierlens.operators.ranking import hash_bucket, rank_within
 from tierlens.plans import bindings as B
 from tierlens.plans.registry import query, with_ctes
 from tierlens.plans.score_queries import rounded
+from tierlens.session import materialize
 
 TARGET, FLOOR, BINS = 1500, 5, 5
 
 
 def strata(spark, sf) -> DataFrame:
     """Tiers with length and width buckets per split and the stratum they form."""
-    t = B.tiers(spark, sf)
+    columns = ["split", "tier_id", "parent_image_id", "tier_name", "training_label", "label_length", "resized_width"]
+    t = materialize(B.tiers(spark, sf).select(*columns), "tiers")
     t = W.quantile_buckets(t, "label_length", BINS, "label", ["split"])
     t = W.quantile_buckets(t, "resized_width", BINS, "width", ["split"])
     return t.withColumn("stratum_id", F.concat_ws("+", "tier_name", "label_bucket", "width_bucket"))
 
 
+def annotated(spark, sf) -> DataFrame:
+    """The annotated manifest, written once because sampling reads it several times."""
+    columns = ["split", "tier_id", "parent_image_id", "tier_name", "label_bucket", "width_bucket", "stratum_id", "training_label"]
+    return materialize(strata(spark, sf).select(*columns), "annotated")
+
+
 def allocation(tiers: DataFrame, target: int = TARGET) -> DataFrame:
     sizes = tiers.groupBy("split", "stratum_id").agg(F.count(F.lit(1)).alias("size"))
     return W.allocate(sizes, "stratum_id", "size", target, FLOOR, ["split"])
 
 
-def sample(spark, sf) -> DataFrame:
-    t = strata(spark, sf)
+def sample(t: DataFrame) -> DataFrame:
     return W.stratified_sample(t, allocation(t), "split", "stratum_id", "parent_image_id", "tier_id", B.SEED)
 
 
@@ -81,15 +88,15 @@ def w02(spark, sf):
 
 @query("w03_stratified_sample", with_ctes("SELECT split, stratum_id, parent_image_id, tier_id, pass FROM sample", B.TIERS_SQL, _STRATA_SQL, _ALLOC_SQL, _PASS_SQL, recursive=True))
 def w03(spark, sf):
-    return sample(spark, sf).select("split", "stratum_id", "parent_image_id", "tier_id", "pass")
+    return sample(annotated(spark, sf)).select("split", "stratum_id", "parent_image_id", "tier_id", "pass")
 
 
 @query("w04_coverage_repair")
 def w04(spark, sf):
     """Training sample repaired until every vocabulary character it can have occurs often enough; greedy, so no SQL form."""
     columns = ["split", "stratum_id", "parent_image_id", "tier_id", "training_label"]
-    t = strata(spark, sf)
-    s = W.stratified_sample(t, allocation(t), "split", "stratum_id", "parent_image_id", "tier_id", B.SEED)
+    t = annotated(spark, sf)
+    s = materialize(sample(t), "sample")
     train, chosen = t.where("split = 'train'").select(*columns), s.where("split = 'train'").select(*columns)
     done, _ = W.repair_coverage(train, chosen, N.VOCABULARY, 8, "split", "stratum_id", "parent_image_id", "tier_id", "training_label", B.SEED)
     return done
@@ -216,8 +223,8 @@ SELECT dimension, value, f AS full_count, s AS subset_count, round(fp, 6) AS ful
     B.TIERS_SQL, _STRATA_SQL, _ALLOC_SQL, _PASS_SQL, recursive=True))
 def a20(spark, sf):
     """How far the training sample drifts from the training tiers."""
-    t = strata(spark, sf)
-    s = W.stratified_sample(t, allocation(t), "split", "stratum_id", "parent_image_id", "tier_id", B.SEED)
+    t = annotated(spark, sf)
+    s = sample(t)
     return rounded(R.drift(t.where("split = 'train'"), s.where("split = 'train'"), ["tier_name", "label_bucket", "width_bucket", "stratum_id"]))
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -31,3 +35,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """Shared folder named by the cluster, or None where it names none."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name in the shared folder of the cluster (a temporary one where none is set)."""
+    base = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="spark-")
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes an intermediate table once and reads it back.
+
+    Cuts the lineage where several later steps read the same costly rows; a
+    lost executor then re-reads files instead of recomputing.  Parquet keeps
+    column pruning and filter pushdown for the readers.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
