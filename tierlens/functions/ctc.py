@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tierlens.functions.bind import let
 from tierlens.functions.labels import ctc_required_ids
 from tierlens.functions.notation import VOCABULARY
 
@@ -50,29 +51,37 @@ def best_path(frames: Column, allowed: Column | None = None) -> Column:
 
 
 def greedy_decode(frames: Column, allowed: Column | None = None, blank: int = 0) -> Column:
-    return ctc_collapse(best_path(frames, allowed), blank)
+    return let(best_path(frames, allowed), lambda path: ctc_collapse(path, blank))
 
 
-def path_runs_starts(path: Column) -> Column:
+def run_starts(path: Column) -> Column:
+    """0-based places at which a run of equal values begins."""
     return F.filter(F.transform(path, lambda x, i: F.when((i == 0) | (F.get(path, i - 1) != x), i)), lambda i: i.isNotNull())
 
 
 def path_stats(path: Column, blank: int | str = 0) -> Column:
     """Frame counts of a path: blanks, repeats, non-blank runs, longest run."""
-    size = F.size(path)
-    blanks = F.size(F.filter(path, lambda x: x == F.lit(blank)))
-    repeated = F.size(F.filter(path, lambda x, i: (i > 0) & (F.get(path, i - 1) == x) & (x != F.lit(blank))))
-    starts = path_runs_starts(path)
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(size))
-    longest = F.array_max(F.zip_with(ends, starts, lambda e, s: e - s))
-    return F.struct(
-        size.alias("frames"),
-        blanks.alias("blank_frames"),
-        F.try_divide(blanks.cast("double"), size.cast("double")).alias("blank_fraction"),
-        repeated.alias("repeated_nonblank_frames"),
-        (size - blanks - repeated).alias("nonblank_runs"),
-        F.when(size > 0, longest).otherwise(0).alias("longest_run"),
-    )
+
+    def longest(p: Column) -> Column:
+        return let(
+            run_starts(p),
+            lambda s: F.array_max(F.zip_with(F.concat(F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), F.array(F.size(p))), s, lambda e, b: e - b)),
+        )
+
+    def stats(p: Column) -> Column:
+        size = F.size(p)
+        blanks = F.size(F.filter(p, lambda x: x == F.lit(blank)))
+        repeated = F.size(F.filter(p, lambda x, i: (i > 0) & (F.get(p, i - 1) == x) & (x != F.lit(blank))))
+        return F.struct(
+            size.alias("frames"),
+            blanks.alias("blank_frames"),
+            F.try_divide(blanks.cast("double"), size.cast("double")).alias("blank_fraction"),
+            repeated.alias("repeated_nonblank_frames"),
+            (size - blanks - repeated).alias("nonblank_runs"),
+            F.when(size > 0, longest(p)).otherwise(0).alias("longest_run"),
+        )
+
+    return let(path, stats)
 
 
 def frame_entropy(frame: Column) -> Column:
@@ -81,10 +90,9 @@ def frame_entropy(frame: Column) -> Column:
 
 
 def softmax(frame: Column) -> Column:
-    top = F.array_max(frame)
-    exps = F.transform(frame, lambda x: F.exp((x - top).cast("double")))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(exps, lambda x: x / total)
+    exps = let(F.array_max(frame), lambda top: F.transform(frame, lambda x: F.exp((x - top).cast("double"))))
+    share = lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+    return let(exps, share)
 
 
 def ctc_problems(ids: Column, steps: Column, vocabulary_size: int, blank: int = 0) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tierlens.functions.bind import let
+
 # Fixed values (must equal the notation's own tables).
 UP_SYMBOLS = "ABCDEFGHIJKLMNPQ"
 DOWN_SYMBOLS = "RSTUVWXYZ[\\]^_"
@@ -162,16 +164,19 @@ def illegal_characters(text: Column, role: str) -> Column:
 
 def check_tiers(text: Column) -> Column:
     """Struct of repaired tiers, issue names and a validity flag."""
-    t = tier_lines(text)
-    issues = F.array_compact(
-        F.array(
-            F.when(t["line_count"] != 3, F.concat(F.lit("line_count:"), t["line_count"].cast("string"))),
-            *[F.when(illegal_characters(t[r], r) != "", F.concat(F.lit(f"{r}:"), illegal_characters(t[r], r))) for r in ROLES],
-            F.when(F.regexp_replace(t["count"], r"\s+", "") == "", "count_empty"),
+
+    def check(t: Column) -> Column:
+        residue = {r: strip_to(t[r], " " + tier_alphabet(r)) for r in ROLES}
+        issues = F.array_compact(
+            F.array(
+                F.when(t["line_count"] != 3, F.concat(F.lit("line_count:"), t["line_count"].cast("string"))),
+                *[F.when(residue[r] != "", F.concat(F.lit(f"{r}:"), illegal_characters(residue[r], r))) for r in ROLES],
+                F.when(F.regexp_replace(t["count"], r"\s+", "") == "", "count_empty"),
+            )
         )
-    )
-    return F.struct(t["upper"].alias("upper"), t["count"].alias("count"), t["lower"].alias("lower"),
-                    issues.alias("issues"), (F.size(issues) == 0).alias("valid"))
+        return F.struct(*[t[r].alias(r) for r in ROLES], issues.alias("issues"), (F.size(issues) == 0).alias("valid"))
+
+    return let(tier_lines(text), check)
 
 
 def parse_runs(text: Column) -> Column:
@@ -182,23 +187,22 @@ def parse_runs(text: Column) -> Column:
     """
     symbols = "".join("\\" + c if c in "[\\]^" else c for c in TRUSTED_SYMBOLS)
     counts = "".join("\\" + c if c in "()*+{|" else c for c in COUNT_GLYPHS)
-    known = F.regexp_replace(text, f"[^{symbols}{counts}]", "")
-    lead = F.regexp_extract(known, f"^([{counts}]*)", 1)
-    parts = F.regexp_extract_all(known, F.lit(f"([{symbols}][{counts}]*)"), F.lit(1))
-    runs = F.transform(
-        parts,
-        lambda p: F.struct(
-            F.substr(p, F.lit(1), F.lit(1)).alias("symbol"),
-            F.substr(p, F.lit(2)).alias("encoded_count"),
-            symbol_direction(F.substr(p, F.lit(1), F.lit(1))).alias("direction"),
-        ),
-    )
-    bad = F.size(F.filter(runs, lambda r: ~F.length(r["encoded_count"]).between(1, 2)))
-    foreign = F.length(text) - F.length(known)
-    return F.struct(
-        runs.alias("runs"),
-        bad.alias("bad_runs"),
-        F.length(lead).alias("early_counts"),
-        foreign.alias("foreign_chars"),
-        ((bad == 0) & (F.length(lead) == 0) & (foreign == 0) & (F.size(runs) > 0)).alias("valid"),
+    parts = lambda known: F.regexp_extract_all(known, F.lit(f"([{symbols}][{counts}]*)"), F.lit(1))
+    split = lambda p: F.struct(
+        F.substr(p, F.lit(1), F.lit(1)).alias("symbol"), F.substr(p, F.lit(2)).alias("encoded_count"),
+        symbol_direction(F.substr(p, F.lit(1), F.lit(1))).alias("direction"),
     )
+
+    def check(known: Column) -> Column:
+        early = F.length(F.regexp_extract(known, f"^([{counts}]*)", 1))
+        foreign = F.length(text) - F.length(known)
+        bad = lambda runs: F.size(F.filter(runs, lambda r: ~F.length(r["encoded_count"]).between(1, 2)))
+        return let(
+            F.transform(parts(known), split),
+            lambda runs: F.struct(
+                runs.alias("runs"), bad(runs).alias("bad_runs"), early.alias("early_counts"), foreign.alias("foreign_chars"),
+                ((bad(runs) == 0) & (early == 0) & (foreign == 0) & (F.size(runs) > 0)).alias("valid"),
+            ),
+        )
+
+    return let(F.regexp_replace(text, f"[^{symbols}{counts}]", ""), check)

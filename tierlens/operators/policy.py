@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tierlens.functions import notation as N
+from tierlens.functions.bind import let
 from tierlens.functions.labels import fidelity_key, named_issues
 
 VIOLATION = "struct<outcome:string,code:string,row:bigint,role:string,glyphs:string>"
@@ -31,11 +32,11 @@ def row_violation(row: Column) -> Column:
     checks = [F.when(F.col("count").isNull(), _violation(review, "MISSING_COUNT_TIER", row))]
     for role in N.ROLES:
         text = F.col(role)
-        bad = N.illegal_characters(N.strip_to(text, N.AMBIGUOUS_SYMBOLS), role)
+        bad = N.strip_to(text, " " + N.AMBIGUOUS_SYMBOLS + N.tier_alphabet(role))
         checks += [
             F.when(text.isNotNull() & (F.trim(text) == ""), _violation(review, "EMPTY_DECODED_TIER", row, role)),
             F.when(F.contains(text, F.lit(N.AMBIGUOUS_SYMBOLS)), _violation(review, "AMBIGUOUS_NOTATION", row, role)),
-            F.when(text.isNotNull() & (bad != ""), _violation(reject, WRONG_GLYPH, row, role, bad)),
+            F.when(text.isNotNull() & (bad != ""), _violation(reject, WRONG_GLYPH, row, role, N.illegal_characters(bad, role))),
         ]
     checks.append(F.when(F.col("upper").isNull() & F.col("lower").isNull(), _violation(review, "COUNT_WITHOUT_SYMBOL_TIER", row)))
     return F.coalesce(*checks)
@@ -66,21 +67,26 @@ def aligned_runs(upper: Column, count: Column, lower: Column) -> Column:
     """Runs of an aligned row: a symbol's column opens a run, the next one ends it."""
     width = F.greatest(F.length(upper), F.length(lower))
     at = lambda text, i: F.trim(F.substr(text, i + 1, F.lit(1)))
-    places = F.filter(
+    filled = F.filter(
         F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>")),
         lambda i: (at(upper, i) != "") | (at(lower, i) != ""),
     )
 
-    def run(start: Column, k: Column) -> Column:
-        stop = F.coalesce(F.get(places, k + 1), F.length(count))
-        up, down = at(upper, start), at(lower, start)
-        token = F.ltrim(F.substr(count, start + 1, F.greatest(stop - start, F.lit(0))))
-        return F.struct(
-            start.alias("start"), up.alias("up"), down.alias("down"),
-            F.when(up != "", up).otherwise(down).alias("symbol"), token.alias("token"), N.decode_count(token).alias("count"),
+    def split(places: Column) -> Column:
+        stop = lambda k: F.coalesce(F.get(places, k + 1), F.length(count))
+        return F.transform(
+            places,
+            lambda start, k: F.struct(
+                start.alias("start"), at(upper, start).alias("up"), at(lower, start).alias("down"),
+                F.ltrim(F.substr(count, start + 1, F.greatest(stop(k) - start, F.lit(0)))).alias("token"),
+            ),
         )
 
-    return F.transform(places, run)
+    named = lambda r: F.struct(
+        r["start"].alias("start"), r["up"].alias("up"), r["down"].alias("down"), F.when(r["up"] != "", r["up"]).otherwise(r["down"]).alias("symbol"),
+        r["token"].alias("token"), N.decode_count(r["token"]).alias("count"),
+    )
+    return F.transform(let(filled, split), named)
 
 
 def aligned_verdict(runs: Column, upper: Column, count: Column, lower: Column, expected_total: Column | None = None) -> Column:
@@ -97,7 +103,7 @@ def aligned_verdict(runs: Column, upper: Column, count: Column, lower: Column, e
             .when((k > 0) & (F.get(runs, k - 1)["symbol"] == symbol), "ADJACENT_IDENTICAL_RUNS")
         )
 
-    faults = F.array_compact(F.transform(runs, fault))
+    first_fault = F.get(F.array_compact(F.transform(runs, fault)), F.lit(0))
     same = (
         (N.render_tier(runs, "upper") == upper) & (N.render_tier(runs, "count") == count) & (N.render_tier(runs, "lower") == lower)
     )
@@ -105,12 +111,11 @@ def aligned_verdict(runs: Column, upper: Column, count: Column, lower: Column, e
     code = (
         F.when(upper.isNull() | count.isNull() | lower.isNull(), "MALFORMED_ALIGNED_TEXT")
         .when((F.size(runs) == 0) | (F.get(runs, F.lit(0))["start"] != 0), "MISSING_ALIGNED_SYMBOL")
-        .when(F.size(faults) > 0, F.get(faults, F.lit(0)))
-        .when(~same, "NONCANONICAL_ALIGNMENT")
     )
+    late = F.when(~same, "NONCANONICAL_ALIGNMENT")
     if expected_total is not None:
-        code = code.when(total != expected_total, "ROW_SUM_MISMATCH")
-    return code.otherwise("ALIGNED_CANONICAL_OK")
+        late = late.when(total != expected_total, "ROW_SUM_MISMATCH")
+    return F.coalesce(code, first_fault, late, F.lit("ALIGNED_CANONICAL_OK"))
 
 
 def aligned_outcome(code: Column) -> Column:

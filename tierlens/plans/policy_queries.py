@@ -321,7 +321,7 @@ matched AS (SELECT *, len(list_filter(cs, lambda k: k.x IS NOT NULL AND NOT coal
 
 @query("j16_measured_offsets", with_ctes("SELECT page, row, upper_offset, lower_offset, reading, retained, boundary_uncertain, measured FROM matched", *_SEARCH, _MEASURED_SQL, _MATCH_SQL))
 def j16(spark, sf):
-    m = X.match_offsets(X.candidates(B.decoded(spark, sf), "page", "row"), measured(spark, sf), "page", "row")
+    m = X.match_offsets(search(spark, sf), measured(spark, sf), "page", "row")
     return m.select("page", "row", F.col("upper_offset").cast("long").alias("upper_offset"), F.col("lower_offset").cast("long").alias("lower_offset"), "reading", "retained", "boundary_uncertain", "measured")
 
 
