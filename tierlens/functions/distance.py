@@ -28,6 +28,9 @@ VERDICT = T.StructType(
     ]
 )
 BATCH_CELLS = 4_000_000
+# The Arrow UDFs are marked non-deterministic so that they run exactly where
+# they are written: otherwise a filter inferred from an explode is pushed with
+# the UDF below the distinct that was meant to spare it.
 
 
 def edit_distance(truth: Column, prediction: Column, ignore_ws: bool = False) -> Column:
@@ -112,7 +115,7 @@ def edit_counts(truth: Column, prediction: Column, ignore_ws: bool = False) -> C
     """struct<substitutions,deletions,insertions> turning truth into prediction."""
     if ignore_ws:
         truth, prediction = without_whitespace(truth), without_whitespace(prediction)
-    return _edit_counts(truth, prediction)
+    return _edit_counts.asNondeterministic()(truth, prediction)
 
 
 def _script(truth: str, prediction: str) -> list[dict]:
@@ -141,7 +144,7 @@ def edit_events(truth: Column, prediction: Column, ignore_ws: bool = False) -> C
     """Array of edits in text order: op S, D or I, characters and positions."""
     if ignore_ws:
         truth, prediction = without_whitespace(truth), without_whitespace(prediction)
-    return _edit_events(truth, prediction)
+    return _edit_events.asNondeterministic()(truth, prediction)
 
 
 def _truth_options(raw: str, truth: str, index: int) -> tuple[set[str], bool]:
@@ -182,4 +185,4 @@ def _assess(raw: pd.Series, truth: pd.Series, index: pd.Series, replacement: pd.
 
 def assess_correction(raw: Column, truth: Column, index: Column, replacement: Column) -> Column:
     """Is a one-character correction right under every minimum-edit alignment?"""
-    return _assess(raw, truth, index, replacement)
+    return _assess.asNondeterministic()(raw, truth, index, replacement)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tierlens.functions.bind import let
+
 HASH_PREFIX = 3
 
 
@@ -35,10 +37,25 @@ def rank_within(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequenc
     )
 
 
+CUT_STEP = 16
+
+
 def value_cuts(counts: DataFrame, value: str, pieces: int = 256) -> Column:
-    """Approximate cut points of a value as one array, taken once from the data."""
+    """Approximate cut points of a value as struct<fine, coarse>, taken once from the data.
+
+    `fine` holds all cuts in order, `coarse` every CUT_STEP-th of them.
+    """
     probs = [k / pieces for k in range(1, pieces)]
-    return counts.agg(F.array_distinct(F.percentile_approx(value, probs, 10 * pieces)).alias("c")).scalar()
+    fine = counts.agg(F.array_distinct(F.percentile_approx(value, probs, 10 * pieces)).alias("fine"))
+    coarse = F.filter("fine", lambda c, i: i % CUT_STEP == CUT_STEP - 1)
+    return fine.select(F.struct("fine", coarse.alias("coarse")).alias("c")).scalar()
+
+
+def cuts_below(cuts: Column, value: Column) -> Column:
+    """Number of cuts below a value, looked up in two short steps instead of one long scan."""
+    passed = F.size(F.filter(cuts["coarse"], lambda c: c < value)) * CUT_STEP
+    rest = lambda start: start + F.size(F.filter(F.slice(cuts["fine"], start + 1, F.lit(CUT_STEP)), lambda c: c < value))
+    return let(passed, rest)
 
 
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (), pieces: int = 256) -> DataFrame:
@@ -49,7 +66,7 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (), pieces:
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("rows"))
     keyed = counts.withColumn("_cuts", value_cuts(counts, value, pieces)).select(
-        *by, value, "rows", F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_bucket")
+        *by, value, "rows", cuts_below(F.col("_cuts"), F.col(value)).alias("_bucket")
     )
     totals = keyed.groupBy(*by, "_bucket").agg(F.sum("rows").alias("_rows"))
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,9 +8,11 @@ from tierlens.functions import ctc as C, hashing as H, labels as L, notation as
 from tierlens.functions.distance import assess_correction, edit_counts, edit_distance, edit_events
 from tierlens.operators import audit as A
 from tierlens.operators.metrics import page_errors, recognition_metrics, score_pairs
+from tierlens.operators.profile import character_counts
+from tierlens.operators.sequence import run_length
 from tierlens.plans import bindings as B
 from tierlens.plans.registry import query, with_ctes
-from tierlens.session import scratch
+from tierlens.session import materialize, scratch
 from tierlens.sources import journal as J, manifest as M, samples as S
 
 
@@ -66,21 +68,16 @@ def s07(spark, sf):
     return issues.groupBy("issue").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("s08_subset_sink", "SELECT * FROM (SELECT split, tier_id, raw_label, training_label, image_width FROM t) ORDER BY split, tier_id".replace("FROM t)", "FROM tiers)") and with_ctes(
+@query("s08_subset_sink", with_ctes(
     "SELECT split, count(*) AS rows, 0::BIGINT AS differences, 0::BIGINT AS out_of_order FROM tiers GROUP BY split", B.TIERS_SQL))
 def s08(spark, sf):
     """Ordered, quoted CSV written and read back; every record must return, in file order."""
-    t = B.tiers(spark, sf).select(*M.MANIFEST_COLUMNS)
+    t = materialize(B.tiers(spark, sf).select(*M.MANIFEST_COLUMNS), "tiers")
     path = scratch(spark, "subset")
     M.write_subset(t, path)
     back = M.read_manifest(spark, path)
-    lost = M.readback_differences(t, back).groupBy("split").agg(F.sum(F.abs("difference")).alias("_d"))
-    file = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    placed = back.select("split", "tier_id", file.alias("_file"))
-    ends = placed.groupBy("_file").agg(F.min(F.struct("split", "tier_id")).alias("lo"), F.max(F.struct("split", "tier_id")).alias("hi"))
-    from pyspark.sql import Window
-
-    wrong = ends.withColumn("_p", F.lag("hi").over(Window.orderBy("_file"))).where(F.col("_p") > F.col("lo"))
+    lost = M.readback_differences(t, back, ["split"]).groupBy("split").agg(F.sum(F.abs("difference")).alias("_d"))
+    wrong = M.file_order_violations(back, ["split", "tier_id"])
     counts = back.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
     return counts.join(lost, "split", "left").select(
         "split", "rows", F.coalesce("_d", F.lit(0)).alias("differences"), wrong.agg(F.count(F.lit(1))).scalar().alias("out_of_order")
@@ -294,20 +291,15 @@ def _collapse_sql(p: str) -> str:
     return f"array_to_string(list_transform(list_filter(range(1, 9), lambda i: {p}[i] <> 0 AND (i = 1 OR {p}[i] <> {p}[i - 1])), lambda i: {p}[i]), ',')"
 
 
-@query("p14_ctc_collapse", """
-SELECT user_id, array_to_string(list_transform(list_filter(range(1, len(p) + 1), lambda i: p[i] <> 'view' AND (i = 1 OR p[i] <> p[i - 1])), lambda i: p[i]), ',') AS collapsed
-FROM (SELECT user_id, list(event_type ORDER BY ts, event_id) AS p FROM events GROUP BY user_id)""")
+@query("p14_ctc_collapse", with_ctes("""
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY at_us, event_id) - 1 AS character_index, event_type
+FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY at_us, event_id) AS before FROM paths)
+WHERE event_type <> 'view' AND before IS DISTINCT FROM event_type""", B.PATHS_SQL))
 def p14(spark, sf):
-    """Class path of a user; the path is ordered and merged without gathering a user in one place."""
-    from tierlens.operators.sequence import run_length
-
+    """Collapsed class path of every user; no user is gathered in one place."""
     e = B.paths(spark, sf).select("user_id", "day", "at_us", "event_id", "event_type")
-    runs = run_length(e, ["user_id"], "day", ["at_us", "event_id"], "event_type", "view").where("event_type <> 'view'")
-    users = e.select("user_id").distinct()
-    text = runs.groupBy("user_id").agg(F.listagg(F.col("event_type"), F.lit(",")).alias("_x")) if False else runs.groupBy("user_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "event_type"))), lambda r: r["event_type"]), ",").alias("collapsed")
-    )
-    return users.join(text, "user_id", "left").select("user_id", F.coalesce("collapsed", F.lit("")).alias("collapsed"))
+    runs = run_length(e, ["user_id"], "day", ["at_us", "event_id"], "event_type", "view")
+    return runs.where("event_type <> 'view'").select("user_id", "character_index", "event_type")
 
 
 @query("p15_greedy_decode", with_ctes(f"SELECT vec_id, {_collapse_sql('p')} AS decoded, {_collapse_sql('pm')} AS role_decoded FROM path", _FRAMES_SQL))
@@ -345,8 +337,6 @@ SELECT CASE WHEN strpos('ABCDEFGHIJKLMNPQ', c) > 0 THEN 'up' WHEN strpos('RSTUVW
 FROM (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY c) GROUP BY kind""")
 def p17(spark, sf):
     """Characters of all texts by class; characters are counted before they are classed."""
-    from tierlens.operators.profile import character_counts
-
     chars = character_counts(B.table(spark, sf, "documents"), "text")
     return chars.groupBy(N.token_kind(F.col("character")).alias("kind")).agg(
         F.sum("occurrences").alias("characters"), F.count(F.lit(1)).alias("distinct_characters")
@@ -519,14 +509,7 @@ def p31(spark, sf):
     )
 
 
-@query("p32_cohort", with_ctes("""
-SELECT source, CASE WHEN list_contains(s, 'train') OR list_contains(s, 'validation') THEN 'excluded_seen_or_validation' WHEN declared = 'test' THEN 'positive_frozen_test'
-       WHEN declared IS NOT NULL THEN 'excluded_stage2a_' || declared WHEN s = ['test'] AND verified THEN 'general_stage1_test'
-       WHEN s = ['test'] THEN 'general_test_structure_match_exploratory' ELSE 'general_unassigned_exploratory' END AS cohort, count(*) AS documents
-FROM (SELECT source, doc_id, list_sort(list(DISTINCT o)) AS s, CASE WHEN lang = 'fr' THEN 'test' WHEN lang = 'es' THEN 'train' END AS declared, lang = 'en' AS verified
-      FROM (SELECT d.source, d.doc_id, d.lang, CASE WHEN r.h < '3' THEN 'test' WHEN r.h < '6' THEN 'validation' WHEN r.h IS NOT NULL THEN 'train' END AS o
-            FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, substr(sha256('split:42:' || doc_id), 1, 1) AS h FROM documents) r ON r.doc_id = l.doc_id) GROUP BY source, doc_id, lang)
-GROUP BY source, cohort""").replace("WITH \n", "") if False else """
+@query("p32_cohort", """
 WITH d AS (SELECT source, doc_id, lang, l.doc_id IS NOT NULL AS labelled, substr(sha256('split:42:' || d.doc_id), 1, 1) AS h FROM documents d LEFT JOIN labels l USING (doc_id)),
 s AS (SELECT *, CASE WHEN NOT labelled THEN []::VARCHAR[] WHEN h < '3' THEN ['test'] WHEN h < '6' THEN ['validation'] WHEN h < '9' THEN ['train'] ELSE ['test', 'train'] END AS splits,
              CASE WHEN lang = 'fr' THEN 'test' WHEN lang = 'es' THEN 'train' END AS declared, lang = 'en' AS verified FROM d)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tierlens.functions.hashing import record_hash
 
@@ -54,11 +54,26 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.repartitionByRange("split", "tier_id").sortWithinPartitions("split", "tier_id").write.mode("errorifexists").partitionBy("split").parquet(path)
 
 
-def readback_differences(written: DataFrame, read: DataFrame) -> DataFrame:
-    """Records lost or gained by a write and read, with their number (duplicates count)."""
-    read = read.select(*written.columns)
-    signed = written.withColumn("_s", F.lit(1)).unionByName(read.withColumn("_s", F.lit(-1)))
-    return signed.groupBy(*written.columns).agg(F.sum("_s").alias("difference")).where("difference <> 0")
+def readback_differences(written: DataFrame, read: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Records lost or gained by a write and read, with their number (duplicates count).
+
+    Records are compared by the hash of all their columns, so texts do not
+    travel through the shuffle.
+    """
+    signed = [
+        df.select(*keep, record_hash(df).alias("record"), F.lit(sign).alias("_s"))
+        for df, sign in ((written, 1), (read.select(*written.columns), -1))
+    ]
+    both = signed[0].unionByName(signed[1])
+    return both.groupBy(*keep, "record").agg(F.sum("_s").alias("difference")).where("difference <> 0")
+
+
+def file_order_violations(read: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Files that start before the previous one ends; rows are only min/max-ed, files are few."""
+    file = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    keyed = read.select(file.alias("file"), F.struct(*order).alias("k"))
+    ends = keyed.groupBy("file").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    return ends.withColumn("_p", F.lag("hi").over(Window.orderBy("file"))).where(F.col("_p") > F.col("lo")).drop("_p")
 
 
 def nested_as_json(df: DataFrame) -> DataFrame:
