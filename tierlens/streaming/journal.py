@@ -12,19 +12,20 @@ from tierlens.sources.journal import journal_issues, plan_hash
 from tierlens.sources.manifest import table_fingerprint
 
 
-def append_once(records: DataFrame, target: str, key: str, plan: str) -> Callable[[DataFrame, int], None]:
+def append_once(records: DataFrame, target: str, key: str, plan: str, run: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch function that appends records whose id the target lacks.
 
     A known id is never overwritten.  The same id under another payload or plan
-    is an error.  Every batch writes its own folder with overwrite, so a batch
-    replayed after a lost driver or executor leaves the same files.
+    is an error.  Every batch of a run (one checkpoint) overwrites its own
+    folder, so a batch replayed after a lost driver or executor leaves the same
+    files.
     """
     schema = records.schema
     wanted = plan_hash(plan)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = _known(spark, target, schema, batch_id)
+        known = _known(spark, target, schema, run, batch_id)
         first = batch.groupBy(key).agg(
             F.min_by(F.struct(*batch.columns), F.col("payload_sha256")).alias("r"), F.countDistinct("payload_sha256").alias("_v")
         )
@@ -33,19 +34,19 @@ def append_once(records: DataFrame, target: str, key: str, plan: str) -> Callabl
         fault = F.raise_error(F.concat(F.lit("journal drift for id "), F.col(key).cast("string")))
         guarded = joined.withColumn("_old", F.when(F.coalesce(drift, F.lit(False)), fault).otherwise(F.col("_old")))
         fresh = guarded.where(F.col("_old").isNull()).select("r.*")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{target}/run={run}/batch={batch_id}")
 
     return write
 
 
-def _known(spark: SparkSession, target: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """Records of earlier batches; the folder of this batch may hold a failed attempt."""
-    with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+def _known(spark: SparkSession, target: str, schema: T.StructType, run: str, batch_id: int) -> DataFrame:
+    """Records of all other batches; the folder of this batch may hold a failed attempt."""
+    placed = T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
     try:
-        earlier = spark.read.schema(with_batch).parquet(target)
+        other = spark.read.schema(placed).parquet(target)
     except AnalysisException:      # nothing written yet
         return spark.createDataFrame([], schema)
-    return earlier.where(F.col("batch") < batch_id).drop("batch")
+    return other.where((F.col("run") != run) | (F.col("batch") != batch_id)).drop("run", "batch")
 
 
 def read_target(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
@@ -54,8 +55,9 @@ def read_target(spark: SparkSession, target: str, schema: T.StructType) -> DataF
 
 def run_journal(stream: DataFrame, target: str, checkpoint: str, key: str, plan: str) -> None:
     """Drains the stream into the journal; a second run resumes after the last finished batch."""
+    run = "r" + plan_hash(checkpoint)[:16]
     query = (
-        stream.writeStream.foreachBatch(append_once(stream, target, key, plan))
+        stream.writeStream.foreachBatch(append_once(stream, target, key, plan, run))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
