@@ -239,3 +239,15 @@ def test_repair_tier_is_all_or_nothing(spark):
     mapping = [("X", "B", "upper"), ("Y", "P", "upper"), ("Y", "F", "upper")]
     got = [r[0] for r in df.select(Y.repair_tier(F.col("t"), "upper", mapping, F.col("ok"))).collect()]
     assert [(g["text"], g["corrections"], g["uncertain"]) for g in got] == [("AB", 1, False), ("AXs", 0, True), ("AX", 0, True), ("AY", 0, True)]
+
+
+def test_box_overlap(spark):
+    rng = random.Random(6)
+    box = lambda p: (p, *(lambda x, y: (x, y, x + rng.randrange(1, 90), y + rng.randrange(1, 40)))(rng.randrange(300), rng.randrange(200)))
+    regions, boxes = [box(k % 3) for k in range(15)], [box(k % 4) for k in range(80)]
+    names = "p int, x0 int, y0 int, x1 int, y1 int"
+    got = {tuple(r)[:5]: r["hit"] for r in P.box_overlaps(spark.createDataFrame(regions, names), spark.createDataFrame(boxes, names), ["p"], cell=32).collect()}
+    for b in boxes:
+        want = any(r[0] == b[0] and max(r[1], b[1]) < min(r[3], b[3]) and max(r[2], b[2]) < min(r[4], b[4]) for r in regions)
+        assert got[b] == want
+    assert not any(hit for b, hit in got.items() if b[0] == 3)      # a page without regions

@@ -197,11 +197,18 @@ def fold_sizes(df: DataFrame, group: str) -> DataFrame:
     return counts.select(F.col(group).alias("fold"), "heldout_rows", (total - F.col("heldout_rows")).alias("train_rows"))
 
 
-def box_overlaps(regions: DataFrame, boxes: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Boxes with a flag whether any region of the same page overlaps them."""
-    r = regions.select(*key, *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
+def box_overlaps(regions: DataFrame, boxes: DataFrame, key: Sequence[str], cell: int = 64) -> DataFrame:
+    """Boxes with a flag whether any region of the same page overlaps them.
+
+    Both sides are laid on a grid and joined per grid cell, so a crowded page
+    is split over its cells and only neighbours are compared.
+    """
     c = F.col
-    hit = (
-        (F.greatest("x0", "_x0") < F.least("x1", "_x1")) & (F.greatest("y0", "_y0") < F.least("y1", "_y1"))
-    )
-    return boxes.join(r, list(key), "left").groupBy(*boxes.columns).agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"))
+    span = lambda lo, hi: F.sequence(F.floor(c(lo) / cell), F.floor(c(hi) / cell))
+    grid = lambda df: df.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
+    sides = ("x0", "y0", "x1", "y1")
+    r = grid(regions.select(*key, *sides).distinct()).select(*key, "_cx", "_cy", *[c(s).alias(f"_{s}") for s in sides])
+    # written as four comparisons: greatest and least would skip the nulls of a box without neighbours
+    hit = (c("x0") < c("_x1")) & (c("_x0") < c("x1")) & (c("y0") < c("_y1")) & (c("_y0") < c("y1"))
+    joined = grid(boxes).join(r, [*key, "_cx", "_cy"], "left")
+    return joined.groupBy(*boxes.columns).agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -53,3 +53,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The table with a broadcast hint if it is counted to be small, else as it is.
+
+    For narrow summary tables joined to a large table on a key with few values,
+    where a shuffle join would send a hot key to one task.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
