@@ -251,3 +251,30 @@ def test_box_overlap(spark):
         want = any(r[0] == b[0] and max(r[1], b[1]) < min(r[3], b[3]) and max(r[2], b[2]) < min(r[4], b[4]) for r in regions)
         assert got[b] == want
     assert not any(hit for b, hit in got.items() if b[0] == 3)      # a page without regions
+
+
+def test_exact_sample_prefers_unused_parents(spark):
+    import hashlib
+    import json
+
+    def rank(*parts):
+        return hashlib.sha256(json.dumps([42, *parts], separators=(",", ":")).encode()).hexdigest()
+
+    rng = random.Random(12)
+    rows = [("train", f"s{rng.randrange(4)}", f"p{rng.randrange(9)}", f"t{k:03d}") for k in range(70)]
+    want_n = {"s0": 6, "s1": 11, "s2": 3, "s3": 9}
+    queues = {}
+    for _, st, p, t in sorted(rows, key=lambda r: rank("train", "tier", r[3])):
+        queues.setdefault(st, {}).setdefault(p, []).append(t)
+    left, uses, chosen = dict(want_n), {}, set()
+    for turn in range(70):
+        for st in sorted(queues, key=lambda s: (len(queues[s]), s)):
+            ready = sorted((p for p, q in queues[st].items() if len(q) > turn), key=lambda p: (uses.get(p, 0), rank("train", "parent", p), p))
+            for p in ready[: left[st]]:
+                chosen.add(queues[st][p][turn])
+                uses[p] = uses.get(p, 0) + 1
+                left[st] -= 1
+    df = spark.createDataFrame(rows, "split string, st string, parent string, id string")
+    quota = spark.createDataFrame([("train", s, n) for s, n in want_n.items()], "split string, st string, allocation long")
+    got = W.stratified_sample(df, quota, "split", "st", "parent", "id", 42, exact=True)
+    assert {r["id"] for r in got.collect()} == chosen

@@ -108,7 +108,7 @@ def without_whitespace(text: Column) -> Column:
 
 
 def cohort(splits: Column, declared: Column, verified: Column) -> Column:
-    """Evaluation cohort of a parent from the splits it was seen in."""
+    """Evaluation cohort of a parent from the splits it was seen in (the names are fixed values)."""
     seen = F.array_contains(splits, "train") | F.array_contains(splits, "validation")
     only_test = (F.size(splits) == 1) & F.array_contains(splits, "test")
     return (

@@ -100,32 +100,61 @@ def tier_passes(df: DataFrame, split: str, stratum: str, parent: str, row_id: st
 
 
 def stratified_sample(
-    df: DataFrame, allocation: DataFrame, split: str, stratum: str, parent: str, row_id: str, seed: int
+    df: DataFrame, allocation: DataFrame, split: str, stratum: str, parent: str, row_id: str, seed: int, exact: bool = False
 ) -> DataFrame:
     """Allocated number of rows per stratum with as many distinct parents as possible.
 
     Rows are drawn in passes: nobody gives a second row before every parent of
     the stratum gave one.  Passes are counted first; whole passes are taken as
     they are, and only the pass that overshoots is ranked by parent hash.
+
+    With `exact` the overshooting passes prefer parents that other strata used
+    least so far.  That order is sequential over strata: one job per stratum,
+    over the rows of its last pass only.
     """
     quota = small(allocation.select(split, stratum, "allocation"))
     drawn = tier_passes(df, split, stratum, parent, row_id, seed).join(quota, [split, stratum])
     drawn = materialize(drawn.where(F.col("pass") <= F.col("allocation")), "passes")
     sizes = drawn.groupBy(split, stratum, "pass", "allocation").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(split, stratum).orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    per_stratum = Window.partitionBy(split, stratum)
+    earlier = per_stratum.orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn(
+        "_parents", F.max(F.when(F.col("pass") == 1, F.col("_n"))).over(per_stratum)
+    )
     state = (
         F.when(F.col("_before") + F.col("_n") <= F.col("allocation"), "whole")
         .when(F.col("_before") < F.col("allocation"), "part")
     )
-    sizes = sizes.withColumn("_state", state).where("_state is not null").select(split, stratum, "pass", "_before", "_state")
+    sizes = sizes.withColumn("_state", state).where("_state is not null").select(split, stratum, "pass", "_before", "_parents", "_state")
     placed = drawn.join(small(sizes), [split, stratum, "pass"])
-    whole = placed.where("_state = 'whole'")
-    part = rank_within(
-        placed.where("_state = 'part'"), [split, stratum], hash_bucket(F.col("_ph"), 2), [F.col("_ph"), F.col(parent)], "_r"
-    ).where(F.col("_r") <= F.col("allocation") - F.col("_before"))
-    extra = ["_th", "_ph", "_before", "_state", "_r", "allocation"]
-    return whole.drop(*extra).unionByName(part.drop(*extra))
+    whole, part = placed.where("_state = 'whole'"), placed.where("_state = 'part'")
+    if exact:
+        chosen = _least_used_first(whole, part, sizes, allocation, split, stratum, parent)
+    else:
+        order = [F.col("_ph"), F.col(parent)]
+        ranked = rank_within(part, [split, stratum], hash_bucket(F.col("_ph"), 2), order, "_r")
+        chosen = ranked.where(F.col("_r") <= F.col("allocation") - F.col("_before")).drop("_r")
+    extra = ["_th", "_ph", "_before", "_parents", "_state", "allocation"]
+    return whole.unionByName(chosen).drop(*extra)
+
+
+def _least_used_first(
+    whole: DataFrame, part: DataFrame, sizes: DataFrame, allocation: DataFrame, split: str, stratum: str, parent: str
+) -> DataFrame:
+    """Rows of the overshooting passes, stratum after stratum in (pass, parents, name) order."""
+    turns = sizes.where("_state = 'part'").join(allocation.select(split, stratum, "allocation"), [split, stratum])
+    steps = turns.orderBy(split, "pass", "_parents", stratum).collect()        # at most one per stratum
+    picked = part.limit(0)
+    for step in steps:
+        here = (F.col(split) == step[split]) & (F.col(stratum) == step[stratum])
+        turn = F.struct(F.col("pass"), F.col("_parents"), F.col(stratum))
+        now = F.struct(F.lit(step["pass"]).alias("pass"), F.lit(step["_parents"]).alias("_parents"), F.lit(step[stratum]).alias(stratum))
+        before = whole.where((F.col(split) == step[split]) & (turn < now)).select(parent)
+        uses = before.unionByName(picked.where(F.col(split) == step[split]).select(parent)).groupBy(parent).agg(F.count(F.lit(1)).alias("_uses"))
+        open_rows = part.where(here).join(uses, parent, "left").withColumn("_uses", F.coalesce("_uses", F.lit(0)))
+        best = open_rows.orderBy("_uses", "_ph", parent).limit(step["allocation"] - step["_before"]).drop("_uses")
+        picked = materialize(picked.unionByName(best.select(*picked.columns)), "picked")
+    return picked
 
 
 # -- W4 rare-character repair ------------------------------------------------
