@@ -37,36 +37,48 @@ def rank_within(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequenc
     )
 
 
-CUT_STEP = 16
+def piece_count(df: DataFrame) -> int:
+    """Buckets for value ranges: a few per shuffle partition, at least 32, at most 1,024."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(32, min(1024, 4 * partitions))
 
 
-def value_cuts(counts: DataFrame, value: str, pieces: int = 256) -> Column:
+def value_cuts(counts: DataFrame, value: str, pieces: int) -> Column:
     """Approximate cut points of a value as struct<fine, coarse>, taken once from the data.
 
-    `fine` holds all cuts in order, `coarse` every CUT_STEP-th of them.
+    `fine` holds all cuts in order, `coarse` every step-th of them, with a step
+    near the square root of their number.  Rough cuts are enough: they only
+    shape the buckets.
     """
     probs = [k / pieces for k in range(1, pieces)]
-    fine = counts.agg(F.array_distinct(F.percentile_approx(value, probs, 10 * pieces)).alias("fine"))
-    coarse = F.filter("fine", lambda c, i: i % CUT_STEP == CUT_STEP - 1)
+    step = cut_step(pieces)
+    fine = counts.agg(F.array_distinct(F.percentile_approx(value, probs, 4 * pieces)).alias("fine"))
+    coarse = F.filter("fine", lambda c, i: i % step == step - 1)
     return fine.select(F.struct("fine", coarse.alias("coarse")).alias("c")).scalar()
 
 
-def cuts_below(cuts: Column, value: Column) -> Column:
+def cut_step(pieces: int) -> int:
+    return max(2, round(pieces**0.5))
+
+
+def cuts_below(cuts: Column, value: Column, pieces: int) -> Column:
     """Number of cuts below a value, looked up in two short steps instead of one long scan."""
-    passed = F.size(F.filter(cuts["coarse"], lambda c: c < value)) * CUT_STEP
-    rest = lambda start: start + F.size(F.filter(F.slice(cuts["fine"], start + 1, F.lit(CUT_STEP)), lambda c: c < value))
+    step = cut_step(pieces)
+    passed = F.size(F.filter(cuts["coarse"], lambda c: c < value)) * step
+    rest = lambda start: start + F.size(F.filter(F.slice(cuts["fine"], start + 1, F.lit(step)), lambda c: c < value))
     return let(passed, rest)
 
 
-def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (), pieces: int = 256) -> DataFrame:
+def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (), pieces: int | None = None) -> DataFrame:
     """Distinct values per group with their count and the rows before them, in value order.
 
     Equal values are merged before anything is ordered, so a value that holds
     a third of the rows is one row here.
     """
+    pieces = pieces or piece_count(df)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("rows"))
     keyed = counts.withColumn("_cuts", value_cuts(counts, value, pieces)).select(
-        *by, value, "rows", cuts_below(F.col("_cuts"), F.col(value)).alias("_bucket")
+        *by, value, "rows", cuts_below(F.col("_cuts"), F.col(value), pieces).alias("_bucket")
     )
     totals = keyed.groupBy(*by, "_bucket").agg(F.sum("rows").alias("_rows"))
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -330,8 +330,11 @@ def notation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decoded(spark: SparkSession, sf: str) -> DataFrame:
+    return decoded_from(notation(spark, sf))
+
+
+def decoded_from(rows: DataFrame) -> DataFrame:
     """Decoded tiers: leading blanks cut, empty tiers absent, some characters misread."""
-    rows = notation(spark, sf)
     cut = lambda c: F.nullif(F.ltrim(c), F.lit(""))
     count = F.when(F.col("tax") == 8, F.concat(F.substr("count", F.lit(1), F.lit(1)), F.lit(" "), F.substr("count", F.lit(2)))).otherwise(F.col("count"))
     return rows.select(

@@ -236,9 +236,14 @@ def _combined_sql(out: str, totals: str) -> str:
    coalesce(t.readings, 0) = 1 AND exhaustive AS unique_page FROM page_rows p LEFT JOIN (SELECT page, count(*) AS n, sum(readings) AS readings FROM {totals} GROUP BY page) t ON t.page = p.page)"""
 
 
-def search(spark, sf) -> DataFrame:
+def notation_once(spark, sf) -> DataFrame:
+    """Notation rows, written once: truth, decoded text and measurements derive from them."""
+    return materialize(B.notation(spark, sf).drop("runs"), "notation")
+
+
+def search(rows: DataFrame) -> DataFrame:
     """All candidate offsets with their verdicts, written once: the policies read them several times."""
-    return materialize(X.candidates(B.decoded(spark, sf), "page", "row"), "candidates")
+    return materialize(X.candidates(rows, "page", "row"), "candidates")
 
 
 @query("r10_alignment_search", with_ctes("SELECT page, row, unsupported, tested, passing, uncertain, totals, status, complete, complete AND passing = 0 AS contradiction, complete AND passing = 1 AS unique_reading FROM row_status", *_SEARCH, _ANALYSIS_SQL))
@@ -255,7 +260,7 @@ def r10b(spark, sf):
 
 @query("r11_page_combination", with_ctes("SELECT page, rows, exhaustive, uncertain, multiple_candidates, unsupported, common_totals, readings, contradiction, status, unique_page FROM combined", *_SEARCH, _ANALYSIS_SQL, _totals_sql("totals", "count(*)"), _combined_sql("combined", "totals")))
 def r11(spark, sf):
-    return X.combine_pages(search(spark, sf), "page", "row").drop("row_contradiction")
+    return X.combine_pages(search(B.decoded(spark, sf)), "page", "row").drop("row_contradiction")
 
 
 _REVIEW_SQL = """
@@ -265,22 +270,23 @@ reviewed AS (SELECT d.page, d.outcome AS outcome_before, d.outcome = 'ACCEPT' AN
 _REVIEW = (*_SEARCH, B.IMAGES_SQL, _syntax_sql("decoded", "syn"), _evidence_sql("syn", "dec"), _ANALYSIS_SQL, _totals_sql("totals", "count(*)"), _combined_sql("combined", "totals"), _REVIEW_SQL)
 
 
-def reviewed(spark, sf, found: DataFrame) -> DataFrame:
-    d = Y.evidence_decision(Y.validate_pages(pages(spark, sf), B.decoded(spark, sf), "page", "row"))
+def reviewed(spark, sf, rows: DataFrame, found: DataFrame) -> DataFrame:
+    d = Y.evidence_decision(Y.validate_pages(pages(spark, sf), rows, "page", "row"))
     return X.review_policy(d, X.combine_pages(found, "page", "row"), "page")
 
 
 @query("r12_review_policy", with_ctes("""
 SELECT page, outcome_before, CASE WHEN new_review THEN 'REVIEW_UNCERTAIN' ELSE outcome_before END AS outcome, new_review, array_to_string(CASE WHEN new_review THEN list_append(reasons, finding) ELSE reasons END, ';') AS reason_codes FROM reviewed""", *_REVIEW))
 def r12(spark, sf):
-    r = reviewed(spark, sf, search(spark, sf))
+    rows = B.decoded_from(notation_once(spark, sf))
+    r = reviewed(spark, sf, rows, search(rows))
     return r.select("page", "outcome_before", "outcome", "new_review", F.array_join("reason_codes", ";").alias("reason_codes"))
 
 
 @query("r13_distinct_readings", with_ctes("""
 SELECT page, sum(readings)::BIGINT AS readings, count(*) AS common_totals, CASE WHEN sum(readings) = 1 THEN max(row_total) END AS selected_total FROM dtotals GROUP BY page""", *_SEARCH, _ANALYSIS_SQL, _totals_sql("dtotals", "count(DISTINCT reading)")))
 def r13(spark, sf):
-    found = search(spark, sf)
+    found = search(B.decoded(spark, sf))
     counts = X.analyse_rows(found, "page", "row").groupBy("page").agg(F.count(F.lit(1)).alias("rows"))
     return X.distinct_readings(found, counts, "page", "row")
 
@@ -294,8 +300,7 @@ measured AS (SELECT page, row, tier, o + shift AS off, greatest(o + shift - widt
     UNION ALL SELECT page, row, 0, discount, 'count', 0 FROM notation)))"""
 
 
-def measured(spark, sf) -> DataFrame:
-    n = B.notation(spark, sf)
+def measured(n: DataFrame) -> DataFrame:
     lead = lambda c: F.length(c) - F.length(F.ltrim(c))
     tiers = F.array_compact(F.array(
         F.when((F.trim("upper") != "") & (F.col("discount") != 3), F.struct(F.lit("upper").alias("tier"), lead(F.col("upper")).alias("o"), F.col("tax").alias("t"))),
@@ -321,7 +326,8 @@ matched AS (SELECT *, len(list_filter(cs, lambda k: k.x IS NOT NULL AND NOT coal
 
 @query("j16_measured_offsets", with_ctes("SELECT page, row, upper_offset, lower_offset, reading, retained, boundary_uncertain, measured FROM matched", *_SEARCH, _MEASURED_SQL, _MATCH_SQL))
 def j16(spark, sf):
-    m = X.match_offsets(search(spark, sf), measured(spark, sf), "page", "row")
+    n = notation_once(spark, sf)
+    m = X.match_offsets(search(B.decoded_from(n)), measured(n), "page", "row")
     return m.select("page", "row", F.col("upper_offset").cast("long").alias("upper_offset"), F.col("lower_offset").cast("long").alias("lower_offset"), "reading", "retained", "boundary_uncertain", "measured")
 
 
@@ -341,9 +347,11 @@ SELECT page, outcome_before, CASE WHEN finding IS NOT NULL THEN 'REVIEW_UNCERTAI
   outcome_before = 'ACCEPT' AND finding IS NULL AND pos AS position_verified FROM judged""", *_REVIEW, _totals_sql("dtotals", "count(DISTINCT reading)"), _MEASURED_SQL, _MATCH_SQL,
     _MEASURED_POLICY_SQL.replace("doubt AS (", _totals_sql("rtotals", "count(DISTINCT reading)", "retained_found").strip() + ",\ndoubt AS (")))
 def r14(spark, sf):
-    found = search(spark, sf)
-    d = reviewed(spark, sf, found).drop("outcome_before")
-    out = X.measured_policy(d, found, measured(spark, sf), "page", "row")
+    n = notation_once(spark, sf)
+    rows = B.decoded_from(n)
+    found = search(rows)
+    d = reviewed(spark, sf, rows, found).drop("outcome_before")
+    out = X.measured_policy(d, found, measured(n), "page", "row")
     return out.select("page", "outcome_before", "outcome", "finding", "selected_total", "position_verified")
 
 
