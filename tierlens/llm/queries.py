@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tierlens.llm import decontaminate, mixing, sharding, simhash
+from tierlens.llm import decontaminate, licenses, mixing, quality, rules, sharding, simhash
 from tierlens.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,46 @@ def histogram_shards(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_suffix_contamination")
 def suffix_contamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op2_random_indexing_quality")
+def random_indexing_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_scores(spark, table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+_COUNTS = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+grams AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM grams) WHERE n > 1),
+repeated AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+counts AS MATERIALIZED (
+  SELECT l.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(regexp_extract_all(t, '[!#$%&*+/<=>@\\^_`{|}~\[\]]')) AS BIGINT) AS n_marks,
+         CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS n_upper
+  FROM l LEFT JOIN repeated USING (doc_id)),
+"""
+
+
+@query("op4_weak_supervision_rules", _COUNTS + rules.em_sql("counts") + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND posterior >= 0.5 AS kept
+FROM verdicts
+""")
+def weak_supervision_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.judged(table(spark, sf, "documents"), keep=["doc_id"]).select("doc_id", *rules.BASE, "kept")
+
+
+@query("op5_license_diagonals", "WITH " + licenses.spans_sql() + """
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM w LEFT JOIN f USING (doc_id)
+""")
+def license_diagonals(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf, "documents"))
