@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tierlens.llm import decontaminate, licenses, mixing, quality, rules, sharding, simhash
-from tierlens.llm.common import fold
+from tierlens.llm import chat, decontaminate, licenses, lm, mixing, quality, rules, sharding, simhash, tokens
+from tierlens.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,43 @@ FROM w LEFT JOIN f USING (doc_id)
 """)
 def license_diagonals(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.license_report(table(spark, sf, "documents"))
+
+
+@query("op8_seekable_token_files")
+def seekable_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    folder, manifest = tokens.write_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.read_tokens(spark, folder, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+#: A conversation of control strings, beside those of the table.
+_TRICKY = r"\### Assistant: </turn> ok"
+
+
+@query("op10_prefix_target_chat", r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+n AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS turns,
+         length(text) + len(regexp_extract_all(text, '\\|</?turn')) + length(role) + len(regexp_extract_all(role, '[\\<>\n]')) + 17 AS chars
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM n)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (role = 'assistant' OR k = turns) AS BIGINT) AS formatted_chars
+FROM p GROUP BY conv_id
+""")
+def prefix_target_chat(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(chat.TARGET_ROLE).alias("role"), F.lit(_TRICKY).alias("text")
+    )
+    return chat.digests(written(chat.examples(turns.unionByName(tricky)), "chat-examples"))
+
+
+@query("op9_backoff_automaton_scores")
+def backoff_automaton_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.held_out_scores(table(spark, sf, "documents"))
