@@ -11,7 +11,7 @@ GRAM = 2
 #: Diagonals this far apart are merged: words put in or left out.
 NEAR = 2
 #: Share of a template's word pairs that a span must have.
-COVER = 0.8
+COVER = 0.85
 WORD_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 

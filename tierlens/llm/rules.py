@@ -68,7 +68,7 @@ def with_counts(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     source = without(docs, *BASE, *_MORE)
     kept = [c for c in source.columns if keep is None or c in keep]
-    body, words = free_name(source, "_whole_text"), free_name(source, "_words")
+    body, words, filled = (free_name(source, n) for n in ("_whole_text", "_words", "_filled_lines"))
     text = F.col(body)
     split = source.select(*[F.col(quoted(c)) for c in kept], F.coalesce("text", F.lit("")).alias(body)).withColumn(words, space_words(text))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
@@ -76,10 +76,10 @@ def with_counts(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     counted = split.select(
         *[F.col(quoted(c)) for c in kept], words, F.size(words).cast("long").alias("n_words"),
         F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"), count(SYMBOLS).alias("n_symbols"),
-        count(MARKS).alias("n_marks"), count("[A-Z]").alias("n_upper"), lines.alias("_lines"),
+        count(MARKS).alias("n_marks"), count("[A-Z]").alias("n_upper"), lines.alias(filled),
     ).withColumns({
-        "n_lines": F.size("_lines").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-    }).drop("_lines")
+        "n_lines": F.size(filled).cast("long"), "n_dup_lines": (F.size(filled) - F.size(F.array_distinct(filled))).cast("long"),
+    }).drop(filled)
     full = _repeat_words(counted, words, "n_repeat_words").drop(words)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return full.withColumn("base_failed", failed)
