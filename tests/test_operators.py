@@ -278,3 +278,76 @@ def test_exact_sample_prefers_unused_parents(spark):
     quota = spark.createDataFrame([("train", s, n) for s, n in want_n.items()], "split string, st string, allocation long")
     got = W.stratified_sample(df, quota, "split", "st", "parent", "id", 42, exact=True)
     assert {r["id"] for r in got.collect()} == chosen
+
+
+# -- rows that must not get lost ----------------------------------------------
+
+def test_null_readings_stay_samples(spark):
+    from tierlens.operators.metrics import recognition_metrics, score_pairs
+
+    pairs = spark.createDataFrame([("ab", "ab"), ("ab", None), (None, "x"), (None, None)], "truth string, prediction string")
+    scored = score_pairs(pairs)
+    assert scored.count() == 4
+    row = recognition_metrics(scored).first()
+    assert (row["samples"], row["exact_matches"], row["edits"], row["characters"]) == (4, 1, 0, 4)
+
+
+def test_null_groups_keep_their_rows(spark):
+    from tierlens.operators.audit import with_group_size
+    from tierlens.operators.profile import drift
+    from tierlens.operators.ranking import cumulative_counts, previous_row, rank_within, running_sum
+
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 1, 7), ("a", 2, None)], "g string, at int, v int").withColumn("b", F.lit("x"))
+    assert {(r["g"], r["at"]): r["rank"] for r in rank_within(df, ["g"], F.col("b"), [F.col("at")]).collect()} == {(None, 1): 1, (None, 2): 2, ("a", 1): 1, ("a", 2): 2}
+    assert previous_row(df, ["g"], "b", ["at"], ["v"]).count() == 4
+    assert {(r["g"], r["at"]): r["s"] for r in running_sum(df, ["g"], "b", ["at"], "v", "s").collect()}[(None, 2)] == 11
+    assert cumulative_counts(df, "v", ["g"], 32).count() == 3
+    assert sorted(r["group_size"] for r in with_group_size(df, "g").collect()) == [2, 2, 2, 2]
+    same = drift(df, df, ["g"]).collect()
+    assert {r["value"]: (r["full_count"], r["subset_count"]) for r in same} == {None: (2, 2), "a": (2, 2)}
+
+
+def test_runs_across_buckets_equal_a_plain_loop(spark):
+    import random
+
+    from tierlens.operators.sequence import run_length
+
+    rng = random.Random(3)
+    rows = [(None if k % 3 == 0 else f"g{k % 3}", k, k // 7, rng.choice("ab-")) for k in range(200)]
+    got = run_length(spark.createDataFrame(rows, "g string, at int, b int, v string"), ["g"], "b", ["at"], "v", "-").collect()
+    want = []
+    for g in {r[0] for r in rows}:
+        run, inked, last = 0, 0, None
+        for place, (_, _, _, v) in enumerate(r for r in rows if r[0] == g):
+            if v != last:
+                run, last = run + 1, v
+                want.append([g, run, v, place, place + 1, inked if v != "-" else None])
+                inked += v != "-"
+            want[-1][4] = place + 1
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(([r["g"], r["run"], r["v"], r["start_frame"], r["end_frame"], r["character_index"]] for r in got), key=key) == sorted(want, key=key)
+
+
+def test_alike_boxes_stay_apart(spark):
+    from tierlens.operators.compare import box_overlaps
+
+    boxes = spark.createDataFrame([("p", 0, 0, 5, 5), ("p", 0, 0, 5, 5), (None, 0, 0, 5, 5)], "page string, x0 int, y0 int, x1 int, y1 int")
+    assert sorted(r["hit"] for r in box_overlaps(boxes.limit(1), boxes, ["page"]).collect()) == [False, True, True]
+
+
+def test_readings_of_a_long_page(spark):
+    from tierlens.operators.alignment import page_totals, summed_readings
+
+    for rows, exact in ((33, True), (40, False), (200, False)):
+        found = spark.createDataFrame([("p", r, "ACCEPT", 1, f"t{k}") for r in range(rows) for k in range(3)], "page string, row int, outcome string, row_total int, reading string")
+        counts = spark.createDataFrame([("p", rows)], "page string, rows long")
+        got = page_totals(found, counts, "page", "row").groupBy("page").agg(*summed_readings()).first()
+        assert got["readings"] == (3**rows if exact else 2**63 - 1) and got["readings_exact"] == exact and not got["single"]
+
+
+def test_blank_tiers_are_reviewed_and_other_tiers_too(spark):
+    from tierlens.operators.policy import row_violation
+
+    rows = spark.createDataFrame([(1, "\t", "1", None, False), (2, None, "1", None, True)], "row int, upper string, count string, lower string, more boolean")
+    got = {r["row"]: (r["v"]["outcome"], r["v"]["code"]) for r in rows.select("row", row_violation(F.col("row"), F.col("more")).alias("v")).collect()}
+    assert got[1] == ("REVIEW_UNCERTAIN", "EMPTY_DECODED_TIER") and got[2] == ("REVIEW_UNCERTAIN", "UNSUPPORTED_TIER_LAYOUT")

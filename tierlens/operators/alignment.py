@@ -97,14 +97,35 @@ def analyse_rows(found: DataFrame, page: str, row: str) -> DataFrame:
 def page_totals(found: DataFrame, row_count: DataFrame, page: str, row: str, distinct_readings: bool = False) -> DataFrame:
     """Row totals every row of a page can reach, with the number of page readings for each.
 
-    The number of readings is the product over rows of the readings per row
-    (a double, exact up to 2**53).
+    The number of readings is the product over rows of the readings per row:
+    decimal(38), null beyond.  `single` says that every row has one reading.
     """
     passing = found.where(F.col("outcome") == "ACCEPT")
     ways = F.countDistinct("reading") if distinct_readings else F.count(F.lit(1))
     per_row = passing.groupBy(page, "row_total", row).agg(ways.alias("_w"))
-    per_total = per_row.groupBy(page, "row_total").agg(F.count(F.lit(1)).alias("_rows"), F.product("_w").alias("readings"))
-    return per_total.join(row_count, page).where(F.col("_rows") == F.col("rows")).select(page, "row_total", "readings")
+    exact = "decimal(38,0)"
+    per_total = per_row.groupBy(page, "row_total").agg(
+        F.count(F.lit(1)).alias("_rows"), F.collect_list(F.col("_w").cast(exact)).alias("_ways"), (F.max("_w") == 1).alias("single")
+    )
+    product = F.aggregate("_ways", F.lit(1).cast(exact), lambda n, w: F.try_multiply(n, w).cast(exact))
+    return per_total.join(row_count, page).where(F.col("_rows") == F.col("rows")).select(page, "row_total", product.alias("readings"), "single")
+
+
+LARGEST = (1 << 63) - 1
+
+
+def summed_readings() -> list[Column]:
+    """Aggregates of page totals: their number, their readings as a long and whether that long is exact.
+
+    Readings beyond a long (or beyond decimal(38)) stop at the largest long
+    with `readings_exact` false, so "one" and "more than one" stay right.
+    """
+    total = F.when(F.count("readings") == F.count(F.lit(1)), F.try_sum("readings"))
+    fits = F.coalesce(total <= F.lit(LARGEST).cast("decimal(38,0)"), F.lit(False))
+    return [
+        F.count(F.lit(1)).alias("common_totals"), F.when(fits, total.cast("long")).otherwise(F.lit(LARGEST)).alias("readings"),
+        fits.alias("readings_exact"), F.bool_and("single").alias("single"),
+    ]
 
 
 def combine_pages(found: DataFrame, page: str, row: str, distinct_readings: bool = False) -> DataFrame:
@@ -115,12 +136,11 @@ def combine_pages(found: DataFrame, page: str, row: str, distinct_readings: bool
         F.bool_or("contradiction").alias("row_contradiction"), F.bool_or(F.col("uncertain") > 0).alias("uncertain"),
         F.bool_or(F.col("passing") > 1).alias("multiple_candidates"), F.bool_or(F.col("status") == "unsupported").alias("unsupported"),
     )
-    totals = page_totals(found, per_page.select(page, "rows"), page, row, distinct_readings).groupBy(page).agg(
-        F.count(F.lit(1)).alias("common_totals"), F.sum("readings").alias("readings")
-    )
-    joined = per_page.join(totals, page, "left").withColumn("common_totals", F.coalesce("common_totals", F.lit(0))).withColumn(
-        "readings", F.coalesce(F.col("readings").cast("long"), F.lit(0).cast("long"))
-    )
+    totals = page_totals(found, per_page.select(page, "rows"), page, row, distinct_readings).groupBy(page).agg(*summed_readings())
+    joined = per_page.join(totals, page, "left").withColumns({
+        "common_totals": F.coalesce("common_totals", F.lit(0)), "readings": F.coalesce("readings", F.lit(0).cast("long")),
+        "readings_exact": F.coalesce("readings_exact", F.lit(True)), "single": F.coalesce("single", F.lit(False)),
+    })
     contradiction = F.col("row_contradiction") | (F.col("exhaustive") & (F.col("common_totals") == 0))
     status = (
         F.when(F.col("common_totals") > 0, "consistent_candidate_found").when(contradiction, "text_contradiction_complete_model")
@@ -128,8 +148,8 @@ def combine_pages(found: DataFrame, page: str, row: str, distinct_readings: bool
     )
     return joined.select(
         "*", contradiction.alias("contradiction"), status.alias("status"),
-        ((F.col("readings") == 1) & F.col("exhaustive")).alias("unique_page"),
-    )
+        ((F.col("common_totals") == 1) & F.col("single") & F.col("exhaustive")).alias("unique_page"),
+    ).drop("single")
 
 
 def review_policy(decisions: DataFrame, analysis: DataFrame, page: str) -> DataFrame:
@@ -188,9 +208,10 @@ def match_offsets(found: DataFrame, measured: DataFrame, page: str, row: str, to
 def distinct_readings(found: DataFrame, row_count: DataFrame, page: str, row: str) -> DataFrame:
     """Distinct page readings and the single selected total where there is exactly one."""
     totals = page_totals(found, row_count, page, row, distinct_readings=True)
-    return totals.groupBy(page).agg(
-        F.sum("readings").cast("long").alias("readings"), F.count(F.lit(1)).alias("common_totals"), F.max("row_total").alias("_t")
-    ).select(page, "readings", "common_totals", F.when(F.col("readings") == 1, F.col("_t")).alias("selected_total"))
+    one = (F.col("common_totals") == 1) & F.col("single")
+    return totals.groupBy(page).agg(*summed_readings(), F.max("row_total").alias("_t")).select(
+        page, "readings", "readings_exact", "common_totals", F.when(one, F.col("_t")).alias("selected_total")
+    )
 
 
 def measured_policy(decisions: DataFrame, found: DataFrame, measured: DataFrame, page: str, row: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tierlens.functions import labels as L
 from tierlens.functions.notation import ROLES
+from tierlens.session import join_null_safe
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -112,7 +113,7 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 def with_group_size(df: DataFrame, key: str, out: str = "group_size") -> DataFrame:
     """Size of the identical-content group of every record (counts joined back, no list of members)."""
-    return df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias(out)), key)
+    return join_null_safe(df, df.groupBy(key).agg(F.count(F.lit(1)).alias(out)), [key])
 
 
 def matched_controls(records: DataFrame, record_id: str, control_id: str, same: Sequence[str], control_hash: str, own_hash: str, is_control: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tierlens.functions.labels import named_issues, ratio
 from tierlens.operators.metrics import recognition_metrics
 from tierlens.operators.ranking import exact_quantiles, rank_within
+from tierlens.session import join_null_safe
 
 
 def paired(a: DataFrame, b: DataFrame, key: str, same: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -200,7 +201,7 @@ def fold_sizes(df: DataFrame, group: str) -> DataFrame:
 def box_overlaps(regions: DataFrame, boxes: DataFrame, key: Sequence[str], cell: int = 64) -> DataFrame:
     """Boxes with a flag whether any region of the same page overlaps them.
 
-    Both sides are laid on a grid and joined per grid cell, so a crowded page
+    Every box is a row of its own, also where two are alike.  Both sides are laid on a grid and joined per grid cell, so a crowded page
     is split over its cells and only neighbours are compared.
     """
     c = F.col
@@ -210,5 +211,5 @@ def box_overlaps(regions: DataFrame, boxes: DataFrame, key: Sequence[str], cell:
     r = grid(regions.select(*key, *sides).distinct()).select(*key, "_cx", "_cy", *[c(s).alias(f"_{s}") for s in sides])
     # written as four comparisons: greatest and least would skip the nulls of a box without neighbours
     hit = (c("x0") < c("_x1")) & (c("_x0") < c("x1")) & (c("y0") < c("_y1")) & (c("_y0") < c("y1"))
-    joined = grid(boxes).join(r, [*key, "_cx", "_cy"], "left")
-    return joined.groupBy(*boxes.columns).agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"))
+    joined = join_null_safe(grid(boxes.withColumn("_box", F.monotonically_increasing_id())), r, [*key, "_cx", "_cy"], "left")
+    return joined.groupBy("_box", *boxes.columns).agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit")).drop("_box")

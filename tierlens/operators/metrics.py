@@ -14,11 +14,13 @@ OUTCOMES = ("ACCEPT", "REJECT_INVALID", "REVIEW_UNCERTAIN")
 
 
 def score_pairs(pairs: DataFrame, truth: str = "truth", prediction: str = "prediction", ignore_ws: bool = False) -> DataFrame:
-    """Adds edits, characters and exact per pair; each distinct pair is aligned once."""
-    distinct = pairs.select(truth, prediction).distinct()
-    scored = distinct.withColumn("edits", edit_distance(F.col(truth), F.col(prediction), ignore_ws))
+    """Adds edits, characters and exact per pair, in the projection.
+
+    A reading without text keeps its row: edits and exact are null and it
+    counts as a sample.
+    """
     return (
-        pairs.join(scored, [truth, prediction])
+        pairs.withColumn("edits", edit_distance(F.col(truth), F.col(prediction), ignore_ws))
         .withColumn("characters", F.length(truth))
         .withColumn("exact", F.col(truth) == F.col(prediction))
     )

@@ -26,15 +26,20 @@ def _violation(outcome: str, code: str, row: Column, role: str | None = None, gl
     )
 
 
-def row_violation(row: Column) -> Column:
-    """First failed grammar check of one row, in tier order; null when it passes."""
+def row_violation(row: Column, other_tiers: Column | None = None) -> Column:
+    """First failed grammar check of one row, in tier order; null when it passes.
+
+    `other_tiers` says whether the row has tiers beside the three roles.
+    """
     review, reject = "REVIEW_UNCERTAIN", "REJECT_INVALID"
     checks = [F.when(F.col("count").isNull(), _violation(review, "MISSING_COUNT_TIER", row))]
+    if other_tiers is not None:
+        checks.append(F.when(other_tiers, _violation(review, "UNSUPPORTED_TIER_LAYOUT", row)))
     for role in N.ROLES:
         text = F.col(role)
         bad = N.strip_to(text, " " + N.AMBIGUOUS_SYMBOLS + N.tier_alphabet(role))
         checks += [
-            F.when(text.isNotNull() & (F.trim(text) == ""), _violation(review, "EMPTY_DECODED_TIER", row, role)),
+            F.when(text.isNotNull() & ~text.rlike(r"(?U)\S"), _violation(review, "EMPTY_DECODED_TIER", row, role)),
             F.when(F.contains(text, F.lit(N.AMBIGUOUS_SYMBOLS)), _violation(review, "AMBIGUOUS_NOTATION", row, role)),
             F.when(text.isNotNull() & (bad != ""), _violation(reject, WRONG_GLYPH, row, role, N.illegal_characters(bad, role))),
         ]
@@ -42,9 +47,9 @@ def row_violation(row: Column) -> Column:
     return F.coalesce(*checks)
 
 
-def validate_pages(pages: DataFrame, rows: DataFrame, page: str, row: str) -> DataFrame:
+def validate_pages(pages: DataFrame, rows: DataFrame, page: str, row: str, other_tiers: Column | None = None) -> DataFrame:
     """Observable-grammar outcome per page: the first failing row decides."""
-    marked = rows.withColumn("_v", row_violation(F.col(row)))
+    marked = rows.withColumn("_v", row_violation(F.col(row), other_tiers))
     per_page = marked.groupBy(page).agg(
         F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col(row))).alias("_v"), F.count(F.lit(1)).alias("decoded_rows")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tierlens.functions.labels import ratio
 from tierlens.operators.ranking import exact_quantiles
+from tierlens.session import join_null_safe
 
 PROFILE_QUANTILES = (0.01, 0.05, 0.2, 0.25, 0.4, 0.5, 0.6, 0.75, 0.8, 0.9, 0.95, 0.99)   # fixed values
 
@@ -54,7 +55,7 @@ def drift(full: DataFrame, subset: DataFrame, dimensions: Sequence[str], limit:
         totals = counts.groupBy("dimension").agg(F.sum(name).alias("_t"))
         return counts.join(totals, "dimension").withColumn(f"{name}_percent", F.lit(100.0) * F.col(name) / F.col("_t")).drop("_t")
 
-    joined = shares(full, "full").join(shares(subset, "subset"), ["dimension", "value"], "left").na.fill(0).na.fill(0.0)
+    joined = join_null_safe(shares(full, "full"), shares(subset, "subset"), ["dimension", "value"], "left").na.fill(0).na.fill(0.0)
     gap = F.abs(F.col("full_percent") - F.col("subset_percent"))
     return joined.select(
         "dimension", "value", F.col("full").alias("full_count"), F.col("subset").alias("subset_count"),

@@ -8,11 +8,12 @@ the buckets; a small table of bucket totals carries the offsets across.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tierlens.functions.bind import let
+from tierlens.session import join_null_safe
 
 HASH_PREFIX = 3
 
@@ -30,8 +31,7 @@ def rank_within(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequenc
     offsets = sizes.select(*by, "_rank_bucket", F.coalesce(F.sum("_rank_rows").over(before), F.lit(0)).alias("_rank_before"))
     inside = Window.partitionBy(*by, "_rank_bucket").orderBy(*order)
     return (
-        keyed.withColumn("_rank_inside", F.row_number().over(inside))
-        .join(offsets, [*by, "_rank_bucket"])
+        join_null_safe(keyed.withColumn("_rank_inside", F.row_number().over(inside)), offsets, [*by, "_rank_bucket"])
         .withColumn(out, F.col("_rank_before") + F.col("_rank_inside"))
         .drop("_rank_bucket", "_rank_inside", "_rank_before")
     )
@@ -89,8 +89,7 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (), pieces:
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        keyed.withColumn("_inside", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
-        .join(offsets, [*by, "_bucket"])
+        join_null_safe(keyed.withColumn("_inside", F.coalesce(F.sum("rows").over(inside), F.lit(0))), offsets, [*by, "_bucket"])
         .withColumn("before", F.col("_offset") + F.col("_inside"))
         .drop("_bucket", "_offset", "_inside")
     )
@@ -141,8 +140,7 @@ def previous_row(
     last = df.groupBy(*by, bucket).agg(F.max_by(packed, key).alias("_scan_last"))
     carry = last.select(*by, bucket, F.lag("_scan_last").over(Window.partitionBy(*by).orderBy(bucket)).alias("_scan_carry"))
     return (
-        df.withColumn("_scan_prev", F.lag(packed).over(inside))
-        .join(carry, [*by, bucket])
+        join_null_safe(df.withColumn("_scan_prev", F.lag(packed).over(inside)), carry, [*by, bucket])
         .withColumn(out, F.coalesce("_scan_prev", "_scan_carry"))
         .drop("_scan_prev", "_scan_carry")
     )
@@ -157,13 +155,53 @@ def running_sum(
     totals = df.groupBy(*by, bucket).agg(F.sum(value).alias("_scan_total"))
     offsets = totals.select(*by, bucket, F.coalesce(F.sum("_scan_total").over(earlier), F.lit(0)).alias("_scan_offset"))
     return (
-        df.withColumn("_scan_inside", F.sum(value).over(inside))
-        .join(offsets, [*by, bucket])
+        join_null_safe(df.withColumn("_scan_inside", F.sum(value).over(inside)), offsets, [*by, bucket])
         .withColumn(out, F.col("_scan_inside") + F.col("_scan_offset"))
         .drop("_scan_inside", "_scan_offset")
     )
 
 
+def numbered_runs(
+    df: DataFrame, by: Sequence[str], bucket: str, order: Sequence[str], columns: Sequence[str],
+    opens: Callable[[Column, Column], Column], counts: Column | None = None,
+) -> DataFrame:
+    """Adds `place` and `run` (both from 1) of every row of its group, and `counted`, the runs up to its own for which `counts` holds.
+
+    `opens(previous, row)` says whether a row starts a run, given structs of
+    `columns`; null starts one.  One exchange by group and bucket carries
+    the rows: lag, row number and running counts are windows over it, and one
+    boundary row per bucket, taken from the same exchange, carries places and
+    runs across buckets.
+    """
+    counts = F.lit(True) if counts is None else counts
+    inside = Window.partitionBy(*by, bucket).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    opened = lambda before, now: F.when(before.isNull(), 1).otherwise(F.coalesce(opens(before, now).cast("int"), F.lit(1)))
+    marked = (
+        df.withColumn("_now", F.struct(*columns)).withColumn("_counts", F.coalesce(counts, F.lit(False)).cast("int"))
+        .withColumn("_before", F.lag("_now").over(inside)).withColumn("_at", F.row_number().over(inside))
+        .withColumn("_open", F.when(F.col("_at") == 1, 0).otherwise(opened(F.col("_before"), F.col("_now"))))
+        .withColumn("_runs", F.sum("_open").over(upto)).withColumn("_counted", F.sum(F.col("_open") * F.col("_counts")).over(upto))
+    )
+    edges = marked.groupBy(*by, bucket).agg(
+        F.max("_at").alias("_rows"), F.max("_runs").alias("_inner"), F.max("_counted").alias("_inner_counted"),
+        F.min_by("_now", "_at").alias("_first"), F.max_by("_now", "_at").alias("_last"), F.min_by("_counts", "_at").alias("_first_counts"),
+    )
+    line = Window.partitionBy(*by).orderBy(bucket)
+    earlier = line.rowsBetween(Window.unboundedPreceding, -1)
+    headed = edges.withColumn("_end", F.lag("_last").over(line)).withColumn("_head", opened(F.col("_end"), F.col("_first")))
+    head_counted = F.col("_head") * F.col("_first_counts")
+    sum_before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    offsets = headed.select(
+        *by, bucket, sum_before(F.col("_rows")).alias("_place0"), (sum_before(F.col("_head") + F.col("_inner")) + F.col("_head")).alias("_run0"),
+        (sum_before(head_counted + F.col("_inner_counted")) + head_counted).alias("_counted0"),
+    )
+    return join_null_safe(marked, offsets, [*by, bucket]).select(
+        *[F.col(c) for c in df.columns], (F.col("_place0") + F.col("_at")).alias("place"), (F.col("_run0") + F.col("_runs")).alias("run"),
+        (F.col("_counted0") + F.col("_counted")).alias("counted"),
+    )
+
+
 def top_examples(df: DataFrame, by: Sequence[str], k: int, order: Sequence[Column]) -> DataFrame:
     """At most k rows per group in a total order (the rank limit runs before the shuffle)."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tierlens.functions.hashing import hash_rank, tagged_hash
 from tierlens.operators.ranking import hash_bucket, rank_within
-from tierlens.session import materialize, small
+from tierlens.session import join_null_safe, materialize
 
 SPLIT_NAMES = ("protected_test", "validation_calibration", "development_design")
 
@@ -44,7 +44,7 @@ def bucket_of(value: Column, cuts: Column) -> Column:
 
 def quantile_buckets(df: DataFrame, value: str, buckets: int, prefix: str, by: Sequence[str] = ()) -> DataFrame:
     cuts = quantile_cuts(df, value, buckets, by).withColumnRenamed("cuts", "_cuts")
-    joined = df.join(small(cuts), list(by)) if by else df.withColumn("_cuts", cuts.select("_cuts").scalar())
+    joined = join_null_safe(df, cuts, list(by)) if by else df.withColumn("_cuts", cuts.select("_cuts").scalar())
     name = F.concat(F.lit(prefix + "_q"), bucket_of(F.col(value), F.col("_cuts")).cast("string"))
     return joined.withColumn(f"{prefix}_bucket", name).drop("_cuts")
 
@@ -112,7 +112,7 @@ def stratified_sample(
     least so far.  That order is sequential over strata: one job per stratum,
     over the rows of its last pass only.
     """
-    quota = small(allocation.select(split, stratum, "allocation"))
+    quota = allocation.select(split, stratum, "allocation")
     drawn = tier_passes(df, split, stratum, parent, row_id, seed).join(quota, [split, stratum])
     drawn = materialize(drawn.where(F.col("pass") <= F.col("allocation")), "passes")
     sizes = drawn.groupBy(split, stratum, "pass", "allocation").agg(F.count(F.lit(1)).alias("_n"))
@@ -126,7 +126,7 @@ def stratified_sample(
         .when(F.col("_before") < F.col("allocation"), "part")
     )
     sizes = sizes.withColumn("_state", state).where("_state is not null").select(split, stratum, "pass", "_before", "_parents", "_state")
-    placed = drawn.join(small(sizes), [split, stratum, "pass"])
+    placed = join_null_safe(drawn, sizes, [split, stratum, "pass"])
     whole, part = placed.where("_state = 'whole'"), placed.where("_state = 'part'")
     if exact:
         chosen = _least_used_first(whole, part, sizes, allocation, split, stratum, parent)

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tierlens.operators.ranking import previous_row, rank_within, running_sum
+from tierlens.operators.ranking import numbered_runs, previous_row, running_sum
+from tierlens.session import join_null_safe
 
 
 def run_length(
@@ -17,24 +18,19 @@ def run_length(
     Places are 0-based and the end is exclusive; `character_index` counts the
     non-blank runs before this one.
     """
-    seen = previous_row(df, by, bucket, order, [value])
-    starts = seen.withColumn("_start", F.coalesce((F.col(f"prev.{value}") != F.col(value)).cast("int"), F.lit(1))).drop("prev")
-    numbered = running_sum(starts, by, bucket, order, "_start", "run")
-    placed = rank_within(numbered, by, F.col(bucket), [F.col(c) for c in order], "_place")
+    inked = F.lit(True) if blank is None else F.col(value) != blank
+    placed = numbered_runs(df, by, bucket, order, [value], lambda before, now: before[value] != now[value], inked)
     runs = placed.groupBy(*by, "run", value).agg(
-        (F.min("_place") - 1).alias("start_frame"), F.max("_place").alias("end_frame"),
-        F.count(F.lit(1)).alias("frames"), F.min(bucket).alias("_b"),
+        (F.min("place") - 1).alias("start_frame"), F.max("place").alias("end_frame"),
+        F.count(F.lit(1)).alias("frames"), (F.max("counted") - 1).alias("_k"),
     )
-    inked = runs.withColumn("_ink", F.lit(1) if blank is None else (F.col(value) != blank).cast("int"))
-    counted = running_sum(inked, by, "_b", ["run"], "_ink", "_k")
-    return counted.withColumn("character_index", F.when(F.col("_ink") == 1, F.col("_k") - 1)).drop("_ink", "_k", "_b")
+    return runs.withColumn("character_index", F.col("_k") if blank is None else F.when(F.col(value) != blank, F.col("_k"))).drop("_k")
 
 
 def merge_runs(runs: DataFrame, by: Sequence[str], bucket: str, start: str, end: str, gap: int) -> DataFrame:
     """Joins neighbouring runs whose distance is at most `gap`."""
-    seen = previous_row(runs, by, bucket, [start], [end])
-    opened = seen.withColumn("_new", F.coalesce((F.col(start) - F.col(f"prev.{end}") > gap).cast("int"), F.lit(1))).drop("prev")
-    numbered = running_sum(opened, by, bucket, [start], "_new", "merged_run")
+    opens = lambda before, now: now[start] - before[end] > gap
+    numbered = numbered_runs(runs, by, bucket, [start], [start, end], opens).withColumnRenamed("run", "merged_run")
     return numbered.groupBy(*by, "merged_run").agg(
         F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("parts")
     )
@@ -55,8 +51,7 @@ def reduce_runs(runs: DataFrame, by: Sequence[str], bucket: str, start: str, end
     )
     enough = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select(*by)
     marked = (
-        runs.join(enough, list(by), "left_semi")
-        .join(kept.withColumnRenamed("_s", start), [*by, start], "left")
+        join_null_safe(join_null_safe(runs, enough, by), kept.withColumnRenamed("_s", start), [*by, start], "left")
         .withColumn("_keep", F.coalesce("_keep", F.lit(0)))
     )
     numbered = running_sum(marked, by, bucket, [start], "_keep", "_k")

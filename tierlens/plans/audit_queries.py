@@ -185,14 +185,14 @@ def j14b(spark, sf):
 
 @query("j15_box_overlap", """
 WITH b AS (SELECT l_orderkey AS page, l_linenumber, l_partkey, l_suppkey % 97 AS x0, l_suppkey % 97 + l_quantity AS x1, l_linenumber * 10 AS y0, l_linenumber * 10 + 8 AS y1, l_returnflag AS f FROM lineitem),
-r AS (SELECT * FROM b WHERE f = 'R'), t AS (SELECT DISTINCT page, l_linenumber, l_partkey, x0, x1, y0, y1 FROM b WHERE f <> 'R')
-SELECT t.page, t.l_linenumber, t.l_partkey, t.x0, t.x1, coalesce(bool_or(r.page IS NOT NULL AND greatest(t.x0, r.x0) < least(t.x1, r.x1) AND greatest(t.y0, r.y0) < least(t.y1, r.y1)), false) AS hit
-FROM t LEFT JOIN r ON t.page = r.page GROUP BY ALL""")
+r AS (SELECT * FROM b WHERE f = 'R'), t AS (SELECT row_number() OVER () AS box, page, l_linenumber, l_partkey, x0, x1, y0, y1 FROM b WHERE f <> 'R')
+SELECT page, l_linenumber, l_partkey, x0, x1, hit FROM (SELECT t.box, t.page, t.l_linenumber, t.l_partkey, t.x0, t.x1, coalesce(bool_or(r.page IS NOT NULL AND greatest(t.x0, r.x0) < least(t.x1, r.x1) AND greatest(t.y0, r.y0) < least(t.y1, r.y1)), false) AS hit
+FROM t LEFT JOIN r ON t.page = r.page GROUP BY ALL)""")
 def j15(spark, sf):
     li = B.table(spark, sf, "lineitem")
     x0, y0 = F.col("l_suppkey") % 97, F.col("l_linenumber") * 10
     b = li.select(F.col("l_orderkey").alias("page"), "l_linenumber", "l_partkey", x0.alias("x0"), (x0 + F.col("l_quantity")).alias("x1"), y0.alias("y0"), (y0 + 8).alias("y1"), "l_returnflag")
-    hit = P.box_overlaps(b.where("l_returnflag = 'R'"), b.where("l_returnflag <> 'R'").drop("l_returnflag").distinct(), ["page"])
+    hit = P.box_overlaps(b.where("l_returnflag = 'R'"), b.where("l_returnflag <> 'R'").drop("l_returnflag"), ["page"])
     return hit.select("page", "l_linenumber", "l_partkey", "x0", "x1", "hit")
 
 

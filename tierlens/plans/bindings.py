@@ -221,19 +221,16 @@ def outcomes(spark: SparkSession, sf: str, candidate: str = "R1") -> DataFrame:
     prediction = F.col("raw_prediction") if candidate == "R0" else F.col("prediction")
     wrong_tier = F.col("raw_prediction").rlike("[01]") & ~F.col("truth").rlike("[01]")
     img = images(spark, sf)
-    distinct = img.select("truth", "raw_prediction", "prediction").distinct().select(
-        "*", F.levenshtein("truth", "raw_prediction").alias("raw_edits"), F.levenshtein("truth", prediction).alias("_edits")
-    )
     outcome = (
         F.when(F.col("price") < review, "REVIEW_UNCERTAIN").when(invalid & (F.col("price") > reject), "REJECT_INVALID").otherwise("ACCEPT")
     )
     reasons = L.named_issues(
         [("DECODED_UNSUPPORTED_OR_WRONG_TIER_GLYPH", wrong_tier), ("LOW_CONFIDENCE", F.col("price") < review), ("NO_SAFE_PROPOSAL", ~F.col("segmentation_accepted"))]
     )
-    return img.join(distinct, ["truth", "raw_prediction", "prediction"]).select(
+    return img.select(
         *[c for c in img.columns if c != "prediction"], prediction.alias("prediction"), F.lit(candidate).alias("candidate"),
         outcome.alias("outcome"), F.when(invalid, "REJECT_INVALID").otherwise("ACCEPT").alias("expected_outcome"),
-        F.when(~invalid, F.col("raw_edits")).alias("raw_edits"), F.when(~invalid, F.col("_edits")).alias("edits"),
+        F.when(~invalid, F.levenshtein("truth", "raw_prediction")).alias("raw_edits"), F.when(~invalid, F.levenshtein("truth", prediction)).alias("edits"),
         F.length("truth").alias("characters"), (F.col("truth") == F.col("raw_prediction")).alias("raw_exact"),
         (F.col("truth") == prediction).alias("exact"), reasons.alias("reason_codes"),
         F.when(prediction != F.col("raw_prediction"), 1).otherwise(0).alias("corrections"),

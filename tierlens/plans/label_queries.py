@@ -12,7 +12,7 @@ from tierlens.operators.profile import character_counts
 from tierlens.operators.sequence import run_length
 from tierlens.plans import bindings as B
 from tierlens.plans.registry import query, with_ctes
-from tierlens.session import materialize, scratch
+from tierlens.session import join_null_safe, materialize, scratch
 from tierlens.sources import journal as J, manifest as M, samples as S
 
 
@@ -220,7 +220,7 @@ def p09(spark, sf):
 def pad_targets(df: DataFrame, batch: str, ids: str) -> DataFrame:
     """Right-pads id arrays with 0 to the longest of their batch; widths come from one small aggregate."""
     widths = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_w"))
-    return df.join(widths, batch).withColumn("target_length", F.size(ids)).withColumn(
+    return join_null_safe(df, widths, [batch]).withColumn("target_length", F.size(ids)).withColumn(
         "padded", F.concat(ids, F.array_repeat(F.lit(0), F.col("_w") - F.size(ids)))
     ).drop("_w")
 

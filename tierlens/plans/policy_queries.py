@@ -260,7 +260,7 @@ def r10b(spark, sf):
 
 @query("r11_page_combination", with_ctes("SELECT page, rows, exhaustive, uncertain, multiple_candidates, unsupported, common_totals, readings, contradiction, status, unique_page FROM combined", *_SEARCH, _ANALYSIS_SQL, _totals_sql("totals", "count(*)"), _combined_sql("combined", "totals")))
 def r11(spark, sf):
-    return X.combine_pages(search(B.decoded(spark, sf)), "page", "row").drop("row_contradiction")
+    return X.combine_pages(search(B.decoded(spark, sf)), "page", "row").drop("row_contradiction", "readings_exact")
 
 
 _REVIEW_SQL = """
@@ -288,7 +288,7 @@ SELECT page, sum(readings)::BIGINT AS readings, count(*) AS common_totals, CASE
 def r13(spark, sf):
     found = search(B.decoded(spark, sf))
     counts = X.analyse_rows(found, "page", "row").groupBy("page").agg(F.count(F.lit(1)).alias("rows"))
-    return X.distinct_readings(found, counts, "page", "row")
+    return X.distinct_readings(found, counts, "page", "row").drop("readings_exact")
 
 
 # measured offsets: the true leading blanks of a tier, disturbed by a rule on the row

@@ -24,6 +24,13 @@ def event_stream(spark, sf) -> DataFrame:
     return raw.withColumn("ts", F.timestamp_micros(B.wall_micros(F.col("ts"))))
 
 
+def closed_stream(spark, sf, folder: str) -> DataFrame:
+    """The event stream with a closing row a day after its last event."""
+    last = B.table(spark, sf, "events").agg(F.max(B.wall_micros(F.col("ts"))).alias("m")).first()["m"]
+    at = F.timestamp_micros(F.lit((last or 0) + 86_400_000_000))
+    return J.with_closing_row(event_stream(spark, sf), "ts", at, f"{folder}/closing")
+
+
 def _journal(spark, sf) -> tuple[str, DataFrame]:
     records = seal_records(event_stream(spark, sf), "event_id", FIELDS, PLAN)
     target = scratch(spark, "journal")
@@ -55,11 +62,12 @@ def t03(spark, sf):
 
 @query("t04_failure_counts", """
 SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start, event_type, count(*) AS events FROM events
-GROUP BY ALL HAVING max(time_bucket(INTERVAL 1 HOUR, ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+GROUP BY ALL""")
 def t04(spark, sf):
-    """Events per hour and kind, emitted once the watermark passes the hour."""
-    counts = J.failure_counts(event_stream(spark, sf), "ts", "event_type", "1 hour", "10 minutes")
-    table = J.drain_to_table(counts, "failures", scratch(spark, "failures"), "append")
+    """Events per hour and kind, emitted once the watermark passes the hour; the last hours are closed too."""
+    folder = scratch(spark, "failures")
+    counts = J.failure_counts(closed_stream(spark, sf, folder), "ts", "event_type", "1 hour", "10 minutes")
+    table = J.drain_to_table(counts, "failures", folder, "append")
     return table.select(F.unix_micros("window_start").alias("window_start"), "event_type", "events")
 
 
@@ -73,11 +81,12 @@ def t04b(spark, sf):
 @query("t05_session_runs", """
 WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM m)
-SELECT user_id, epoch_us(min(ts)) AS run_start, epoch_us(max(ts)) AS run_end, count(*) AS parts FROM s GROUP BY user_id, run HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+SELECT user_id, epoch_us(min(ts)) AS run_start, epoch_us(max(ts)) AS run_end, count(*) AS parts FROM s GROUP BY user_id, run""")
 def t05(spark, sf):
     """Runs of a user's events with gaps of at most two hours, as session windows."""
-    runs = J.session_runs(event_stream(spark, sf), "ts", "user_id", "2 hours", "1 hour")
-    table = J.drain_to_table(runs, "sessions", scratch(spark, "sessions"), "append")
+    folder = scratch(spark, "sessions")
+    runs = J.session_runs(closed_stream(spark, sf, folder), "ts", "user_id", "2 hours", "1 hour")
+    table = J.drain_to_table(runs, "sessions", folder, "append")
     return table.select("user_id", F.unix_micros("run_start").alias("run_start"), F.unix_micros("run_end").alias("run_end"), "parts")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -32,15 +33,28 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """Shared folder named by the cluster, or None where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as `spark.checkpoint.dir` names it.
+
+    A local session that names none gets a temporary folder, set on the
+    session; a cluster that names none is an error, because executors would
+    write to their own disks.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name in the shared folder of the cluster (a temporary one where none is set)."""
-    base = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="spark-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    """A fresh folder name in the shared folder; what is written there is removed when the session's JVM ends."""
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -55,13 +69,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SMALL_ROWS = 100_000
-
-
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it is counted to be small, else as it is.
-
-    For narrow summary tables joined to a large table on a key with few values,
-    where a shuffle join would send a hot key to one task.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join on columns of both sides in which null matches null; the keys come once, from the left."""
+    renamed = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[F.col(c) for c in right.columns if c not in keys])
+    match = F.lit(True)
+    for k in keys:
+        match = match & left[k].eqNullSafe(renamed[f"_right_{k}"])
+    return left.join(renamed, match, how).drop(*[f"_right_{k}" for k in keys])

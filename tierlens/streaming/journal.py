@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tierlens.sources.journal import journal_issues, plan_hash
@@ -42,10 +41,10 @@ def append_once(records: DataFrame, target: str, key: str, plan: str, run: str)
 def _known(spark: SparkSession, target: str, schema: T.StructType, run: str, batch_id: int) -> DataFrame:
     """Records of all other batches; the folder of this batch may hold a failed attempt."""
     placed = T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
-    try:
-        other = spark.read.schema(placed).parquet(target)
-    except AnalysisException:      # nothing written yet
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):      # nothing written yet
         return spark.createDataFrame([], schema)
+    other = spark.read.schema(placed).parquet(target)
     return other.where((F.col("run") != run) | (F.col("batch") != batch_id)).drop("run", "batch")
 
 
@@ -102,6 +101,18 @@ def session_runs(events: DataFrame, ts: str, key: str, gap: str, watermark: str)
     )
 
 
+def with_closing_row(stream: DataFrame, ts: str, at: Column, folder: str) -> DataFrame:
+    """The stream and one row far enough ahead to close every window of its own rows.
+
+    The row holds nothing but its time; the window it opens stays open and is
+    never emitted.  A drained stream then gives every window it has.
+    """
+    spark = stream.sparkSession
+    empty = [at.cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.range(1).select(*empty).write.mode("overwrite").parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
 def drain_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str) -> DataFrame:
     """Runs a stream over everything available into a Parquet folder and reads it back."""
     out = f"{checkpoint}/{name}_out"
