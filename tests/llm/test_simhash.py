@@ -93,3 +93,64 @@ def test_keep_one_keeps_one_row_of_each_group(spark):
 @pytest.mark.parametrize("run", [simhash.near_copies, simhash.keep_one])
 def test_empty(spark, run):
     assert run(empty(spark)).count() == 0
+
+
+def shingles(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def similar_groups(rows):
+    """Smallest id of each group that chains of Jaccard 0.8 join, by comparing all pairs."""
+    sets, parent = [shingles(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            union = len(sets[a] | sets[b])
+            if union == 0 or len(sets[a] & sets[b]) >= 0.8 * union:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    out = {}
+    for k, r in enumerate(rows):
+        out.setdefault(find(k), []).append(r[0])
+    return list(out.values())
+
+
+def test_keep_one_catches_near_copies_and_leaves_others(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(150)), None, None, None) for k in range(60)]
+    for k in range(120):  # one or two changed words: similarity 0.87 or more
+        words = rows[k % 20][1].split(" ")
+        for _ in range(1 + k % 2):
+            words[rng.randrange(len(words))] = f"new{k}"
+        rows.append((1000 + k, " ".join(words), None, None, None))
+    for k in range(15):  # half the words changed: another document
+        words = [w if j % 2 else f"other{k}x{j}" for j, w in enumerate(rows[k][1].split(" "))]
+        rows.append((2000 + k, " ".join(words), None, None, None))
+    rows += [(3000, rows[3][1].upper(), None, None, None), (3001, "  " + rows[3][1].replace(" ", "\n"), None, None, None)]
+    kept = [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()]
+    groups = similar_groups(rows)
+    assert all(any(i in kept for i in g) for g in groups)  # nothing is lost
+    extra = len(kept) - len(groups)
+    assert extra <= 0.1 * 122 and set(range(60)) <= set(kept) and not {3000, 3001} & set(kept)
+
+
+def test_similarity_is_exact(spark):
+    rng = random.Random(9)
+    base = [f"v{rng.randrange(900)}" for _ in range(104)]
+    rows = [(1, " ".join(base), None, None, None)]
+    for k, places in enumerate(((50,), (20, 80), (20, 50, 80))):
+        words = list(base)
+        for at in places:
+            words[at] = "changed"
+        rows.append((2 + k, " ".join(words), None, None, None))
+    pairs = spark.createDataFrame([("1", str(r[0])) for r in rows[1:]], "a string, b string")
+    table = spark.createDataFrame([(str(r[0]), r[1]) for r in rows], "node string, text string")
+    got = {r["b"] for r in simhash._similar(pairs, lambda asked: table.join(asked, "node"), 5, 0.8).collect()}
+    sets = [shingles(r[1]) for r in rows]
+    assert got == {str(r[0]) for r, s in zip(rows[1:], sets[1:]) if len(s & sets[0]) >= 0.8 * len(s | sets[0])} == {"2", "3"}

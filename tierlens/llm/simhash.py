@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,16 +11,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tierlens.llm.common import free_name, quoted, written
 from tierlens.llm.components import connected_components
-from tierlens.llm.spans import BETWEEN_SPACES, Words, word_pieces
+from tierlens.llm.spans import BETWEEN_SPACES, Words, mixed, word_pieces
 
 #: Differing bits up to which two fingerprints link.  The join below splits this budget over two halves; 3 = 1 + 2.
 RADIUS = 3
+#: Fingerprints per text that look for similar texts: one misses some pairs at the edge, each more finds most of those.
+VIEWS = 2
 SEED = 42
 _ODD = 0x5555555555555555
 
 
-def _fingerprints(piece: Words, width: int) -> np.ndarray:
-    """One unsigned fingerprint per row of the piece."""
+def _shingle_hashes(piece: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of the piece and the place of each row's first one (one more entry)."""
     followed = np.repeat(piece.first[1:], piece.counts) - 1 > np.arange(len(piece.start))
     edge = np.zeros(len(piece.data) + 1, np.int8)
     edge[piece.start] += 1
@@ -43,7 +45,23 @@ def _fingerprints(piece: Words, width: int) -> np.ndarray:
     hashes = np.fromiter(
         (digest(joined[a:b], SEED) for a, b in zip(start[head].tolist(), end[tail].tolist())), np.uint64, len(head)
     )
-    out = np.zeros(len(counts), np.uint64)
+    return hashes, first
+
+
+def _distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with each row's hashes sorted and each kept once."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    return hashes[fresh], np.concatenate([[0], np.cumsum(np.bincount(row[fresh], minlength=len(first) - 1))]).astype(np.int64)
+
+
+def _majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One unsigned fingerprint per row: the bits that are set in over half of its hashes."""
+    shingles = np.diff(first)
+    out = np.zeros(len(shingles), np.uint64)
     full = np.flatnonzero(shingles)
     if len(full):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -53,26 +71,35 @@ def _fingerprints(piece: Words, width: int) -> np.ndarray:
     return out
 
 
-def with_fingerprint(docs: DataFrame, width: int = 3, text: str = "text", out: str = "fp", keep: list[str] | None = None) -> DataFrame:
+def with_fingerprint(
+    docs: DataFrame, width: int = 3, text: str = "text", out: str = "fp", keep: list[str] | None = None, views: int = 0
+) -> DataFrame:
     """Adds the SimHash of each whole text as a long (the bits of an unsigned value); `keep` names the columns to carry along.
 
     Words stand between ASCII white space, A-Z count as a-z, shingles are
     `width` words joined by one space, each hashed by XXH64 (seed 42) as often
-    as it occurs.  A text of fewer words is one shingle; a null text or one
+    as it occurs.  With `views`, `out` is an array of so many fingerprints, each
+    of the distinct shingles with their hashes mixed anew.  A text of fewer words is one shingle; a null text or one
     without words has fingerprint 0.
     """
     kept = keep if keep is not None else list(docs.columns)
     source = docs.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(text)).alias(inner := free_name(docs.select(*map(quoted, kept)), "_whole_text")))
-    schema = source.drop(inner).withColumn(out, F.lit(0).cast("long")).schema
+    schema = source.drop(inner).withColumn(out, F.lit(None).cast("array<long>" if views else "long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(inner)
-            found = [np.zeros(0, np.uint64)]
+            found = [np.zeros((0, max(1, views)), np.uint64)]
             for _, _, piece in word_pieces(batch.column(at), BETWEEN_SPACES):
-                found.append(_fingerprints(piece, width))
-            columns = [c for k, c in enumerate(batch.columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found).view(np.int64))], names=schema.names)
+                hashes, first = _shingle_hashes(piece, width)
+                if views:
+                    hashes, first = _distinct(hashes, first)
+                    found.append(np.stack([_majority(mixed(hashes + np.uint64(k + 1)), first) for k in range(views)], axis=1))
+                else:
+                    found.append(_majority(hashes, first)[:, None])
+            flat = pa.array(np.concatenate(found).ravel().view(np.int64))
+            made = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * views), flat) if views else flat
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != at), made], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -119,8 +146,8 @@ def _halves(u: Column) -> Column:
     )
 
 
-def grid_links(labelled: DataFrame) -> DataFrame:
-    """Links (a, b) between groups of (fp, group) that hold fingerprints at up to three differing bits.
+def grid_pairs(labelled: DataFrame) -> DataFrame:
+    """Pairs (fp, other, group, other_group) of fingerprints in different groups at up to three differing bits, from (fp, group).
 
     A grid range-join: the bit-count vectors of two linked fingerprints lie
     within Manhattan distance 3, so in one half of the segments within 1.
@@ -154,7 +181,12 @@ def grid_links(labelled: DataFrame) -> DataFrame:
         & (F.col("l.group") != F.col("s.other_group"))
         & _within(embedding(F.col("l.fp")), embedding(F.col("s.other"))) & _within(F.col("l.fp"), F.col("s.other")),
     )
-    return met.select(F.least("l.group", "s.other_group").alias("a"), F.greatest("l.group", "s.other_group").alias("b")).distinct()
+    return met.select("l.fp", "s.other", "l.group", "s.other_group")
+
+
+def grid_links(labelled: DataFrame) -> DataFrame:
+    """Links (a, b) between groups that hold fingerprints at up to three differing bits."""
+    return grid_pairs(labelled).select(F.least("group", "other_group").alias("a"), F.greatest("group", "other_group").alias("b")).distinct()
 
 
 def near_components(fps: DataFrame) -> DataFrame:
@@ -192,19 +224,91 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """`docs` with one row of each component: that with the smallest doc_id.
+def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) from (node, text): hashes of the distinct shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, piece in word_pieces(batch.column(1), BETWEEN_SPACES):
+                hashes, first = _distinct(*_shingle_hashes(piece, width))
+                sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), sets], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, "node string, shingles array<long>")
+
+
+def _similar(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have at least this Jaccard similarity; only their texts are looked at."""
+    pairs = written(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidate-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(_shingle_sets(texts(asked), width), "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+    common = F.size(F.array_intersect("x", "y"))
+    total = F.size("x") + F.size("y") - common
+    return both.where((total == 0) | (common >= F.lit(similarity) * total)).select("a", "b")
+
+
+def similar_components(
+    nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int = 5, similarity: float = 0.8, views: int = VIEWS
+) -> DataFrame:
+    """(node, root) of near copies among distinct texts (node, fps); `texts` gives (node, text) for a table of nodes.
 
-    Rows without an id come after those with one; rows alike in doc_id are
-    told apart by a hash of all columns, repeated rows by their place.
+    Candidates are texts with one fingerprint and those that close_links and
+    the grid join find, for each view; a link counts only if the sets of
+    `width`-word shingles have a Jaccard similarity of `similarity` or more.
+    What earlier links join isn't compared again in the grid.
+    """
+    heads = [
+        written(nodes.select(F.col("fps")[k].alias("fp"), "node").groupBy("fp").agg(F.min("node").alias("head")), "fingerprint-heads") for k in range(views)
+    ]
+    left = [h.select("fp", F.col("head").alias("a")) for h in heads]
+    right = [h.select(F.col("fp").alias("near"), F.col("head").alias("b")) for h in heads]
+    candidates = None
+    for k in range(views):
+        same = nodes.select(F.col("fps")[k].alias("fp"), F.col("node").alias("a")).join(heads[k], "fp").select("a", F.col("head").alias("b"))
+        near = close_links(heads[k].select("fp")).join(left[k], "fp").join(right[k], "near").select("a", "b")
+        found = same.unionByName(near)
+        candidates = found if candidates is None else candidates.unionByName(found)
+    links = written(_similar(candidates, texts, width, similarity), "similar-links")
+    first = written(connected_components(links), "similar-groups")
+    met = None
+    for k in range(views):
+        labelled = heads[k].join(first.withColumnRenamed("node", "head"), "head", "left").select("fp", F.coalesce("root", "head").alias("group"))
+        pairs = grid_pairs(written(labelled, "groups")).select("fp", F.col("other").alias("near")).join(left[k], "fp").join(right[k], "near").select("a", "b")
+        met = pairs if met is None else met.unionByName(pairs)
+    more = _similar(met, texts, width, similarity)
+    return connected_components(links.unionByName(more))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` with one row of each group of near copies: that with the smallest doc_id.
+
+    Near copies are texts whose sets of `width`-word shingles have a Jaccard
+    similarity of `similarity` or more, or that a chain of such texts joins.
+    Candidates are links of up to three bits between fingerprints of the
+    distinct words, which change less with a changed word than those of longer
+    shingles.  Equal texts, null counting as empty, are one group.  Rows
+    without an id come after those with one; rows alike in doc_id are told
+    apart by a hash of all columns, repeated rows by their place.
     """
     fp, row = free_name(docs, "fp"), free_name(docs, "row_place")
     columns = [F.col(quoted(c)) for c in docs.columns]
-    placed = written(with_fingerprint(docs, width, out=fp).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    placed = written(with_fingerprint(docs, 1, out=fp, views=VIEWS).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
     hashed = F.xxhash64(*[c.cast("string") for c in columns])
+    text = F.coalesce("text", F.lit(""))
     narrow = placed.select(
-        F.col(fp).alias("fp"), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), hashed.alias("row_hash"), F.col(row).alias("place")).alias("rank")
+        F.md5(text.cast("binary")).alias("node"), F.col(fp).alias("fps"),
+        F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), hashed.alias("row_hash"), F.col(row).alias("place")).alias("rank"),
     )
-    firsts = written(narrow.groupBy("fp").agg(F.min("rank").alias("rank")), "distinct-fingerprints")
-    chosen = firsts.join(near_components(firsts.select("fp")), "fp").groupBy("root").agg(F.min("rank").alias("rank"))
+    firsts = written(narrow.groupBy("node").agg(F.min("rank").alias("rank"), F.first("fps").alias("fps")), "distinct-texts")
+
+    def texts(asked: DataFrame) -> DataFrame:
+        """Whole texts of some nodes, from the rows that stand for them."""
+        places = firsts.join(asked, "node").select("node", F.col("rank.place").alias(row))
+        return placed.select(row, text.alias("text")).join(places, row).select("node", "text")
+
+    groups = similar_components(firsts.select("node", "fps"), texts, width, similarity)
+    chosen = firsts.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank"))
     return placed.join(chosen.select(F.col("rank.place").alias(row)), row, "left_semi").select(*columns)
