@@ -1,12 +1,13 @@
 """Ranking, sampling, sequences, metrics and policies on small tables."""
 
+import collections
 import random
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tierlens.functions.hashing import tagged_hash
+from tierlens.functions.hashing import hash_rank, tagged_hash
 from tierlens.operators import compare as P, metrics as M, policy as Y, profile as R, ranking as K, sampling as W, sequence as Q
 from tierlens.operators.alignment import analyse_rows, candidates
 
@@ -85,10 +86,38 @@ def test_sample_maximises_parents(spark):
 def test_repair_adds_only_what_is_missing(spark):
     rows = [("s", "x", "p0", "r0", "A"), ("s", "x", "p1", "r1", "XXX"), ("s", "x", "p0", "r2", "XXX"), ("s", "x", "p2", "r3", "X")]
     df = spark.createDataFrame(rows, "split string, st string, parent string, id string, label string")
-    fixed, added = W.repair_coverage(df, df.where("id = 'r0'"), "AX", 3, "split", "st", "parent", "id", "label", 1)
-    assert [a["id"] for a in added] == ["r1"] and fixed.count() == 2        # a new parent with the whole gain
-    again, more = W.repair_coverage(df, fixed, "AX", 3, "split", "st", "parent", "id", "label", 1)
-    assert more == [] and again.count() == 2
+    fixed = W.repair_coverage(df, df.where("id = 'r0'"), "AX", 3, "split", "parent", "id", "label", 1)
+    assert sorted(r["id"] for r in fixed.collect()) == ["r0", "r1"]        # a new parent with the whole gain
+    assert W.repair_coverage(df, fixed, "AX", 3, "split", "parent", "id", "label", 1).count() == 2
+
+
+def test_repair_reaches_every_character_as_a_plain_run_does(spark):
+    rng = random.Random(8)
+    weights = [30, 20, 10, 5, 2, 1]
+    rows = [("ab"[k % 2] if k % 11 else None, f"p{rng.randrange(40)}", f"r{k}", "".join(rng.choices("uvwxyz", weights, k=rng.randrange(1, 6)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "split string, parent string, id string, label string")
+    start = [r for r in rows if rng.random() < 0.05]
+    done = W.repair_coverage(df, spark.createDataFrame(start, df.schema), "uvwxyz", 9, "split", "parent", "id", "label", 5).collect()
+    picked = {r["id"]: r for r in map(lambda x: dict(zip(("split", "parent", "id", "label"), x)), start)}
+    total = collections.Counter(c for r in rows for c in r[3])
+    hashes = {r["id"]: r["h"] for r in df.select("id", hash_rank(5, F.col("split"), "repair", F.col("id")).alias("h")).collect()}
+    for char in sorted("uvwxyz", key=lambda c: (total[c], c)):
+        for split in ("a", "b", None):
+            mine = [r for r in rows if r[0] == split]
+            chosen = [r for r in picked.values() if r["split"] == split]
+            need = min(9, sum(r[3].count(char) for r in mine)) - sum(r["label"].count(char) for r in chosen)
+            parents = {r["parent"] for r in chosen}
+            ranked = sorted((r for r in mine if char in r[3] and r[2] not in picked), key=lambda r: (r[1] in parents, -r[3].count(char), hashes[r[2]] or "", r[2]))
+            for r in ranked:
+                if need <= 0:
+                    break
+                picked[r[2]] = dict(zip(("split", "parent", "id", "label"), r))
+                need -= r[3].count(char)
+    assert sorted(r["id"] for r in done) == sorted(picked)
+    for split in ("a", "b", None):
+        for char in "uvwxyz":
+            have = sum(r["label"].count(char) for r in done if r["split"] == split)
+            assert have >= min(9, sum(r[3].count(char) for r in rows if r[0] == split))
 
 
 def test_group_split_sizes(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tierlens.functions.distance import edit_distance, edit_events
 from tierlens.functions.labels import named_issues, ratio
 from tierlens.operators.ranking import exact_quantiles
+from tierlens.session import join_null_safe
 
 OUTCOMES = ("ACCEPT", "REJECT_INVALID", "REVIEW_UNCERTAIN")
 
@@ -230,7 +231,7 @@ def error_sizes(df: DataFrame, error: str, by: Sequence[str] = ()) -> DataFrame:
     sized = exact_quantiles(df.withColumn("_a", F.abs(error)), "_a", {"median_absolute": 0.5, "p95_absolute": 0.95}, by)
     sized = sized.select(*by, "rows", "median_absolute", "p95_absolute")
     if by:
-        return sized.join(signed, list(by))
+        return join_null_safe(sized, signed, list(by))
     return sized.withColumn("signed_mean", signed.scalar())
 
 

@@ -28,8 +28,11 @@ def histogram(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 def character_counts(df: DataFrame, text: str, by: Sequence[str] = ()) -> DataFrame:
     """Occurrences of every character; counted per row before they are exploded."""
-    chars = df.select(*by, F.explode(F.split(F.col(text), "")).alias("character")).where("character <> ''")
-    return chars.groupBy(*by, "character").agg(F.count(F.lit(1)).alias("occurrences"))
+    whole = F.char_length(text)
+    kinds = F.filter(F.array_distinct(F.split(F.col(text), "")), lambda c: c != "")
+    counted = F.transform(kinds, lambda c: F.struct(c.alias("character"), (whole - F.char_length(F.replace(F.col(text), c, F.lit("")))).alias("n")))
+    chars = df.select(*by, F.inline(counted))
+    return chars.groupBy(*by, "character").agg(F.sum("n").cast("long").alias("occurrences"))
 
 
 def vocabulary_table(df: DataFrame, vocabulary: str) -> DataFrame:
@@ -90,13 +93,15 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest_prototype(vectors: DataFrame, label: str, vector: str, dim: int) -> DataFrame:
+def nearest_prototype(vectors: DataFrame, label: str, vector: str, dim: int, learned: DataFrame | None = None) -> DataFrame:
     """Cosine to the own class, to the best other class, their margin and the winner.
 
+    Prototypes come from `learned` (label, vector), by default from the vectors themselves.
+
     Classes are the fixed symbol set, so all prototypes fit one array that is
     computed once and read by every row.
     """
-    protos = prototypes(vectors, label, vector, dim)
+    protos = prototypes(vectors if learned is None else learned, label, vector, dim)
     packed = protos.select(F.struct(F.col(label).alias("label"), F.col("prototype").alias("v"), F.sqrt(_dot(F.col("prototype"), F.col("prototype"))).alias("norm")).alias("p"))
     table = packed.agg(F.sort_array(F.collect_list("p")).alias("t")).scalar()
     norm = F.sqrt(_dot(F.col(vector), F.col(vector)))
@@ -104,8 +109,9 @@ def nearest_prototype(vectors: DataFrame, label: str, vector: str, dim: int) ->
     scored = vectors.withColumn("_protos", table).withColumn("_norm", norm).withColumn("_scores", scores)
     own = F.get(F.filter("_scores", lambda s: s["label"] == F.col(label)), F.lit(0))["cosine"]
     other = F.array_max(F.transform(F.filter("_scores", lambda s: s["label"] != F.col(label)), lambda s: s["cosine"]))
-    best = F.array_max(F.transform("_scores", lambda s: F.struct(s["cosine"].alias("c"), (-s["label"]).alias("n"))))
+    # the largest cosine, of equal ones the smallest label; labels are only compared
+    best = F.array_min(F.transform("_scores", lambda s: F.struct((-s["cosine"]).alias("c"), s["label"].alias("label"))))
     return scored.select(
         *[c for c in vectors.columns if c != vector], own.alias("matched_cosine"), other.alias("best_other_cosine"),
-        (own - other).alias("margin"), (-best["n"]).alias("nearest_label"), (-best["n"] == F.col(label)).alias("nearest_correct"),
+        (own - other).alias("margin"), best["label"].alias("nearest_label"), (best["label"] == F.col(label)).alias("nearest_correct"),
     )

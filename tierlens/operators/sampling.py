@@ -163,76 +163,51 @@ def _occurrences(label: str, char: str) -> Column:
     return (F.length(label) - F.length(F.replace(F.col(label), F.lit(char), F.lit("")))).cast("int")
 
 
-def _character_totals(df: DataFrame, label: str, vocabulary: str) -> dict[str, int]:
-    found = df.agg(*[F.sum(_occurrences(label, c)).alias(f"c{k}") for k, c in enumerate(vocabulary)]).first()
-    return {c: int(found[k] or 0) for k, c in enumerate(vocabulary)}
+def _character_totals(df: DataFrame, split: str, label: str, vocabulary: str) -> dict[str, dict[str, int]]:
+    """Occurrences of every vocabulary character per split; one row per split comes to the driver."""
+    sums = [F.sum(_occurrences(label, c)).alias(f"c{k}") for k, c in enumerate(vocabulary)]
+    found = df.groupBy(split).agg(*sums).collect()
+    return {r[split]: {c: int(r[f"c{k}"] or 0) for k, c in enumerate(vocabulary)} for r in found}
 
 
 def repair_coverage(
-    rows: DataFrame, selected: DataFrame, vocabulary: str, minimum: int, split: str, stratum: str, parent: str,
-    row_id: str, label: str, seed: int,
-) -> tuple[DataFrame, list[dict]]:
-    """Adds rows until every character has min(minimum, available) occurrences.
-
-    Each step takes the best candidate that holds the rarest missing character:
-    new parent first, then low stratum excess, high gain, rarely used parent,
-    hash.  The choice is sequential by definition; one step is one distributed
-    minimum over the candidates, which carry their counts of the missing
-    characters as an array.  The driver keeps only what is bounded by the
-    vocabulary, the strata and the additions.
+    rows: DataFrame, selected: DataFrame, vocabulary: str, minimum: int, split: str, parent: str, row_id: str, label: str, seed: int,
+) -> DataFrame:
+    """`selected` and the rows of `rows` that bring every character of every split to min(minimum, available) occurrences.
+
+    Set-based, one step per missing character, rarest first: in each split the
+    candidates that hold the character are ranked (parents without a selected
+    row first, then more occurrences, then hash) and the first ones are taken
+    until the deficit is covered.  A deficit is at most `minimum` and each
+    candidate covers one of it, so the rank limit cuts the candidates before
+    they meet.  Later steps start from what earlier ones added.  A rule that
+    weighs every single addition anew can do with fewer rows; the guarantee
+    per character is the same, and the number of jobs is bounded by the
+    vocabulary, not by the additions.
     """
-    full, have = _character_totals(rows, label, vocabulary), _character_totals(selected, label, vocabulary)
-    goal = {c: min(minimum, full[c]) for c in vocabulary}
-    watched = [c for c in vocabulary if have[c] < goal[c]]
-    if not watched:
-        return selected, []
-    sizes = {r[0]: r[1] for r in rows.groupBy(stratum).count().collect()}      # one row per stratum
-    taken = {r[0]: r[1] for r in selected.groupBy(stratum).count().collect()}
-    names, total, chosen = sorted(sizes), sum(sizes.values()), sum(taken.values())
-    used = selected.groupBy(parent).agg(F.count(F.lit(1)).alias("_used"))
-    counts = F.array(*[_occurrences(label, c) for c in watched])
-    candidates = (
-        rows.select(row_id, parent, stratum, split, counts.alias("_n"))
-        .where(F.exists("_n", lambda n: n > 0))
-        .join(selected.select(row_id), row_id, "left_anti").join(used, parent, "left")
-        .select(
-            row_id, parent, "_n", F.coalesce("_used", F.lit(0)).alias("_used"),
-            (F.array_position(F.array(*[F.lit(s) for s in names]), F.col(stratum)) - 1).cast("int").alias("_s"),
-            hash_rank(seed, F.col(split), "repair", F.col(row_id)).alias("_hash"),
-        )
-        .persist()
-    )
-    added: list[dict] = []
-    again: dict = {}
-    while True:
-        lacking = [c for c in watched if have[c] < goal[c]]
+    available = _character_totals(rows, split, label, vocabulary)
+    rarity = sorted(vocabulary, key=lambda c: (sum(t[c] for t in available.values()), c))
+    for character in rarity:
+        have = _character_totals(selected, split, label, character)
+        lacking = {s: min(minimum, t[character]) - have.get(s, {}).get(character, 0) for s, t in available.items()}
+        lacking = {s: n for s, n in lacking.items() if n > 0}
         if not lacking:
-            break
-        char = min(lacking, key=lambda c: (full[c], c))
-        need = F.array(*[F.lit(max(0, goal[c] - have[c])) for c in watched])
-        gain = F.aggregate(F.zip_with("_n", need, lambda n, k: F.least(n, k)), F.lit(0), lambda a, x: a + x)
-        excess = [max(0.0, (taken.get(s, 0) + 1) / (chosen + 1) - sizes[s] / total) for s in names]
-        over = F.get(F.array(*[F.lit(e) for e in excess]), F.col("_s"))
-        uses = F.col("_used")
-        if again:
-            counted = F.create_map(*[F.lit(x) for pair in again.items() for x in pair])
-            uses = uses + F.coalesce(F.try_element_at(counted, F.col(parent)), F.lit(0))
-        open_rows = candidates.where(F.get("_n", F.lit(watched.index(char))) > 0)
-        if added:
-            open_rows = open_rows.where(~F.col(row_id).isin([a[row_id] for a in added]))
-        key = F.struct((uses > 0).alias("new"), over.alias("over"), (-gain).alias("gain"), uses.alias("uses"), F.col("_hash").alias("h"))
-        best = open_rows.agg(F.min_by(F.struct(row_id, parent, "_n", "_s"), key).alias("b")).first()["b"]
-        if best is None:
-            raise AssertionError("characters are missing but no candidate is left")
-        added.append({row_id: best[row_id], "trigger": char})
-        for c, n in zip(watched, best["_n"]):
-            have[c] += n
-        taken[names[best["_s"]]] = taken.get(names[best["_s"]], 0) + 1
-        again[best[parent]] = again.get(best[parent], 0) + 1
-        chosen += 1
-    extra = rows.where(F.col(row_id).isin([a[row_id] for a in added]))
-    candidates.unpersist()
-    return selected.unionByName(extra.select(*selected.columns)), added
+            continue
+        deficit = F.lit(0)
+        for s, n in lacking.items():
+            deficit = F.when(F.col(split).eqNullSafe(F.lit(s)), n).otherwise(deficit)
+        used = selected.select(split, parent, F.lit(True).alias("_used")).distinct()
+        holders = (
+            join_null_safe(rows.withColumn("_n", _occurrences(label, character)).withColumn("_deficit", deficit).where("_n > 0 and _deficit > 0"), used, [split, parent], "left")
+            .join(selected.select(row_id), row_id, "left_anti")
+        )
+        order = [F.coalesce("_used", F.lit(False)), F.desc("_n"), hash_rank(seed, F.col(split), "repair", F.col(row_id)), F.col(row_id)]
+        line = Window.partitionBy(split).orderBy(*order)
+        first = holders.withColumn("_place", F.row_number().over(line)).where(F.col("_place") <= minimum)
+        sofar = Window.partitionBy(split).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+        taken = first.where("_place <= _deficit").withColumn("_sofar", F.coalesce(F.sum("_n").over(sofar), F.lit(0))).where("_sofar < _deficit")
+        selected = materialize(selected.unionByName(taken.select(*selected.columns)), "repaired")
+    return selected
 
 
 # -- W5-W7 splits and limits -------------------------------------------------

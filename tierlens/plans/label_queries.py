@@ -84,6 +84,35 @@ def s08(spark, sf):
     )
 
 
+def label_folder(spark, sf, parts: int = 2) -> str:
+    """The benchmark texts as label files, one each, in `<split>/labels`."""
+    root = scratch(spark, "labels")
+    items = B.table(spark, sf, "benchmark").where("text is not null")
+    for part in range(parts):
+        mine = items.where(F.col("item_id") % parts == part).select("text")
+        mine.write.option("maxRecordsPerFile", 1).text(f"{root}/split{part}/labels")
+    return root
+
+
+@query("s04_discover_samples", "SELECT 'split' || (item_id % 2) AS split, count(*) AS samples, 0::BIGINT AS annotated FROM benchmark WHERE text IS NOT NULL GROUP BY 1")
+def s04(spark, sf):
+    """Samples found below the folder, by split."""
+    found = S.discover_samples(spark, label_folder(spark, sf))
+    return found.groupBy("split").agg(F.count("label_path").alias("samples"), F.count("json_path").alias("annotated"))
+
+
+@query("s05_read_labels", r"SELECT regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n+$', '') AS raw_label FROM benchmark WHERE text IS NOT NULL")
+def s05(spark, sf):
+    """Every label file's text, line ends unified."""
+    return S.read_labels(spark, label_folder(spark, sf)).select("raw_label")
+
+
+@query("s06_file_inventory", "SELECT count(*) AS files, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM benchmark WHERE text IS NOT NULL")
+def s06(spark, sf):
+    """Number and size of the label files; their contents are not read."""
+    return S.file_inventory(spark, label_folder(spark, sf), "*.txt").agg(F.count("path").alias("files"), F.sum("length").alias("bytes"))
+
+
 @query("s09_report_sink", """
 SELECT l_orderkey, l_returnflag, '{"pages":' || count(*) || ',"last":' || max(l_linenumber) || '}' AS detail,
        to_json(list_sort(list(DISTINCT l_linestatus)))::VARCHAR AS statuses

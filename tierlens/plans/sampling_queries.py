@@ -93,13 +93,11 @@ def w03(spark, sf):
 
 @query("w04_coverage_repair")
 def w04(spark, sf):
-    """Training sample repaired until every vocabulary character it can have occurs often enough; greedy, so no SQL form."""
+    """Samples of all splits repaired until every vocabulary character they can have occurs often enough; step by step, so no SQL form."""
     columns = ["split", "stratum_id", "parent_image_id", "tier_id", "training_label"]
     t = annotated(spark, sf)
     s = materialize(sample(t), "sample")
-    train, chosen = t.where("split = 'train'").select(*columns), s.where("split = 'train'").select(*columns)
-    done, _ = W.repair_coverage(train, chosen, N.VOCABULARY, 8, "split", "stratum_id", "parent_image_id", "tier_id", "training_label", B.SEED)
-    return done
+    return W.repair_coverage(t.select(*columns), s.select(*columns), N.VOCABULARY, 8, "split", "parent_image_id", "tier_id", "training_label", B.SEED)
 
 
 @query("w05_group_split", """
