@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from tierlens.llm.common import fresh_path, task_count, written
 
 #: Raw bytes after which a frame ends; a document is never cut.
 FRAME_BYTES = 1 << 18
-#: Characters of text pieces whose ids a task remembers.
-CACHE_CHARS = 4_000_000
+#: Characters of words and pieces whose ids a worker remembers.
+CACHE_CHARS = 5_000_000
 END_ID = 0
 LEVEL = 3
 
@@ -41,43 +42,95 @@ _ENTRY = struct.Struct("<III")
 _DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("tokens", "<u8"), ("frame", "<u4")])
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign by which byte-level models write each byte: itself where it can be seen, else the next free one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of texts by a `tokenizers` model, with a bounded memory of frequent pieces.
+    """Ids of texts by a `tokenizers` model, with a bounded memory of words and pieces.
 
     Byte-level pre-tokenisation puts a cut before every space that a visible
-    sign follows, so such texts are encoded from space to space and pieces
-    seen before are looked up.  Texts with other spaces, and models that cut
-    otherwise, go through the library whole.
+    sign follows, so such texts are encoded from space to space, and pieces
+    seen before are looked up.  New pieces of letters, closing signs and single
+    line ends are asked of the model part by part; other pieces, texts
+    with other spaces and models that cut otherwise go through the library whole.
     """
 
     _OTHER_SPACES = re.compile(r" (?:\s|\Z)")
+    _PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?*$%&#)\"]*)")
+    _SIGNS = _byte_signs()
 
     def __init__(self, model: str):
         self.tokenizer = Tokenizer.from_str(model)
         kind = str(self.tokenizer.pre_tokenizer)
         self.by_space = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind and self.tokenizer.normalizer is None
-        self.spaced: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         self.size = 0
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of what pre-tokenisation leaves in one part."""
+        signs = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self._SIGNS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(signs)]).tobytes()
+
+    def _bare(self, part: str) -> bytes:
+        """The same for a part without a space before it, remembered."""
+        ids = self.bare.get(part)
+        if ids is None:
+            ids = self.bare[part] = self._part(part)
+            self.size += len(part)
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece with the space before it; a single line end is a part of its own."""
+        plain = self._PLAIN.fullmatch(piece)
+        if plain and plain[1].isalpha():
+            word, tail = plain[1], plain[2]
+            if not tail:
+                return self._part(" " + word)
+            return (self.pieces.get(word) or self._part(" " + word)) + self._bare(tail)
+        head, *lines = piece.split("\n")
+        end = self._bare("\n") if lines and not lines[-1] else b""
+        found = [self._PLAIN.fullmatch(line) for line in ([head, *lines[:-1]] if end else [head, *lines])]
+        if not all(m and m[1].isalpha() for m in found) or not lines:
+            return self._whole(" " + piece)
+        rest = [self._bare("\n") + self._bare(m[1]) + (self._bare(m[2]) if m[2] else b"") for m in found[1:]]
+        return self._piece(head) + b"".join(rest) + end
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of the whole text."""
         if not self.by_space or self._OTHER_SPACES.search(text):
-            return self._whole([text])[0]
+            return self._whole(text)
         first, *rest = text.split(" ")
-        new = list(set(rest).difference(self.spaced))
-        if new:
-            self.spaced.update(zip(new, self._whole([" " + piece for piece in new])))
-            self.size += sum(map(len, new))
-        out = b"".join([*self._whole([first]), *map(self.spaced.__getitem__, rest)])
+        for piece in set(rest).difference(self.pieces):
+            self.pieces[piece] = self._piece(piece)
+            self.size += len(piece)
+        out = b"".join([self._whole(first), *map(self.pieces.__getitem__, rest)])
         if self.size > CACHE_CHARS:
-            self.spaced.clear()
+            self.pieces.clear()
+            self.bare.clear()
             self.size = 0
         return out
 
 
+_encoders: dict[int, Encoder] = {}
+
+
+def _encoder(model: str) -> Encoder:
+    """The worker's encoder for this model; the next task of the worker finds it again."""
+    key = hash(model)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(model)
+    return _encoders[key]
+
+
 def _file_system(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (arrow_fs.LocalFileSystem(), path)
 
@@ -182,7 +235,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 if writer is None:
                     system.create_dir(place)
-                    writer, encoder = TokenFileWriter(system.open_output_stream(unfinished)), Encoder(model.value)
+                    writer, encoder = TokenFileWriter(system.open_output_stream(unfinished)), _encoder(model.value)
                 writer.add(doc_id.as_py(), encoder.ids(text.as_py() or "") + end)
         if writer is None:
             return
