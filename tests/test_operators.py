@@ -380,3 +380,12 @@ def test_blank_tiers_are_reviewed_and_other_tiers_too(spark):
     rows = spark.createDataFrame([(1, "\t", "1", None, False), (2, None, "1", None, True)], "row int, upper string, count string, lower string, more boolean")
     got = {r["row"]: (r["v"]["outcome"], r["v"]["code"]) for r in rows.select("row", row_violation(F.col("row"), F.col("more")).alias("v")).collect()}
     assert got[1] == ("REVIEW_UNCERTAIN", "EMPTY_DECODED_TIER") and got[2] == ("REVIEW_UNCERTAIN", "UNSUPPORTED_TIER_LAYOUT")
+
+
+def test_thresholds_need_enough_finite_values(spark):
+    few = spark.createDataFrame([(float(k),) for k in range(19)], "v double")
+    assert K.order_statistic(few, "v", 0.05).first()["rows"] == 19
+    for bad, why in ((few, "too few"), (few.union(spark.createDataFrame([(float("nan"),), (1.0,)], "v double")), "not finite")):
+        with pytest.raises(Exception, match=why):
+            K.order_statistic(bad, "v", 0.05, minimum=20).collect()
+    assert K.order_statistic(few.union(few), "v", 0.05, minimum=20).first()["threshold"] == 0.0  # place 1 of 0, 0, 1, 1, ...

@@ -124,11 +124,20 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequ
     return wide.select(*by, "rows", "min", "max", "mean", *values)
 
 
-def order_statistic(df: DataFrame, value: str, fraction: float, by: Sequence[str] = ()) -> DataFrame:
-    """Value at sorted position min(int(n*fraction), n-1) per group."""
-    ranked = cumulative_counts(df, value, by)
+def order_statistic(df: DataFrame, value: str, fraction: float, by: Sequence[str] = (), minimum: int = 0) -> DataFrame:
+    """Value at sorted position min(int(n*fraction), n-1) per group.
+
+    A value that is not finite stops the job, and so does a group of fewer
+    than `minimum` values; nulls are not counted.
+    """
+    number = F.col(value).cast("double")
+    odd = F.isnan(number) | (F.abs(number) == float("inf"))
+    finite = df.withColumn(value, F.when(odd, F.raise_error(F.lit(f"{value} is not finite"))).otherwise(F.col(value)))
+    ranked = cumulative_counts(finite if minimum else df, value, by)
     position = F.least(F.floor(F.col("group_rows") * F.lit(float(fraction))), F.col("group_rows") - 1)
-    return ranked.groupBy(*by).agg(F.max("group_rows").alias("rows"), _value_at(value, position).alias("threshold"))
+    found = ranked.groupBy(*by).agg(F.max("group_rows").alias("rows"), _value_at(value, position).alias("threshold"))
+    few = F.concat(F.lit("too few values: "), F.col("rows").cast("string"))
+    return found.withColumn("threshold", F.when(F.col("rows") < minimum, F.raise_error(few)).otherwise(F.col("threshold"))) if minimum else found
 
 
 def previous_row(
