@@ -156,23 +156,19 @@ def _search(piece: Words, test: TestBlock) -> list[tuple[list[tuple[int, int]],
     body = piece.data.tobytes()
     spans: dict[int, list[tuple[int, int]]] = {}
     items: dict[int, set[str]] = {}
-    longest: dict[int, int] = {}
+    hits: list[int] = []
     for k in np.flatnonzero(high > low).tolist():
         want, width = test.words[k], len(test.words[k])
-        starts = order[low[k] : high[k]]
-        first = word_at[starts]
-        true = [
-            n for n, f in enumerate(first.tolist())
-            if all(body[a:b] == w for a, b, w in zip(piece.start[f : f + width].tolist(), piece.end[f : f + width].tolist(), want))
-        ]
-        if not true:
-            continue
-        lengths = _longest(text, starts[true], test)
-        for f, n in zip(first[true].tolist(), lengths.tolist()):
-            r = int(row[f])
-            spans.setdefault(r, []).append((f - int(piece.first[r]), width))
-            items.setdefault(r, set()).update(test.items[k])
-            longest[r] = max(longest.get(r, 0), n, width)
+        for f in word_at[order[low[k] : high[k]]].tolist():
+            if all(body[a:b] == w for a, b, w in zip(piece.start[f : f + width].tolist(), piece.end[f : f + width].tolist(), want)):
+                r = int(row[f])
+                spans.setdefault(r, []).append((f - int(piece.first[r]), width))
+                items.setdefault(r, set()).update(test.items[k])
+                hits.append(f)
+    longest: dict[int, int] = {}
+    at = np.unique(np.array(hits, np.int64))
+    for r, n in zip(row[at].tolist(), _longest(text, place[at], test).tolist()):
+        longest[r] = max(longest.get(r, 0), n)
     return [(_union(spans[r]), sorted(items[r]), longest[r]) if r in spans else ([], [], 0) for r in range(rows)]
 
 
