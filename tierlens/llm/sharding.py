@@ -22,17 +22,14 @@ def shard_key(text: Column, doc_id: Column) -> Column:
 
 
 def _bin(key: Column, bounds: list[str]) -> Column:
-    """Number of bounds at or below the key, by a binary search of nested conditions."""
+    """Number of bounds at or below the key, by binary search in one literal array."""
     if not bounds:
         return F.lit(0)
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key < F.lit(bounds[middle]), search(low, middle)).otherwise(search(middle + 1, high))
-
-    return search(0, len(bounds))
+    listed, n = F.split(F.lit(",".join(bounds)), ","), len(bounds)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(listed, at + step - 1) <= key), at + step).otherwise(at)
+    )
 
 
 def _hex(x: int) -> str:
