@@ -15,8 +15,8 @@ from tierlens.llm.spans import BETWEEN_SPACES, Words, mixed, word_pieces
 
 #: Differing bits up to which two fingerprints link.  The join below splits this budget over two halves; 3 = 1 + 2.
 RADIUS = 3
-#: Fingerprints per text that look for similar texts: one misses some pairs at the edge, each more finds most of those.
-VIEWS = 2
+#: Fingerprints per text that look for similar texts: one misses pairs near the bound, each more finds some of those at its full cost.
+VIEWS = 1
 SEED = 42
 _ODD = 0x5555555555555555
 
