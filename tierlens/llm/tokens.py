@@ -29,9 +29,9 @@ from tierlens.llm.common import fresh_path, task_count, written
 #: Raw bytes after which a frame ends; a document is never cut.
 FRAME_BYTES = 1 << 18
 #: Characters of words and pieces whose ids a worker remembers.
-CACHE_CHARS = 5_000_000
+CACHE_CHARS = 8_000_000
 END_ID = 0
-LEVEL = 3
+LEVEL = 1
 
 # fixed values of the zstandard format: skippable frames and the seek table's footer
 _DIRECTORY_MAGIC = 0x184D2A50
@@ -76,7 +76,7 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         """Ids of what pre-tokenisation leaves in one part."""
-        signs = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self._SIGNS)
+        signs = part.replace(" ", self._SIGNS[32]) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self._SIGNS)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(signs)]).tobytes()
 
     def _bare(self, part: str) -> bytes:
@@ -89,12 +89,11 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece with the space before it; a single line end is a part of its own."""
+        if piece.isalpha():
+            return self._part(" " + piece)
         plain = self._PLAIN.fullmatch(piece)
         if plain and plain[1].isalpha():
-            word, tail = plain[1], plain[2]
-            if not tail:
-                return self._part(" " + word)
-            return (self.pieces.get(word) or self._part(" " + word)) + self._bare(tail)
+            return (self.pieces.get(plain[1]) or self._part(" " + plain[1])) + self._bare(plain[2])
         head, *lines = piece.split("\n")
         end = self._bare("\n") if lines and not lines[-1] else b""
         found = [self._PLAIN.fullmatch(line) for line in ([head, *lines[:-1]] if end else [head, *lines])]
@@ -107,11 +106,17 @@ class Encoder:
         """Little-endian 32-bit ids of the whole text."""
         if not self.by_space or self._OTHER_SPACES.search(text):
             return self._whole(text)
-        first, *rest = text.split(" ")
-        for piece in set(rest).difference(self.pieces):
-            self.pieces[piece] = self._piece(piece)
-            self.size += len(piece)
-        out = b"".join([self._whole(first), *map(self.pieces.__getitem__, rest)])
+        pieces = text.split(" ")
+        known = self.pieces
+        found = list(map(known.get, pieces))
+        found[0] = self._whole(pieces[0])
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            piece = pieces[k]
+            if piece not in known:
+                known[piece] = self._piece(piece)
+                self.size += len(piece)
+            found[k] = known[piece]
+        out = b"".join(found)
         if self.size > CACHE_CHARS:
             self.pieces.clear()
             self.bare.clear()
