@@ -232,10 +232,11 @@ def word_vectors(sample: DataFrame) -> Vectors:
                     )
 
     found = sample.select("text").mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"v{k}").alias(f"v{k}") for k in range(DIM)])
-    rows = found.where("n > 1").orderBy(F.desc("n"), "word").limit(MAX_WORDS).toPandas()
-    names = rows["word"].to_numpy(np.int64).view(np.uint64)
+    rows = found.where("n > 1").orderBy(F.desc("n"), "word").limit(MAX_WORDS).toArrow()
+    names = rows["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(names)
-    return Vectors(names[order], _unit(rows[[f"v{k}" for k in range(DIM)]].to_numpy(np.float64)[order]))
+    sums = np.stack([rows[f"v{k}"].to_numpy() for k in range(DIM)], axis=1).astype(np.float64)
+    return Vectors(names[order], _unit(sums[order]))
 
 
 @dataclass
@@ -257,11 +258,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifie
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept], names=["pick", "label", "x"])
 
     found = sample.select(F.md5(id_text(F.col("doc_id")).cast("binary")).alias("pick"), F.col("label").cast("int").alias("label"), "text")
-    got = found.mapInArrow(run, "pick string, label int, x array<float>").toPandas()
-    if not len(got):
+    got = found.mapInArrow(run, "pick string, label int, x array<float>").toArrow()
+    if not got.num_rows:
         return Classifier(vectors, train_network(np.zeros((0, WIDTH)), np.zeros(0)))
-    x, y = np.stack(got["x"].to_numpy()), got["label"].to_numpy()
-    order = np.lexsort((*x.T[:1], got["pick"].to_numpy().astype("U32")))
+    x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+    y = got["label"].to_numpy()
+    order = np.lexsort((*x.T[:1], np.array(got["pick"].to_pylist(), "U32")))
     return Classifier(vectors, train_network(x[order], y[order]))
 
 
