@@ -111,19 +111,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
         .withColumn("finish", finish).withColumn("range", F.least(F.floor(F.col("finish") * slices).cast("long"), F.lit(LATE * slices).cast("long")))
     )
     # a whole range fits or not by its total; only the range in which the budget ends is put in order copy by copy
-    budget = F.lit(shares.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]).cast("long")
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = copies.groupBy("range").agg(F.sum("size").alias("words"))
-    ranges = ranges.select(F.col("range").alias("r_range"), "words", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    edge = F.col("start") + F.col("words") > budget
-    marked = copies.join(
-        ranges.where(F.col("start") <= budget).select("r_range", "start", edge.alias("edge")), F.col("range") == F.col("r_range")
-    )
-    line = Window.partitionBy("range").orderBy("finish", F.col("source").isNull(), "source", "round", "key", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    last = (
-        marked.where("edge").withColumn("upto_here", F.col("start") + F.sum("size").over(line)).where(F.col("upto_here") <= budget).select("row")
-    )
-    times = marked.where("not edge").select("row").unionAll(last).groupBy("row").agg(F.count(F.lit(1)).alias("times"))
+    budget = shares.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    running = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = copies.groupBy("range").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(running))
+    over = ranges.where(F.col("upto") > budget).orderBy("range").first()
+    if over is None:
+        taken = copies
+    else:
+        line = Window.orderBy("finish", F.col("source").isNull(), "source", "round", "key", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+        edge = copies.where(F.col("range") == over["range"]).withColumn("running", F.sum("size").over(line) + F.lit(over["upto"] - over["words"]))
+        taken = copies.where(F.col("range") < over["range"]).select("row").unionAll(edge.where(F.col("running") <= budget).select("row"))
+    times = taken.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
     return (
         queued.join(times, "row", "left")
         .select("doc_id", "source", "size", "source_size", "target", F.coalesce("times", F.lit(0)).alias("times"), "row")
