@@ -154,3 +154,28 @@ def test_similarity_is_exact(spark):
     got = {r["b"] for r in simhash._similar(pairs, lambda asked: table.join(asked, "node"), 5, 0.8).collect()}
     sets = [shingles(r[1]) for r in rows]
     assert got == {str(r[0]) for r, s in zip(rows[1:], sets[1:]) if len(s & sets[0]) >= 0.8 * len(s | sets[0])} == {"2", "3"}
+
+
+def test_keep_one_misses_no_pair_near_the_bound(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(80):
+        words = [f"b{rng.randrange(2000)}" for _ in range(104)]
+        rows.append((k, " ".join(words), None, None, None))
+        for copy, places in enumerate(((20, 80), (10, 50), (33, 34, 90))):  # similarity 0.8 to 0.83
+            edited = list(words)
+            for at in places:
+                edited[at] = f"new{k}x{copy}x{at}"
+            rows.append((1000 + 10 * k + copy, " ".join(edited), None, None, None))
+    rows += [(5000 + k, "one two three four " + "x" * (k % 3), None, None, None) for k in range(9)]
+    rows += [(6000 + k, " " * k, None, None, None) for k in range(4)]
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect())
+    assert kept == sorted(min(g) for g in similar_groups(rows))
+
+
+def test_common_lines_change_the_order_not_the_result(spark):
+    rng = random.Random(22)
+    line = " ".join(f"line{k}" for k in range(30))
+    rows = [(k, " ".join(f"c{rng.randrange(500)}" for _ in range(3 + k % 60)) + " " + line, None, None, None) for k in range(150)]
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect())
+    assert kept == sorted(min(g) for g in similar_groups(rows)) and 1 < len(kept) < 150

@@ -15,8 +15,12 @@ from tierlens.llm.spans import BETWEEN_SPACES, Words, mixed, word_pieces
 
 #: Differing bits up to which two fingerprints link.  The join below splits this budget over two halves; 3 = 1 + 2.
 RADIUS = 3
-#: Fingerprints per text that look for similar texts: one misses pairs near the bound, each more finds some of those at its full cost.
+#: Fingerprints per text that join dense groups before the exact search; they decide what it costs, not what it finds.
 VIEWS = 1
+#: Shingles that the exact search knows as common and asks for last.  Fewer make it slower, not less whole.
+MAX_COMMON = 200_000
+#: Shingles that a task counts together.
+COUNT_SHINGLES = 4_000_000
 SEED = 42
 _ODD = 0x5555555555555555
 
@@ -250,36 +254,126 @@ def _similar(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], width: i
     return both.where((total == 0) | (common >= F.lit(similarity) * total)).select("a", "b")
 
 
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places in the order from rare to common, from 1 on) of up to MAX_COMMON shingles that several texts of a task share, sorted by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            shared = counts > 1
+            return pa.RecordBatch.from_arrays([pa.array(values[shared].view(np.int64)), pa.array(counts[shared].astype(np.int64))], names=["shingle", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for _, _, piece in word_pieces(batch.column(0), BETWEEN_SPACES):
+                hashes, _ = _distinct(*_shingle_hashes(piece, width))
+                held.append(hashes)
+                size += len(hashes)
+                if size >= COUNT_SHINGLES:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    seen = texts.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = seen.orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).toArrow()
+    hashes = found["shingle"].to_numpy().view(np.uint64)
+    place = np.arange(len(hashes), 0, -1)
+    order = np.argsort(hashes)
+    return hashes[order], place[order]
+
+
+def prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(shingle, short, size) from (short, text): the shingles of each text by which every similar text can be found.
+
+    All shingles stand in one order, common ones last.  Of two sets with at
+    least this Jaccard similarity, the first n - ceil(similarity * n) + 1 of
+    each (n its size) have one in common: if the prefixes were apart, too few
+    could be shared.  That holds for any order; this one keeps groups small.
+    A text without words has the shingle 0.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, rank = shared.value
+        for batch in batches:
+            for low, high, piece in word_pieces(batch.column(1), BETWEEN_SPACES):
+                hashes, first = _distinct(*_shingle_hashes(piece, width))
+                size = np.diff(first)
+                row = np.repeat(np.arange(len(size)), size)
+                if len(names) and len(hashes):
+                    at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+                    order = np.lexsort((hashes, np.where(names[at] == hashes, rank[at], 0), row))
+                    hashes = hashes[order]
+                kept = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
+                taken = np.arange(len(hashes)) - first[row] < kept[row]
+                bare = np.flatnonzero(size == 0)
+                row = np.concatenate([row[taken], bare])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([hashes[taken], np.zeros(len(bare), np.uint64)]).view(np.int64)), batch.column(0).slice(low, high - low).take(pa.array(row)), pa.array(size[row].astype(np.int32))],
+                    names=["shingle", "short", "size"],
+                )
+
+    return texts.select("short", "text").mapInArrow(run, "shingle long, short long, size int")
+
+
+def _sizes_allow(a: str, b: str, similarity: float) -> Column:
+    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - F.lit(1e-6)
+
+
+def meetings(found: DataFrame) -> DataFrame:
+    """(shingle, short, size, head, head_size) of the prefix shingles that several texts have; the head is one of them."""
+    same = Window.partitionBy("shingle")
+    return (
+        found.withColumn("head", F.min(F.struct("short", "size")).over(same)).withColumn("tail", F.max("short").over(same))
+        .where(F.col("head.short") != F.col("tail")).select("shingle", "short", "size", F.col("head.short").alias("head"), F.col("head.size").alias("head_size"))
+        .dropDuplicates(["shingle", "short"])
+    )
+
+
+def pairs_between_groups(stood: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (x, y) of texts of different groups that meet in a shingle, from (shingle, short, size, group).
+
+    Members of a shingle's largest group are never compared with each other.
+    """
+    sizes = stood.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("shingle").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
+    apart = written(stood.join(largest, "shingle").select("shingle", "short", "size", "group", (F.col("group") == F.col("main")).alias("in_main")), "apart")
+    met = apart.where("NOT in_main").alias("l").join(
+        apart.alias("s"),
+        (F.col("l.shingle") == F.col("s.shingle")) & (F.col("l.group") != F.col("s.group")) & (F.col("s.in_main") | (F.col("l.short") < F.col("s.short")))
+        & _sizes_allow("l.size", "s.size", similarity),
+    )
+    return met.select(F.least("l.short", "s.short").alias("x"), F.greatest("l.short", "s.short").alias("y")).distinct()
+
+
 def similar_components(
-    nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int = 5, similarity: float = 0.8, views: int = VIEWS
+    nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], found: DataFrame, width: int = 5, similarity: float = 0.8, views: int = VIEWS
 ) -> DataFrame:
-    """(node, root) of near copies among distinct texts (node, fps); `texts` gives (node, text) for a table of nodes.
-
-    Candidates are texts with one fingerprint and those that close_links and
-    the grid join find, for each view; a link counts only if the sets of
-    `width`-word shingles have a Jaccard similarity of `similarity` or more.
-    What earlier links join isn't compared again in the grid.
+    """(node, root) of near copies among distinct texts (node, short, fps); `texts` gives (node, text) for a table of nodes, `found` their prefixes.
+
+    A link counts only if the sets of `width`-word shingles have a Jaccard
+    similarity of `similarity` or more.  First each text is compared with the
+    head of its fingerprint, with those that close_links finds and with
+    the heads of its prefix shingles; that contracts dense groups.  Then all
+    texts of different groups that meet in a prefix shingle are compared, so
+    that no similar pair is left between two groups.
     """
-    heads = [
-        written(nodes.select(F.col("fps")[k].alias("fp"), "node").groupBy("fp").agg(F.min("node").alias("head")), "fingerprint-heads") for k in range(views)
-    ]
-    left = [h.select("fp", F.col("head").alias("a")) for h in heads]
-    right = [h.select(F.col("fp").alias("near"), F.col("head").alias("b")) for h in heads]
-    candidates = None
+    named = [nodes.select(F.col("short").alias(s), F.col("node").alias(n)) for s, n in (("x", "a"), ("y", "b"))]
+    met = written(meetings(found), "prefix-meetings")
+    stars = met.where(_sizes_allow("size", "head_size", similarity) & (F.col("short") != F.col("head"))).select(F.col("short").alias("x"), F.col("head").alias("y")).distinct()
+    candidates = stars.join(named[0], "x").join(named[1], "y").select("a", "b")
     for k in range(views):
-        same = nodes.select(F.col("fps")[k].alias("fp"), F.col("node").alias("a")).join(heads[k], "fp").select("a", F.col("head").alias("b"))
-        near = close_links(heads[k].select("fp")).join(left[k], "fp").join(right[k], "near").select("a", "b")
-        found = same.unionByName(near)
-        candidates = found if candidates is None else candidates.unionByName(found)
+        heads = written(nodes.select(F.col("fps")[k].alias("fp"), "node").groupBy("fp").agg(F.min("node").alias("head")), "fingerprint-heads")
+        left, right = heads.select("fp", F.col("head").alias("a")), heads.select(F.col("fp").alias("near"), F.col("head").alias("b"))
+        same = nodes.select(F.col("fps")[k].alias("fp"), F.col("node").alias("a")).join(heads, "fp").select("a", F.col("head").alias("b"))
+        near = close_links(heads.select("fp")).join(left, "fp").join(right, "near").select("a", "b")
+        candidates = candidates.unionByName(same).unionByName(near)
     links = written(_similar(candidates, texts, width, similarity), "similar-links")
-    first = written(connected_components(links), "similar-groups")
-    met = None
-    for k in range(views):
-        labelled = heads[k].join(first.withColumnRenamed("node", "head"), "head", "left").select("fp", F.coalesce("root", "head").alias("group"))
-        pairs = grid_pairs(written(labelled, "groups")).select("fp", F.col("other").alias("near")).join(left[k], "fp").join(right[k], "near").select("a", "b")
-        met = pairs if met is None else met.unionByName(pairs)
-    more = _similar(met, texts, width, similarity)
-    return connected_components(links.unionByName(more))
+    groups = nodes.join(connected_components(links), "node", "left").select("short", F.coalesce("root", "node").alias("group"))
+    stood = written(met.select("shingle", "short", "size").join(groups, "short"), "grouped-meetings")
+    between = pairs_between_groups(stood, similarity).join(named[0], "x").join(named[1], "y").select("a", "b")
+    return connected_components(links.unionByName(_similar(between, texts, width, similarity)))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -298,17 +392,19 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     placed = written(with_fingerprint(docs, 1, out=fp, views=VIEWS).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
     hashed = F.xxhash64(*[c.cast("string") for c in columns])
     text = F.coalesce("text", F.lit(""))
+    short = F.xxhash64(text)  # a narrow name; texts that share one by chance are told apart by the node
     narrow = placed.select(
-        F.md5(text.cast("binary")).alias("node"), F.col(fp).alias("fps"),
+        F.md5(text.cast("binary")).alias("node"), short.alias("short"), F.col(fp).alias("fps"),
         F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), hashed.alias("row_hash"), F.col(row).alias("place")).alias("rank"),
     )
-    firsts = written(narrow.groupBy("node").agg(F.min("rank").alias("rank"), F.first("fps").alias("fps")), "distinct-texts")
+    firsts = written(narrow.groupBy("node").agg(F.min("rank").alias("rank"), F.first("short").alias("short"), F.first("fps").alias("fps")), "distinct-texts")
 
     def texts(asked: DataFrame) -> DataFrame:
         """Whole texts of some nodes, from the rows that stand for them."""
         places = firsts.join(asked, "node").select("node", F.col("rank.place").alias(row))
         return placed.select(row, text.alias("text")).join(places, row).select("node", "text")
 
-    groups = similar_components(firsts.select("node", "fps"), texts, width, similarity)
+    found = prefixes(placed.select(short.alias("short"), text.alias("text")), width, similarity)
+    groups = similar_components(firsts.select("node", "short", "fps"), texts, found, width, similarity)
     chosen = firsts.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank"))
     return placed.join(chosen.select(F.col("rank.place").alias(row)), row, "left_semi").select(*columns)
