@@ -144,6 +144,22 @@ def test_rare_words_come_from_the_table(spark, monkeypatch):
     assert close(got, brute(rows)[0])
 
 
+def test_the_cache_changes_no_score(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CACHE_SHARE", 5e-3)  # most words and pairs come from the tables
+    rows = awkward_rows()
+    got, _ = rounded(lm.held_out_scores(spark.createDataFrame(rows, DOCS)))
+    assert close(got, brute(rows)[0])
+
+
+def test_a_pair_seen_twice_is_an_arc_in_a_larger_corpus(spark):
+    rows = [(None, "x " * 20000, None, None, None) for _ in range(150)] + [(None, "left right", None, None, None)] * 2
+    scores = {r["n_tokens"]: r["score"] - r["base_score"] for r in lm.held_out_scores(spark.createDataFrame(rows, DOCS)).collect()}
+    scale = 150 * 20001 + 6 + 0.5 * 5
+    twice, end = 2.5 / scale, 152.5 / scale
+    want = math.log10((1.25 + 1.5 * twice) / 152 / twice) + math.log10((0.625 + 0.375 * twice) / twice) + math.log10((0.625 + 0.375 * end) / end)
+    assert abs(scores[3] - want) < 1e-6  # three tokens, each pair seen twice among three million
+
+
 def test_probabilities_of_a_state_sum_to_one(spark):
     rows = [(k, text, None, None, None) for k, text in enumerate(["a b a b c", "a b", "b a c a b", "c c", "a"])]
     counts, model = lm.fit(spark.createDataFrame(rows, DOCS))
