@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -179,3 +180,19 @@ def test_common_lines_change_the_order_not_the_result(spark):
     rows = [(k, " ".join(f"c{rng.randrange(500)}" for _ in range(3 + k % 60)) + " " + line, None, None, None) for k in range(150)]
     kept = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect())
     assert kept == sorted(min(g) for g in similar_groups(rows)) and 1 < len(kept) < 150
+
+
+def test_a_shuffled_head_hides_no_pair_behind_it(spark):
+    rng = random.Random(23)
+    base = [f"s{k}" for k in range(120)]
+    swapped = list(base)
+    swapped[60], swapped[61] = swapped[61], swapped[60]
+    texts = [" ".join(base), " ".join(swapped)]
+    head = " ".join(rng.sample(base, 120))
+    while hashlib.md5(head.encode()).hexdigest() > min(hashlib.md5(t.encode()).hexdigest() for t in texts):
+        head = " ".join(rng.sample(base, 120))
+    # one more word, so that fingerprints of the words differ a little or not at all
+    near_head = " ".join([*base, "more"])
+    rows = [(k, t, None, None, None) for k, t in enumerate([head, *texts, near_head])]
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect())
+    assert kept == sorted(min(g) for g in similar_groups(rows)) == [0, 1]
