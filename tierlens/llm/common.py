@@ -57,3 +57,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
+
+
+def hot_lookup(rows: DataFrame, key: str, table: DataFrame, hot: Column) -> DataFrame:
+    """Inner join of `rows` with `table`, in which `key` is unique; the few table rows that are `hot` are broadcast.
+
+    The caller proves the bound on the hot rows, and that a row which isn't
+    hot can have few partners; so neither side has a key with a large share.
+    """
+    mark = free_name(rows, "_hot")
+    few = table.where(hot).withColumn(mark, F.lit(True))
+    tried = rows.join(F.broadcast(few), key, "left")
+    rest = tried.where(F.col(mark).isNull()).select(*rows.columns).join(table.where(~hot), key)
+    return tried.where(F.col(mark).isNotNull()).drop(mark).unionByName(rest)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tierlens.llm import chat, decontaminate, licenses, lm, mixing, quality, rules, sharding, simhash, tokens
+from tierlens.llm import chat, collocations, decontaminate, licenses, lm, mixing, quality, rules, sharding, simhash, tokens
 from tierlens.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,30 @@ def prefix_target_chat(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_backoff_automaton_scores")
 def backoff_automaton_scores(spark: SparkSession, sf: str) -> DataFrame:
     return lm.held_out_scores(table(spark, sf, "documents"))
+
+
+@query("op11_trie_collocations", r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+t AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS MATERIALIZED (
+  SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase, words[i : i + k - 1] AS ws, count(*) AS f
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(k))
+  GROUP BY ALL HAVING count(*) >= 30),
+c AS (
+  SELECT g.lang, g.phrase, g.f AS a, l.f AS l, r.f AS r, j, CAST(CAST(2000000 AS HUGEINT) * g.f // (l.f + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM g WHERE k > 1) g
+  JOIN g l ON l.lang = g.lang AND l.phrase = array_to_string(g.ws[1 : j], ' ') JOIN g r ON r.lang = g.lang AND r.phrase = array_to_string(g.ws[j + 1 :], ' ')),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+s AS (
+  SELECT lang, array_to_string(ws[i : i + j - 1], ' ') AS phrase, max(f) AS above
+  FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM g, (VALUES (2), (3)) v(j) WHERE j < k) GROUP BY ALL),
+o AS (
+  SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM b LEFT JOIN s USING (lang, phrase) WHERE above IS NULL OR 100 * CAST(above AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000
+""")
+def trie_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
