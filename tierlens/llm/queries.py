@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tierlens.llm import chat, collocations, decontaminate, licenses, lm, mixing, quality, rules, sharding, simhash, tokens
+from tierlens.llm import chat, collocations, decontaminate, extraction, licenses, lm, mixing, prefix_trie, quality, rules, sharding, simhash, tokens
 from tierlens.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,53 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE ra
 """)
 def trie_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.collocations(table(spark, sf, "documents"))
+
+
+#: In these tables the article element holds the main text and nothing else, which SQL can cut out; the chain isn't told so.
+@query("op12_chain_extraction", r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS body FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*(>|$)', '', 'g') AS bare FROM a),
+t AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(bare, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+""")
+def chain_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op13_prefix_trie", r"""
+WITH poly AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS step),
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rn
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x))),
+             lambda r, b: xor(r >> 8, step[(xor(r, b) & 255) + 1]))) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), poly),
+r AS (
+  SELECT c.conv_id, 0 AS part, rn, role, text FROM c JOIN t ON t.conv_id = c.base AND rn <= h
+  UNION ALL SELECT conv_id, 1, rn, role, text FROM c JOIN t USING (conv_id) WHERE rn > h),
+p AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes, string_agg(md5(length(role) || ':' || role || text), '') OVER w AS node
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, rn ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+l AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+n AS MATERIALIZED (
+  SELECT node, min(conv_id) AS conv_id, min(p.depth) AS depth, count(*) AS n_convs, min(bytes) AS bytes,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (p.depth = l.depth), '')) AS ends_sha256
+  FROM p JOIN l USING (conv_id) GROUP BY node),
+k AS (SELECT left(node, length(node) - 32) AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+s AS (
+  SELECT d.top AS node, count(*) FILTER (k.node IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved_tokens
+  FROM (SELECT DISTINCT a.node AS top, b.node FROM p a JOIN p b USING (conv_id) WHERE b.depth >= a.depth) d JOIN n USING (node) LEFT JOIN k USING (node)
+  GROUP BY d.top)
+SELECT n.conv_id, n.depth, CASE WHEN n.depth > 0 THEN u.conv_id END AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n u ON u.node = left(n.node, length(n.node) - 32) AND n.depth > 0 LEFT JOIN k ON k.node = n.node JOIN s ON s.node = n.node
+""")
+def prefix_trie_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.trie_nodes(table(spark, sf, "conversations"))
