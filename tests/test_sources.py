@@ -2,6 +2,8 @@
 
 import json
 import os
+import random
+import time
 
 import pandas as pd
 import pytest
@@ -9,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F, types as T
 
 from tierlens.sources import journal as J, manifest as M, samples as S
-from tierlens.streaming import journal as ST
+from tierlens.streaming import journal as ST, state as ST_STATE
 
 
 def test_csv_round_trip_keeps_every_space(spark, tmp_path):
@@ -128,3 +130,79 @@ def test_scorer_failures_are_data(spark):
     df = spark.createDataFrame([(1, "abc"), (2, "bad"), (3, "x")], "id long, v string")
     got = {r["id"]: (r["result"], r["error"]) for r in ST.apply_scorer(df, score, "id", "long").collect()}
     assert got == {1: (3, None), 2: (None, "ValueError: no"), 3: (1, None)}
+
+
+EVENTS = "id long, kind string, at long"
+
+
+def _event_files(spark, folder, rows, files):
+    """`rows` cut into files that a stream reads one by one."""
+    size = -(-len(rows) // files)
+    for k in range(files):
+        part = spark.createDataFrame(rows[k * size : (k + 1) * size], EVENTS).selectExpr("id", "kind", "timestamp_micros(at) as ts")
+        part.coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)
+
+
+def _event_stream(spark, folder):
+    return spark.readStream.schema("id long, kind string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _events(seed, n, first_id=0):
+    rng = random.Random(seed)
+    return [(first_id + i, rng.choice(("a", "b", None)), None if rng.random() < 0.03 else (i * 400 + rng.randrange(40_000)) * 1_000_000 + rng.randrange(999_999)) for i in range(n)]
+
+
+def _window_truth(rows):
+    hour = 3_600_000_000
+    out = {}
+    for i, kind, at in rows:
+        if at is not None:
+            out.setdefault((at // hour * hour, kind), []).append(i)
+    return {key: (len(ids), sorted(ids)[:3]) for key, ids in out.items()}
+
+
+def _run_truth(rows, gap):
+    out = []
+    for kind in {r[1] for r in rows}:
+        times = sorted(r[2] for r in rows if r[1] == kind and r[2] is not None)
+        for t in times:
+            if out and out[-1][0] == kind and t - out[-1][2] <= gap:
+                out[-1] = (kind, out[-1][1], t, out[-1][3] + 1)
+            else:
+                out.append((kind, t, t, 1))
+    return sorted(out, key=str)
+
+
+def test_windows_lose_nothing_over_micro_batches_and_a_resume(spark, tmp_path):
+    rows, more = _events(1, 120), _events(2, 40, first_id=1000)
+    _event_files(spark, f"{tmp_path}/in", rows, 5)
+    count = lambda: ST_STATE.window_counts(_event_stream(spark, f"{tmp_path}/in"), "ts", "kind", "id", "1 hour", "10 minutes", f"{tmp_path}/c", k=3)
+    read = lambda df: {(r["s"], r["kind"]): (r["events"], r["details"]) for r in df.selectExpr("unix_micros(window_start) as s", "kind", "events", "details").collect()}
+    assert read(count()) == _window_truth(rows)
+    assert read(count()) == _window_truth(rows)     # nothing new, nothing twice
+    _event_files(spark, f"{tmp_path}/in", more, 2)  # mostly hours that were handed out long ago
+    got = count()
+    assert read(got) == _window_truth(rows + more)
+    first = {(r["kind"], r["id"]): (r["failures"], r["detail_rank"]) for r in ST_STATE.first_details(got, "kind", "id", 3).collect()}
+    for kind in ("a", "b", None):
+        ids = sorted(i for i, k, at in rows + more if k == kind and at is not None)
+        assert all(first[(kind, i)] == (len(ids), rank) for rank, i in enumerate(ids[:3], 1))
+
+
+def test_runs_lose_nothing_over_micro_batches_and_a_resume(spark, tmp_path):
+    rows, more = _events(3, 90), _events(4, 30, first_id=1000)
+    _event_files(spark, f"{tmp_path}/in", rows, 4)
+    runs = lambda: ST_STATE.gap_runs(_event_stream(spark, f"{tmp_path}/in"), "ts", "kind", "30 minutes", "5 minutes", f"{tmp_path}/c")
+    read = lambda df: sorted((tuple(r) for r in df.selectExpr("kind", "unix_micros(run_start)", "unix_micros(run_end)", "parts").collect()), key=str)
+    gap = 1_800_000_000
+    assert read(runs()) == _run_truth(rows, gap)
+    _event_files(spark, f"{tmp_path}/in", more, 3)
+    assert read(runs()) == _run_truth(rows + more, gap)
+
+
+def test_a_stream_without_rows_has_no_windows_and_no_runs(spark, tmp_path):
+    spark.createDataFrame([], EVENTS).selectExpr("id", "kind", "timestamp_micros(at) as ts").write.parquet(f"{tmp_path}/in")
+    stream = _event_stream(spark, f"{tmp_path}/in")
+    assert ST_STATE.window_counts(stream, "ts", "kind", "id", "1 hour", "1 minute", f"{tmp_path}/c1").collect() == []
+    assert ST_STATE.gap_runs(stream, "ts", "kind", "1 hour", "1 minute", f"{tmp_path}/c2").collect() == []

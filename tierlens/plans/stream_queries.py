@@ -11,7 +11,7 @@ from tierlens.plans import bindings as B
 from tierlens.plans.registry import query
 from tierlens.session import scratch
 from tierlens.sources.journal import seal_records
-from tierlens.streaming import journal as J
+from tierlens.streaming import journal as J, state as S
 
 PLAN = "events-v1"
 FIELDS = ["user_id", "event_type", "props"]
@@ -24,13 +24,6 @@ def event_stream(spark, sf) -> DataFrame:
     return raw.withColumn("ts", F.timestamp_micros(B.wall_micros(F.col("ts"))))
 
 
-def closed_stream(spark, sf, folder: str) -> DataFrame:
-    """The event stream with a closing row a day after its last event."""
-    last = B.table(spark, sf, "events").agg(F.max(B.wall_micros(F.col("ts"))).alias("m")).first()["m"]
-    at = F.timestamp_micros(F.lit((last or 0) + 86_400_000_000))
-    return J.with_closing_row(event_stream(spark, sf), "ts", at, f"{folder}/closing")
-
-
 def _journal(spark, sf) -> tuple[str, DataFrame]:
     records = seal_records(event_stream(spark, sf), "event_id", FIELDS, PLAN)
     target = scratch(spark, "journal")
@@ -64,18 +57,17 @@ def t03(spark, sf):
 SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start, event_type, count(*) AS events FROM events
 GROUP BY ALL""")
 def t04(spark, sf):
-    """Events per hour and kind, emitted once the watermark passes the hour; the last hours are closed too."""
-    folder = scratch(spark, "failures")
-    counts = J.failure_counts(closed_stream(spark, sf, folder), "ts", "event_type", "1 hour", "10 minutes")
-    table = J.drain_to_table(counts, "failures", folder, "append")
+    """Events per hour and kind: hours the watermark has passed from the stream's output, the others from its state."""
+    table = S.window_counts(event_stream(spark, sf), "ts", "event_type", "event_id", "1 hour", "10 minutes", scratch(spark, "failures"))
     return table.select(F.unix_micros("window_start").alias("window_start"), "event_type", "events")
 
 
 @query("t04_first_details", """
 SELECT event_type, failures, event_id, detail_rank FROM (SELECT event_type, event_id, count(*) OVER (PARTITION BY event_type) AS failures, row_number() OVER (PARTITION BY event_type ORDER BY event_id)::INT AS detail_rank FROM events) WHERE detail_rank <= 5""")
 def t04b(spark, sf):
-    e = B.table(spark, sf, "events").select("event_type", "event_id")
-    return J.first_details(e, "event_type", F.col("event_id")).select("event_type", "failures", "event_id", "detail_rank")
+    """The first five events of each kind and how many there are, kept by the same stream as state."""
+    table = S.window_counts(event_stream(spark, sf), "ts", "event_type", "event_id", "1 day", "10 minutes", scratch(spark, "details"))
+    return S.first_details(table, "event_type", "event_id")
 
 
 @query("t05_session_runs", """
@@ -83,10 +75,8 @@ WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM m)
 SELECT user_id, epoch_us(min(ts)) AS run_start, epoch_us(max(ts)) AS run_end, count(*) AS parts FROM s GROUP BY user_id, run""")
 def t05(spark, sf):
-    """Runs of a user's events with gaps of at most two hours, as session windows."""
-    folder = scratch(spark, "sessions")
-    runs = J.session_runs(closed_stream(spark, sf, folder), "ts", "user_id", "2 hours", "1 hour")
-    table = J.drain_to_table(runs, "sessions", folder, "append")
+    """Runs of a user's events with gaps of at most two hours, as state per user."""
+    table = S.gap_runs(event_stream(spark, sf), "ts", "user_id", "2 hours", "1 hour", scratch(spark, "sessions"))
     return table.select("user_id", F.unix_micros("run_start").alias("run_start"), F.unix_micros("run_end").alias("run_end"), "parts")
 
 
