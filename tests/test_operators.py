@@ -263,13 +263,6 @@ def test_alignment_search(spark):
     assert not capped["exhaustive"] and not capped["contradiction"]
 
 
-def test_repair_tier_is_all_or_nothing(spark):
-    df = spark.createDataFrame([("AX", True), ("AXs", True), ("AX", False), ("AY", True)], "t string, ok boolean")
-    mapping = [("X", "B", "upper"), ("Y", "P", "upper"), ("Y", "F", "upper")]
-    got = [r[0] for r in df.select(Y.repair_tier(F.col("t"), "upper", mapping, F.col("ok"))).collect()]
-    assert [(g["text"], g["corrections"], g["uncertain"]) for g in got] == [("AB", 1, False), ("AXs", 0, True), ("AX", 0, True), ("AY", 0, True)]
-
-
 def test_box_overlap(spark):
     rng = random.Random(6)
     box = lambda p: (p, *(lambda x, y: (x, y, x + rng.randrange(1, 90), y + rng.randrange(1, 40)))(rng.randrange(300), rng.randrange(200)))

@@ -118,20 +118,81 @@ def edit_counts(truth: Column, prediction: Column, ignore_ws: bool = False) -> C
     return _edit_counts.asNondeterministic()(truth, prediction)
 
 
+#: Cells of a pair's table that are kept whole; longer pairs keep every so manieth row and redo the rows between.
+WHOLE_TABLE_CELLS = 1_000_000
+
+
+def _next_row(row: np.ndarray, code: int, columns: np.ndarray, ramp: np.ndarray) -> np.ndarray:
+    """Distances of one more character of the first text to all prefixes of the second."""
+    step = np.empty_like(row)
+    step[0] = row[0] + 1
+    np.minimum(row[:-1] + (columns != code), row[1:] + 1, out=step[1:])
+    return np.minimum.accumulate(step - ramp) + ramp
+
+
+def _row_moves(above: np.ndarray, here: np.ndarray, code: int, columns: np.ndarray) -> np.ndarray:
+    """Move into each place of a row: 0 match, 1 substitution, 2 deletion, 3 insertion."""
+    sub, dele, add = above[:-1], above[1:], here[:-1]
+    use_sub = (sub <= dele) & (sub <= add)
+    moves = np.where(columns == code, 0, np.where(use_sub, 1, np.where(dele <= add, 2, 3))).astype(np.uint8)
+    return np.concatenate([np.array([2], np.uint8), moves])
+
+
+def _trace(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """(move, i, j) from the end to the start of two texts, in memory of about 2 * sqrt(len(a)) * len(b) bytes.
+
+    Rows of the table differ by at most one from place to place, so a kept
+    row is its first value and a byte per place.
+    """
+    n, m = len(a), len(b)
+    ramp = np.arange(m + 1, dtype=np.int32)
+    every = max(1, int(np.sqrt(n)))
+    kept, row = [], ramp.copy()
+    for i in range(n):
+        if i % every == 0:
+            kept.append((int(row[0]), np.diff(row).astype(np.int8)))
+        row = _next_row(row, a[i], b, ramp)
+    out, i, j = [], n, m
+    while i:
+        block = (i - 1) // every
+        start, (first, steps) = block * every, kept[block]
+        row = np.concatenate([[first], first + np.cumsum(steps[:j], dtype=np.int32)]).astype(np.int32)
+        moves, part = [], ramp[: j + 1]
+        for k in range(start, i):
+            below = _next_row(row, a[k], b[:j], part)
+            moves.append(_row_moves(row, below, a[k], b[:j]))
+            row = below
+        while i > start:
+            kind = int(moves[i - 1 - start][j])
+            out.append((kind, i, j))
+            i, j = i - (kind != 3), j - (kind != 2)
+        kept.pop()
+    out += [(3, 0, k) for k in range(j, 0, -1)]
+    return out
+
+
 def _script(truth: str, prediction: str) -> list[dict]:
     a, b = _codes(truth), _codes(prediction)
     while len(a) and len(b) and a[-1] == b[-1]:     # a shared end is always matched
         a, b = a[:-1], b[:-1]
     if not len(a) and not len(b):
         return []
-    moves = _diagonals([a], [b], keep_moves=True)[3] if len(a) and len(b) else None
-    i, j, events = len(a), len(b), []
-    while i or j:
-        kind = 3 if not i else 2 if not j else moves[i, j]
-        ref, got = (chr(a[i - 1]) if i and kind != 3 else ""), (chr(b[j - 1]) if j and kind != 2 else "")
-        i, j = i - (kind != 3), j - (kind != 2)
-        if kind:
-            events.append(dict(op="MSDI"[kind], reference=ref, predicted=got, reference_pos=i, predicted_pos=j))
+    if len(a) and len(b) and len(a) * len(b) <= WHOLE_TABLE_CELLS:
+        moves = _diagonals([a], [b], keep_moves=True)[3]
+        steps, i, j = [], len(a), len(b)
+        while i or j:
+            kind = 3 if not i else 2 if not j else int(moves[i, j])
+            steps.append((kind, i, j))
+            i, j = i - (kind != 3), j - (kind != 2)
+    else:
+        steps = _trace(a, b)
+    events = [
+        dict(
+            op="MSDI"[kind], reference=chr(a[i - 1]) if kind != 3 else "", predicted=chr(b[j - 1]) if kind != 2 else "",
+            reference_pos=i - (kind != 3), predicted_pos=j - (kind != 2),
+        )
+        for kind, i, j in steps if kind
+    ]
     return events[::-1]
 
 
@@ -150,21 +211,16 @@ def edit_events(truth: Column, prediction: Column, ignore_ws: bool = False) -> C
 def _truth_options(raw: str, truth: str, index: int) -> tuple[set[str], bool]:
     """Truth characters that position `index` of raw meets over all minimum edits."""
 
-    def table(x: str, y: str) -> np.ndarray:
-        out = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-        ramp = np.arange(len(y) + 1)
-        out[0] = ramp
-        ys = _codes(y)
-        for r, code in enumerate(_codes(x), 1):
-            step = np.empty(len(y) + 1, np.int32)
-            step[0] = r
-            step[1:] = np.minimum(out[r - 1, :-1] + (ys != code), out[r - 1, 1:] + 1)
-            out[r] = np.minimum.accumulate(step - ramp) + ramp
-        return out
-
-    head = table(raw[:index], truth)[-1]
-    tail = table(raw[index + 1 :][::-1], truth[::-1])[-1][::-1]
-    differs = np.array([c != raw[index] for c in truth], np.int32)
+    def last_row(x: str, y: str) -> np.ndarray:
+        ys, ramp = _codes(y), np.arange(len(y) + 1, dtype=np.int32)
+        row = ramp.copy()
+        for code in _codes(x):
+            row = _next_row(row, code, ys, ramp)
+        return row
+
+    head = last_row(raw[:index], truth)
+    tail = last_row(raw[index + 1 :][::-1], truth[::-1])[::-1]
+    differs = (_codes(truth) != ord(raw[index])).astype(np.int32)
     paired = head[:-1] + differs + tail[1:]
     dropped = head + 1 + tail
     best = min(int(paired.min()) if len(truth) else dropped.min(), int(dropped.min()))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tierlens.functions import codes
 from tierlens.operators.policy import aligned_outcome, aligned_runs, aligned_verdict
 
 
@@ -21,12 +22,12 @@ def _unsupported(u: Column, c: Column, l: Column) -> Column:
     blank_only = lambda t: (t != "") & (F.trim(t) == "")
     leads = lambda t: F.startswith(t, F.lit(" "))
     return (
-        F.when(c.isNull(), "COUNT_TIER_UNAVAILABLE")
-        .when(c == "", "EMPTY_COUNT")
-        .when(u.rlike(other_space) | c.rlike(other_space) | l.rlike(other_space), "CONTROL_WHITESPACE")
-        .when(blank_only(u) | blank_only(l), "WHITESPACE_ONLY_SYMBOL_TIER")
-        .when(F.trim(c) == "", "WHITESPACE_ONLY_COUNT")
-        .when(leads(u) | leads(c) | leads(l), "LEADING_BLANKS_OBSERVED")
+        F.when(c.isNull(), codes.COUNT_TIER_UNAVAILABLE)
+        .when(c == "", codes.EMPTY_COUNT_OCR_NOT_IMAGE_ABSENCE)
+        .when(u.rlike(other_space) | c.rlike(other_space) | l.rlike(other_space), codes.NON_ASCII_OR_CONTROL_WHITESPACE)
+        .when(blank_only(u) | blank_only(l), codes.OPTIONAL_TIER_WHITESPACE_ONLY_IS_NOT_KNOWN_EMPTY)
+        .when(F.trim(c) == "", codes.COUNT_WHITESPACE_ONLY)
+        .when(leads(u) | leads(c) | leads(l), codes.OBSERVED_LEADING_BLANKS_REQUIRE_UNPROVEN_COMMON_CROP_NORMALIZATION)
     )
 
 
@@ -163,9 +164,9 @@ def review_policy(decisions: DataFrame, analysis: DataFrame, page: str) -> DataF
         (c("_status") == "consistent_candidate_found") & c("_exhaustive") & (c("_readings") >= 1) & ~c("_uncertain"), F.lit(False)
     )
     finding = (
-        F.when(~ready, "OCR_OR_SEGMENTATION_UNAVAILABLE").when(c("_contradiction"), "COMPLETE_TEXT_CONTRADICTION")
-        .when(c("_unsupported"), "UNSUPPORTED_REPRESENTATION").when(c("_uncertain"), "CANONICAL_INTERPRETATION_UNCERTAIN")
-        .when(~c("_exhaustive"), "SEARCH_CAP_REACHED").otherwise("INSUFFICIENT_ALIGNMENT_EVIDENCE")
+        F.when(~ready, codes.R3_OCR_OR_SEGMENTATION_UNAVAILABLE).when(c("_contradiction"), codes.R3_COMPLETE_TEXT_CONTRADICTION)
+        .when(c("_unsupported"), codes.R3_UNSUPPORTED_REPRESENTATION).when(c("_uncertain"), codes.R3_CANONICAL_INTERPRETATION_UNCERTAIN)
+        .when(~c("_exhaustive"), codes.R3_SEARCH_CAP_REACHED).otherwise(codes.R3_INSUFFICIENT_ALIGNMENT_EVIDENCE)
     )
     demoted = (c("outcome") == "ACCEPT") & ~supported
     return (
@@ -234,10 +235,10 @@ def measured_policy(decisions: DataFrame, found: DataFrame, measured: DataFrame,
     n_before, n_after = F.coalesce("readings_before", F.lit(0)), F.coalesce("readings_after", F.lit(0))
     positioned = F.coalesce("_measured", F.lit(False)) & ~F.coalesce("_doubt", F.lit(False))
     finding = (
-        F.when(~F.coalesce("_complete", F.lit(False)) | (n_before == 0), "ALIGNMENT_UNAVAILABLE")
-        .when(positioned & (n_after == 0), "MEASURED_POSITION_MISMATCH")
-        .when(positioned & (n_after > 1), "AMBIGUOUS_AFTER_MEASUREMENT")
-        .when(~positioned & (n_before != 1), "POSITION_UNAVAILABLE")
+        F.when(~F.coalesce("_complete", F.lit(False)) | (n_before == 0), codes.R3_1_ALIGNMENT_UNAVAILABLE)
+        .when(positioned & (n_after == 0), codes.R3_1_MEASURED_POSITION_MISMATCH)
+        .when(positioned & (n_after > 1), codes.R3_1_AMBIGUOUS_AFTER_MEASUREMENT)
+        .when(~positioned & (n_before != 1), codes.R3_1_POSITION_UNAVAILABLE)
     )
     asked = c("outcome") == "ACCEPT"
     return (

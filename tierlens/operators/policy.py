@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tierlens.functions import notation as N
+from tierlens.functions import codes, notation as N
 from tierlens.functions.bind import let
 from tierlens.functions.labels import fidelity_key, named_issues
 
@@ -153,9 +153,9 @@ def baseline_decision(pages: DataFrame) -> DataFrame:
     pick = F.coalesce(
         F.when(c("preprocessing_status").isin(*INDEPENDENT_INVALID),
                F.struct(F.lit("REJECT_INVALID").alias("o"), F.concat(F.lit("INPUT_"), F.upper("preprocessing_status")).alias("r"))),
-        F.when((c("preprocessing_status") != "ok") | ~c("segmentation_accepted"), F.struct(F.lit("REVIEW_UNCERTAIN").alias("o"), F.lit("NO_SAFE_PROPOSAL").alias("r"))),
+        F.when((c("preprocessing_status") != "ok") | ~c("segmentation_accepted"), F.struct(F.lit("REVIEW_UNCERTAIN").alias("o"), F.lit(codes.D1_NO_SAFE_PROPOSAL).alias("r"))),
         F.when(F.coalesce(c("ocr_status") != "ok", F.lit(True)), F.struct(F.lit("REVIEW_UNCERTAIN").alias("o"), F.lit("OCR_UNAVAILABLE").alias("r"))),
-        F.struct(F.lit("ACCEPT").alias("o"), F.lit("PROPOSAL_WITH_OUTPUT").alias("r")),
+        F.struct(F.lit("ACCEPT").alias("o"), F.lit(codes.D1_PROPOSAL_E1_OUTPUT).alias("r")),
     )
     return pages.withColumn("_d", pick).withColumn("outcome", F.col("_d.o")).withColumn("reason_codes", F.array("_d.r")).drop("_d")
 
@@ -189,7 +189,7 @@ def evidence_decision(pages: DataFrame, thresholds: dict[str, float | None] | No
         F.array_compact(
             F.array(
                 F.when(invalid, F.concat(F.lit("INPUT_"), F.upper("preprocessing_status"))),
-                F.when(unsafe, "NO_SAFE_PROPOSAL"),
+                F.when(unsafe, codes.D1_NO_SAFE_PROPOSAL),
                 F.when(no_text & ready, "OCR_UNAVAILABLE"),
                 F.when(checked & (c("syntax_outcome") != "ACCEPT"), c("syntax_code")),
             )
@@ -211,7 +211,7 @@ def gap_guard(decisions: DataFrame, rows: DataFrame, page: str) -> DataFrame:
     gaps = rows.where(count_gap(F.col("count"))).groupBy(page).agg(F.count(F.lit(1)).alias("gap_rows"))
     joined = decisions.join(gaps, page, "left").withColumn("gap_rows", F.coalesce("gap_rows", F.lit(0)))
     found = F.col("gap_rows") > 0
-    code = F.array_distinct(F.concat("reason_codes", F.array(F.lit("INTERNAL_COUNT_GAP"))))
+    code = F.array_distinct(F.concat("reason_codes", F.array(F.lit(codes.R2_INTERNAL_DECODED_COUNT_GAP))))
     return (
         joined.withColumn("outcome_before", F.col("outcome"))
         .withColumn("outcome", F.when(found & (F.col("outcome") == "ACCEPT"), "REVIEW_UNCERTAIN").otherwise(F.col("outcome")))
@@ -219,105 +219,6 @@ def gap_guard(decisions: DataFrame, rows: DataFrame, page: str) -> DataFrame:
     )
 
 
-# -- role-aware character repair ---------------------------------------------
-
-def mapping_targets(mapping: Sequence[tuple[str, str, str]], role: str) -> dict[str, list[str]]:
-    """Distinct legal targets per source character for one role."""
-    out: dict[str, list[str]] = {}
-    for source, target, where in mapping:
-        if where == role and len(target) == 1 and target in N.tier_alphabet(role) + " ":
-            out.setdefault(source, [])
-            if target not in out[source]:
-                out[source].append(target)
-    return out
-
-
-def repair_tier(text: Column, role: str, mapping: Sequence[tuple[str, str, str]], reliable: Column) -> Column:
-    """struct<text, corrections, uncertain, reasons> of one tier.
-
-    Only characters illegal on this tier are touched, only by a single verified
-    equivalent, and either all of them or none.
-    """
-    targets = mapping_targets(mapping, role)
-    single = {s: t[0] for s, t in targets.items() if len(t) == 1}
-    several = "".join(s for s, t in targets.items() if len(t) > 1)
-    residue = N.strip_to(text, " " + N.tier_alphabet(role))
-    none_left = N.strip_to(residue, "".join(targets)) if targets else residue
-    multiple = F.length(residue) - F.length(N.strip_to(residue, several)) if several else F.lit(0)
-    reasons = F.when(~reliable, F.array(F.lit("ROLE_NOT_RELIABLY_ESTABLISHED"))).otherwise(
-        named_issues([("NO_VERIFIED_EQUIVALENT", none_left != ""), ("MULTIPLE_EQUIVALENTS", multiple > 0)])
-    )
-    uncertain = F.size(reasons) > 0
-    fixed = F.translate(text, "".join(single), "".join(single.values())) if single else text
-    return F.struct(
-        F.when(uncertain, text).otherwise(fixed).alias("text"),
-        F.when(uncertain, 0).otherwise(F.length(residue)).alias("corrections"),
-        uncertain.alias("uncertain"),
-        reasons.alias("reasons"),
-    )
-
-
-def role_reliability(pages: DataFrame, margin: float) -> Column:
-    """Reasons why tier roles of a page may not be trusted."""
-    c = F.col
-    alternatives, gap = c("legal_alternatives"), c("role_margin")
-    supported = (alternatives == 1) | ((alternatives >= 2) & gap.isNotNull() & ~F.isnan(gap) & (gap >= margin))
-    ready = (c("preprocessing_status") == "ok") & c("segmentation_accepted") & F.coalesce(c("ocr_status") == "ok", F.lit(False))
-    return named_issues(
-        [
-            ("SEGMENTATION_OR_OCR_NOT_READY", ~ready),
-            ("ROLE_CONFIDENCE_NOT_SUPPORTED", ~F.coalesce(supported, F.lit(False))),
-            ("REJECTION_PRESENT", F.coalesce(c("rejection"), F.lit("")) != ""),
-        ]
-    )
-
-
-def interpret_rows(rows: DataFrame, pages: DataFrame, page: str, mapping: Sequence[tuple[str, str, str]], margin: float) -> DataFrame:
-    """Tier table after role-aware repair, with corrections and uncertainty per row."""
-    trust = pages.select(page, (F.size(role_reliability(pages, margin)) == 0).alias("_ok"))
-    joined = rows.join(trust, page)
-    for role in N.ROLES:
-        joined = joined.withColumn(f"_{role}", F.when(F.col(role).isNotNull(), repair_tier(F.col(role), role, mapping, F.col("_ok"))))
-    fixes = sum((F.coalesce(F.col(f"_{r}.corrections"), F.lit(0)) for r in N.ROLES), F.lit(0))
-    doubt = F.lit(False)
-    for r in N.ROLES:
-        doubt = doubt | F.coalesce(F.col(f"_{r}.uncertain"), F.lit(False))
-    kept = [c for c in rows.columns if c not in N.ROLES]
-    return joined.select(
-        *kept, *[F.col(f"_{r}.text").alias(r) for r in N.ROLES], fixes.alias("corrections"), doubt.alias("uncertain")
-    )
-
-
-def contextual_decision(
-    pages: DataFrame, rows: DataFrame, page: str, row: str, mapping: Sequence[tuple[str, str, str]], margin: float, enabled: bool = True
-) -> DataFrame:
-    """Decision on raw text, on interpreted text, and the guarded final outcome.
-
-    With `enabled=False` text is left alone and the raw decision stands.
-    """
-    raw = evidence_decision(validate_pages(pages, rows, page, row)).select(
-        *pages.columns, F.col("outcome").alias("raw_outcome"), F.col("reason_codes").alias("raw_reasons"),
-        F.col("syntax_outcome").alias("raw_syntax"),
-    )
-    if not enabled:
-        return raw.select(
-            "*", F.col("raw_outcome").alias("outcome"), F.col("raw_reasons").alias("reason_codes"),
-            F.lit(0).cast("long").alias("corrections"), F.lit(False).alias("uncertain"), F.lit(False).alias("syntax_resolved"),
-        )
-    fixed = interpret_rows(rows, pages, page, mapping, margin)
-    notes = fixed.groupBy(page).agg(F.sum("corrections").cast("long").alias("corrections"), F.bool_or("uncertain").alias("uncertain"))
-    new = evidence_decision(validate_pages(raw, fixed, page, row)).join(notes, page, "left")
-    doubt = F.coalesce("uncertain", F.lit(False))
-    held = doubt & (F.col("outcome") == "ACCEPT")
-    return (
-        new.withColumn("reason_codes", F.when(held, F.concat("reason_codes", F.array(F.lit("CONTEXT_UNCERTAIN")))).otherwise(F.col("reason_codes")))
-        .withColumn("outcome", F.when(held, "REVIEW_UNCERTAIN").otherwise(F.col("outcome")))
-        .withColumn("syntax_resolved", (F.col("raw_syntax") != "ACCEPT") & (F.col("syntax_outcome") == "ACCEPT"))
-        .withColumn("corrections", F.coalesce("corrections", F.lit(0)))
-        .withColumn("uncertain", doubt)
-    )
-
-
 def apply_predicate(df: DataFrame, predicate: Callable[..., Column], name: str, **config) -> DataFrame:
     """Adds the result of a caller's rule: a function of configuration that returns a column."""
     return df.withColumn(name, predicate(**config))

@@ -225,7 +225,7 @@ def outcomes(spark: SparkSession, sf: str, candidate: str = "R1") -> DataFrame:
         F.when(F.col("price") < review, "REVIEW_UNCERTAIN").when(invalid & (F.col("price") > reject), "REJECT_INVALID").otherwise("ACCEPT")
     )
     reasons = L.named_issues(
-        [("DECODED_UNSUPPORTED_OR_WRONG_TIER_GLYPH", wrong_tier), ("LOW_CONFIDENCE", F.col("price") < review), ("NO_SAFE_PROPOSAL", ~F.col("segmentation_accepted"))]
+        [("DECODED_UNSUPPORTED_OR_WRONG_TIER_GLYPH", wrong_tier), ("LOW_CONFIDENCE", F.col("price") < review), ("D1_NO_SAFE_PROPOSAL", ~F.col("segmentation_accepted"))]
     )
     return img.select(
         *[c for c in img.columns if c != "prediction"], prediction.alias("prediction"), F.lit(candidate).alias("candidate"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tierlens.functions import ctc as C, hashing as H, labels as L, notation as N
-from tierlens.functions.distance import assess_correction, edit_counts, edit_distance, edit_events
+from tierlens.functions.distance import edit_counts, edit_distance, edit_events
 from tierlens.operators import audit as A
 from tierlens.operators.metrics import page_errors, recognition_metrics, score_pairs
 from tierlens.operators.profile import character_counts
@@ -589,13 +589,3 @@ def a04(spark, sf):
     """Error rate and exact rate of all readings per tier (flagship)."""
     m = recognition_metrics(score_pairs(B.readings(spark, sf)), ["role"])
     return m.withColumn("cer", F.round("cer", 6)).withColumn("exact_accuracy", F.round("exact_accuracy", 6))
-
-
-@query("r09_correction_assessment")
-def r09(spark, sf):
-    """Are single-character corrections right under every minimum-edit alignment?"""
-    pairs = B.readings(spark, sf).select("truth", "prediction").distinct()
-    at = F.length("prediction") - 1
-    edits = pairs.where("prediction <> ''").select("truth", "prediction", at.alias("index"), F.substr("truth", F.length("truth"), F.lit(1)).alias("replacement"))
-    assessed = edits.withColumn("a", assess_correction(F.col("prediction"), F.col("truth"), F.col("index"), F.col("replacement")))
-    return assessed.select("truth", "prediction", "index", "replacement", "a.*")

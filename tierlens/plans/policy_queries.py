@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tierlens.functions import notation as N
-from tierlens.operators import alignment as X, audit as A, compare as P, policy as Y
+from tierlens.functions import codes, notation as N
+from tierlens.operators import alignment as X, audit as A, compare as P, interpretation as I, policy as Y
 from tierlens.plans import bindings as B
 from tierlens.plans.registry import query, with_ctes
 from tierlens.session import materialize
 
 STATUS = ["preprocessing_status", "segmentation_accepted", "ocr_status", "legal_alternatives", "role_margin", "rejection", "nonblank_geomean"]
-MAPPING = [("X", "B", "upper"), ("Y", "P", "upper"), ("Y", "F", "upper"), ("B", "R", "lower")]
 MARGIN = 0.1
+#: Verified look-alikes: source, target, role, status, font, sizes, mode, anchor.
+MAPPING = [
+    ("X", "B", "upper", "verified_exact_in_scope", "f1", [24, 48], "L", "lt_integer"), ("X", "B", "upper", "verified_exact_in_scope", "f2", [48], "L", "lt_integer"),
+    ("X", "P", "upper", "verified_exact_in_scope", "f2", [48], "L", "lt_integer"), ("X", "C", "upper", "proposed", "f1", [48], "L", "lt_integer"),
+    ("O", "S", "lower", "verified_exact_in_scope", "f1", [48], "L", "lt_integer"), ("O", "T", "lower", "verified_exact_in_scope", "f1", [24], "L", "lt_integer"),
+    ("X", "b", "upper", "verified_exact_in_scope", "f1", [48], "L", "lt_integer"), ("O", "T", "lower", "verified_exact_in_scope", "f1", [48], "1", "lt_integer"),
+]
+_MAPPING_COLUMNS = "source string, target string, target_role string, status string, font_sha256 string, verified_sizes array<int>, source_mode string, anchor string"
 
 
 def pages(spark, sf) -> DataFrame:
@@ -20,6 +27,37 @@ def pages(spark, sf) -> DataFrame:
     return B.images(spark, sf).select(F.col("image_id").alias("page"), *STATUS)
 
 
+def rendered_pages(spark, sf) -> DataFrame:
+    """Status and rendering scope of every page; some are uploads without canonical metadata, some have conflicting evidence."""
+    cents = F.floor("price").cast("long")
+    return B.images(spark, sf).select(
+        F.col("image_id").alias("page"), *STATUS, F.when(cents % 13 == 0, "f2").otherwise("f1").alias("font_sha256"),
+        F.when(cents % 3 == 1, 24).when(cents % 17 == 0, 30).otherwise(48).alias("font_size_px"), F.lit("L").alias("source_mode"), F.lit("lt_integer").alias("anchor"),
+        F.when(cents % 19 == 0, "upload").otherwise(codes.CANONICAL_RENDERING).alias("provenance"), F.when(cents % 23 == 0, "two scans").otherwise("").alias("conflicting_evidence"),
+    )
+
+
+def equivalents(spark) -> DataFrame:
+    return spark.createDataFrame(MAPPING, _MAPPING_COLUMNS)
+
+
+def tier_metadata(rows: DataFrame) -> DataFrame:
+    """Segmentation, observation and path records of the tiers; some are lacking, double or at odds, by a rule on page and row."""
+    k, records = (F.col("page") * 7 + F.col("row")) % 97, []
+    for at, r in enumerate(N.ROLES):
+        text = F.col(r)
+        box = F.concat_ws(",", F.col("row") * 30, F.lit(at * 10), F.length(text) * 8)
+        record = lambda kind, box, said: F.struct(F.lit(r).alias("role"), F.lit(kind).alias("kind"), box.alias("box"), said.alias("prediction"))  # noqa: B023,E731
+        none = F.lit(None).cast("string")
+        seen = record("observed", box, F.when(k == 0, F.concat(text, F.lit("A"))).otherwise(text))
+        records += [
+            F.when(text.isNotNull(), seen), F.when(text.isNotNull() & (k == 1), seen),
+            F.when(text.isNotNull() & (k != 2), record("segmentation", F.when(k == 3, F.concat(box, F.lit("0"))).otherwise(box), none)),
+            F.when(text.isNotNull() & ((k != 4) | (F.lit(r) != "lower")), record("path", none, none)),
+        ]
+    return rows.select("page", "row", F.explode(F.array_compact(F.array(*records))).alias("r")).select("page", "row", "r.*")
+
+
 _UP, _DOWN, _CNT = "'ABCDEFGHIJKLMNPQ'", r"'RSTUVWXYZ[\]^_'", "'abcdefghijklmnopqrstuvwxyz{|''()*+,'"
 
 
@@ -50,7 +88,7 @@ def _evidence_sql(src: str, out: str, low: str = "[]::VARCHAR[]") -> str:
     return f"""
 {out}_f AS (SELECT *, list_concat(list_filter([
     CASE WHEN preprocessing_status IN ('unreadable', 'no_ink') THEN 'INPUT_' || upper(preprocessing_status) END,
-    CASE WHEN preprocessing_status NOT IN ('unreadable', 'no_ink') AND (preprocessing_status <> 'ok' OR NOT segmentation_accepted) THEN 'NO_SAFE_PROPOSAL' END,
+    CASE WHEN preprocessing_status NOT IN ('unreadable', 'no_ink') AND (preprocessing_status <> 'ok' OR NOT segmentation_accepted) THEN 'D1_NO_SAFE_PROPOSAL' END,
     CASE WHEN coalesce(ocr_status <> 'ok', true) AND preprocessing_status = 'ok' AND segmentation_accepted THEN 'OCR_UNAVAILABLE' END,
     CASE WHEN (coalesce(ocr_status = 'ok', false) OR decoded_rows > 0) AND syntax_outcome <> 'ACCEPT' THEN syntax_code END], lambda x: x IS NOT NULL),
     CASE WHEN preprocessing_status = 'ok' AND segmentation_accepted AND coalesce(ocr_status = 'ok', false) THEN {low} ELSE [] END) AS f FROM {src}),
@@ -120,7 +158,7 @@ def r03(spark, sf):
 
 @query("r03_baseline_decision", with_ctes("""
 SELECT image_id AS page, CASE WHEN preprocessing_status IN ('unreadable', 'no_ink') THEN 'REJECT_INVALID' WHEN preprocessing_status <> 'ok' OR NOT segmentation_accepted OR coalesce(ocr_status <> 'ok', true) THEN 'REVIEW_UNCERTAIN' ELSE 'ACCEPT' END AS outcome,
-  CASE WHEN preprocessing_status IN ('unreadable', 'no_ink') THEN 'INPUT_' || upper(preprocessing_status) WHEN preprocessing_status <> 'ok' OR NOT segmentation_accepted THEN 'NO_SAFE_PROPOSAL' WHEN coalesce(ocr_status <> 'ok', true) THEN 'OCR_UNAVAILABLE' ELSE 'PROPOSAL_WITH_OUTPUT' END AS reason_codes
+  CASE WHEN preprocessing_status IN ('unreadable', 'no_ink') THEN 'INPUT_' || upper(preprocessing_status) WHEN preprocessing_status <> 'ok' OR NOT segmentation_accepted THEN 'D1_NO_SAFE_PROPOSAL' WHEN coalesce(ocr_status <> 'ok', true) THEN 'OCR_UNAVAILABLE' ELSE 'D1_PROPOSAL_E1_OUTPUT' END AS reason_codes
 FROM images""", B.IMAGES_SQL))
 def r03b(spark, sf):
     return Y.baseline_decision(pages(spark, sf)).select("page", "outcome", F.array_join("reason_codes", ";").alias("reason_codes"))
@@ -144,56 +182,83 @@ gapped AS (SELECT d.*, coalesce(g.n, 0) AS gap_rows FROM dec d LEFT JOIN (SELECT
 
 @query("r05_gap_guard", with_ctes("""
 SELECT page, gap_rows, outcome AS outcome_before, CASE WHEN gap_rows > 0 AND outcome = 'ACCEPT' THEN 'REVIEW_UNCERTAIN' ELSE outcome END AS outcome,
-  array_to_string(CASE WHEN gap_rows > 0 THEN list_append(reasons, 'INTERNAL_COUNT_GAP') ELSE reasons END, ';') AS reason_codes FROM gapped""", *_BASE, _syntax_sql("decoded", "syn"), _evidence_sql("syn", "dec"), _GAP_SQL))
+  array_to_string(CASE WHEN gap_rows > 0 THEN list_append(reasons, 'R2_INTERNAL_DECODED_COUNT_GAP') ELSE reasons END, ';') AS reason_codes FROM gapped""", *_BASE, _syntax_sql("decoded", "syn"), _evidence_sql("syn", "dec"), _GAP_SQL))
 def r05(spark, sf):
     rows = B.decoded(spark, sf)
     d = Y.gap_guard(Y.evidence_decision(Y.validate_pages(pages(spark, sf), rows, "page", "row")), rows, "page")
     return d.select("page", "gap_rows", "outcome_before", "outcome", F.array_join("reason_codes", ";").alias("reason_codes"))
 
 
-def _repair_sql(role: str, alphabet: str) -> str:
-    """Repair of one tier by the mapping above, written as a case list."""
-    single, several = {"upper": ("'X'", "'Y'"), "count": ("''", "''"), "lower": ("'B'", "''")}[role]
-    target = {"upper": "'B'", "count": "''", "lower": "'R'"}[role]
-    res = f"array_to_string(list_filter(string_split({role}, ''), lambda c: c NOT IN ('', ' ') AND strpos({alphabet}, c) = 0), '')"
-    none = f"len(list_filter(string_split({res}, ''), lambda c: c <> '' AND c NOT IN ({single}, {several}))) > 0"
-    multi = f"strpos({res}, {several}) > 0" if several != "''" else "false"
-    fixed = f"replace({role}, {single}, {target})" if single != "''" else role
-    return f"""CASE WHEN {role} IS NULL THEN NULL ELSE {{'doubt': NOT ok OR {none} OR {multi}, 'n': CASE WHEN NOT ok OR {none} OR {multi} THEN 0 ELSE length({res}) END, 't': CASE WHEN NOT ok OR {none} OR {multi} THEN {role} ELSE {fixed} END}} END AS x_{role}"""
-
-
-_RELIABLE_SQL = f"""
-reliable AS (SELECT image_id AS page, list_filter([CASE WHEN NOT (preprocessing_status = 'ok' AND segmentation_accepted AND coalesce(ocr_status = 'ok', false)) THEN 'SEGMENTATION_OR_OCR_NOT_READY' END,
-  CASE WHEN NOT (legal_alternatives = 1 OR coalesce(legal_alternatives >= 2 AND role_margin >= {MARGIN}, false)) THEN 'ROLE_CONFIDENCE_NOT_SUPPORTED' END, CASE WHEN rejection <> '' THEN 'REJECTION_PRESENT' END], lambda x: x IS NOT NULL) AS why FROM images)"""
+_MAPPING_SQL = "mapping AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{source}', '{target}', '{role}', '{status}', '{font}', {sizes}, '{mode}', '{anchor}')" for source, target, role, status, font, sizes, mode, anchor in MAPPING
+) + f""") m(source, target, role, status, font, sizes, mode, anchor)),
+equivalent AS (SELECT DISTINCT source, target, role, font, unnest(sizes) AS size, mode, anchor FROM mapping WHERE status = 'verified_exact_in_scope'
+  AND (role = 'upper' AND strpos({_UP}, target) > 0 OR role = 'lower' AND strpos({_DOWN}, target) > 0 OR role = 'count' AND strpos({_CNT}, target) > 0))"""
+_EVIDENCE_SQL = f"""
+page_why AS (SELECT image_id AS page, floor(price)::BIGINT AS cents, list_filter([CASE WHEN NOT (preprocessing_status = 'ok' AND segmentation_accepted AND coalesce(ocr_status = 'ok', false)) THEN 'D1_OR_OCR_NOT_READY' END,
+  CASE WHEN NOT (legal_alternatives = 1 OR coalesce(legal_alternatives >= 2 AND role_margin >= {MARGIN}, false)) THEN 'D1_ROLE_CONFIDENCE_NOT_SUPPORTED' END, CASE WHEN rejection <> '' THEN 'D1_REJECTION_PRESENT' END], lambda x: x IS NOT NULL) AS why FROM images),
+tier AS (SELECT page, row, role, text, (page * 7 + row) % 97 AS k FROM (
+  SELECT page, row, unnest(['upper', 'count', 'lower']) AS role, unnest([upper, count, lower]) AS text FROM decoded) WHERE text IS NOT NULL),
+evidence AS (SELECT t.*, p.cents, list_concat(p.why, list_filter([CASE WHEN k < 3 THEN 'D1_ROW_TIER_METADATA_CONFLICT' END, CASE WHEN k = 3 THEN 'D1_CROP_METADATA_CONFLICT' END,
+  CASE WHEN k = 4 AND role = 'lower' THEN 'D1_PATH_ROLE_CONFLICT' END], lambda x: x IS NOT NULL)) AS why FROM tier t JOIN page_why p ON p.page = t.page)"""
 _REPAIRED_SQL = f"""
-repaired_x AS (SELECT d.page, d.row, {_repair_sql('upper', _UP)}, {_repair_sql('count', _CNT)}, {_repair_sql('lower', _DOWN)}
-  FROM (SELECT decoded.*, len(r.why) = 0 AS ok FROM decoded JOIN reliable r ON r.page = decoded.page) d),
-repaired AS (SELECT page, row, x_upper.t AS upper, x_count.t AS count, x_lower.t AS lower, coalesce(x_upper.n, 0) + coalesce(x_count.n, 0) + coalesce(x_lower.n, 0) AS corrections,
-  coalesce(x_upper.doubt, false) OR coalesce(x_count.doubt, false) OR coalesce(x_lower.doubt, false) AS uncertain FROM repaired_x)"""
-
-
-@query("r06_tier_repair", with_ctes("SELECT page, row, upper, count, lower, corrections, uncertain FROM repaired", *_BASE, _RELIABLE_SQL, _REPAIRED_SQL))
+{_MAPPING_SQL},
+wrong AS (SELECT page, row, role, cents, i - 1 AS index, text[i] AS ch FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM evidence WHERE cents % 23 <> 0 AND len(why) = 0)
+  WHERE strpos(CASE role WHEN 'upper' THEN {_UP} WHEN 'lower' THEN {_DOWN} ELSE {_CNT} END || ' ', text[i]) = 0),
+options AS (SELECT w.page, w.row, w.role, w.index, w.ch, count(e.target) AS n, min(e.target) AS target FROM wrong w
+  LEFT JOIN equivalent e ON e.role = w.role AND e.source = w.ch AND cents % 19 <> 0 AND e.font = CASE WHEN cents % 13 = 0 THEN 'f2' ELSE 'f1' END
+   AND e.size = CASE WHEN cents % 3 = 1 THEN 24 WHEN cents % 17 = 0 THEN 30 ELSE 48 END AND e.mode = 'L' AND e.anchor = 'lt_integer' GROUP BY ALL),
+asked AS (SELECT page, row, role, min(index) FILTER (WHERE n = 0) AS none_at, min(index) FILTER (WHERE n > 1) AS many_at FROM options GROUP BY ALL),
+judged AS (SELECT e.page, e.row, e.role, e.text AS raw, CASE WHEN e.cents % 23 = 0 THEN ['T1_CONFLICTING_EVIDENCE'] WHEN len(e.why) > 0 THEN ['T1_ROLE_NOT_RELIABLY_ESTABLISHED'] WHEN a.page IS NULL THEN []
+   WHEN none_at IS NULL AND many_at IS NULL THEN [] WHEN many_at IS NULL THEN ['T1_NO_VERIFIED_ROLE_EQUIVALENT'] WHEN none_at IS NULL THEN ['T1_MULTIPLE_ROLE_EQUIVALENTS']
+   WHEN none_at < many_at THEN ['T1_NO_VERIFIED_ROLE_EQUIVALENT', 'T1_MULTIPLE_ROLE_EQUIVALENTS'] ELSE ['T1_MULTIPLE_ROLE_EQUIVALENTS', 'T1_NO_VERIFIED_ROLE_EQUIVALENT'] END AS doubts, a.page IS NOT NULL AS asked
+  FROM evidence e LEFT JOIN asked a ON a.page = e.page AND a.row = e.row AND a.role = e.role),
+edit AS (SELECT o.*, j.raw FROM options o JOIN judged j ON j.page = o.page AND j.row = o.row AND j.role = o.role WHERE len(doubts) = 0),
+fixed AS (SELECT j.page, j.row, j.role, doubts, asked, coalesce((SELECT string_agg(coalesce(e.target, x.ch), '' ORDER BY x.i) FROM (SELECT i - 1 AS i, j.raw[i] AS ch FROM range(1, length(j.raw) + 1) r(i)) x
+   LEFT JOIN edit e ON e.page = j.page AND e.row = j.row AND e.role = j.role AND e.index = x.i), j.raw) AS text,
+   coalesce(n, 0) AS n, edits FROM judged j LEFT JOIN (SELECT page, row, role, count(*) AS n, string_agg(role || ':' || index || ':' || ch || '>' || target, ';' ORDER BY index) AS edits FROM edit GROUP BY ALL) c
+   ON c.page = j.page AND c.row = j.row AND c.role = j.role),
+repaired AS (SELECT page, row, max(text) FILTER (role = 'upper') AS upper, max(text) FILTER (role = 'count') AS count, max(text) FILTER (role = 'lower') AS lower, sum(n)::INT AS corrections, bool_or(len(doubts) > 0) AS uncertain,
+   coalesce(string_agg(edits, ';' ORDER BY strpos('upper count lower', role)), '') AS edits,
+   string_agg(role || ':' || CASE WHEN len(doubts) > 0 THEN array_to_string(doubts, '+') WHEN asked THEN 'T1_VERIFIED_GLYPH_ROLE_DISAMBIGUATION' ELSE 'T1_NO_CHANGE_NEEDED' END, ';' ORDER BY strpos('upper count lower', role)) AS reasons
+  FROM fixed GROUP BY page, row)"""
+
+
+def interpreted(spark, sf, rows: DataFrame) -> DataFrame:
+    evidenced = I.role_evidence(rows, rendered_pages(spark, sf), tier_metadata(rows), "page", "row", MARGIN)
+    return I.interpret_rows(evidenced, equivalents(spark), "page", "row")
+
+
+@query("r06_tier_repair", with_ctes("SELECT page, row, upper, count, lower, corrections, uncertain, edits, reasons FROM repaired", *_BASE, _EVIDENCE_SQL, _REPAIRED_SQL))
 def r06(spark, sf):
-    return Y.interpret_rows(B.decoded(spark, sf), pages(spark, sf), "page", MAPPING, MARGIN)
+    """Interpreted tiers with every edit (role:index:original>replacement) and the reasons per tier."""
+    done = interpreted(spark, sf, B.decoded(spark, sf))
+    edit = F.transform("edits", lambda e: F.concat(e["role"], F.lit(":"), e["index"], F.lit(":"), e["original_character"], F.lit(">"), e["replacement_character"]))
+    of = lambda r: F.array_join(F.transform(F.filter("reasons", lambda x: x["role"] == r), lambda x: x["code"]), "+")
+    reasons = F.array_compact(F.array(*[F.when(F.col(r).isNotNull(), F.concat(F.lit(f"{r}:"), of(r))) for r in N.ROLES]))
+    return done.select("page", "row", *N.ROLES, "corrections", "uncertain", F.array_join(edit, ";").alias("edits"), F.array_join(reasons, ";").alias("reasons"))
 
 
-@query("r07_role_reliability", with_ctes("SELECT page, array_to_string(why, ';') AS reasons, len(why) = 0 AS reliable FROM reliable", B.IMAGES_SQL, _RELIABLE_SQL))
+@query("r07_role_reliability", with_ctes("SELECT page, row, role, array_to_string(why, ';') AS reasons, len(why) = 0 AS reliable FROM evidence", *_BASE, _EVIDENCE_SQL))
 def r07(spark, sf):
-    p = pages(spark, sf)
-    why = Y.role_reliability(p, MARGIN)
-    return p.select("page", F.array_join(why, ";").alias("reasons"), (F.size(why) == 0).alias("reliable"))
+    """Why a tier's role isn't reliably known: page, segmentation, observation and path at odds."""
+    rows = B.decoded(spark, sf)
+    told = I.role_evidence(rows, rendered_pages(spark, sf), tier_metadata(rows), "page", "row", MARGIN)
+    each = told.select("page", "row", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"evidence_{r}").alias("why")) for r in N.ROLES])).alias("t")).where("t.why is not null")
+    return each.select("page", "row", "t.role", F.array_join("t.why", ";").alias("reasons"), (F.size("t.why") == 0).alias("reliable"))
 
 
 _CONTEXT_SQL = """
 context AS (SELECT n.page, r.outcome AS raw_outcome, CASE WHEN coalesce(c.uncertain, false) AND n.outcome = 'ACCEPT' THEN 'REVIEW_UNCERTAIN' ELSE n.outcome END AS outcome,
-  CASE WHEN coalesce(c.uncertain, false) AND n.outcome = 'ACCEPT' THEN list_append(n.reasons, 'CONTEXT_UNCERTAIN') ELSE n.reasons END AS reasons, coalesce(c.corrections, 0)::BIGINT AS corrections,
+  CASE WHEN coalesce(c.uncertain, false) AND n.outcome = 'ACCEPT' THEN list_append(n.reasons, 'T1_CONTEXT_UNCERTAIN') ELSE n.reasons END AS reasons, coalesce(c.corrections, 0)::BIGINT AS corrections,
   coalesce(c.uncertain, false) AS uncertain, r.syntax_outcome <> 'ACCEPT' AND n.syntax_outcome = 'ACCEPT' AS syntax_resolved, n.preprocessing_status, n.segmentation_accepted, n.ocr_status
 FROM dec2 n JOIN dec r ON r.page = n.page LEFT JOIN (SELECT page, sum(corrections) AS corrections, bool_or(uncertain) AS uncertain FROM repaired GROUP BY page) c ON c.page = n.page)"""
-_CONTEXT = (*_BASE, _RELIABLE_SQL, _REPAIRED_SQL, _syntax_sql("decoded", "syn"), _evidence_sql("syn", "dec"), _syntax_sql("repaired", "syn2"), _evidence_sql("syn2", "dec2"), _CONTEXT_SQL)
+_CONTEXT = (*_BASE, _EVIDENCE_SQL, _REPAIRED_SQL, _syntax_sql("decoded", "syn"), _evidence_sql("syn", "dec"), _syntax_sql("repaired", "syn2"), _evidence_sql("syn2", "dec2"), _CONTEXT_SQL)
 
 
 def contextual(spark, sf, enabled: bool = True) -> DataFrame:
-    return Y.contextual_decision(pages(spark, sf), B.decoded(spark, sf), "page", "row", MAPPING, MARGIN, enabled)
+    rows = B.decoded_from(notation_once(spark, sf))
+    return I.contextual_decision(rendered_pages(spark, sf), rows, tier_metadata(rows), equivalents(spark), "page", "row", MARGIN, enabled)
 
 
 @query("r08_contextual_decision", with_ctes("SELECT page, raw_outcome, outcome, array_to_string(reasons, ';') AS reason_codes, corrections, uncertain, syntax_resolved FROM context", *_CONTEXT))
@@ -201,12 +266,39 @@ def r08(spark, sf):
     return contextual(spark, sf).select("page", "raw_outcome", "outcome", F.array_join("reason_codes", ";").alias("reason_codes"), "corrections", "uncertain", "syntax_resolved")
 
 
+def _verdict_sql(edits: str, out: str) -> str:
+    """Verdict of each edit (raw, truth, index, replacement): truth characters that the place meets over all minimum-edit alignments."""
+    return f"""
+{out}_cut AS (SELECT DISTINCT raw, truth, index, replacement, raw[:index] AS head, raw[index + 2:] AS tail, raw[index + 1] AS ch, levenshtein(raw, truth) AS best FROM {edits} WHERE truth IS NOT NULL),
+{out}_at AS (SELECT *, unnest(range(0, length(truth) + 1)) AS j FROM {out}_cut),
+{out}_way AS (SELECT raw, truth, index, replacement, levenshtein(head, truth[:j]) + 1 + levenshtein(tail, truth[j + 1:]) = best AS gone,
+   CASE WHEN j < length(truth) AND levenshtein(head, truth[:j]) + (ch <> truth[j + 1])::INT + levenshtein(tail, truth[j + 2:]) = best THEN truth[j + 1] END AS met FROM {out}_at),
+{out} AS (SELECT raw, truth, index, replacement, bool_or(gone) AS deletion_possible, array_to_string(list_sort(list(DISTINCT met) FILTER (met IS NOT NULL)), '') AS possible,
+   CASE WHEN count(DISTINCT met) = 1 AND NOT bool_or(gone) THEN CASE WHEN max(met) = any_value(replacement) THEN 'correct' ELSE 'incorrect' END ELSE 'uncertain_alignment' END AS assessment FROM {out}_way GROUP BY raw, truth, index, replacement)"""
+
+
+_JUDGED_SQL = """
+judged_edit AS (SELECT e.page, e.row, e.role, e.index, e.ch, e.target AS replacement, e.raw, CASE e.role WHEN 'upper' THEN nullif(ltrim(n.upper), '') WHEN 'count' THEN n.count ELSE nullif(ltrim(n.lower), '') END AS truth
+  FROM edit e LEFT JOIN notation n ON n.page = e.page AND n.row = e.row)"""
+
+
+@query("r09_correction_assessment", with_ctes("""
+SELECT e.page, e.row, e.role, e.index::INT AS index, e.ch AS original_character, e.replacement AS replacement_character, coalesce(v.assessment, 'uncertain_alignment') AS assessment, coalesce(v.possible, '') AS possible, coalesce(v.deletion_possible, true) AS deletion_possible
+FROM judged_edit e LEFT JOIN verdict v ON v.raw = e.raw AND v.truth = e.truth AND v.index = e.index AND v.replacement = e.replacement""", *_BASE, _EVIDENCE_SQL, _REPAIRED_SQL, _JUDGED_SQL, _verdict_sql("judged_edit", "verdict")))
+def r09(spark, sf):
+    """Are the edits of the interpretation right under every minimum-edit alignment with the truth?"""
+    notation = notation_once(spark, sf)
+    cut = lambda c: F.nullif(F.ltrim(F.col(c)), F.lit(""))
+    truth = notation.select("page", "row", cut("upper").alias("upper"), "count", cut("lower").alias("lower"))
+    return I.correction_verdicts(interpreted(spark, sf, B.decoded_from(notation)), truth, "page", "row")
+
+
 # -- alignment search --------------------------------------------------------
 
 _SEARCH_SQL = r"""
 search_rows AS (SELECT page, row, coalesce(upper, '') AS u0, count AS c, coalesce(lower, '') AS l0 FROM decoded),
-search_ok AS (SELECT *, CASE WHEN c IS NULL THEN 'COUNT_TIER_UNAVAILABLE' WHEN c = '' THEN 'EMPTY_COUNT' WHEN regexp_matches(u0, '[\t\r\n]') OR regexp_matches(c, '[\t\r\n]') OR regexp_matches(l0, '[\t\r\n]') THEN 'CONTROL_WHITESPACE'
-   WHEN (u0 <> '' AND trim(u0) = '') OR (l0 <> '' AND trim(l0) = '') THEN 'WHITESPACE_ONLY_SYMBOL_TIER' WHEN trim(c) = '' THEN 'WHITESPACE_ONLY_COUNT' WHEN u0 LIKE ' %' OR c LIKE ' %' OR l0 LIKE ' %' THEN 'LEADING_BLANKS_OBSERVED' END AS unsupported FROM search_rows),
+search_ok AS (SELECT *, CASE WHEN c IS NULL THEN 'COUNT_TIER_UNAVAILABLE' WHEN c = '' THEN 'EMPTY_COUNT_OCR_NOT_IMAGE_ABSENCE' WHEN regexp_matches(u0, '[\t\r\n]') OR regexp_matches(c, '[\t\r\n]') OR regexp_matches(l0, '[\t\r\n]') THEN 'NON_ASCII_OR_CONTROL_WHITESPACE'
+   WHEN (u0 <> '' AND trim(u0) = '') OR (l0 <> '' AND trim(l0) = '') THEN 'OPTIONAL_TIER_WHITESPACE_ONLY_IS_NOT_KNOWN_EMPTY' WHEN trim(c) = '' THEN 'COUNT_WHITESPACE_ONLY' WHEN u0 LIKE ' %' OR c LIKE ' %' OR l0 LIKE ' %' THEN 'OBSERVED_LEADING_BLANKS_REQUIRE_UNPROVEN_COMMON_CROP_NORMALIZATION' END AS unsupported FROM search_rows),
 search_size AS (SELECT *, coalesce(unsupported IS NULL AND length(u0) <= length(c) AND length(l0) <= length(c), false) AS fits FROM search_ok),
 search_offsets AS (SELECT *, list_concat(
    CASE WHEN fits AND u0 <> '' THEN list_transform(range(0, CASE WHEN l0 <> '' THEN length(c) - length(l0) ELSE 0 END + 1), lambda o: {'ou': 0::BIGINT, 'ol': o}) ELSE [] END,
@@ -265,7 +357,7 @@ def r11(spark, sf):
 
 _REVIEW_SQL = """
 reviewed AS (SELECT d.page, d.outcome AS outcome_before, d.outcome = 'ACCEPT' AND NOT coalesce(d.preprocessing_status = 'ok' AND d.segmentation_accepted AND d.ocr_status = 'ok' AND a.status = 'consistent_candidate_found' AND a.exhaustive AND a.readings >= 1 AND NOT a.uncertain, false) AS new_review,
-   CASE WHEN a.contradiction THEN 'COMPLETE_TEXT_CONTRADICTION' WHEN a.unsupported THEN 'UNSUPPORTED_REPRESENTATION' WHEN a.uncertain THEN 'CANONICAL_INTERPRETATION_UNCERTAIN' ELSE 'INSUFFICIENT_ALIGNMENT_EVIDENCE' END AS finding, d.reasons
+   CASE WHEN a.contradiction THEN 'R3_COMPLETE_TEXT_CONTRADICTION' WHEN a.unsupported THEN 'R3_UNSUPPORTED_REPRESENTATION' WHEN a.uncertain THEN 'R3_CANONICAL_INTERPRETATION_UNCERTAIN' ELSE 'R3_INSUFFICIENT_ALIGNMENT_EVIDENCE' END AS finding, d.reasons
    FROM dec d LEFT JOIN combined a ON a.page = d.page)"""
 _REVIEW = (*_SEARCH, B.IMAGES_SQL, _syntax_sql("decoded", "syn"), _evidence_sql("syn", "dec"), _ANALYSIS_SQL, _totals_sql("totals", "count(*)"), _combined_sql("combined", "totals"), _REVIEW_SQL)
 
@@ -339,7 +431,7 @@ n1 AS (SELECT page, sum(readings) AS n, CASE WHEN sum(readings) = 1 THEN max(row
 n2 AS (SELECT page, sum(readings) AS n, CASE WHEN sum(readings) = 1 THEN max(row_total) END AS t FROM rtotals GROUP BY page),
 final AS (SELECT r.page, r.out AS outcome_before, coalesce(p.exhaustive AND NOT p.uncertain, false) AS complete, coalesce(n1.n, 0) AS nb, coalesce(n2.n, 0) AS na, n1.t AS tb, n2.t AS ta, coalesce(avail.ok, false) AND NOT coalesce(doubt.d, false) AS pos, p.page IS NULL AS no_rows
   FROM (SELECT page, CASE WHEN new_review THEN 'REVIEW_UNCERTAIN' ELSE outcome_before END AS out FROM reviewed) r LEFT JOIN page_rows p ON p.page = r.page LEFT JOIN n1 ON n1.page = r.page LEFT JOIN n2 ON n2.page = r.page LEFT JOIN doubt ON doubt.page = r.page LEFT JOIN avail ON avail.page = r.page),
-judged AS (SELECT *, CASE WHEN outcome_before = 'ACCEPT' THEN CASE WHEN NOT complete OR nb = 0 THEN 'ALIGNMENT_UNAVAILABLE' WHEN pos AND na = 0 THEN 'MEASURED_POSITION_MISMATCH' WHEN pos AND na > 1 THEN 'AMBIGUOUS_AFTER_MEASUREMENT' WHEN NOT pos AND nb <> 1 THEN 'POSITION_UNAVAILABLE' END END AS finding FROM final)"""
+judged AS (SELECT *, CASE WHEN outcome_before = 'ACCEPT' THEN CASE WHEN NOT complete OR nb = 0 THEN 'R3_1_ALIGNMENT_UNAVAILABLE' WHEN pos AND na = 0 THEN 'R3_1_MEASURED_POSITION_MISMATCH' WHEN pos AND na > 1 THEN 'R3_1_AMBIGUOUS_AFTER_MEASUREMENT' WHEN NOT pos AND nb <> 1 THEN 'R3_1_POSITION_UNAVAILABLE' END END AS finding FROM final)"""
 
 
 @query("r14_measured_policy", with_ctes("""

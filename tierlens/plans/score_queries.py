@@ -180,7 +180,7 @@ def a16(spark, sf):
 
 @query("a17_reason_counts", with_ctes("""
 SELECT 'DECODED_UNSUPPORTED_OR_WRONG_TIER_GLYPH' AS reason_code, count(*) AS images FROM r1 WHERE wrong_tier UNION ALL SELECT 'LOW_CONFIDENCE', count(*) FROM r1 WHERE low
-UNION ALL SELECT 'NO_SAFE_PROPOSAL', count(*) FROM r1 WHERE unsafe""", B.IMAGES_SQL, _R1))
+UNION ALL SELECT 'D1_NO_SAFE_PROPOSAL', count(*) FROM r1 WHERE unsafe""", B.IMAGES_SQL, _R1))
 def a17(spark, sf):
     return M.reason_counts(B.outcomes(spark, sf), "reason_codes")
 
