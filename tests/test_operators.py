@@ -382,3 +382,27 @@ def test_thresholds_need_enough_finite_values(spark):
         with pytest.raises(Exception, match=why):
             K.order_statistic(bad, "v", 0.05, minimum=20).collect()
     assert K.order_statistic(few.union(few), "v", 0.05, minimum=20).first()["threshold"] == 0.0  # place 1 of 0, 0, 1, 1, ...
+
+
+def test_policy_metrics_count_edits_failures_and_triggers(spark):
+    rows = [
+        ("p", "INVALID", "REVIEW_UNCERTAIN", ["DECODED_UNSUPPORTED_OR_WRONG_TIER_GLYPH", "LOW", "LOW"], "ACCEPT", 2, 1, 0, True, None),
+        ("p", "INVALID", "ACCEPT", [], "REJECT_INVALID", 0, 0, 3, False, "timeout"), ("q", "VALID", "REVIEW_UNCERTAIN", ["LOW"], "ACCEPT", None, None, None, False, None),
+    ]
+    df = spark.createDataFrame(rows, "parent string, validity string, outcome string, reason_codes array<string>, interpreted_syntax string, correct_edits long, incorrect_edits long, unknown_edits long, ocr_failure boolean, pipeline_exception string")
+    df = df.selectExpr("*", "0 as edits", "0 as raw_edits", "3 as characters", "true as exact", "true as raw_exact", "0 as corrections", "'ACCEPT' as expected_outcome", "reason_codes as raw_reason_codes")
+    got = {(r["dimension"], r["value"]): r for r in M.policy_slices(df, ["parent", "validity"]).collect()}
+    assert set(got) == {("overall", "all"), ("parent", "p"), ("parent", "q"), ("validity", "VALID"), ("validity", "INVALID")}
+    whole = got["overall", "all"]
+    assert [whole[c] for c in ("correct_edits", "incorrect_edits", "unknown_edits", "ocr_failures", "pipeline_exceptions", "preprocessing_failures")] == [2, 1, 3, 1, 1, 0]
+    assert (whole["wrong_tier_reviews"], whole["raw_wrong_tier_images"], whole["invalid_syntax_passes"]) == (1, 1, 1)
+    assert whole["invalid_interpreted_syntax_pass_rate"] == 0.5 and got["validity", "INVALID"]["images"] == 2 and got["validity", "VALID"]["invalid_interpreted_syntax_pass_rate"] is None
+    alone = M.policy_metrics(df, ["parent"]).where("parent = 'q'").first()
+    assert alone["correct_edits"] == 0 and alone["images"] == 1
+    assert {(r["code"], r["images"]) for r in M.rule_triggers(df).collect()} == {("DECODED_UNSUPPORTED_OR_WRONG_TIER_GLYPH", 1), ("LOW", 2)}
+
+
+def test_verdict_counts_per_record(spark):
+    edits = spark.createDataFrame([(1, "AX", "AB", 1, "B"), (1, "AX", "AC", 1, "B"), (2, "AX", "AB", 1, "B"), (2, "X", None, 0, "B")], "id int, raw string, truth string, index int, replacement string")
+    got = {r["id"]: tuple(r)[1:] for r in M.edit_verdict_counts(edits, "id").collect()}
+    assert got == {1: (1, 1, 0), 2: (1, 0, 1)}

@@ -1,5 +1,8 @@
 """Reason codes of the decision stages: fixed values that users filter on."""
 
+# fixed value: a decoded character that its tier can't have
+WRONG_GLYPH = "DECODED_UNSUPPORTED_OR_WRONG_TIER_GLYPH"
+
 # fixed values: segmentation (D1) and recognition (E1)
 D1_NO_SAFE_PROPOSAL = "D1_NO_SAFE_PROPOSAL"
 D1_PROPOSAL_E1_OUTPUT = "D1_PROPOSAL_E1_OUTPUT"

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tierlens.functions.distance import edit_distance, edit_events
+from tierlens.functions.codes import WRONG_GLYPH
+from tierlens.functions.distance import assess_correction, edit_distance, edit_events
 from tierlens.functions.labels import named_issues, ratio
 from tierlens.operators.ranking import exact_quantiles
 from tierlens.session import join_null_safe
@@ -96,13 +97,18 @@ def three_way(df: DataFrame, validity: str = "validity", outcome: str = "outcome
     return df.groupBy(validity).pivot(outcome, list(OUTCOMES)).agg(F.count(F.lit(1))).na.fill(0, list(OUTCOMES))
 
 
-def policy_columns() -> dict[str, Column]:
+def policy_columns(columns: Sequence[str]) -> dict[str, Column]:
     """Counts behind the policy rates, by name (aggregate expressions).
 
     Needs validity, outcome, expected_outcome, raw_edits, edits, characters,
-    raw_exact, exact, reason_codes, corrections.
+    raw_exact, exact, reason_codes, corrections.  Counted where the table has
+    them: correct_edits, incorrect_edits, unknown_edits (of edit_verdict_counts),
+    interpreted_syntax, raw_reason_codes, preprocessing_failure,
+    segmentation_failure, ocr_failure, pipeline_exception.
     """
     c = F.col
+    have = lambda name, value: value if name in columns else F.lit(False)
+    many = lambda name: F.coalesce(F.sum(c(name)), F.lit(0)).cast("long") if name in columns else F.lit(0).cast("long")
     valid, invalid = c("validity") == "VALID", c("validity") == "INVALID"
     scorable = valid & c("edits").isNotNull() & (c("characters") > 0)
     accept, reject, review = [c("outcome") == o for o in OUTCOMES]
@@ -121,6 +127,12 @@ def policy_columns() -> dict[str, Column]:
         "expected_met": n(c("outcome") == c("expected_outcome")),
         "corrected_images": n(c("corrections") > 0), "corrections": F.sum("corrections").cast("long"),
         "worsened_images": n(scorable & (c("edits") > c("raw_edits"))),
+        "invalid_syntax_passes": n(invalid & have("interpreted_syntax", c("interpreted_syntax") == "ACCEPT")),
+        "preprocessing_failures": n(have("preprocessing_failure", c("preprocessing_failure"))), "segmentation_failures": n(have("segmentation_failure", c("segmentation_failure"))),
+        "ocr_failures": n(have("ocr_failure", c("ocr_failure"))), "pipeline_exceptions": n(have("pipeline_exception", c("pipeline_exception").isNotNull())),
+        "raw_wrong_tier_images": n(have("raw_reason_codes", F.array_contains("raw_reason_codes", WRONG_GLYPH))),
+        "wrong_tier_reviews": n(review & F.array_contains(c("reason_codes").cast("array<string>"), WRONG_GLYPH)),
+        "correct_edits": many("correct_edits"), "incorrect_edits": many("incorrect_edits"), "unknown_edits": many("unknown_edits"),
     }
 
 
@@ -139,15 +151,56 @@ POLICY_RATES = {
     "accepted_output_correctness": ("accepted_exact", "accepted_scorable"),
     "end_to_end_page_correctness": ("accepted_exact", "scorable"),
     "expected_outcome_accuracy": ("expected_met", "images"),
+    "invalid_interpreted_syntax_pass_rate": ("invalid_syntax_passes", "invalid"),
 }
 
 
 def policy_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts and null-safe rates of an outcome table per group."""
-    counts = df.groupBy(*by).agg(*[e.alias(k) for k, e in policy_columns().items()])
+    counts = df.groupBy(*by).agg(*[e.alias(k) for k, e in policy_columns(df.columns).items()])
+    return _with_policy_rates(counts)
+
+
+def _with_policy_rates(counts: DataFrame) -> DataFrame:
     return counts.select("*", *[ratio(F.col(a), F.col(b)).alias(k) for k, (a, b) in POLICY_RATES.items()])
 
 
+def policy_slices(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    """policy_metrics overall and per value of each dimension, in one pass over the rows (grouping sets)."""
+    # the rows' own columns stay apart from the dimensions, which grouping sets null out
+    keys = [f"_d_{d}" for d in dimensions]
+    named = df.select("*", *[F.col(d).cast("string").alias(k) for d, k in zip(dimensions, keys)])
+    counts = named.groupingSets([[], *[[F.col(k)] for k in keys]], *[F.col(k) for k in keys]).agg(
+        *[e.alias(k) for k, e in policy_columns(df.columns).items()], *[F.grouping(k).alias(f"_g{k}") for k in keys]
+    )
+    name, value = F.lit("overall"), F.lit("all")
+    for d, k in zip(dimensions, keys):
+        name = F.when(F.col(f"_g{k}") == 0, d).otherwise(name)
+        value = F.when(F.col(f"_g{k}") == 0, F.col(k)).otherwise(value)
+    return _with_policy_rates(counts.withColumn("dimension", name).withColumn("value", value)).drop(*keys, *[f"_g{k}" for k in keys])
+
+
+def rule_triggers(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(code, images) per group: records in which a reason code stands, however often."""
+    codes = df.select(*by, F.explode(F.array_distinct("reason_codes")).alias("code"))
+    return codes.groupBy(*by, "code").agg(F.count(F.lit(1)).alias("images"))
+
+
+def edit_verdict_counts(edits: DataFrame, key: str) -> DataFrame:
+    """(key, correct_edits, incorrect_edits, unknown_edits) of character edits (key, raw, truth, index, replacement).
+
+    Equal edits of equal texts are judged once.
+    """
+    parts = ["raw", "truth", "index", "replacement"]
+    times = edits.groupBy(key, *parts).agg(F.count(F.lit(1)).alias("_n"))
+    judged = times.select(*parts).distinct().withColumn("_a", assess_correction(F.col("raw"), F.col("truth"), F.col("index"), F.col("replacement"))["assessment"])
+    known = F.col("_a").isin("correct", "incorrect")
+    summed = lambda cond: F.sum(F.when(cond, F.col("_n")).otherwise(0)).cast("long")
+    return join_null_safe(times, judged, parts).groupBy(key).agg(
+        summed(F.col("_a") == "correct").alias("correct_edits"), summed(F.col("_a") == "incorrect").alias("incorrect_edits"), summed(~known).alias("unknown_edits")
+    )
+
+
 def macro_average(df: DataFrame, owner: str, rates: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Mean over owners of each owner's rate; owners without a denominator are skipped."""
     per_owner = policy_metrics(df, [*by, owner])

@@ -16,7 +16,7 @@ from tierlens.functions.bind import let
 from tierlens.functions.labels import fidelity_key, named_issues
 
 VIOLATION = "struct<outcome:string,code:string,row:bigint,role:string,glyphs:string>"
-WRONG_GLYPH = "DECODED_UNSUPPORTED_OR_WRONG_TIER_GLYPH"
+WRONG_GLYPH = codes.WRONG_GLYPH
 
 
 def _violation(outcome: str, code: str, row: Column, role: str | None = None, glyphs: Column | None = None) -> Column:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tierlens.functions import hashing as H, labels as L, notation as N
+from tierlens.operators.metrics import edit_verdict_counts
 
 SEED = 42
 
@@ -239,7 +240,9 @@ def outcomes(spark: SparkSession, sf: str, candidate: str = "R1") -> DataFrame:
         F.col("preprocessing_status").isin("no_ink", "unreadable").alias("preprocessing_failure"),
         (F.col("segmentation_accepted") & (F.col("ocr_status") != "ok")).alias("ocr_failure"),
         F.when(F.col("price") > 498000, "timeout").alias("pipeline_exception"),
-        L.length_group(F.length("truth")).alias("length_group"),
+        L.length_group(F.length("truth")).alias("length_group"), L.row_group(F.col("legal_alternatives")).alias("row_group"),
+        F.when(prediction.rlike("[01]"), "REJECT_INVALID").otherwise("ACCEPT").alias("interpreted_syntax"),
+        L.named_issues([("DECODED_UNSUPPORTED_OR_WRONG_TIER_GLYPH", F.col("raw_prediction").rlike("[01]"))]).alias("raw_reason_codes"),
     )
 
 
@@ -262,10 +265,44 @@ def outcomes_sql(name: str, candidate: str) -> str:
          preprocessing_status IN ('no_ink', 'unreadable') AS preprocessing_failure,
          segmentation_accepted AND ocr_status <> 'ok' AS ocr_failure,
          CASE WHEN price > 498000 THEN 'timeout' END AS pipeline_exception,
-         CASE WHEN length(truth) <= 4 THEN 'short_le4' WHEN length(truth) < 65 THEN 'medium_5_to64' ELSE 'long_ge65' END AS length_group
+         CASE WHEN length(truth) <= 4 THEN 'short_le4' WHEN length(truth) < 65 THEN 'medium_5_to64' ELSE 'long_ge65' END AS length_group,
+         CASE WHEN legal_alternatives = 1 THEN 'single_row' ELSE 'multi_row' END AS row_group,
+         NOT regexp_matches({p}, '[01]') AS syntax_passes, regexp_matches(raw_prediction, '[01]') AS raw_wrong_tier
   FROM images)"""
 
 
+def judged_outcomes(spark: SparkSession, sf: str, candidate: str = "R1") -> DataFrame:
+    """Outcomes with the number of correct, incorrect and unknown character edits of each record."""
+    out = outcomes(spark, sf, candidate)
+    same = (F.length("prediction") == F.length("raw_prediction")) & (F.col("prediction") != F.col("raw_prediction"))
+    at = F.sequence(F.lit(0), F.length("prediction") - 1)
+    edits = out.where(same).select("image_id", F.col("raw_prediction").alias("raw"), "truth", "prediction", F.explode(at).alias("index"))
+    place = F.col("index") + 1
+    edits = edits.withColumn("replacement", F.substr("prediction", place, F.lit(1))).where(F.col("replacement") != F.substr("raw", place, F.lit(1)))
+    counts = edit_verdict_counts(edits.drop("prediction"), "image_id")
+    return out.join(counts, "image_id", "left")
+
+
+def verdict_sql(edits: str, out: str) -> str:
+    """Verdict of each edit (raw, truth, index, replacement): truth characters that the place meets over all minimum-edit alignments."""
+    return f"""
+{out}_cut AS (SELECT DISTINCT raw, truth, index, replacement, raw[:index] AS head, raw[index + 2:] AS tail, raw[index + 1] AS ch, levenshtein(raw, truth) AS best FROM {edits} WHERE truth IS NOT NULL),
+{out}_at AS (SELECT *, unnest(range(0, length(truth) + 1)) AS j FROM {out}_cut),
+{out}_way AS (SELECT raw, truth, index, replacement, levenshtein(head, truth[:j]) + 1 + levenshtein(tail, truth[j + 1:]) = best AS gone,
+   CASE WHEN j < length(truth) AND levenshtein(head, truth[:j]) + (ch <> truth[j + 1])::INT + levenshtein(tail, truth[j + 2:]) = best THEN truth[j + 1] END AS met FROM {out}_at),
+{out} AS (SELECT raw, truth, index, replacement, bool_or(gone) AS deletion_possible, array_to_string(list_sort(list(DISTINCT met) FILTER (met IS NOT NULL)), '') AS possible,
+   CASE WHEN count(DISTINCT met) = 1 AND NOT bool_or(gone) THEN CASE WHEN max(met) = any_value(replacement) THEN 'correct' ELSE 'incorrect' END ELSE 'uncertain_alignment' END AS assessment FROM {out}_way GROUP BY raw, truth, index, replacement)"""
+
+
+def judged_sql(source: str, out: str) -> str:
+    """SQL of `judged_outcomes` over outcomes called `source`."""
+    return f"""
+{out}_edit AS (SELECT image_id, raw_prediction AS raw, truth, i AS index, prediction[i + 1] AS replacement FROM (SELECT *, unnest(range(0, length(prediction))) AS i FROM {source} WHERE length(prediction) = length(raw_prediction) AND prediction <> raw_prediction)
+  WHERE prediction[i + 1] <> raw_prediction[i + 1]),{verdict_sql(f"{out}_edit", f"{out}_verdict")},
+{out} AS (SELECT s.*, v.* EXCLUDE (id) FROM {source} s LEFT JOIN (SELECT image_id AS id, count(*) FILTER (assessment = 'correct') AS correct_edits, count(*) FILTER (assessment = 'incorrect') AS incorrect_edits,
+  count(*) FILTER (assessment NOT IN ('correct', 'incorrect')) AS unknown_edits FROM {out}_edit e JOIN {out}_verdict USING (raw, truth, index, replacement) GROUP BY image_id) v ON v.id = s.image_id)"""
+
+
 CANDIDATES = ("C4", "C5", "D1")
 _FLOORS = {"C4": 60000, "C5": 30000, "D1": 45000}
 

@@ -266,17 +266,6 @@ def r08(spark, sf):
     return contextual(spark, sf).select("page", "raw_outcome", "outcome", F.array_join("reason_codes", ";").alias("reason_codes"), "corrections", "uncertain", "syntax_resolved")
 
 
-def _verdict_sql(edits: str, out: str) -> str:
-    """Verdict of each edit (raw, truth, index, replacement): truth characters that the place meets over all minimum-edit alignments."""
-    return f"""
-{out}_cut AS (SELECT DISTINCT raw, truth, index, replacement, raw[:index] AS head, raw[index + 2:] AS tail, raw[index + 1] AS ch, levenshtein(raw, truth) AS best FROM {edits} WHERE truth IS NOT NULL),
-{out}_at AS (SELECT *, unnest(range(0, length(truth) + 1)) AS j FROM {out}_cut),
-{out}_way AS (SELECT raw, truth, index, replacement, levenshtein(head, truth[:j]) + 1 + levenshtein(tail, truth[j + 1:]) = best AS gone,
-   CASE WHEN j < length(truth) AND levenshtein(head, truth[:j]) + (ch <> truth[j + 1])::INT + levenshtein(tail, truth[j + 2:]) = best THEN truth[j + 1] END AS met FROM {out}_at),
-{out} AS (SELECT raw, truth, index, replacement, bool_or(gone) AS deletion_possible, array_to_string(list_sort(list(DISTINCT met) FILTER (met IS NOT NULL)), '') AS possible,
-   CASE WHEN count(DISTINCT met) = 1 AND NOT bool_or(gone) THEN CASE WHEN max(met) = any_value(replacement) THEN 'correct' ELSE 'incorrect' END ELSE 'uncertain_alignment' END AS assessment FROM {out}_way GROUP BY raw, truth, index, replacement)"""
-
-
 _JUDGED_SQL = """
 judged_edit AS (SELECT e.page, e.row, e.role, e.index, e.ch, e.target AS replacement, e.raw, CASE e.role WHEN 'upper' THEN nullif(ltrim(n.upper), '') WHEN 'count' THEN n.count ELSE nullif(ltrim(n.lower), '') END AS truth
   FROM edit e LEFT JOIN notation n ON n.page = e.page AND n.row = e.row)"""
@@ -284,7 +273,7 @@ judged_edit AS (SELECT e.page, e.row, e.role, e.index, e.ch, e.target AS replace
 
 @query("r09_correction_assessment", with_ctes("""
 SELECT e.page, e.row, e.role, e.index::INT AS index, e.ch AS original_character, e.replacement AS replacement_character, coalesce(v.assessment, 'uncertain_alignment') AS assessment, coalesce(v.possible, '') AS possible, coalesce(v.deletion_possible, true) AS deletion_possible
-FROM judged_edit e LEFT JOIN verdict v ON v.raw = e.raw AND v.truth = e.truth AND v.index = e.index AND v.replacement = e.replacement""", *_BASE, _EVIDENCE_SQL, _REPAIRED_SQL, _JUDGED_SQL, _verdict_sql("judged_edit", "verdict")))
+FROM judged_edit e LEFT JOIN verdict v ON v.raw = e.raw AND v.truth = e.truth AND v.index = e.index AND v.replacement = e.replacement""", *_BASE, _EVIDENCE_SQL, _REPAIRED_SQL, _JUDGED_SQL, B.verdict_sql("judged_edit", "verdict")))
 def r09(spark, sf):
     """Are the edits of the interpretation right under every minimum-edit alignment with the truth?"""
     notation = notation_once(spark, sf)

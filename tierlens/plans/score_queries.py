@@ -50,12 +50,33 @@ _COUNTS_SQL = """count(*) AS images, count(*) FILTER (WHERE validity = 'VALID')
   count(*) FILTER (WHERE edits IS NOT NULL AND outcome = 'ACCEPT') AS accepted_scorable, count(*) FILTER (WHERE edits IS NOT NULL AND outcome = 'ACCEPT' AND exact) AS accepted_exact,
   count(*) FILTER (WHERE outcome = expected_outcome) AS expected_met, count(*) FILTER (WHERE corrections > 0) AS corrected_images, sum(corrections)::BIGINT AS corrections,
   count(*) FILTER (WHERE edits > raw_edits) AS worsened_images"""
+_MORE_SQL = """, count(*) FILTER (WHERE validity = 'INVALID' AND syntax_passes) AS invalid_syntax_passes, count(*) FILTER (WHERE preprocessing_failure) AS preprocessing_failures, count(*) FILTER (WHERE segmentation_failure) AS segmentation_failures,
+  count(*) FILTER (WHERE ocr_failure) AS ocr_failures, count(*) FILTER (WHERE pipeline_exception IS NOT NULL) AS pipeline_exceptions, count(*) FILTER (WHERE raw_wrong_tier) AS raw_wrong_tier_images,
+  count(*) FILTER (WHERE outcome = 'REVIEW_UNCERTAIN' AND wrong_tier) AS wrong_tier_reviews, coalesce(sum(correct_edits), 0)::BIGINT AS correct_edits, coalesce(sum(incorrect_edits), 0)::BIGINT AS incorrect_edits, coalesce(sum(unknown_edits), 0)::BIGINT AS unknown_edits"""
+_JUDGED = (B.IMAGES_SQL, _R1, B.judged_sql("r1", "j1"))
 _RATES_SQL = ", ".join(f"round({a}::DOUBLE / nullif({b}, 0), 6) AS {k}" for k, (a, b) in M.POLICY_RATES.items())
 
 
-@query("a07_policy_metrics", with_ctes(f"SELECT *, {_RATES_SQL} FROM (SELECT variant, partition, {_COUNTS_SQL} FROM r1 GROUP BY variant, partition)", B.IMAGES_SQL, _R1))
+@query("a07_policy_metrics", with_ctes(f"SELECT *, {_RATES_SQL} FROM (SELECT variant, partition, {_COUNTS_SQL}{_MORE_SQL} FROM j1 GROUP BY variant, partition)", *_JUDGED))
 def a07(spark, sf):
-    return rounded(M.policy_metrics(B.outcomes(spark, sf), ["variant", "partition"]))
+    return rounded(M.policy_metrics(B.judged_outcomes(spark, sf), ["variant", "partition"]))
+
+
+@query("a07_rule_triggers", with_ctes("""
+SELECT variant, code, count(*) AS images FROM (SELECT variant, unnest(list_filter([CASE WHEN wrong_tier THEN 'DECODED_UNSUPPORTED_OR_WRONG_TIER_GLYPH' END, CASE WHEN low THEN 'LOW_CONFIDENCE' END, CASE WHEN unsafe THEN 'D1_NO_SAFE_PROPOSAL' END], lambda x: x IS NOT NULL)) AS code FROM r1)
+GROUP BY variant, code""", B.IMAGES_SQL, _R1))
+def a07b(spark, sf):
+    return M.rule_triggers(B.outcomes(spark, sf), ["variant"])
+
+
+_POLICY_SLICES = ["category", "paired_category", "variant", "length_group", "row_group"]
+
+
+@query("a05_policy_slices", with_ctes(f"SELECT *, {_RATES_SQL} FROM (" + " UNION ALL ".join(
+    f"SELECT '{d}' AS dimension, {d} AS value, {_COUNTS_SQL}{_MORE_SQL} FROM j1 GROUP BY {d}" for d in _POLICY_SLICES
+) + f" UNION ALL SELECT 'overall', 'all', {_COUNTS_SQL}{_MORE_SQL} FROM j1)", *_JUDGED))
+def a05b(spark, sf):
+    return rounded(M.policy_slices(B.judged_outcomes(spark, sf), _POLICY_SLICES))
 
 
 _MACRO = ["true_invalid_rejection_rate", "invalid_accepted_rate", "valid_acceptance_rate", "valid_interpreted_cer", "accepted_output_correctness"]
