@@ -27,12 +27,9 @@ def histogram(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def character_counts(df: DataFrame, text: str, by: Sequence[str] = ()) -> DataFrame:
-    """Occurrences of every character; counted per row before they are exploded."""
-    whole = F.char_length(text)
-    kinds = F.filter(F.array_distinct(F.split(F.col(text), "")), lambda c: c != "")
-    counted = F.transform(kinds, lambda c: F.struct(c.alias("character"), (whole - F.char_length(F.replace(F.col(text), c, F.lit("")))).alias("n")))
-    chars = df.select(*by, F.inline(counted))
-    return chars.groupBy(*by, "character").agg(F.sum("n").cast("long").alias("occurrences"))
+    """Occurrences of every character; the exploded characters meet their counts in the same task."""
+    chars = df.select(*by, F.explode(F.split(F.col(text), "")).alias("character")).where(F.col("character") != "")
+    return chars.groupBy(*by, "character").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 def vocabulary_table(df: DataFrame, vocabulary: str) -> DataFrame:
@@ -41,27 +38,34 @@ def vocabulary_table(df: DataFrame, vocabulary: str) -> DataFrame:
     return spark.createDataFrame([(c, k) for k, c in enumerate(vocabulary, 1)], "character string, class_id int")
 
 
-def class_coverage(df: DataFrame, text: str, vocabulary: str) -> DataFrame:
-    """Occurrences of every vocabulary character, zero where unseen."""
-    found = character_counts(df, text)
-    return vocabulary_table(df, vocabulary).join(found, "character", "left").select(
-        "character", "class_id", F.coalesce("occurrences", F.lit(0)).alias("occurrences")
+def class_coverage(df: DataFrame, text: str, vocabulary: str, by: Sequence[str] = ()) -> DataFrame:
+    """Occurrences of every vocabulary character per group, zero where unseen."""
+    found = character_counts(df, text, by)
+    if not by:
+        return vocabulary_table(df, vocabulary).join(found, "character", "left").select(
+            "character", "class_id", F.coalesce("occurrences", F.lit(0)).alias("occurrences")
+        )
+    classes = F.array(*[F.struct(F.lit(c).alias("character"), F.lit(k).alias("class_id")) for k, c in enumerate(vocabulary, 1)])
+    wanted = df.select(*by).distinct().select(*by, F.inline(classes))
+    return join_null_safe(wanted, found, [*by, "character"], "left").select(
+        *by, "character", "class_id", F.coalesce("occurrences", F.lit(0)).alias("occurrences")
     )
 
 
-def drift(full: DataFrame, subset: DataFrame, dimensions: Sequence[str], limit: float = 2.0) -> DataFrame:
-    """Share of every value in the full table and in the subset, per dimension."""
+def drift(full: DataFrame, subset: DataFrame, dimensions: Sequence[str], limit: float = 2.0, by: Sequence[str] = ()) -> DataFrame:
+    """Share of every value in the full table and in the subset, per group and dimension."""
 
     def shares(df: DataFrame, name: str) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])
-        counts = df.select(F.explode(pairs).alias("p")).groupBy("p.dimension", "p.value").agg(F.count(F.lit(1)).alias(name))
-        totals = counts.groupBy("dimension").agg(F.sum(name).alias("_t"))
-        return counts.join(totals, "dimension").withColumn(f"{name}_percent", F.lit(100.0) * F.col(name) / F.col("_t")).drop("_t")
+        counts = df.select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.dimension", "p.value").agg(F.count(F.lit(1)).alias(name))
+        totals = counts.groupBy(*by, "dimension").agg(F.sum(name).alias("_t"))
+        return join_null_safe(counts, totals, [*by, "dimension"]).withColumn(f"{name}_percent", F.lit(100.0) * F.col(name) / F.col("_t")).drop("_t")
 
-    joined = join_null_safe(shares(full, "full"), shares(subset, "subset"), ["dimension", "value"], "left").na.fill(0).na.fill(0.0)
+    joined = join_null_safe(shares(full, "full"), shares(subset, "subset"), [*by, "dimension", "value"], "left")
+    joined = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("subset", "subset_percent")})
     gap = F.abs(F.col("full_percent") - F.col("subset_percent"))
     return joined.select(
-        "dimension", "value", F.col("full").alias("full_count"), F.col("subset").alias("subset_count"),
+        *by, "dimension", "value", F.col("full").alias("full_count"), F.col("subset").alias("subset_count"),
         "full_percent", "subset_percent", gap.alias("difference_pp"), (gap > limit).alias("exceeds_limit"),
     )
 

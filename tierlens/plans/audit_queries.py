@@ -238,12 +238,12 @@ def a03(spark, sf):
 
 
 @query("a03_class_coverage", with_ctes(r"""
-SELECT v.c AS character, v.k::INT AS class_id, count(x.c) AS occurrences
+SELECT s.split, v.c AS character, v.k::INT AS class_id, count(x.c) AS occurrences
 FROM (SELECT substr(a, g, 1) AS c, g AS k FROM (SELECT a, unnest(range(1, 66)) AS g FROM (SELECT ' ''()*+,ABCDEFGHIJKLMNPQRSTUVWXYZ[\]^_abcdefghijklmnopqrstuvwxyz{|' AS a))) v
-LEFT JOIN (SELECT unnest(string_split(training_label, '')) AS c FROM tier_base WHERE split = 'train') x ON x.c = v.c GROUP BY ALL""", B.TIER_BASE_SQL))
+CROSS JOIN (SELECT DISTINCT split FROM tier_base) s LEFT JOIN (SELECT split, unnest(string_split(training_label, '')) AS c FROM tier_base) x ON x.c = v.c AND x.split = s.split GROUP BY ALL""", B.TIER_BASE_SQL))
 def a03b(spark, sf):
-    t = B.raw_tiers(spark, sf).where("split = 'train'").select(L.clean_label(F.col("raw_label")).alias("training_label"))
-    return R.class_coverage(t, "training_label", N.VOCABULARY)
+    t = B.raw_tiers(spark, sf).select("split", L.clean_label(F.col("raw_label")).alias("training_label"))
+    return R.class_coverage(t, "training_label", N.VOCABULARY, ["split"])
 
 
 @query("a19_duplicates", "SELECT doc_id, h, n AS group_size FROM (SELECT doc_id, sha256(text) AS h, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) WHERE n > 1")

@@ -427,10 +427,11 @@ def p20(spark, sf):
 
 @query("p21_symbol_direction", r"""
 SELECT symbol, CASE WHEN strpos('ABCDEFGHIJKLMNPQ', symbol) > 0 THEN 'UP' WHEN strpos('RSTUVWXYZ[\]^_', symbol) > 0 THEN 'DOWN' END AS direction, symbol = 'O' AS ambiguous, count(*) AS rows
-FROM (SELECT upper(substr(p_name, 1, 1)) AS symbol FROM part UNION ALL SELECT upper(substr(p_type, 2, 1)) FROM part) GROUP BY symbol""")
+FROM (SELECT unnest(string_split(upper(p_name), '')) AS symbol FROM part UNION ALL SELECT unnest(string_split(upper(p_type), '')) FROM part) WHERE symbol <> '' GROUP BY symbol""")
 def p21(spark, sf):
-    p = B.table(spark, sf, "part")
-    s = p.select(F.explode(F.array(F.upper(F.substr("p_name", F.lit(1), F.lit(1))), F.upper(F.substr("p_type", F.lit(2), F.lit(1))))).alias("symbol"))
+    """Direction of every character of two text columns, with its rows."""
+    every = F.concat(*[F.split(F.upper(c), "") for c in ("p_name", "p_type")])
+    s = B.table(spark, sf, "part").select(F.explode(every).alias("symbol")).where("symbol <> ''")
     counts = s.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
     return counts.select("symbol", N.symbol_direction(F.col("symbol")).alias("direction"), (F.col("symbol") == N.AMBIGUOUS_SYMBOLS).alias("ambiguous"), "rows")
 

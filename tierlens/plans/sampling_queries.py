@@ -213,17 +213,16 @@ def w16(spark, sf):
 # -- drift -------------------------------------------------------------------
 
 @query("a20_drift", with_ctes("""
-, pairs AS (SELECT 'full' AS side, d.dimension, d.value FROM (SELECT unnest(['tier_name', 'label_bucket', 'width_bucket', 'stratum_id']) AS dimension, unnest([tier_name, label_bucket, width_bucket, stratum_id]) AS value FROM strata WHERE split = 'train') d
-  UNION ALL SELECT 'subset', d.dimension, d.value FROM (SELECT unnest(['tier_name', 'label_bucket', 'width_bucket', 'stratum_id']) AS dimension, unnest([tier_name, label_bucket, width_bucket, stratum_id]) AS value FROM sample WHERE split = 'train') d),
-c AS (SELECT dimension, value, count(*) FILTER (WHERE side = 'full') AS f, count(*) FILTER (WHERE side = 'subset') AS s FROM pairs GROUP BY ALL),
-t AS (SELECT *, 100.0::DOUBLE * f / sum(f) OVER (PARTITION BY dimension) AS fp, 100.0::DOUBLE * s / sum(s) OVER (PARTITION BY dimension) AS sp FROM c)
-SELECT dimension, value, f AS full_count, s AS subset_count, round(fp, 6) AS full_percent, round(sp, 6) AS subset_percent, round(abs(fp - sp), 6) AS difference_pp, abs(fp - sp) > 2 AS exceeds_limit FROM t""".strip(),
+, pairs AS (SELECT 'full' AS side, d.* FROM (SELECT split, unnest(['tier_name', 'label_bucket', 'width_bucket', 'stratum_id']) AS dimension, unnest([tier_name, label_bucket, width_bucket, stratum_id]) AS value FROM strata) d
+  UNION ALL SELECT 'subset', d.* FROM (SELECT split, unnest(['tier_name', 'label_bucket', 'width_bucket', 'stratum_id']) AS dimension, unnest([tier_name, label_bucket, width_bucket, stratum_id]) AS value FROM sample) d),
+c AS (SELECT split, dimension, value, count(*) FILTER (WHERE side = 'full') AS f, count(*) FILTER (WHERE side = 'subset') AS s FROM pairs GROUP BY ALL),
+t AS (SELECT *, 100.0::DOUBLE * f / sum(f) OVER (PARTITION BY split, dimension) AS fp, coalesce(100.0::DOUBLE * s / nullif(sum(s) OVER (PARTITION BY split, dimension), 0), 0) AS sp FROM c)
+SELECT split, dimension, value, f AS full_count, s AS subset_count, round(fp, 6) AS full_percent, round(sp, 6) AS subset_percent, round(abs(fp - sp), 6) AS difference_pp, abs(fp - sp) > 2 AS exceeds_limit FROM t""".strip(),
     B.TIERS_SQL, _STRATA_SQL, _ALLOC_SQL, _PASS_SQL, recursive=True))
 def a20(spark, sf):
-    """How far the training sample drifts from the training tiers."""
+    """How far each split's sample drifts from the split."""
     t = annotated(spark, sf)
-    s = sample(t)
-    return rounded(R.drift(t.where("split = 'train'"), s.where("split = 'train'"), ["tier_name", "label_bucket", "width_bucket", "stratum_id"]))
+    return rounded(R.drift(t, sample(t), ["tier_name", "label_bucket", "width_bucket", "stratum_id"], by=["split"]))
 
 
 @query("a21_coverage_ratios", with_ctes(r"""

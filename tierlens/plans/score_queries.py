@@ -172,12 +172,12 @@ def a14(spark, sf):
     return P.parent_outcomes(B.candidate_pages(spark, sf), [*_COHORT, "candidate"])
 
 
-@query("a15_parent_bootstrap", """
+@query("a15_parent_bootstrap", f"""
 WITH change AS (SELECT l_suppkey AS parent, avg(CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 0 END) - avg(CASE WHEN l_returnflag <> 'R' THEN 1.0::DOUBLE ELSE 0 END) AS v FROM lineitem GROUP BY l_suppkey),
-slots AS (SELECT v, row_number() OVER (ORDER BY md5(parent::VARCHAR), parent) - 1 AS slot, count(*) OVER () AS n FROM change),
-draws AS (SELECT resample, ('0x' || substr(md5('42:' || resample || ':' || draw), 1, 12))::BIGINT % (SELECT count(*) FROM change) AS slot
-          FROM (SELECT unnest(range(0, 2000)) AS resample), (SELECT unnest(range(0, (SELECT count(*) FROM change))) AS draw)),
-means AS (SELECT resample, avg(v) AS m FROM draws JOIN slots USING (slot) GROUP BY resample)
+draws AS (SELECT resample, v, (x * ((s2 * (r + 1234567) % 2147483647 * 48271 + 1) % 2147483647) + (s2 * (r + 7654321) % 2147483647 * 16807 + 1) % 2147483647) % 2147483647 AS u
+  FROM (SELECT round(v * 1e9)::BIGINT AS v, ('0x' || substr(md5(parent::VARCHAR), 1, 12))::BIGINT % 2147483647 AS x FROM change), (SELECT resample, resample + 42 AS r, (resample + 42) * (resample + 42) % 2147483647 AS s2 FROM (SELECT unnest(range(0, 2000)) AS resample))),
+taken AS (SELECT resample, v, list_sum(list_transform({P.poisson_limits()}, lambda t: (u >= t)::INT)) AS n FROM draws),
+means AS (SELECT resample, sum(v * n)::DOUBLE / sum(n) / 1e9 AS m FROM taken GROUP BY resample HAVING sum(n) > 0)
 SELECT (SELECT count(*) FROM change) AS parent_count, (SELECT round(avg(v), 6) FROM change) AS mean_change, round(quantile_cont(m, 0.025), 6) AS lower95, round(quantile_cont(m, 0.975), 6) AS upper95, 2000 AS resamples FROM means""")
 def a15(spark, sf):
     """Interval of the change between two per-line marks, resampling whole suppliers 2,000 times."""
