@@ -137,8 +137,7 @@ def test_keep_one_catches_near_copies_and_leaves_others(spark):
     kept = [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()]
     groups = similar_groups(rows)
     assert all(any(i in kept for i in g) for g in groups)  # nothing is lost
-    extra = len(kept) - len(groups)  # one view misses a part of those near the bound
-    assert extra <= 0.3 * 122 and set(range(60)) <= set(kept) and not {3000, 3001} & set(kept)
+    assert len(kept) == len(groups) and set(range(60)) <= set(kept) and not {3000, 3001} & set(kept)
 
 
 def test_similarity_is_exact(spark):
@@ -151,8 +150,8 @@ def test_similarity_is_exact(spark):
             words[at] = "changed"
         rows.append((2 + k, " ".join(words), None, None, None))
     pairs = spark.createDataFrame([("1", str(r[0])) for r in rows[1:]], "a string, b string")
-    table = spark.createDataFrame([(str(r[0]), r[1]) for r in rows], "node string, text string")
-    got = {r["b"] for r in simhash._similar(pairs, lambda asked: table.join(asked, "node"), 5, 0.8).collect()}
+    lines = spark.createDataFrame([(r[0], r[1]) for r in rows], "row long, text string")
+    got = {r["b"] for r in simhash._similar(pairs, lambda asked: simhash.shingle_sets(lines, asked.select("node", F.col("node").cast("long").alias("row")), 5), 0.8).collect()}
     sets = [shingles(r[1]) for r in rows]
     assert got == {str(r[0]) for r, s in zip(rows[1:], sets[1:]) if len(s & sets[0]) >= 0.8 * len(s | sets[0])} == {"2", "3"}
 
@@ -196,3 +195,16 @@ def test_a_shuffled_head_hides_no_pair_behind_it(spark):
     rows = [(k, t, None, None, None) for k, t in enumerate([head, *texts, near_head])]
     kept = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect())
     assert kept == sorted(min(g) for g in similar_groups(rows)) == [0, 1]
+
+
+def test_copies_and_shingles_of_one_text_give_no_prefix_rows(spark):
+    rng = random.Random(24)
+    base = [f"p{rng.randrange(5000)}" for _ in range(110)]
+    near = [*base[:109], "changed"]
+    alone = [" ".join(f"q{k}x{j}" for j in range(60)) for k in range(40)]
+    said = [" ".join(base)] * 5_000 + [" ".join(near)] + alone
+    lines = spark.createDataFrame(list(enumerate(said)), "row long, text string").repartition(6).selectExpr("row", "xxhash64(text) as short", "text")
+    distinct = lines.groupBy("text").agg(F.min("row").alias("row")).select("row")
+    found = simhash.prefixes(lines, distinct, 5, 0.8).collect()
+    assert {r["short"] for r in found} == {r["short"] for r in lines.where("row in (0, 5000)").collect()}
+    assert 2 <= len(found) <= 2 * (106 - 85 + 1) and len(found) == len({(r["short"], r["shingle"]) for r in found})

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tierlens.llm import bitmaps
 from tierlens.llm.common import free_name, quoted, written
 from tierlens.llm.components import connected_components
 from tierlens.llm.spans import BETWEEN_SPACES, Words, mixed, word_pieces
@@ -52,6 +53,25 @@ def _shingle_hashes(piece: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, first
 
 
+def _shingle_names(piece: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name of every shingle, made of its words' hashes, and the place of each row's first one (one more entry)."""
+    words, counts = piece.hashes(), piece.counts
+    shingles = np.where(counts == 0, 0, np.maximum(counts - width + 1, 1))
+    first = np.concatenate([[0], np.cumsum(shingles)])
+    row = np.repeat(np.arange(len(counts)), shingles)
+    head = piece.first[row] + np.arange(first[-1]) - first[row]
+    last = piece.first[row + 1]
+    names = np.zeros(len(head), np.uint64)
+    for j in range(width):
+        at = head + j
+        there = at < last
+        if there.all():
+            names = mixed(names * np.uint64(3) + words[at])
+        else:
+            names[there] = mixed(names[there] * np.uint64(3) + words[at[there]])
+    return names, first
+
+
 def _distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same with each row's hashes sorted and each kept once."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -228,45 +248,57 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) from (node, text): hashes of the distinct shingles of each text."""
+def _only(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows (row number first) that the map of row numbers lets pass."""
+    return batch.filter(pa.array(bitmaps.test(bits, bitmaps.row_places(batch.column(0).to_numpy()))))
+
+
+def shingle_sets(placed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the rows of `placed` (row, text) that `wanted` (node, row) names: the distinct shingles, sorted.
+
+    Sets are made where the text lies; a map of the wanted rows keeps the
+    others' sets from being made, the join drops those it let pass wrongly.
+    """
+    shared = placed.sparkSession.sparkContext.broadcast(bitmaps.of_rows(wanted, "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = _only(batch, shared.value)
             for low, high, piece in word_pieces(batch.column(1), BETWEEN_SPACES):
-                hashes, first = _distinct(*_shingle_hashes(piece, width))
+                hashes, first = _distinct(*_shingle_names(piece, width))
                 sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), sets], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), sets], names=["row", "shingles"])
 
-    return texts.mapInArrow(run, "node string, shingles array<long>")
+    return placed.select("row", "text").mapInArrow(run, "row long, shingles array<long>").join(wanted, "row").select("node", "shingles")
 
 
-def _similar(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have at least this Jaccard similarity; only their texts are looked at."""
+def _similar(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have at least this Jaccard similarity; `sets` gives (node, shingles) of a table of nodes."""
     pairs = written(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidate-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(_shingle_sets(texts(asked), width), "shingle-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
+    found = written(sets(asked), "shingle-sets")
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
+        found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
     )
     common = F.size(F.array_intersect("x", "y"))
     total = F.size("x") + F.size("y") - common
     return both.where((total == 0) | (common >= F.lit(similarity) * total)).select("a", "b")
 
 
-def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame, firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, places in the order from rare to common, from 1 on) of up to MAX_COMMON shingles that several texts of a task share, sorted by hash."""
+    shared = texts.sparkSession.sparkContext.broadcast(firsts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(held: list[np.ndarray]) -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            shared = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(values[shared].view(np.int64)), pa.array(counts[shared].astype(np.int64))], names=["shingle", "n"])
+            several = counts > 1
+            return pa.RecordBatch.from_arrays([pa.array(values[several].view(np.int64)), pa.array(counts[several].astype(np.int64))], names=["shingle", "n"])
 
         held, size = [], 0
         for batch in batches:
-            for _, _, piece in word_pieces(batch.column(0), BETWEEN_SPACES):
-                hashes, _ = _distinct(*_shingle_hashes(piece, width))
+            for _, _, piece in word_pieces(_only(batch, shared.value).column(1), BETWEEN_SPACES):
+                hashes, _ = _distinct(*_shingle_names(piece, width))
                 held.append(hashes)
                 size += len(hashes)
                 if size >= COUNT_SHINGLES:
@@ -275,7 +307,7 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
         if held:
             yield counted(held)
 
-    seen = texts.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    seen = texts.select("row", "text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     found = seen.orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).toArrow()
     hashes = found["shingle"].to_numpy().view(np.uint64)
     place = np.arange(len(hashes), 0, -1)
@@ -283,22 +315,31 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
     return hashes[order], place[order]
 
 
-def prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(shingle, short, size) from (short, text): the shingles of each text by which every similar text can be found.
+def prefixes(texts: DataFrame, distinct: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(shingle, short, size) from (row, short, text): the shingles of each text by which every similar text can be found.
 
     All shingles stand in one order, common ones last.  Of two sets with at
     least this Jaccard similarity, the first n - ceil(similarity * n) + 1 of
     each (n its size) have one in common: if the prefixes were apart, too few
     could be shared.  That holds for any order; this one keeps groups small.
     A text without words has the shingle 0.
+
+    `distinct` (column row) names one row of each text; the others' prefixes
+    are the same and aren't made, but for a few that its map lets pass.  A
+    shingle that only one text's prefix has can't meet another: a first pass
+    marks the prefix shingles in a map, the second gives out those that came twice.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
+    context = texts.sparkSession.sparkContext
+    firsts = bitmaps.of_rows(distinct, "row")
+    shared = context.broadcast((*common_shingles(texts, firsts, width), firsts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, rank = shared.value
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows of a piece, prefix shingles, their row in it, sizes of the rows' sets)."""
+        names, rank, firsts = shared.value
         for batch in batches:
-            for low, high, piece in word_pieces(batch.column(1), BETWEEN_SPACES):
-                hashes, first = _distinct(*_shingle_hashes(piece, width))
+            batch = _only(batch, firsts)
+            for low, high, piece in word_pieces(batch.column(2), BETWEEN_SPACES):
+                hashes, first = _distinct(*_shingle_names(piece, width))
                 size = np.diff(first)
                 row = np.repeat(np.arange(len(size)), size)
                 if len(names) and len(hashes):
@@ -308,13 +349,26 @@ def prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
                 kept = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
                 taken = np.arange(len(hashes)) - first[row] < kept[row]
                 bare = np.flatnonzero(size == 0)
-                row = np.concatenate([row[taken], bare])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([hashes[taken], np.zeros(len(bare), np.uint64)]).view(np.int64)), batch.column(0).slice(low, high - low).take(pa.array(row)), pa.array(size[row].astype(np.int32))],
-                    names=["shingle", "short", "size"],
-                )
+                yield batch.slice(low, high - low), np.concatenate([hashes[taken], np.zeros(len(bare), np.uint64)]), np.concatenate([row[taken], bare]), size
 
-    return texts.select("short", "text").mapInArrow(run, "shingle long, short long, size int")
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = bitmaps.Seen()
+        for _, hashes, _, _ in made(batches):
+            seen.add(hashes)
+        yield seen.parts()
+
+    rows = texts.select("row", "short", "text")
+    several = context.broadcast(bitmaps.seen_twice(rows.mapInArrow(mark, bitmaps.PARTS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, hashes, row, size in made(batches):
+            met = bitmaps.test(several.value, hashes & np.uint64(bitmaps.BITS - 1))
+            hashes, row = hashes[met], row[met]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes.view(np.int64)), piece.column(1).take(pa.array(row)), pa.array(size[row].astype(np.int32))], names=["shingle", "short", "size"]
+            )
+
+    return rows.mapInArrow(run, "shingle long, short long, size int")
 
 
 def _sizes_allow(a: str, b: str, similarity: float) -> Column:
@@ -348,11 +402,11 @@ def pairs_between_groups(stood: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_components(
-    nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], found: DataFrame, width: int = 5, similarity: float = 0.8, views: int = VIEWS
+    nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], found: DataFrame, similarity: float = 0.8, views: int = VIEWS
 ) -> DataFrame:
-    """(node, root) of near copies among distinct texts (node, short, fps); `texts` gives (node, text) for a table of nodes, `found` their prefixes.
+    """(node, root) of near copies among distinct texts (node, short, fps); `sets` gives (node, shingles) for a table of nodes, `found` their prefixes.
 
-    A link counts only if the sets of `width`-word shingles have a Jaccard
+    A link counts only if the sets of shingles have a Jaccard
     similarity of `similarity` or more.  First each text is compared with the
     head of its fingerprint, with those that close_links finds and with
     the heads of its prefix shingles; that contracts dense groups.  Then all
@@ -369,11 +423,11 @@ def similar_components(
         same = nodes.select(F.col("fps")[k].alias("fp"), F.col("node").alias("a")).join(heads, "fp").select("a", F.col("head").alias("b"))
         near = close_links(heads.select("fp")).join(left, "fp").join(right, "near").select("a", "b")
         candidates = candidates.unionByName(same).unionByName(near)
-    links = written(_similar(candidates, texts, width, similarity), "similar-links")
+    links = written(_similar(candidates, sets, similarity), "similar-links")
     groups = nodes.join(connected_components(links), "node", "left").select("short", F.coalesce("root", "node").alias("group"))
     stood = written(met.select("shingle", "short", "size").join(groups, "short"), "grouped-meetings")
     between = pairs_between_groups(stood, similarity).join(named[0], "x").join(named[1], "y").select("a", "b")
-    return connected_components(links.unionByName(_similar(between, texts, width, similarity)))
+    return connected_components(links.unionByName(_similar(between, sets, similarity)))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -381,9 +435,9 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
 
     Near copies are texts whose sets of `width`-word shingles have a Jaccard
     similarity of `similarity` or more, or that a chain of such texts joins.
-    Candidates are links of up to three bits between fingerprints of the
-    distinct words, which change less with a changed word than those of longer
-    shingles.  Equal texts, null counting as empty, are one group.  Rows
+    Links of up to three bits between fingerprints of the distinct words join
+    dense groups early; every other pair meets in a shingle of its prefixes.
+    Equal texts, null counting as empty, are one group.  Rows
     without an id come after those with one; rows alike in doc_id are told
     apart by a hash of all columns, repeated rows by their place.
     """
@@ -399,12 +453,13 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     )
     firsts = written(narrow.groupBy("node").agg(F.min("rank").alias("rank"), F.first("short").alias("short"), F.first("fps").alias("fps")), "distinct-texts")
 
-    def texts(asked: DataFrame) -> DataFrame:
-        """Whole texts of some nodes, from the rows that stand for them."""
-        places = firsts.join(asked, "node").select("node", F.col("rank.place").alias(row))
-        return placed.select(row, text.alias("text")).join(places, row).select("node", "text")
+    lines = placed.select(F.col(row).alias("row"), short.alias("short"), text.alias("text"))
+
+    def sets(asked: DataFrame) -> DataFrame:
+        """Shingle sets of some nodes, from the rows that stand for them."""
+        return shingle_sets(lines, firsts.join(asked, "node").select("node", F.col("rank.place").alias("row")), width)
 
-    found = prefixes(placed.select(short.alias("short"), text.alias("text")), width, similarity)
-    groups = similar_components(firsts.select("node", "short", "fps"), texts, found, width, similarity)
+    found = prefixes(lines, firsts.select(F.col("rank.place").alias("row")), width, similarity)
+    groups = similar_components(firsts.select("node", "short", "fps"), sets, found, similarity)
     chosen = firsts.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank"))
     return placed.join(chosen.select(F.col("rank.place").alias(row)), row, "left_semi").select(*columns)
