@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tierlens.functions import labels as L
 from tierlens.functions.notation import ROLES
@@ -198,19 +198,70 @@ def split_summary(tiers: DataFrame, split: str = "split") -> DataFrame:
     )
 
 
-def readiness_gate(tiers: DataFrame, split: str = "split") -> DataFrame:
-    """Critical issues per split with counts, and the ready flag."""
-    shared = split_overlap(tiers, "parent_image_id", split).agg(F.count(F.lit(1)).alias("n"))
-    duplicates = duplicate_keys(tiers, "tier_id").agg(F.count(F.lit(1)).alias("n"))
-    n = F.count_if
-    wide = tiers.agg(
-        n(F.col("training_label") == "").alias("empty_labels"), n(~F.col("ctc_feasible")).alias("ctc_infeasible"),
-        n((F.col("image_status") != "ok") | (F.col("label_status") != "ok")).alias("source_status"),
-    )
-    issues = wide.unpivot([], wide.columns, "issue", "rows")
-    issues = issues.unionByName(shared.select(F.lit("parent_overlap").alias("issue"), F.col("n").alias("rows")))
-    issues = issues.unionByName(duplicates.select(F.lit("duplicate_ids").alias("issue"), F.col("n").alias("rows")))
-    return issues.withColumn("ready", F.col("rows") == 0)
+#: Kinds of critical issue, per split.
+CRITICAL = (
+    "completed_page_mismatch", "missing_images", "missing_labels", "unreadable_labels", "metadata_label_mismatch", "empty_ocr_targets",
+    "duplicate_tier_ids", "invalid_dimensions", "ctc_infeasible", "unknown_tier_names",
+)
+#: Examples that an issue report keeps per issue.
+EXAMPLES = 10
+
+
+def issue_examples(rows: DataFrame, by: Sequence[str], example: str, k: int = EXAMPLES) -> DataFrame:
+    """(by, rows, examples): how many rows a group has, and its `k` smallest examples.
+
+    Examples are cut to `k` in 64 parts of a group before the parts meet, so
+    that an issue that every row has is no single task's work.
+    """
+    counted = rows.groupBy(*by, F.pmod(F.xxhash64(example), F.lit(64)).alias("_part"), example).agg(F.count(F.lit(1)).alias("_n"))
+    first = Window.partitionBy(*by, "_part").orderBy(example)
+    placed = counted.withColumn("_place", F.row_number().over(first))
+    parts = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_n"), F.sort_array(F.collect_list(F.when(F.col("_place") <= k, F.col(example)))).alias("_e"))
+    return parts.groupBy(*by).agg(F.sum("_n").alias("rows"), F.slice(F.sort_array(F.flatten(F.collect_list("_e"))), 1, k).alias("examples"))
+
+
+def tier_issues(tiers: DataFrame, images: DataFrame, labels: DataFrame) -> DataFrame:
+    """(split, issue, tier_id): critical issues of single manifest rows against the files that are there.
+
+    `images` has image_path, found_width and found_height of every image,
+    `labels` label_path and found_label of every label file, null where it can't be read.
+    """
+    c = F.col
+    seen = tiers.join(images.withColumn("_image", F.lit(True)), "image_path", "left").join(labels.withColumn("_label", F.lit(True)), "label_path", "left")
+    image, label = c("_image").isNotNull(), c("_label").isNotNull()
+    checks = [
+        ("missing_images", ~image), ("missing_labels", ~label), ("unreadable_labels", label & c("found_label").isNull()),
+        ("metadata_label_mismatch", label & c("found_label").isNotNull() & (c("found_label") != c("training_label"))),
+        ("empty_ocr_targets", F.coalesce(c("training_label"), F.lit("")) == ""),
+        ("invalid_dimensions", image & ~F.coalesce((c("found_width") == c("image_width")) & (c("found_height") == c("image_height")) & (c("image_width") > 0) & (c("image_height") > 0), F.lit(False))),
+        ("ctc_infeasible", ~F.coalesce(c("ctc_feasible"), F.lit(False))), ("unknown_tier_names", ~F.coalesce(c("tier_name").isin(*ROLES), F.lit(False))),
+    ]
+    return seen.select("split", F.explode(L.named_issues(checks)).alias("issue"), F.col("tier_id").alias("example"))
+
+
+def readiness_gate(
+    tiers: DataFrame, images: DataFrame, labels: DataFrame, expected: DataFrame, splits: Sequence[str] = ("train", "validation", "test"), split: str = "split"
+) -> DataFrame:
+    """(scope, issue, rows, examples, ready): all critical issues of every split and of every pair of splits, none of them left out.
+
+    `expected` has the pages (split, parent_image_id) that should be complete.
+    """
+    found = tier_issues(tiers, images, labels)
+    twice = duplicate_keys(tiers.select(split, "tier_id"), "tier_id").select("tier_id")
+    found = found.unionByName(tiers.join(twice, "tier_id", "left_semi").select(split, F.lit("duplicate_tier_ids").alias("issue"), F.col("tier_id").alias("example")))
+    page = [split, "parent_image_id"]
+    done, asked = tiers.select(*page).distinct(), expected.select(*page).distinct()
+    gaps = asked.join(done, page, "left_anti").unionByName(done.join(asked, page, "left_anti"))
+    found = found.unionByName(gaps.select(split, F.lit("completed_page_mismatch").alias("issue"), F.col("parent_image_id").alias("example"))).withColumnRenamed(split, "scope")
+    both = done.groupBy("parent_image_id").agg(F.collect_set(split).alias("_s"))
+    pairs = [(a, b) for k, a in enumerate(splits) for b in splits[k + 1 :]]
+    shared = F.array_compact(F.array(*[F.when(F.array_contains("_s", a) & F.array_contains("_s", b), f"{a} <-> {b}") for a, b in pairs]))
+    found = found.unionByName(both.select(F.explode(shared).alias("scope"), F.lit("parent_leakage").alias("issue"), F.col("parent_image_id").alias("example")))
+    wanted = [(s, i) for s in splits for i in CRITICAL] + [(f"{a} <-> {b}", "parent_leakage") for a, b in pairs]
+    grid = tiers.sparkSession.createDataFrame(wanted, "scope string, issue string")
+    return grid.join(issue_examples(found, ["scope", "issue"], "example"), ["scope", "issue"], "left").select(
+        "scope", "issue", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"), F.coalesce("rows", F.lit(0)).alias("_n")
+    ).withColumn("ready", F.col("_n") == 0).drop("_n")
 
 
 def family_quartets(records: DataFrame, parent: str, validity: str, variant: str, category: str) -> DataFrame:

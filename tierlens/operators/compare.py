@@ -138,6 +138,32 @@ def parent_bootstrap(change: DataFrame, owner: str, value: str, resamples: int,
     ).select(F.col("_o.n").alias("parent_count"), F.col("_o.m").alias("mean_change"), "lower95", "upper95", "resamples")
 
 
+def paired_scores(degraded: DataFrame, clean: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Scores of degraded readings and of the clean reading of the same key, over the readings that have one.
+
+    Both sides have truth and prediction; the clean side's prediction is scored
+    against the degraded side's truth.  Of several clean readings of a key
+    the smallest text counts.  Readings without a clean one are counted only.
+    """
+    known = clean.groupBy(*keys).agg(F.min("prediction").alias("_clean"), F.lit(True).alias("_paired"))
+    joined = join_null_safe(degraded, known, keys, "left")
+    pair = F.coalesce("_paired", F.lit(False))
+    edits, clean_edits = F.levenshtein("truth", "prediction"), F.levenshtein("truth", "_clean")
+    scored = joined.select(
+        *by, pair.alias("_p"), F.when(pair, F.length("truth")).alias("_c"), F.when(pair, edits).alias("_e"), F.when(pair, clean_edits).alias("_k"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    sums = scored.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("readings"), F.count_if("_p").alias("paired"), total("_c").alias("characters"), total("_e").alias("edits"), total("_k").alias("clean_edits"),
+        F.count_if(F.col("_e") == 0).alias("exact"), F.count_if(F.col("_k") == 0).alias("clean_exact"), F.count_if(F.col("_e") > F.col("_k")).alias("worsened"),
+    )
+    rate = lambda a, b: ratio(F.col(a), F.col(b))
+    return sums.select(
+        "*", rate("edits", "characters").alias("cer"), rate("clean_edits", "characters").alias("clean_cer"),
+        rate("exact", "paired").alias("exact_accuracy"), rate("clean_exact", "paired").alias("clean_exact_accuracy"),
+    )
+
+
 def regression_gate(metrics: DataFrame, baseline: DataFrame, by: Sequence[str], limits: dict[str, tuple[float, float | None]], default: tuple[float, float | None]) -> DataFrame:
     """Per cohort: CER may rise and exact rate may fall only within the limits of its class.
 

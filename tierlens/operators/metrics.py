@@ -278,14 +278,28 @@ def category_summary(df: DataFrame, category: str, listed: Sequence[str]) -> Dat
     return df.groupBy(category).agg(F.count(F.lit(1)).alias("rows"), *joined)
 
 
-def error_sizes(df: DataFrame, error: str, by: Sequence[str] = ()) -> DataFrame:
-    """Signed mean, median and 95th percentile of the absolute error."""
-    signed = df.groupBy(*by).agg(F.avg(error).alias("signed_mean"))
-    sized = exact_quantiles(df.withColumn("_a", F.abs(error)), "_a", {"median_absolute": 0.5, "p95_absolute": 0.95}, by)
-    sized = sized.select(*by, "rows", "median_absolute", "p95_absolute")
-    if by:
-        return join_null_safe(sized, signed, list(by))
-    return sized.withColumn("signed_mean", signed.scalar())
+def error_sizes(df: DataFrame, error: str, by: Sequence[str] = (), scale: str | None = None, covered: tuple[str, str] | None = None) -> DataFrame:
+    """Signed mean, median and 95th percentile of the absolute error.
+
+    With `scale` also median and 95th percentile in parts of it, with `covered`
+    (part, whole) also coverage, the sum of the one over that of the other.
+    """
+    sums = [F.avg(error).alias("signed_mean")]
+    if covered:
+        sums.append(ratio(F.sum(covered[0]), F.sum(covered[1])).alias("coverage"))
+    signed = df.groupBy(*by).agg(*sums)
+    sized = exact_quantiles(df.withColumn("_a", F.abs(error)), "_a", {"median_absolute": 0.5, "p95_absolute": 0.95}, by).select(*by, "rows", "median_absolute", "p95_absolute")
+    parts = [signed]
+    if scale:
+        normal = exact_quantiles(df.withColumn("_a", F.abs(F.try_divide(F.col(error).cast("double"), F.col(scale).cast("double")))), "_a", {"median_normalized": 0.5, "p95_normalized": 0.95}, by)
+        parts.append(normal.select(*by, "median_normalized", "p95_normalized"))
+    for part in parts:
+        if by:
+            sized = join_null_safe(sized, part, list(by))
+        else:
+            one = sized.withColumn("_one", part.select(F.struct(*part.columns)).scalar())
+            sized = one.select(*sized.columns, *[F.col(f"_one.{c}").alias(c) for c in part.columns])
+    return sized
 
 
 def hit_summary(df: DataFrame, metrics: Sequence[str], owner: str, targeted: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tierlens.functions.labels import ratio
+from tierlens.functions.labels import ctc_steps, ratio
 from tierlens.operators.ranking import exact_quantiles
 from tierlens.session import join_null_safe
 
@@ -119,3 +119,16 @@ def nearest_prototype(vectors: DataFrame, label: str, vector: str, dim: int, lea
         *[c for c in vectors.columns if c != vector], own.alias("matched_cosine"), other.alias("best_other_cosine"),
         (own - other).alias("margin"), best["label"].alias("nearest_label"), (best["label"] == F.col(label)).alias("nearest_correct"),
     )
+
+
+def ctc_feasibility(df: DataFrame, width: str, required: str, strides: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """(by, stride, tiers, feasible, min_margin, failure_percent): whether widths give enough steps, per stride.
+
+    The strides are expanded inside each row, and each task hands on one count per group and stride.
+    """
+    cells = F.array(*[F.struct(F.lit(s).alias("stride"), (ctc_steps(F.col(width), s) - F.col(required)).alias("margin")) for s in strides])
+    each = df.select(*by, F.explode(cells).alias("f")).select(*by, "f.stride", "f.margin")
+    return each.groupBy(*by, "stride").agg(
+        F.count(F.lit(1)).alias("tiers"), F.count_if(F.col("margin") >= 0).alias("feasible"), F.min("margin").alias("min_margin"),
+        (F.lit(100.0) * F.count_if(F.col("margin") < 0) / F.count(F.lit(1))).alias("failure_percent"),
+    )

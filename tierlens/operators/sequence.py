@@ -64,3 +64,21 @@ def order_violations(df: DataFrame, bucket: str, position: str, keys: Sequence[s
     """Rows whose key is smaller than the key of the row before them in file order."""
     seen = previous_row(df, [], bucket, [position], keys)
     return seen.where(F.col("prev").isNotNull() & (F.struct(*keys) < F.col("prev")))
+
+
+def pad_targets(df: DataFrame, batch: str, ids: str) -> DataFrame:
+    """Right-pads id arrays with 0 to the longest of their batch; widths come from one small aggregate."""
+    widths = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_w"))
+    return join_null_safe(df, widths, [batch]).withColumn("target_length", F.size(ids)).withColumn(
+        "padded", F.concat(ids, F.array_repeat(F.lit(0), F.col("_w") - F.size(ids)))
+    ).drop("_w")
+
+
+def flat_targets(df: DataFrame, batch: str, ids: str, order: Sequence[str]) -> DataFrame:
+    """(batch, targets, target_lengths): the id arrays of a batch one behind the other, in `order`, and how long each is.
+
+    A batch is what one training step takes, so it fits one row; a null array counts as empty.
+    """
+    parts = df.select(batch, F.struct(*order, F.coalesce(F.col(ids), F.array().cast(df.schema[ids].dataType)).alias("_ids")).alias("_p"))
+    whole = parts.groupBy(batch).agg(F.sort_array(F.collect_list("_p")).alias("_all"))
+    return whole.select(batch, F.flatten(F.transform("_all", lambda p: p["_ids"])).alias("targets"), F.transform("_all", lambda p: F.size(p["_ids"])).alias("target_lengths"))

@@ -10,6 +10,7 @@ from tierlens.operators import audit as A, compare as P, profile as R
 from tierlens.operators.ranking import order_statistic, top_examples
 from tierlens.plans import bindings as B
 from tierlens.plans.registry import query, with_ctes
+from tierlens.session import materialize
 from tierlens.sources import samples as S
 
 # lines of an order against what the order header promises
@@ -264,14 +265,37 @@ def a22(spark, sf):
     return A.family_quartets(r, "parent", "validity", "variant", "paired_category")
 
 
+_GATE_SQL = """
+manifest AS (SELECT * REPLACE (CASE WHEN doc_id % 61 = 0 THEN 'd' || (doc_id - doc_id % 10) ELSE parent_image_id END AS parent_image_id, CASE WHEN (doc_id + line) % 97 = 0 THEN 'margin' ELSE tier_name END AS tier_name),
+  doc_id * 31 + line * 7 AS k FROM tiers WHERE doc_id % 53 <> 0),
+copied AS (SELECT * FROM manifest UNION ALL SELECT * FROM manifest WHERE k % 101 = 0),
+single AS (SELECT split, tier_id AS example, unnest(list_filter([CASE WHEN k % 31 = 0 THEN 'missing_images' END, CASE WHEN k % 29 = 0 THEN 'missing_labels' END, CASE WHEN k % 29 <> 0 AND k % 41 = 0 THEN 'unreadable_labels' END,
+   CASE WHEN k % 29 <> 0 AND k % 41 <> 0 AND k % 43 = 0 THEN 'metadata_label_mismatch' END, CASE WHEN training_label = '' THEN 'empty_ocr_targets' END, CASE WHEN k % 31 <> 0 AND k % 37 = 0 THEN 'invalid_dimensions' END,
+   CASE WHEN NOT ctc_feasible THEN 'ctc_infeasible' END, CASE WHEN tier_name = 'margin' THEN 'unknown_tier_names' END, CASE WHEN k % 101 = 0 THEN 'duplicate_tier_ids' END], lambda x: x IS NOT NULL)) AS issue FROM copied),
+page AS (SELECT DISTINCT split, parent_image_id FROM manifest), wanted_page AS (SELECT DISTINCT split, parent_image_id FROM tiers),
+gap AS (SELECT coalesce(p.split, w.split) AS split, coalesce(p.parent_image_id, w.parent_image_id) AS example FROM page p FULL JOIN wanted_page w ON w.split = p.split AND w.parent_image_id = p.parent_image_id WHERE p.split IS NULL OR w.split IS NULL),
+leak AS (SELECT a || ' <-> ' || b AS scope, x.parent_image_id AS example FROM (VALUES ('train', 'validation'), ('train', 'test'), ('validation', 'test')) v(a, b) JOIN page x ON x.split = a JOIN page y ON y.split = b AND y.parent_image_id = x.parent_image_id),
+every_issue AS (SELECT split AS scope, issue, example FROM single UNION ALL SELECT split, 'completed_page_mismatch', example FROM gap UNION ALL SELECT scope, 'parent_leakage', example FROM leak),
+grid AS (SELECT s AS scope, i AS issue FROM (SELECT unnest(['train', 'validation', 'test']) AS s), (SELECT unnest([{kinds}]) AS i) UNION ALL SELECT unnest(['train <-> validation', 'train <-> test', 'validation <-> test']), 'parent_leakage')""".replace("{kinds}", ", ".join(f"'{i}'" for i in A.CRITICAL))
+
+
 @query("a25_readiness", with_ctes("""
-SELECT issue, rows, rows = 0 AS ready FROM (
-  SELECT 'empty_labels' AS issue, count(*) FILTER (WHERE training_label = '') AS rows FROM tiers UNION ALL SELECT 'ctc_infeasible', count(*) FILTER (WHERE NOT ctc_feasible) FROM tiers
-  UNION ALL SELECT 'source_status', count(*) FILTER (WHERE label_status <> 'ok') FROM tiers
-  UNION ALL SELECT 'parent_overlap', count(*) FROM (SELECT parent_image_id FROM tiers GROUP BY 1 HAVING count(DISTINCT split) > 1)
-  UNION ALL SELECT 'duplicate_ids', count(*) FROM (SELECT tier_id FROM tiers GROUP BY 1 HAVING count(*) > 1))""", B.TIERS_SQL))
+SELECT g.scope, g.issue, coalesce(n, 0) AS rows, coalesce(examples, '') AS examples, coalesce(n, 0) = 0 AS ready FROM grid g
+LEFT JOIN (SELECT scope, issue, count(*) AS n, array_to_string(list_sort(list(DISTINCT example))[:10], ',') AS examples FROM every_issue GROUP BY ALL) e ON e.scope = g.scope AND e.issue = g.issue""", B.TIERS_SQL, _GATE_SQL))
 def a25(spark, sf):
-    return A.readiness_gate(B.tiers(spark, sf))
+    """Critical issues per split and pair of splits, with examples, of a manifest whose files lack, differ or can't be read by a rule."""
+    every = B.tiers(spark, sf)
+    k = F.col("doc_id") * 31 + F.col("line") * 7
+    parent = F.when(F.col("doc_id") % 61 == 0, F.concat(F.lit("d"), (F.col("doc_id") - F.col("doc_id") % 10).cast("string"))).otherwise(F.col("parent_image_id"))
+    manifest = materialize(
+        every.where("doc_id % 53 <> 0").withColumns({
+            "parent_image_id": parent, "tier_name": F.when((F.col("doc_id") + F.col("line")) % 97 == 0, "margin").otherwise(F.col("tier_name")), "k": k,
+        }).select("doc_id", "split", "tier_id", "parent_image_id", "tier_name", "training_label", "image_path", "label_path", "image_width", "image_height", "ctc_feasible", "k"), "manifest")
+    images = manifest.where("k % 31 <> 0").select("image_path", F.when(F.col("k") % 37 == 0, F.col("image_width") + 1).otherwise(F.col("image_width")).alias("found_width"), F.col("image_height").alias("found_height"))
+    text = F.when(F.col("k") % 41 == 0, F.lit(None)).when(F.col("k") % 43 == 0, F.concat("training_label", F.lit("?"))).otherwise(F.col("training_label"))
+    labels = manifest.where("k % 29 <> 0").select("label_path", text.alias("found_label"))
+    gate = A.readiness_gate(manifest.unionByName(manifest.where("k % 101 = 0")), images, labels, B.raw_tiers(spark, sf).select("split", "parent_image_id"))
+    return gate.withColumn("examples", F.array_join("examples", ","))
 
 
 @query("a32_nearest_prototype", """
@@ -318,8 +342,8 @@ def w12(spark, sf):
 
 @query("w17_calibration", """
 SELECT variant, count(*) AS rows, list_sort(list(v))[least((count(*) * 0.05::DOUBLE)::BIGINT - CASE WHEN (count(*) * 0.05::DOUBLE)::BIGINT > count(*) * 0.05::DOUBLE THEN 1 ELSE 0 END, count(*) - 1) + 1] AS threshold
-FROM (SELECT CASE WHEN day(o_orderdate) <= 15 THEN 'clean' ELSE 'illuminated' END AS variant, o_totalprice / 500000 AS v FROM orders WHERE o_orderstatus <> 'F') GROUP BY variant HAVING count(*) >= 20""")
+FROM (SELECT CASE WHEN day(o_orderdate) <= 15 THEN 'clean' ELSE 'illuminated' END AS variant, o_totalprice / 500000 AS v FROM orders WHERE o_orderstatus <> 'F') GROUP BY variant""")
 def w17(spark, sf):
-    """Order-statistic threshold of accepted images; at least 20 values are needed."""
+    """Order-statistic threshold of accepted images; a group of fewer than 20 values stops the job."""
     img = B.images(spark, sf).where("validity = 'VALID'").select("variant", (F.col("price") / 500000).alias("v"))
-    return order_statistic(img, "v", 0.05, ["variant"]).where("rows >= 20")
+    return order_statistic(img, "v", 0.05, ["variant"], minimum=20)

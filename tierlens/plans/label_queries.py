@@ -8,11 +8,12 @@ from tierlens.functions import ctc as C, hashing as H, labels as L, notation as
 from tierlens.functions.distance import edit_counts, edit_distance, edit_events
 from tierlens.operators import audit as A
 from tierlens.operators.metrics import page_errors, recognition_metrics, score_pairs
+from tierlens.operators import profile as R, sequence as Q
 from tierlens.operators.profile import character_counts
 from tierlens.operators.sequence import run_length
 from tierlens.plans import bindings as B
 from tierlens.plans.registry import query, with_ctes
-from tierlens.session import join_null_safe, materialize, scratch
+from tierlens.session import materialize, scratch
 from tierlens.sources import journal as J, manifest as M, samples as S
 
 
@@ -196,13 +197,8 @@ SELECT split, stride, count(*) AS tiers, count(*) FILTER (WHERE greatest(1, resi
 FROM tiers, (SELECT unnest([2, 4, 8, 16]) AS stride) GROUP BY split, stride""", B.TIERS_SQL))
 def p06(spark, sf):
     """Feasibility under several strides; the strides are expanded inside each row."""
-    t = B.tiers(spark, sf).select("split", "resized_width", "ctc_required_timesteps")
-    cells = F.array(*[F.struct(F.lit(s).alias("stride"), L.ctc_steps(F.col("resized_width"), s).alias("steps")) for s in (2, 4, 8, 16)])
-    each = t.select("split", "ctc_required_timesteps", F.explode(cells).alias("f")).select("split", "f.stride", (F.col("f.steps") - F.col("ctc_required_timesteps")).alias("margin"))
-    return each.groupBy("split", "stride").agg(
-        F.count(F.lit(1)).alias("tiers"), F.count_if(F.col("margin") >= 0).alias("feasible"), F.min("margin").alias("min_margin"),
-        F.round(100.0 * F.count_if(F.col("margin") < 0) / F.count(F.lit(1)), 6).alias("failure_percent"),
-    )
+    found = R.ctc_feasibility(B.tiers(spark, sf), "resized_width", "ctc_required_timesteps", (2, 4, 8, 16), ["split"])
+    return found.withColumn("failure_percent", F.round("failure_percent", 6))
 
 
 _VOCAB_SQL = "' ''()*+,ABCDEFGHIJKLMNPQRSTUVWXYZ[\\]^_abcdefghijklmnopqrstuvwxyz{|'"
@@ -242,16 +238,17 @@ SELECT o_orderkey, len(ids)::INT AS target_length, array_to_string(list_concat(i
 def p09(spark, sf):
     """Targets of a batch (orders of one day) padded to the longest of it."""
     enc = B.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("batch"), C.encode(F.col("o_orderpriority")).alias("ids"))
-    out = pad_targets(enc, "batch", "ids")
+    out = Q.pad_targets(enc, "batch", "ids")
     return out.select("o_orderkey", "target_length", F.array_join("padded", ",").alias("padded"))
 
 
-def pad_targets(df: DataFrame, batch: str, ids: str) -> DataFrame:
-    """Right-pads id arrays with 0 to the longest of their batch; widths come from one small aggregate."""
-    widths = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_w"))
-    return join_null_safe(df, widths, [batch]).withColumn("target_length", F.size(ids)).withColumn(
-        "padded", F.concat(ids, F.array_repeat(F.lit(0), F.col("_w") - F.size(ids)))
-    ).drop("_w")
+@query("p09_flat_targets", f"""
+WITH enc AS (SELECT o_orderkey, o_orderkey // 64 AS batch, list_transform(string_split(o_orderpriority, ''), lambda c: CASE WHEN strpos({_VOCAB_SQL}, c) = 0 THEN -1 ELSE strpos({_VOCAB_SQL}, c) END) AS ids FROM orders)
+SELECT batch, array_to_string(flatten(list(ids ORDER BY o_orderkey)), ',') AS targets, array_to_string(list(len(ids) ORDER BY o_orderkey), ',') AS target_lengths FROM enc GROUP BY batch""")
+def p09b(spark, sf):
+    """Targets of a batch (64 neighbouring orders) one behind the other, with their lengths."""
+    enc = B.table(spark, sf, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 64).alias("batch"), C.encode(F.col("o_orderpriority")).alias("ids"))
+    return Q.flat_targets(enc, "batch", "ids", ["o_orderkey"]).select("batch", F.array_join("targets", ",").alias("targets"), F.array_join("target_lengths", ",").alias("target_lengths"))
 
 
 @query("p10_parse_rows", r"""

@@ -110,16 +110,18 @@ def j11(spark, sf):
     return P.require_paired(_pairs(spark, sf), "image_id")
 
 
-@query("j12_paired_degraded", """
-WITH c AS (SELECT l_orderkey AS page, l_linenumber AS row, l_returnflag AS tier, min(l_extendedprice)::BIGINT AS v, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL),
-s AS (SELECT l_orderkey AS page, l_linenumber AS row, l_returnflag AS tier, l_extendedprice AS v FROM lineitem WHERE l_linestatus = 'F')
-SELECT s.tier, count(*) AS degraded, count(c.page) AS paired, sum(c.n)::BIGINT AS clean_lines FROM s LEFT JOIN c USING (page, row, tier) GROUP BY s.tier""")
+@query("j12_paired_degraded", with_ctes("""
+SELECT *, round(edits::DOUBLE / nullif(characters, 0), 6) AS cer, round(clean_edits::DOUBLE / nullif(characters, 0), 6) AS clean_cer, round(exact::DOUBLE / nullif(paired, 0), 6) AS exact_accuracy,
+  round(clean_exact::DOUBLE / nullif(paired, 0), 6) AS clean_exact_accuracy FROM (
+  SELECT s.role, count(*) AS readings, count(c.p) AS paired, coalesce(sum(length(s.truth)) FILTER (c.p IS NOT NULL), 0)::BIGINT AS characters, coalesce(sum(levenshtein(s.truth, s.prediction)) FILTER (c.p IS NOT NULL), 0)::BIGINT AS edits,
+    coalesce(sum(levenshtein(s.truth, c.p)), 0)::BIGINT AS clean_edits, count(*) FILTER (c.p IS NOT NULL AND s.truth = s.prediction) AS exact, count(*) FILTER (s.truth = c.p) AS clean_exact,
+    count(*) FILTER (levenshtein(s.truth, s.prediction) > levenshtein(s.truth, c.p)) AS worsened
+  FROM readings s LEFT JOIN (SELECT truth, role, min(prediction) AS p FROM readings WHERE cohort = 'O' AND candidate <> 'N' OR cohort = 'O' AND page % 3 = 0 GROUP BY ALL) c ON c.truth = s.truth AND c.role = s.role WHERE s.cohort = 'F' GROUP BY s.role)""", B.READINGS_SQL))
 def j12(spark, sf):
-    """Degraded lines with the clean line of the same page, row and tier."""
-    li = B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("row"), F.col("l_returnflag").alias("tier"), "l_linestatus")
-    clean = li.where("l_linestatus = 'O'").groupBy("page", "row", "tier").agg(F.count(F.lit(1)).alias("n"))
-    joined = li.where("l_linestatus = 'F'").join(clean, ["page", "row", "tier"], "left")
-    return joined.groupBy("tier").agg(F.count(F.lit(1)).alias("degraded"), F.count("n").alias("paired"), F.sum("n").alias("clean_lines"))
+    """Degraded readings against the clean reading of the same text and role."""
+    r = B.readings(spark, sf)
+    clean = r.where("cohort = 'O' and (candidate <> 'N' or page % 3 = 0)")
+    return rounded(P.paired_scores(r.where("cohort = 'F'"), clean, ["truth", "role"], ["role"]))
 
 
 @query("a10_transitions", with_ctes("""
@@ -276,13 +278,16 @@ def a29(spark, sf):
 
 
 @query("a30_error_sizes", """
-SELECT l_returnflag, count(*) AS rows, round(quantile_cont(abs(e), 0.5), 6) AS median_absolute, round(quantile_cont(abs(e), 0.95), 6) AS p95_absolute, round(avg(e), 4) AS signed_mean
-FROM (SELECT l_returnflag, l_extendedprice / l_quantity - p_retailprice AS e FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY l_returnflag""")
+SELECT l_returnflag, count(*) AS rows, round(quantile_cont(abs(e), 0.5), 6) AS median_absolute, round(quantile_cont(abs(e), 0.95), 6) AS p95_absolute, round(avg(e), 4) AS signed_mean,
+  round(quantile_cont(abs(e) / s, 0.5), 6) AS median_normalized, round(quantile_cont(abs(e) / s, 0.95), 6) AS p95_normalized, round(sum(m)::DOUBLE / sum(q), 6) AS coverage
+FROM (SELECT l_returnflag, l_extendedprice / l_quantity - p_retailprice AS e, p_retailprice AS s, CASE WHEN l_linestatus = 'O' THEN l_quantity::BIGINT ELSE 0 END AS m, l_quantity::BIGINT AS q FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY l_returnflag""")
 def a30(spark, sf):
-    """Unit price of a line against the list price of its part."""
+    """Unit price of a line against the list price of its part, as it is and in parts of the list price; open pieces of all pieces."""
     part = B.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
-    e = B.table(spark, sf, "lineitem").select("l_partkey", "l_returnflag", "l_extendedprice", "l_quantity").join(part, "l_partkey")
-    sized = M.error_sizes(e.withColumn("e", F.col("l_extendedprice") / F.col("l_quantity") - F.col("p_retailprice")), "e", ["l_returnflag"])
+    e = B.table(spark, sf, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity").join(part, "l_partkey")
+    pieces = F.col("l_quantity").cast("long")
+    e = e.select("l_returnflag", "p_retailprice", (F.col("l_extendedprice") / F.col("l_quantity") - F.col("p_retailprice")).alias("e"), F.when(F.col("l_linestatus") == "O", pieces).otherwise(0).alias("open"), pieces.alias("pieces"))
+    sized = M.error_sizes(e, "e", ["l_returnflag"], scale="p_retailprice", covered=("open", "pieces"))
     return rounded(sized).withColumn("signed_mean", F.round("signed_mean", 4))
 
 
