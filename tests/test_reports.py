@@ -75,3 +75,27 @@ def test_error_sizes_in_parts_of_a_scale(spark, by):
         assert r["median_normalized"] == pytest.approx(np.median(abs(e) / s)) and r["p95_normalized"] == pytest.approx(np.percentile(abs(e) / s, 95))
         assert r["coverage"] == pytest.approx(sum(x[3] for x in own) / sum(x[4] for x in own))
     assert len(got) == (2 if by else 1)
+
+
+def test_contract_links_records_to_controls_hashes_and_history(spark):
+    columns = (
+        "image_id string, validity string, category string, rule string, expected_outcome string, target string, image_sha256 string, original_image_hash string, parent_id string, mutation_family_id string, "
+        "matched_control_id string, augmented boolean, verification_status string, evidence_status string, semantic_key string, parent_semantic_key string, novelty_verified boolean"
+    )
+    good = ("v", "VALID", "none", None, "ACCEPT", "t", "h1", "h1", "p", "p", "v", False, "AUTO_VERIFIED", "AUTO_VERIFIED", "k", "k", True)
+    def like(image, **other):
+        names = [c.split()[0] for c in columns.split(", ")]
+        return tuple({**dict(zip(names, good)), "image_id": image, "image_sha256": f"hash of {image}", **other}[n] for n in names)
+    rows = [
+        good, like("a"), like("b", original_image_hash="x"), like("c", matched_control_id="gone"), like("d", parent_id="q", mutation_family_id="q"), like("e", image_sha256="same"), like("f", image_sha256="same"),
+        like("g", verification_status="OPEN"), like("h", mutation_family_id="z"), like("i", semantic_key="old", parent_semantic_key="old"), like("j", semantic_key="other"), like("k", novelty_verified=None),
+        like("l", validity="INVALID", category="cat", rule="r", expected_outcome="REJECT_INVALID", target=None), like("m", matched_control_id="l", original_image_hash="hash of l"),
+    ]
+    history = spark.createDataFrame([("old",), ("old",), (None,)], "semantic_key string")
+    got = {}
+    for r in A.contract_issues(spark.createDataFrame(rows, columns), {"cat": "r"}, history).collect():
+        got.setdefault(r["image_id"], set()).add(r["issue"])
+    assert got == {
+        "b": {"original_hash_mismatch"}, "c": {"control_missing_or_wrong"}, "d": {"control_missing_or_wrong"}, "e": {"duplicate_image_bytes"}, "f": {"duplicate_image_bytes"}, "g": {"not_verified"},
+        "h": {"family_is_not_parent"}, "i": {"historical_overlap"}, "j": {"semantic_key_mismatch"}, "k": {"novelty_not_established"}, "m": {"control_missing_or_wrong"},
+    }

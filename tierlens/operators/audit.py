@@ -299,3 +299,38 @@ def mutation_issues(records: DataFrame, rules: dict[str, str]) -> DataFrame:
         ("unsafe_identifier", ~c("image_id").cast("string").rlike("^[a-z0-9_]+$")),
     ]
     return records.select("image_id", F.explode(L.named_issues(checks)).alias("issue"))
+
+
+def contract_issues(records: DataFrame, rules: dict[str, str], history: DataFrame) -> DataFrame:
+    """(image_id, issue): faults of single records (mutation_issues) and of their verification, lineage, control and history.
+
+    Beside those columns: image_sha256, original_image_hash, parent_id,
+    mutation_family_id, matched_control_id, augmented, verification_status,
+    evidence_status, semantic_key and parent_semantic_key, novelty_verified.
+    `history` has the semantic_key of every source used before.  A record's
+    control is a valid, unaugmented record of the same parent, and its image
+    is the original that the record's hash names.
+    """
+    c = F.col
+    verified = F.lit("AUTO_VERIFIED")       # fixed value
+    own = [
+        ("not_verified", ~F.equal_null(c("verification_status"), verified) | ~F.equal_null(c("evidence_status"), verified)),
+        ("family_is_not_parent", ~F.equal_null(c("mutation_family_id"), c("parent_id"))),
+        ("semantic_key_mismatch", ~F.equal_null(c("semantic_key"), c("parent_semantic_key"))),
+        ("novelty_not_established", ~F.coalesce(c("novelty_verified"), F.lit(False))),
+    ]
+    controls = records.select(
+        c("image_id").alias("matched_control_id"), c("parent_id").alias("_parent"), c("validity").alias("_validity"), c("augmented").alias("_augmented"), c("image_sha256").alias("_hash"), F.lit(True).alias("_there")
+    )
+    copies = records.groupBy("image_sha256").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    used = history.select("semantic_key").where("semantic_key is not null").distinct().withColumn("_used", F.lit(True))
+    joined = records.join(controls, "matched_control_id", "left").join(copies, "image_sha256", "left").join(used, "semantic_key", "left")
+    good = c("_there") & (c("_validity") == "VALID") & ~c("_augmented") & F.equal_null(c("_parent"), c("parent_id"))
+    linked = [
+        ("control_missing_or_wrong", ~F.coalesce(good, F.lit(False))),
+        ("original_hash_mismatch", F.coalesce(c("_there"), F.lit(False)) & ~F.equal_null(c("_hash"), c("original_image_hash"))),
+        ("duplicate_image_bytes", c("_copies").isNotNull()),
+        ("historical_overlap", c("_used").isNotNull()),
+    ]
+    found = joined.select("image_id", F.explode(L.named_issues([*own, *linked])).alias("issue"))
+    return mutation_issues(records, rules).unionByName(found)

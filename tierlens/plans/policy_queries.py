@@ -449,24 +449,35 @@ RULES = {"1-URGENT": "rule-urgent", "2-HIGH": "rule-high", "3-MEDIUM": "rule-med
 
 
 @query("r17_mutation_records", """
-WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'INVALID' WHEN o_totalprice > 495000 THEN 'MAYBE' ELSE 'VALID' END AS validity, CASE WHEN o_orderstatus = 'F' OR o_totalprice < 3000 THEN o_orderpriority ELSE 'none' END AS category,
-   'rule-' || lower(split_part(o_orderpriority, '-', 2)) AS rule, CASE WHEN o_totalprice < 250000 THEN 'ACCEPT' ELSE 'REJECT_INVALID' END AS expected, CASE WHEN o_totalprice BETWEEN 2000 AND 300000 THEN o_orderpriority END AS target FROM orders)
+WITH r AS (SELECT 'img_' || o_orderkey AS image_id, o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'INVALID' WHEN o_totalprice > 495000 THEN 'MAYBE' ELSE 'VALID' END AS validity, CASE WHEN o_orderstatus = 'F' OR o_totalprice < 3000 THEN o_orderpriority ELSE 'none' END AS category,
+   CASE WHEN o_totalprice < 250000 THEN 'ACCEPT' ELSE 'REJECT_INVALID' END AS expected, CASE WHEN o_totalprice BETWEEN 2000 AND 300000 THEN o_orderpriority END AS target,
+   md5((CASE WHEN o_orderkey % 89 = 0 THEN o_orderkey - o_orderkey % 8 ELSE o_orderkey END)::VARCHAR) AS hash, o_custkey AS parent, o_orderkey % 4 >= 2 AS augmented, o_orderkey - o_orderkey % 4 AS control FROM orders),
+j AS (SELECT r.*, c.k AS ck, c.hash AS ch, c.validity AS cv, c.parent AS cp, n.n AS copies FROM r LEFT JOIN r c ON c.k = r.control LEFT JOIN (SELECT hash, count(*) AS n FROM r GROUP BY hash) n ON n.hash = r.hash)
 SELECT issue, count(*) AS rows FROM (SELECT unnest(list_filter([CASE WHEN validity = 'MAYBE' THEN 'unsupported_validity' END, CASE WHEN expected <> CASE WHEN validity = 'VALID' THEN 'ACCEPT' ELSE 'REJECT_INVALID' END THEN 'expected_outcome_disagrees' END,
   CASE WHEN validity = 'INVALID' AND category = '4-NOT SPECIFIED' THEN 'unsupported_category' END, CASE WHEN validity = 'INVALID' AND target IS NOT NULL THEN 'fabricated_target' END,
-  CASE WHEN validity = 'VALID' AND target IS NULL THEN 'valid_without_target' END, CASE WHEN validity = 'VALID' AND category <> 'none' THEN 'valid_with_category' END], lambda x: x IS NOT NULL)) AS issue FROM r) GROUP BY issue""")
+  CASE WHEN validity = 'VALID' AND target IS NULL THEN 'valid_without_target' END, CASE WHEN validity = 'VALID' AND category <> 'none' THEN 'valid_with_category' END,
+  CASE WHEN k % 71 = 0 OR k % 73 = 0 THEN 'not_verified' END, CASE WHEN k % 79 = 0 THEN 'family_is_not_parent' END, CASE WHEN k % 83 = 0 THEN 'semantic_key_mismatch' END, CASE WHEN k % 97 = 0 THEN 'novelty_not_established' END,
+  CASE WHEN NOT coalesce(cv = 'VALID' AND ck % 4 < 2 AND cp = parent, false) THEN 'control_missing_or_wrong' END, CASE WHEN ck IS NOT NULL AND ch <> md5((CASE WHEN k % 67 = 0 THEN k ELSE control END)::VARCHAR) THEN 'original_hash_mismatch' END,
+  CASE WHEN copies > 1 THEN 'duplicate_image_bytes' END, CASE WHEN parent % 59 = 0 THEN 'historical_overlap' END], lambda x: x IS NOT NULL)) AS issue FROM j) GROUP BY issue""")
 def r17(spark, sf):
-    """Mutation contract over orders played as mutated and valid records."""
-    o = B.table(spark, sf, "orders")
-    c = F.col
-    r = o.select(
-        F.concat(F.lit("img_"), c("o_orderkey").cast("string")).alias("image_id"),
+    """Mutation contract over orders played as mutated and valid records; every fourth order is the control of the next ones."""
+    c, k = F.col, F.col("o_orderkey")
+    text = lambda x: x.cast("string")
+    control = k - k % 4
+    r = B.table(spark, sf, "orders").select(
+        F.concat(F.lit("img_"), text(k)).alias("image_id"),
         F.when(c("o_orderstatus") == "F", "INVALID").when(c("o_totalprice") > 495000, "MAYBE").otherwise("VALID").alias("validity"),
         F.when((c("o_orderstatus") == "F") | (c("o_totalprice") < 3000), c("o_orderpriority")).otherwise("none").alias("category"),
         F.concat(F.lit("rule-"), F.lower(F.split_part("o_orderpriority", F.lit("-"), F.lit(2)))).alias("rule"),
         F.when(c("o_totalprice") < 250000, "ACCEPT").otherwise("REJECT_INVALID").alias("expected_outcome"),
         F.when(c("o_totalprice").between(2000, 300000), c("o_orderpriority")).alias("target"),
+        F.md5(text(F.when(k % 89 == 0, k - k % 8).otherwise(k))).alias("image_sha256"), F.md5(text(F.when(k % 67 == 0, k).otherwise(control))).alias("original_image_hash"),
+        c("o_custkey").alias("parent_id"), F.when(k % 79 == 0, -1).otherwise(c("o_custkey")).alias("mutation_family_id"), F.concat(F.lit("img_"), text(control)).alias("matched_control_id"),
+        (k % 4 >= 2).alias("augmented"), F.when(k % 71 == 0, "QUARANTINED").otherwise("AUTO_VERIFIED").alias("verification_status"), F.when(k % 73 == 0, None).otherwise("AUTO_VERIFIED").alias("evidence_status"),
+        text(c("o_custkey")).alias("semantic_key"), F.when(k % 83 == 0, "other").otherwise(text(c("o_custkey"))).alias("parent_semantic_key"), (k % 97 != 0).alias("novelty_verified"),
     )
-    return A.mutation_issues(r, RULES).groupBy("issue").agg(F.count(F.lit(1)).alias("rows"))
+    history = B.table(spark, sf, "customer").where("c_custkey % 59 = 0").select(text(c("c_custkey")).alias("semantic_key"))
+    return A.contract_issues(r, RULES, history).groupBy("issue").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("r18_offline_cohorts", with_ctes("""
