@@ -208,3 +208,20 @@ def test_copies_and_shingles_of_one_text_give_no_prefix_rows(spark):
     found = simhash.prefixes(lines, distinct, 5, 0.8).collect()
     assert {r["short"] for r in found} == {r["short"] for r in lines.where("row in (0, 5000)").collect()}
     assert 2 <= len(found) <= 2 * (106 - 85 + 1) and len(found) == len({(r["short"], r["shingle"]) for r in found})
+
+
+def test_parities_rule_no_similar_pair_out(spark):
+    rng = random.Random(25)
+    said = []
+    for _ in range(60):
+        words = [f"r{rng.randrange(300)}" for _ in range(rng.randint(0, 200))]
+        said.append(" ".join(words))
+        for places in (1, 2, 5):
+            said.append(" ".join("new" if words and rng.random() < places / len(words) else w for w in words))
+    lines = spark.createDataFrame(list(enumerate(said)), "row long, text string").repartition(3)
+    known = simhash.parities(lines, lines.select("row"), 5)
+    left, right = known.selectExpr("row as a", "size as m", "parity as p"), known.selectExpr("row as b", "size as n", "parity as q")
+    kept = {(r["a"], r["b"]) for r in left.join(right, F.col("a") < F.col("b")).where(simhash._may_be_similar(0.8)).select("a", "b").collect()}
+    sets = [shingles(t) for t in said]
+    similar = {(a, b) for a in range(len(said)) for b in range(a + 1, len(said)) if not sets[a] | sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert similar <= kept and len(kept) < 1.2 * len(similar) + 50

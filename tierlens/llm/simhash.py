@@ -20,6 +20,8 @@ RADIUS = 3
 VIEWS = 1
 #: Shingles that the exact search knows as common and asks for last.  Fewer make it slower, not less whole.
 MAX_COMMON = 200_000
+#: Bits of a text's parity, by which most pairs are ruled out before their shingle sets are made.
+PARITY_BITS = 2_048
 #: Shingles that a task counts together.
 COUNT_SHINGLES = 4_000_000
 SEED = 42
@@ -272,9 +274,47 @@ def shingle_sets(placed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return placed.select("row", "text").mapInArrow(run, "row long, shingles array<long>").join(wanted, "row").select("node", "shingles")
 
 
-def _similar(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have at least this Jaccard similarity; `sets` gives (node, shingles) of a table of nodes."""
-    pairs = written(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidate-pairs")
+def parities(placed: DataFrame, distinct: DataFrame, width: int) -> DataFrame:
+    """(row, size, parity) of the rows (row, text) that `distinct` (row) names: the size of the shingle set and, per bit, whether an odd number of shingles falls on it.
+
+    Two sets differ in at least as many shingles as their parities in bits.
+    """
+    shared = placed.sparkSession.sparkContext.broadcast(bitmaps.of_rows(distinct, "row"))
+    words = PARITY_BITS // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = _only(batch, shared.value)
+            for low, high, piece in word_pieces(batch.column(1), BETWEEN_SPACES):
+                hashes, first = _distinct(*_shingle_names(piece, width))
+                size = np.diff(first)
+                bit = mixed(hashes) & np.uint64(PARITY_BITS - 1)
+                place = np.repeat(np.arange(len(size)), size) * words + (bit >> np.uint64(6)).astype(np.int64)
+                bits = np.zeros(len(size) * words, np.uint64)
+                np.bitwise_xor.at(bits, place, np.left_shift(np.uint64(1), bit & np.uint64(63)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * words), pa.array(bits.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(size.astype(np.int64)), lists], names=["row", "size", "parity"])
+
+    return placed.select("row", "text").mapInArrow(run, "row long, size long, parity array<long>").join(distinct, "row", "left_semi")
+
+
+def _may_be_similar(similarity: float) -> Column:
+    """Whether sets with these sizes and parities can have the similarity: the differing bits bound what they share."""
+    apart = sum((F.bit_count(F.col("p")[k].bitwiseXOR(F.col("q")[k])) for k in range(PARITY_BITS // 64)), F.lit(0))
+    both = F.col("m") + F.col("n")
+    return (both - apart) / 2 >= F.lit(similarity / (1 + similarity)) * both - F.lit(1e-6)
+
+
+def _similar(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, known: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have at least this Jaccard similarity; `sets` gives (node, shingles) of a table of nodes.
+
+    With `known` (node, size, parity), pairs that can't reach it are dropped before sets are made.
+    """
+    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if known is not None:
+        sides = [known.select(F.col("node").alias(n), F.col("size").alias(m), F.col("parity").alias(p)) for n, m, p in (("a", "m", "p"), ("b", "n", "q"))]
+        pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(_may_be_similar(similarity)).select("a", "b")
+    pairs = written(pairs, "candidate-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     found = written(sets(asked), "shingle-sets")
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
@@ -402,9 +442,9 @@ def pairs_between_groups(stood: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_components(
-    nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], found: DataFrame, similarity: float = 0.8, views: int = VIEWS
+    nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], found: DataFrame, known: DataFrame, similarity: float = 0.8, views: int = VIEWS
 ) -> DataFrame:
-    """(node, root) of near copies among distinct texts (node, short, fps); `sets` gives (node, shingles) for a table of nodes, `found` their prefixes.
+    """(node, root) of near copies among distinct texts (node, short, fps); `sets` gives (node, shingles) for a table of nodes, `found` their prefixes, `known` (node, size, parity).
 
     A link counts only if the sets of shingles have a Jaccard
     similarity of `similarity` or more.  First each text is compared with the
@@ -423,11 +463,11 @@ def similar_components(
         same = nodes.select(F.col("fps")[k].alias("fp"), F.col("node").alias("a")).join(heads, "fp").select("a", F.col("head").alias("b"))
         near = close_links(heads.select("fp")).join(left, "fp").join(right, "near").select("a", "b")
         candidates = candidates.unionByName(same).unionByName(near)
-    links = written(_similar(candidates, sets, similarity), "similar-links")
+    links = written(_similar(candidates, sets, similarity, known), "similar-links")
     groups = nodes.join(connected_components(links), "node", "left").select("short", F.coalesce("root", "node").alias("group"))
     stood = written(met.select("shingle", "short", "size").join(groups, "short"), "grouped-meetings")
     between = pairs_between_groups(stood, similarity).join(named[0], "x").join(named[1], "y").select("a", "b")
-    return connected_components(links.unionByName(_similar(between, sets, similarity)))
+    return connected_components(links.unionByName(_similar(between, sets, similarity, known)))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -459,7 +499,9 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
         """Shingle sets of some nodes, from the rows that stand for them."""
         return shingle_sets(lines, firsts.join(asked, "node").select("node", F.col("rank.place").alias("row")), width)
 
-    found = prefixes(lines, firsts.select(F.col("rank.place").alias("row")), width, similarity)
-    groups = similar_components(firsts.select("node", "short", "fps"), sets, found, similarity)
+    distinct = firsts.select(F.col("rank.place").alias("row"))
+    known = parities(lines, distinct, width).join(firsts.select("node", F.col("rank.place").alias("row")), "row").select("node", "size", "parity")
+    found = prefixes(lines, distinct, width, similarity)
+    groups = similar_components(firsts.select("node", "short", "fps"), sets, found, written(known, "parities"), similarity)
     chosen = firsts.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank"))
     return placed.join(chosen.select(F.col("rank.place").alias(row)), row, "left_semi").select(*columns)
