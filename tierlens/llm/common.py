@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tierlens.session import materialize as written, scratch as fresh_path
+from tierlens.session import scratch as fresh_path
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -12,6 +12,29 @@ SPACES = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df`, written once to the shared folder and read back; `removed` takes it away again."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes written tables whose last reader has been written itself.
+
+    Then the driver's JVM collects garbage: that is when Spark's cleaner
+    deletes the shuffle files of jobs that nothing refers to any more.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

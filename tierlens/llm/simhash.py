@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tierlens.llm import bitmaps
-from tierlens.llm.common import free_name, quoted, written
+from tierlens.llm.common import free_name, quoted, removed, written
 from tierlens.llm.components import connected_components
 from tierlens.llm.spans import BETWEEN_SPACES, Words, mixed, word_pieces
 
@@ -322,7 +322,9 @@ def _similar(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarit
     )
     common = F.size(F.array_intersect("x", "y"))
     total = F.size("x") + F.size("y") - common
-    return both.where((total == 0) | (common >= F.lit(similarity) * total)).select("a", "b")
+    links = written(both.where((total == 0) | (common >= F.lit(similarity) * total)).select("a", "b"), "similar-links")
+    removed(pairs, found)
+    return links
 
 
 def common_shingles(texts: DataFrame, firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -457,15 +459,19 @@ def similar_components(
     met = written(meetings(found), "prefix-meetings")
     stars = met.where(_sizes_allow("size", "head_size", similarity) & (F.col("short") != F.col("head"))).select(F.col("short").alias("x"), F.col("head").alias("y")).distinct()
     candidates = stars.join(named[0], "x").join(named[1], "y").select("a", "b")
+    of_views = []
     for k in range(views):
         heads = written(nodes.select(F.col("fps")[k].alias("fp"), "node").groupBy("fp").agg(F.min("node").alias("head")), "fingerprint-heads")
+        of_views.append(heads)
         left, right = heads.select("fp", F.col("head").alias("a")), heads.select(F.col("fp").alias("near"), F.col("head").alias("b"))
         same = nodes.select(F.col("fps")[k].alias("fp"), F.col("node").alias("a")).join(heads, "fp").select("a", F.col("head").alias("b"))
         near = close_links(heads.select("fp")).join(left, "fp").join(right, "near").select("a", "b")
         candidates = candidates.unionByName(same).unionByName(near)
-    links = written(_similar(candidates, sets, similarity, known), "similar-links")
+    links = _similar(candidates, sets, similarity, known)
+    removed(*of_views)
     groups = nodes.join(connected_components(links), "node", "left").select("short", F.coalesce("root", "node").alias("group"))
     stood = written(met.select("shingle", "short", "size").join(groups, "short"), "grouped-meetings")
+    removed(met)
     between = pairs_between_groups(stood, similarity).join(named[0], "x").join(named[1], "y").select("a", "b")
     return connected_components(links.unionByName(_similar(between, sets, similarity, known)))
 
