@@ -225,3 +225,16 @@ def test_parities_rule_no_similar_pair_out(spark):
     sets = [shingles(t) for t in said]
     similar = {(a, b) for a in range(len(said)) for b in range(a + 1, len(said)) if not sets[a] | sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert similar <= kept and len(kept) < 1.2 * len(similar) + 50
+
+
+def test_keep_one_links_fingerprints_three_bits_apart_by_the_grid_join(spark):
+    text = " ".join(f"g{k}" for k in range(40))
+    other = " ".join(f"h{k}" for k in range(40))
+    lines = spark.createDataFrame([(0, text), (1, text), (2, other), (3, text)], "row long, text string")
+    fps = [0, 0b111 << 20, 0b111 << 40, -1]  # 1 is three bits from 0; 2 as well, with another text; 3 is far away
+    nodes = spark.createDataFrame([(str(k), k, [fp]) for k, fp in enumerate(fps)], "node string, short long, fps array<long>")
+    sets = lambda asked: simhash.shingle_sets(lines, asked.select("node", F.col("node").cast("long").alias("row")), 5)
+    known = simhash.parities(lines, lines.select("row"), 5).selectExpr("string(row) as node", "size", "parity")
+    none = spark.createDataFrame([], "shingle long, short long, size int")
+    groups = simhash.similar_components(nodes, sets, none, known).collect()
+    assert {r["node"]: r["root"] for r in groups} == {"0": "0", "1": "0"}

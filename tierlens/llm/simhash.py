@@ -443,6 +443,16 @@ def pairs_between_groups(stood: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("l.short", "s.short").alias("x"), F.greatest("l.short", "s.short").alias("y")).distinct()
 
 
+def fingerprint_pairs(grouped: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups whose fingerprints differ in at most three bits, one pair for each two of (fingerprint, group).
+
+    `grouped` has (fp, group, node).  The grid join runs on a narrow hash of the group; the few pairs that it finds carry it back to the nodes.
+    """
+    stood = written(grouped.groupBy("fp", F.xxhash64("group").alias("group")).agg(F.min("node").alias("node")), "fingerprint-groups")
+    left, right = stood.withColumnRenamed("node", "a"), stood.select(F.col("fp").alias("other"), F.col("group").alias("other_group"), F.col("node").alias("b"))
+    return grid_pairs(stood.select("fp", "group")).join(left, ["fp", "group"]).join(right, ["other", "other_group"]).select("a", "b")
+
+
 def similar_components(
     nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], found: DataFrame, known: DataFrame, similarity: float = 0.8, views: int = VIEWS
 ) -> DataFrame:
@@ -451,9 +461,10 @@ def similar_components(
     A link counts only if the sets of shingles have a Jaccard
     similarity of `similarity` or more.  First each text is compared with the
     head of its fingerprint, with those that close_links finds and with
-    the heads of its prefix shingles; that contracts dense groups.  Then all
-    texts of different groups that meet in a prefix shingle are compared, so
-    that no similar pair is left between two groups.
+    the heads of its prefix shingles; that contracts dense groups.  Then the
+    grid join gives the pairs of groups whose fingerprints differ in three bits
+    or fewer, and all texts of different groups that meet in a prefix shingle
+    are compared, so that no similar pair is left between two groups.
     """
     named = [nodes.select(F.col("short").alias(s), F.col("node").alias(n)) for s, n in (("x", "a"), ("y", "b"))]
     met = written(meetings(found), "prefix-meetings")
@@ -469,10 +480,12 @@ def similar_components(
         candidates = candidates.unionByName(same).unionByName(near)
     links = _similar(candidates, sets, similarity, known)
     removed(*of_views)
-    groups = nodes.join(connected_components(links), "node", "left").select("short", F.coalesce("root", "node").alias("group"))
-    stood = written(met.select("shingle", "short", "size").join(groups, "short"), "grouped-meetings")
+    grouped = written(nodes.join(connected_components(links), "node", "left").select("node", "short", "fps", F.coalesce("root", "node").alias("group")), "groups")
+    stood = written(met.select("shingle", "short", "size").join(grouped.select("short", "group"), "short"), "grouped-meetings")
     removed(met)
     between = pairs_between_groups(stood, similarity).join(named[0], "x").join(named[1], "y").select("a", "b")
+    for k in range(views):
+        between = between.unionByName(fingerprint_pairs(grouped.select(F.col("fps")[k].alias("fp"), "group", "node")))
     return connected_components(links.unionByName(_similar(between, sets, similarity, known)))
 
 
@@ -481,8 +494,10 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
 
     Near copies are texts whose sets of `width`-word shingles have a Jaccard
     similarity of `similarity` or more, or that a chain of such texts joins.
-    Links of up to three bits between fingerprints of the distinct words join
-    dense groups early; every other pair meets in a shingle of its prefixes.
+    Candidates are the links of up to three bits between fingerprints of the
+    distinct words (those of one or two bits join dense groups, the grid join
+    finds the others), all of them checked on their sets; beside them every
+    pair that fingerprints miss meets in a shingle of its prefixes.
     Equal texts, null counting as empty, are one group.  Rows
     without an id come after those with one; rows alike in doc_id are told
     apart by a hash of all columns, repeated rows by their place.
