@@ -1,4 +1,6 @@
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -38,3 +40,24 @@ def test_sliced_arrow_columns():
     (low, high, piece), = word_pieces(column, BETWEEN_SPACES)
     assert (low, high) == (0, 2) and piece.counts.tolist() == [1, 3]
     assert np.all(piece.first == [0, 1, 4])
+
+
+def test_pieces_take_little_memory_and_give_it_back():
+    """A worker stays alive between stages: what its pieces took must not stay with it."""
+    code = """
+import numpy as np, pyarrow as pa
+from tierlens.llm import quality, spans
+def now(name):
+    with open("/proc/self/status") as lines:
+        return next(int(line.split()[1]) // 1024 for line in lines if line.startswith(name))
+column = pa.array([" ".join(f"w{(k * 7919 + j) % 5000}" for j in range(2_000)) for k in range(2_000)])
+start = now("VmRSS")
+for _, _, piece in spans.word_pieces(column, spans.BETWEEN_SPACES):
+    piece.hashes()
+del piece
+for found, hashes, shapes in quality._tokens(column):
+    pass
+print(now("VmHWM") - start)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 90

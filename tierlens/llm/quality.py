@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tierlens.llm.common import fold, free_name, id_text, quoted, written
-from tierlens.llm.spans import BETWEEN_SPACES, Words, pieces, text_buffers, words
+from tierlens.llm.spans import BETWEEN_SPACES, Words, give_back_memory, pieces, text_buffers, words
 
 #: Labelled documents that the classifier is fitted on, at most; picked by a hash of doc_id.
 TRAIN_ROWS = 6_000
@@ -68,6 +68,7 @@ def _tokens(column: pa.Array) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
         part = body[offsets[low] : offsets[high]]
         found = words(offsets[low : high + 1], part, BETWEEN_SPACES)
         yield found, found.hashes(), _shapes(found, part)
+    give_back_memory()
 
 
 def _contexts(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are looked at together; one longer text is looked at alone.
-PIECE_BYTES = 1 << 21
+#: Bytes of text that are looked at together; one longer text is looked at alone.  A piece's arrays take some hundred times as much memory.
+PIECE_BYTES = 1 << 19
 
 _BYTES = np.arange(256)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -120,9 +121,18 @@ def words(offsets: np.ndarray, body: np.ndarray, kind: np.ndarray) -> Words:
     return Words(LOWER[body], start, end, np.searchsorted(start, offsets))
 
 
+def give_back_memory() -> None:
+    """Freed memory goes back to the system: Spark keeps a worker with all it holds for the next task, also while only the JVM works."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def word_pieces(column: pa.Array, kind: np.ndarray) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, their words) for one Arrow column, piece by piece."""
     offsets, body = text_buffers(column)
     for low, high in pieces(offsets):
         cut = offsets[low : high + 1]
         yield low, high, words(cut, body[cut[0] : cut[-1]], kind)
+    give_back_memory()
