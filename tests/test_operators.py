@@ -237,6 +237,21 @@ def test_bootstrap_draws_as_many_parents_as_there_are(spark):
     assert b["lower95"] == pytest.approx(low + 0.025 * (high - low)) and b["upper95"] == pytest.approx(low + 0.975 * (high - low))
 
 
+def test_rows_of_one_split_do_not_meet_in_one_task(spark):
+    rows = spark.range(0, 40_000, 1, 8).selectExpr(
+        "'train' as split", "concat('s', id % 2) as stratum", "id % 5000 as parent", "id as tier_id", "cast(id % 90 as int) as length"
+    )
+    quota = spark.createDataFrame([("train", "s0", 30_000), ("train", "s1", 30_000)], "split string, stratum string, allocation long")
+    largest = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # as if every table were large
+    try:
+        assert largest(W.quantile_buckets(rows, "length", 5, "label", ["split"])) < 20_000
+        taken = W.stratified_sample(rows, quota, "split", "stratum", "parent", "tier_id", 42)
+        assert largest(taken) < 20_000 and taken.count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_unpaired_records_stop_the_job(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "id int, outcome string")
     with pytest.raises(PySparkException):

@@ -27,7 +27,7 @@ def quantile_cuts(df: DataFrame, value: str, buckets: int, by: Sequence[str] = (
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     probs = [i / buckets for i in range(1, buckets)]
     proposed = counts.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(p) for p in probs]), F.col("_n")).alias("_p"))
-    joined = counts.join(proposed, list(by)) if by else counts.withColumn("_p", proposed.select("_p").scalar())
+    joined = counts.join(F.broadcast(proposed), list(by)) if by else counts.withColumn("_p", proposed.select("_p").scalar())
     left = [
         F.coalesce(F.sum(F.when(F.col(value) <= F.get("_p", F.lit(i)), F.col("_n"))), F.lit(0)) for i in range(len(probs))
     ]
@@ -44,7 +44,8 @@ def bucket_of(value: Column, cuts: Column) -> Column:
 
 def quantile_buckets(df: DataFrame, value: str, buckets: int, prefix: str, by: Sequence[str] = ()) -> DataFrame:
     cuts = quantile_cuts(df, value, buckets, by).withColumnRenamed("cuts", "_cuts")
-    joined = join_null_safe(df, cuts, list(by)) if by else df.withColumn("_cuts", cuts.select("_cuts").scalar())
+    # one row per group: broadcast, or the rows of a group would all go to one task
+    joined = join_null_safe(df, F.broadcast(cuts), list(by)) if by else df.withColumn("_cuts", cuts.select("_cuts").scalar())
     name = F.concat(F.lit(prefix + "_q"), bucket_of(F.col(value), F.col("_cuts")).cast("string"))
     return joined.withColumn(f"{prefix}_bucket", name).drop("_cuts")
 
@@ -112,7 +113,8 @@ def stratified_sample(
     least so far.  That order is sequential over strata: one job per stratum,
     over the rows of its last pass only.
     """
-    quota = allocation.select(split, stratum, "allocation")
+    # strata and their passes are short lists, rows of a stratum are not: the lists are broadcast
+    quota = F.broadcast(allocation.select(split, stratum, "allocation"))
     drawn = tier_passes(df, split, stratum, parent, row_id, seed).join(quota, [split, stratum])
     drawn = materialize(drawn.where(F.col("pass") <= F.col("allocation")), "passes")
     sizes = drawn.groupBy(split, stratum, "pass", "allocation").agg(F.count(F.lit(1)).alias("_n"))
@@ -126,7 +128,7 @@ def stratified_sample(
         .when(F.col("_before") < F.col("allocation"), "part")
     )
     sizes = sizes.withColumn("_state", state).where("_state is not null").select(split, stratum, "pass", "_before", "_parents", "_state")
-    placed = join_null_safe(drawn, sizes, [split, stratum, "pass"])
+    placed = join_null_safe(drawn, F.broadcast(sizes), [split, stratum, "pass"])
     whole, part = placed.where("_state = 'whole'"), placed.where("_state = 'part'")
     if exact:
         chosen = _least_used_first(whole, part, sizes, allocation, split, stratum, parent)
