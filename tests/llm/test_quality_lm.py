@@ -1,5 +1,6 @@
 import collections
 import math
+import os
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from awkward_tables import DOCS, awkward, awkward_rows, empty, prose, with_clash
 
 from tierlens.llm import lm, quality
 from tierlens.llm.spans import BETWEEN_SPACES, word_pieces
+from tierlens.session import checkpoint_dir
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -177,3 +179,11 @@ def test_probabilities_of_a_state_sum_to_one(spark):
 
 def test_no_documents(spark):
     assert lm.held_out_scores(empty(spark)).count() == 0
+
+
+def test_fit_leaves_only_the_tables_of_the_model(spark):
+    rows = [(k, f"one two three word{k % 40} word{k % 7}", None, None, None) for k in range(400)]
+    before = set(os.listdir(checkpoint_dir(spark)))
+    words, late, model = lm.whole_fit(spark.createDataFrame(rows, DOCS))
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(checkpoint_dir(spark))) - before}
+    assert left <= {"words", "late-arcs"} and "words" in left and words.count() == model.vocabulary

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tierlens.session import scratch as fresh_path
@@ -22,17 +24,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def removed(*tables: DataFrame) -> None:
-    """Deletes written tables whose last reader has been written itself.
-
-    Then the driver's JVM collects garbage: that is when Spark's cleaner
-    deletes the shuffle files of jobs that nothing refers to any more.
-    """
+    """Deletes written tables whose last reader has been written itself, and shuffle files with them."""
     for table in tables:
         spark = table.sparkSession
         folder = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        shuffles_freed(tables[0].sparkSession)
+
+
+def shuffles_freed(spark: SparkSession) -> None:
+    """Spark's cleaner deletes the shuffle files of jobs that nothing refers to any more.
+
+    It does so when the driver's JVM collects garbage; Python's side of a
+    DataFrame holds its plan there until its own cycles are collected.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def task_count(spark: SparkSession) -> int:

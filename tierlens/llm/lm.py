@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tierlens.llm.common import fold, written
+from tierlens.llm.common import fold, removed, shuffles_freed, written
 from tierlens.llm.spans import BETWEEN_SPACES, Words, word_pieces
 
 #: Share of the training tokens from which on a word is a state and a pair an arc; 0: every word, and every pair seen PAIR_LEAST times.
@@ -197,6 +197,7 @@ def whole_fit(texts: DataFrame) -> tuple[DataFrame, DataFrame | None, Automaton]
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     rows = texts.count()
     arcs = written(_pair_table(texts).where(F.col("n") >= max(float(PAIR_LEAST), total * SHARE)), "arcs")
+    shuffles_freed(spark)  # every pair of every task stood there
     kept = arcs.groupBy("state").agg(F.sum(F.col("n") - F.lit(DISCOUNT)).alias("kept"))
     from_begin = kept.where(F.col("state") == _BEGIN).first()
     begin_fail = float(np.log10(1 - (from_begin["kept"] if from_begin else 0.0) / max(rows, 1)))
@@ -220,6 +221,7 @@ def whole_fit(texts: DataFrame) -> tuple[DataFrame, DataFrame | None, Automaton]
     alone = 10 ** model.single(own[model.arcs & 0xFFFFFFFF])
     model.weights = np.log10((seen - DISCOUNT) / history[left] + 10 ** np.append(fail, begin_fail)[left] * alone)
     if arcs.where(~cached).isEmpty():
+        removed(arcs, counts)
         return words, None, model
     low = arcs.where(~cached)
     ahead = words.select(F.col("word").alias("state"), F.col("n").alias("history"), "fail").unionByName(
@@ -230,6 +232,7 @@ def whole_fit(texts: DataFrame) -> tuple[DataFrame, DataFrame | None, Automaton]
         low.join(ahead, "state").join(counts.select("word", F.col("n").alias("own")), "word")
         .select(_pair_key().alias("key"), F.log10(((F.col("n") - DISCOUNT) / F.col("history") + way) / way).alias("bonus")), "late-arcs"
     )
+    removed(arcs, counts)
     bit = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
     filled = late.select(F.shiftright(bit, 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     filled = filled.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
