@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -436,3 +437,64 @@ def test_verdict_counts_per_record(spark):
     edits = spark.createDataFrame([(1, "AX", "AB", 1, "B"), (1, "AX", "AC", 1, "B"), (2, "AX", "AB", 1, "B"), (2, "X", None, 0, "B")], "id int, raw string, truth string, index int, replacement string")
     got = {r["id"]: tuple(r)[1:] for r in M.edit_verdict_counts(edits, "id").collect()}
     assert got == {1: (1, 1, 0), 2: (1, 0, 1)}
+
+
+def test_search_verdicts_are_those_of_aligned_rows(spark):
+    """The batched verdicts of the search against the column rules, for any characters."""
+    from tierlens.functions import aligned as V
+
+    rng, rows = random.Random(11), []
+    tier = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randrange(n))).lstrip(" ")
+    for k in range(3000):
+        c = tier("abcjké " if k % 3 else "ajb", 9)
+        u, l = tier("AB   O\x00€R" if k % 2 else "ABC  ", 7), tier("RST   " if k % 5 else "RST A\U0001f600", 7)
+        room = [max(0, len(c) - len(t)) for t in (u, l)]
+        moved = rng.random() < 0.5
+        if u.strip(" ") or l.strip(" "):
+            rows.append((k, "" if not u.strip(" ") else u, c, "" if not l.strip(" ") else l, rng.randint(0, room[0]) if moved else 0, 0 if moved else rng.randint(0, room[1])))
+    rows.append((-1, "A", None, "R", None, None))
+    df = spark.createDataFrame(rows, "k int, u string, c string, l string, ou int, ol int").repartition(3)
+    shift = lambda t, n: F.when(F.col(t) != "", F.concat(F.repeat(F.lit(" "), F.col(n)), F.col(t))).otherwise("")
+    drawn = df.withColumns({"_u": shift("u", "ou"), "_l": shift("l", "ol")})
+    told = drawn.withColumn("runs", Y.aligned_runs(F.col("_u"), F.col("c"), F.col("_l")))
+    told = told.withColumn("code", F.when(F.col("ou").isNotNull(), Y.aligned_verdict(F.col("runs"), F.col("_u"), F.col("c"), F.col("_l"))))
+    told = told.select("k", "code", F.when(F.col("code") == "ALIGNED_CANONICAL_OK", F.aggregate("runs", F.lit(0), lambda a, r: a + r["count"])).alias("total"),
+                       F.when(F.col("code") == "ALIGNED_CANONICAL_OK", F.array_join(F.transform("runs", lambda r: F.concat(r["symbol"], r["token"])), "")).alias("reading"))
+    got = df.withColumn("v", V.aligned_verdicts(*[F.col(x) for x in ("u", "c", "l", "ou", "ol")])).select("k", "v.code", "v.row_total", "v.reading")
+    expected = sorted(map(tuple, told.collect()))
+    assert sorted(map(tuple, got.collect())) == expected and len({e[1] for e in expected}) == 9
+    texts = [pa.array([r[j] for r in rows], pa.string() if j < 4 else pa.int32()) for j in range(1, 6)]
+    whole, V.BATCH_CHARACTERS = V._verdicts.func(iter([tuple(texts)])), 50
+    try:
+        assert next(whole).to_pylist() == [dict(zip(("code", "row_total", "reading"), e[1:])) for e in sorted(expected, key=lambda e: [r[0] for r in rows].index(e[0]))]
+    finally:
+        V.BATCH_CHARACTERS = 4_000_000
+
+
+def test_measured_pages_are_the_single_analyses(spark):
+    """All page facts from one grouping of the candidates against those of the functions that group anew."""
+    from tierlens.operators import alignment as X
+
+    rng, rows, told = random.Random(12), [], []
+    for page in range(60):
+        for row in range(rng.randrange(1, 4)):
+            n = rng.randrange(1, 5)
+            rows.append((page, row, "".join(rng.choice("AB ") for _ in range(n)).strip() or None, "".join(rng.choice("abj") for _ in range(n)) if rng.random() < 0.95 else None, rng.choice(["R", "S", None, "O"])))
+            for tier in ("upper", "lower", "count"):
+                if rng.random() < 0.9:
+                    at = float(rng.randrange(3)) if tier != "count" else 0.0
+                    told.append((page, row, tier, at, max(at - rng.choice([0.1, 0.6]), 0.0), at + 0.125))
+    found = candidates(spark.createDataFrame(rows, "page int, row int, upper string, count string, lower string"), "page", "row").localCheckpoint()
+    measured = spark.createDataFrame(told, "page int, row int, tier string, offset double, low double, high double")
+    got = {r["page"]: r for r in X.measured_pages(found, measured, "page", "row").collect()}
+    for r in X.combine_pages(found, "page", "row").collect():
+        assert r.asDict().items() <= got[r["page"]].asDict().items()
+    counts = X.combine_pages(found, "page", "row").select("page", "rows")
+    marked = X.match_offsets(found, measured, "page", "row").localCheckpoint()
+    for kind, some in (("before", found), ("after", marked.where("retained"))):
+        single = {r["page"]: (r["readings"], r["selected_total"]) for r in X.distinct_readings(some, counts, "page", "row").collect()}
+        assert {p: (r[f"{kind}_readings"], r[f"{kind}_total"]) for p, r in got.items() if r[f"{kind}_readings"] is not None} == single and single
+    common = X.page_totals(found, counts, "page", "row", True).select("page", "row_total")
+    doubt = {r["page"]: r["d"] for r in marked.join(common, ["page", "row_total"], "left_semi").groupBy("page").agg(F.bool_or("boundary_uncertain").alias("d")).collect()}
+    assert {p: r["doubt"] for p, r in got.items() if r["doubt"] is not None} == doubt and len(set(doubt.values())) == 2
+    assert {p: r["measured"] for p, r in got.items() if r["measured"] is not None} == {r["page"]: r["m"] for r in marked.groupBy("page").agg(F.bool_and("measured").alias("m")).collect()}
