@@ -165,3 +165,12 @@ def test_a_long_pair_needs_little_memory():
         else:
             text[at : at + 1] = [e["predicted"]] if e["op"] == "S" else []
     assert "".join(text) == b
+
+
+def test_contextual_decision_interprets_rows_once(spark):
+    rows = spark.createDataFrame([(1, 0, "X", "a", None)], "page long, row int, upper string, count string, lower string")
+    told = spark.createDataFrame(records([(1, 0, "X", "a", None)]), "page long, row int, role string, kind string, box string, prediction string")
+    out = I.contextual_decision(spark.createDataFrame([page(1)], PAGES), rows, told, spark.createDataFrame(MAPPING, PAIRS), "page", "row", 0.1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_targets_upper#") and plan.count("Generate explode(verified_sizes") == 1
+    assert out.select("corrections", "uncertain", "syntax_resolved").first() == (1, False, True)

@@ -175,8 +175,8 @@ def contextual_decision(
             F.lit(0).cast("long").alias("corrections"), F.lit(False).alias("uncertain"), F.lit(False).alias("syntax_resolved"),
         )
     fixed = interpret_rows(role_evidence(rows, pages, metadata, page, row, margin), mapping, page, row)
-    notes = fixed.groupBy(page).agg(F.sum("corrections").cast("long").alias("corrections"), F.bool_or("uncertain").alias("uncertain"))
-    new = evidence_decision(validate_pages(raw, fixed, page, row)).join(notes, page, "left")
+    notes = [F.sum("corrections").cast("long").alias("corrections"), F.bool_or("uncertain").alias("uncertain")]
+    new = evidence_decision(validate_pages(raw, fixed, page, row, notes=notes))  # the rows are interpreted once
     doubt = F.coalesce("uncertain", F.lit(False))
     held = doubt & (F.col("outcome") == "ACCEPT")
     return (
