@@ -187,3 +187,20 @@ def test_fit_leaves_only_the_tables_of_the_model(spark):
     words, late, model = lm.whole_fit(spark.createDataFrame(rows, DOCS))
     left = {name.rsplit("-", 1)[0] for name in set(os.listdir(checkpoint_dir(spark))) - before}
     assert left <= {"words", "late-arcs"} and "words" in left and words.count() == model.vocabulary
+
+
+def test_equal_rare_words_and_pairs_of_a_row_are_one_entry():
+    values, first = np.array([7, 5, 7, 7, 5, 9], np.uint64), np.array([0, 4, 4, 6])
+    names, times = lm._merged(values, np.array([1, 1, 1, 0, 1, 0], bool), first)
+    assert names.to_pylist() == [[5, 7], [], [5]] and times.to_pylist() == [[1, 2], [], [1]]
+
+
+def test_scoring_leaves_no_shuffle_of_the_words_when_pairs_are_summed(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CACHE_SHARE", 5e-3)
+    freed, wrote = [], []
+    monkeypatch.setattr(lm, "shuffles_freed", lambda s: freed.append(len(wrote)))
+    real = lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name: (wrote.append(name), real(df, name))[1])
+    lm.held_out_scores(spark.createDataFrame(awkward_rows(), DOCS)).count()
+    tail = 1 + lm.PAIR_PARTS
+    assert wrote[-tail - 1 :] == ["walked", "late-words"] + ["late-pairs"] * lm.PAIR_PARTS and freed[-tail:] == list(range(len(wrote) - tail + 1, len(wrote) + 1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ CACHE_SHARE = 1e-6
 FILTER_BITS = 1 << 26
 #: A pair seen once is no arc.
 PAIR_LEAST = 2
+#: Parts, by the first bits of their names, in which rare pairs are joined one after the other; they decide the disk it takes, not what it finds.
+PAIR_PARTS = 4
 DISCOUNT = 0.75
 #: Tokens that a task counts together before it hands partial counts on.
 COUNT_TOKENS = 4_000_000
@@ -71,6 +74,19 @@ def _count_table(texts: DataFrame, values, name: str) -> DataFrame:
     return texts.select("text").mapInArrow(run, f"{name} long, n long").groupBy(name).agg(F.sum("n").alias("n"))
 
 
+def _merged(values: np.ndarray, mask: np.ndarray, first: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Lists per row: its distinct values under the mask, and how often each is there."""
+    row, some = np.repeat(np.arange(len(first) - 1), np.diff(first))[mask], values[mask]
+    order = np.lexsort((some, row))
+    row, some = row[order], some[order]
+    fresh = np.ones(len(some), bool)
+    fresh[1:] = (some[1:] != some[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(fresh)
+    bounds = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[at], minlength=len(first) - 1))]).astype(np.int32))
+    times = np.diff(np.append(at, len(some))).astype(np.int32)
+    return pa.ListArray.from_arrays(bounds, pa.array(some[at].view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(times))
+
+
 def _before(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The token before each token, the begin at the start of a row."""
     out = np.empty(len(tokens), np.uint64)
@@ -84,6 +100,11 @@ def _pair_keys(state: np.ndarray, word: np.ndarray) -> np.ndarray:
     return ((state << np.uint64(1)) | (state >> np.uint64(63))) ^ word
 
 
+def _part(keys: np.ndarray) -> np.ndarray:
+    """Part of each pair name."""
+    return (keys >> np.uint64(48)) % np.uint64(PAIR_PARTS)
+
+
 def _pair_key() -> Column:
     return F.shiftleft("state", 1).bitwiseOR(F.shiftrightunsigned("state", 63)).bitwiseXOR(F.col("word"))
 
@@ -247,11 +268,14 @@ def with_scores(docs: DataFrame, counts: DataFrame, arcs: DataFrame | None, mode
     base_score adds the words' own log10 probabilities, score follows the
     automaton.  Tokens are the words between ASCII white space, A-Z as a-z,
     and one end; a null or empty text is the end alone.  Rare words' root
-    and failure arcs come from `counts` by a join on the word, after equal words of a row are
-    merged, rare pairs' arcs from `arcs`, and are added to the row's sums.
+    and failure arcs come from `counts` by a join on the word, rare pairs' arcs
+    from `arcs`, equal ones of a row merged, and are added to the row's sums.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id long, place long, n_tokens long, n_known long, base double, walk double, rare array<long>, pairs array<long>"
+    schema = "doc_id long, place long, n_tokens long, n_known long, base double, walk double, rare array<long>, rare_times array<int>"
+    parts = range(PAIR_PARTS)
+    schema += "".join(f", pairs_{k} array<long>, pair_times_{k} array<int>" for k in parts)
+    lists_of = [x.split()[0] for x in schema.split(", ")][6:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
@@ -260,31 +284,36 @@ def with_scores(docs: DataFrame, counts: DataFrame, arcs: DataFrame | None, mode
                 tokens, first = _tokens(found)
                 known, base, walk, rare, late = automaton.walk(tokens, first)
                 keys = _pair_keys(_before(tokens, first), tokens)
-                lists = [
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(mask, first[:-1], dtype=np.int64))]).astype(np.int32)), pa.array(values[mask].view(np.int64)))
-                    for mask, values in ((rare, tokens), (late, keys))
-                ]
+                lists = [x for mask, values in ((rare, tokens), *((late & (_part(keys) == k), keys) for k in parts)) for x in _merged(values, mask, first)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(walk), *lists],
-                    names=["doc_id", "place", "n_tokens", "n_known", "base", "walk", "rare", "pairs"],
+                    names=["doc_id", "place", "n_tokens", "n_known", "base", "walk", *lists_of],
                 )
 
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("place"), "text")
     walked = written(placed.mapInArrow(run, schema), "walked")
-    missing = walked.select("place", F.explode("rare").alias("word")).groupBy("place", "word").agg(F.count(F.lit(1)).alias("times"))
+    listed = lambda values, times, name: walked.select("place", F.inline(F.arrays_zip(values, times))).toDF("place", name, "times")
     single = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model.total + 0.5 * (model.vocabulary + 1)))
-    late = missing.join(counts, "word", "left").groupBy("place").agg(
+    # words and the parts of the pairs are summed one after the other: the shuffle files of one are freed before the next makes its own
+    late = written(listed("rare", "rare_times", "word").join(counts, "word", "left").groupBy("place").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("late_known"), F.sum(F.col("times") * single).alias("late"),
         # every word is the state of the token behind it; the end has none
-        F.sum(F.col("times") * F.when(F.col("word") == _END, 0.0).otherwise(F.coalesce("fail", F.lit(0.0)))).alias("late_fail"), F.lit(0.0).alias("bonus"),
-    )
+        F.sum(F.col("times") * F.when(F.col("word") == _END, 0.0).otherwise(F.coalesce("fail", F.lit(0.0)))).alias("late_fail"),
+    ), "late-words")
+    shuffles_freed(docs.sparkSession)
+    scored = walked.drop(*lists_of).join(late, "place", "left")
+    bonus = F.lit(0.0)
     if arcs is not None:
-        taken = walked.select("place", F.explode("pairs").alias("key")).join(arcs, "key").groupBy("place").agg(F.sum("bonus").alias("bonus"))
-        none = [F.lit(0).cast("long").alias("late_known"), *[F.lit(0.0).alias(c) for c in ("late", "late_fail")]]
-        late = late.unionByName(taken.select("place", *none, "bonus")).groupBy("place").agg(*[F.sum(c).alias(c) for c in ("late_known", "late", "late_fail", "bonus")])
-    return walked.drop("rare", "pairs").join(late, "place", "left").select(
+        sums = []
+        for k in parts:
+            own = arcs.where(F.shiftrightunsigned("key", 48) % PAIR_PARTS == k)
+            sums.append(written(listed(f"pairs_{k}", f"pair_times_{k}", "key").join(own, "key").groupBy("place").agg(F.sum(F.col("times") * F.col("bonus")).alias("bonus")), "late-pairs"))
+            shuffles_freed(docs.sparkSession)
+        taken = reduce(DataFrame.unionByName, sums).groupBy("place").agg(F.sum("bonus").alias("bonus"))
+        scored, bonus = scored.join(taken, "place", "left"), F.coalesce("bonus", F.lit(0.0))
+    return scored.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("late_known", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("late", F.lit(0.0))).alias("base_score"), (F.col("walk") + F.coalesce(F.col("late") + F.col("late_fail") + F.col("bonus"), F.lit(0.0))).alias("score"),
+        (F.col("base") + F.coalesce("late", F.lit(0.0))).alias("base_score"), (F.col("walk") + F.coalesce(F.col("late") + F.col("late_fail"), F.lit(0.0)) + bonus).alias("score"),
     )
 
 
