@@ -3,6 +3,8 @@ import itertools
 import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from tierlens.llm.html_blocks import blocks
 from tierlens.llm.page_samples import labelled_pages
 
 PAGES = "page_id long, url string, html string"
+REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF = os.environ.get("TIERLENS_SF", "/root/testdata/sf0.01")
 
 
@@ -104,6 +107,23 @@ def test_cases(name):
     assert " ".join(extraction.main_blocks(extraction.default_chain(), page)) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><p>x</p></article>", "x"), ("<article>x</article>", "x"), ("<article><p>Two words</p></article>", "Two words"), ("<body><article><p>Be</article></body>", "Be"),
+    ("<nav><a href=/>x</a></nav>", ""), ("<footer>x</footer>", ""),
+])
+def test_pages_of_one_short_part(page, want):
+    assert " ".join(extraction.main_blocks(extraction.default_chain(), page)) == want
+
+
+def test_the_fitted_chain_is_the_same_for_every_hash_seed():
+    code = (
+        "import hashlib; from tierlens.llm import extraction; from tierlens.llm.page_samples import labelled_pages; "
+        "print(hashlib.md5(extraction.fit(labelled_pages(40)).weights.tobytes()).hexdigest())"
+    )
+    made = {subprocess.run([sys.executable, "-c", code], env={**os.environ, "PYTHONHASHSEED": seed}, cwd=REPO, capture_output=True, text=True, check=True).stdout for seed in "123"}
+    assert len(made) == 1
+
+
 def test_awkward_rows(spark):
     rng = random.Random(3)
     long_text = " ".join(f"w{rng.randrange(999)}" for _ in range(150_000))

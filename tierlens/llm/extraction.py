@@ -22,7 +22,7 @@ def fit(pages: Iterable[str]) -> crf.Chain:
     items, labels = [], []
     for html in pages:
         found = blocks(html)
-        items.append([[*b.place, *b.own] for b in found])
+        items.append([[*sorted(b.place), *b.own] for b in found])    # in one order, so that sums agree between runs
         labels.append([int(b.main) for b in found])
     return crf.fit(items, labels, FEATURES)
 

@@ -197,7 +197,21 @@ class _Pen:
         return f"<!DOCTYPE html><html>{head}<body>{inside}{end}"
 
 
+    def lone(self) -> str:
+        """A page of one part: a short article, seldom something else."""
+        rng = self.rng
+        if rng.random() < 0.2:
+            return rng.choice((self.menu, self.notice, self.footer))()
+        said = self.prose(1, 12) if rng.random() < 0.5 else self.words(1, 4)
+        body = self.wrapped(f"<p>{said}" + rng.choice(("</p>", "</p>", "")))
+        return f"<body>{body}" if rng.random() < 0.3 else body
+
+
 def labelled_pages(count: int, seed: int = 7) -> Iterator[str]:
-    """`count` pages whose article carries the label attribute, the same for a seed; every part of a page has many names and forms."""
+    """`count` pages whose article carries the label attribute, the same for a seed; every part of a page has many names and forms.
+
+    Every 20th page is one part alone.
+    """
     for k in range(count):
-        yield _Pen(random.Random(seed * 1_000_003 + k)).page()
+        pen = _Pen(random.Random(seed * 1_000_003 + k))
+        yield pen.lone() if k % 20 == 19 else pen.page()
