@@ -238,3 +238,27 @@ def test_keep_one_links_fingerprints_three_bits_apart_by_the_grid_join(spark):
     none = spark.createDataFrame([], "shingle long, short long, size int")
     groups = simhash.similar_components(nodes, sets, none, known).collect()
     assert {r["node"]: r["root"] for r in groups} == {"0": "0", "1": "0"}
+
+
+def test_a_dense_cloud_below_the_bound_is_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(26)
+    base = [f"d{k}" for k in range(120)]
+    rows = []
+    for k in range(400):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(1, 8)):
+            words[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(words), None, None, None))
+    made = []
+    real = simhash.pairs_between_groups
+
+    def counted(stood, similarity):
+        pairs = real(stood, similarity)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(simhash, "pairs_between_groups", counted)
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect())
+    groups = similar_groups(rows)
+    assert kept == sorted(min(g) for g in groups) and 100 < len(kept) < 390
+    assert made[0] < 10 * len(rows)

@@ -358,7 +358,7 @@ def common_shingles(texts: DataFrame, firsts: np.ndarray, width: int) -> tuple[n
 
 
 def prefixes(texts: DataFrame, distinct: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(shingle, short, size) from (row, short, text): the shingles of each text by which every similar text can be found.
+    """(shingle, short, size, at) from (row, short, text): the shingles of each text by which every similar text can be found, and their places in its order.
 
     All shingles stand in one order, common ones last.  Of two sets with at
     least this Jaccard similarity, the first n - ceil(similarity * n) + 1 of
@@ -375,8 +375,8 @@ def prefixes(texts: DataFrame, distinct: DataFrame, width: int, similarity: floa
     firsts = bitmaps.of_rows(distinct, "row")
     shared = context.broadcast((*common_shingles(texts, firsts, width), firsts))
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows of a piece, prefix shingles, their row in it, sizes of the rows' sets)."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows of a piece, prefix shingles, their row in it, their place in its order, sizes of the rows' sets)."""
         names, rank, firsts = shared.value
         for batch in batches:
             batch = _only(batch, firsts)
@@ -389,13 +389,18 @@ def prefixes(texts: DataFrame, distinct: DataFrame, width: int, similarity: floa
                     order = np.lexsort((hashes, np.where(names[at] == hashes, rank[at], 0), row))
                     hashes = hashes[order]
                 kept = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
-                taken = np.arange(len(hashes)) - first[row] < kept[row]
+                place = np.arange(len(hashes)) - first[row]
+                taken = place < kept[row]
                 bare = np.flatnonzero(size == 0)
-                yield batch.slice(low, high - low), np.concatenate([hashes[taken], np.zeros(len(bare), np.uint64)]), np.concatenate([row[taken], bare]), size
+                none = np.zeros(len(bare), np.int64)
+                yield (
+                    batch.slice(low, high - low), np.concatenate([hashes[taken], none.astype(np.uint64)]), np.concatenate([row[taken], bare]),
+                    np.concatenate([place[taken], none]), size,
+                )
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = bitmaps.Seen()
-        for _, hashes, _, _ in made(batches):
+        for _, hashes, *_ in made(batches):
             seen.add(hashes)
         yield seen.parts()
 
@@ -403,42 +408,56 @@ def prefixes(texts: DataFrame, distinct: DataFrame, width: int, similarity: floa
     several = context.broadcast(bitmaps.seen_twice(rows.mapInArrow(mark, bitmaps.PARTS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, hashes, row, size in made(batches):
+        for piece, hashes, row, place, size in made(batches):
             met = bitmaps.test(several.value, hashes & np.uint64(bitmaps.BITS - 1))
-            hashes, row = hashes[met], row[met]
+            hashes, row, place = hashes[met], row[met], place[met]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), piece.column(1).take(pa.array(row)), pa.array(size[row].astype(np.int32))], names=["shingle", "short", "size"]
+                [pa.array(hashes.view(np.int64)), piece.column(1).take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(place.astype(np.int32))],
+                names=["shingle", "short", "size", "at"],
             )
 
-    return rows.mapInArrow(run, "shingle long, short long, size int")
+    return rows.mapInArrow(run, "shingle long, short long, size int, at int")
 
 
 def _sizes_allow(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - F.lit(1e-6)
 
 
+def _places_allow(size: str, left: Column, other: Column, similarity: float) -> Column:
+    """Whether sets of these sizes can be similar that share at most `left` shingles."""
+    return left >= F.lit(similarity / (1 + similarity)) * (F.col(size) + other) - F.lit(1e-6)
+
+
 def meetings(found: DataFrame) -> DataFrame:
-    """(shingle, short, size, head, head_size) of the prefix shingles that several texts have; the head is one of them."""
+    """(shingle, short, size, at, head, head_size, least) of the prefix shingles that several texts have.
+
+    The head is the one with the fewest rarer shingles, so mostly the middle of a cloud of near copies; the least is the smallest size.
+    """
     same = Window.partitionBy("shingle")
     return (
-        found.withColumn("head", F.min(F.struct("short", "size")).over(same)).withColumn("tail", F.max("short").over(same))
-        .where(F.col("head.short") != F.col("tail")).select("shingle", "short", "size", F.col("head.short").alias("head"), F.col("head.size").alias("head_size"))
+        found.withColumn("head", F.min(F.struct("at", "short", "size")).over(same)).withColumn("least", F.min("size").over(same))
+        .withColumn("low", F.min("short").over(same)).withColumn("high", F.max("short").over(same)).where("low != high")
+        .select("shingle", "short", "size", "at", F.col("head.short").alias("head"), F.col("head.size").alias("head_size"), "least")
         .dropDuplicates(["shingle", "short"])
     )
 
 
 def pairs_between_groups(stood: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (x, y) of texts of different groups that meet in a shingle, from (shingle, short, size, group).
+    """The pairs (x, y) of texts of different groups that meet in a shingle and may be similar, from (shingle, short, size, at, group).
 
     Members of a shingle's largest group are never compared with each other.
+    A pair is told by the first shingle that both have: what stands before it
+    isn't shared, so each set's size less the shingle's place bounds what is.
+    At later shingles the bound may rule a similar pair out, at the first it can't.
     """
     sizes = stood.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("shingle").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
-    apart = written(stood.join(largest, "shingle").select("shingle", "short", "size", "group", (F.col("group") == F.col("main")).alias("in_main")), "apart")
+    apart = written(stood.join(largest, "shingle").select("shingle", "short", "size", "at", "group", (F.col("group") == F.col("main")).alias("in_main")), "apart")
     met = apart.where("NOT in_main").alias("l").join(
         apart.alias("s"),
         (F.col("l.shingle") == F.col("s.shingle")) & (F.col("l.group") != F.col("s.group")) & (F.col("s.in_main") | (F.col("l.short") < F.col("s.short")))
-        & _sizes_allow("l.size", "s.size", similarity),
+        & _sizes_allow("l.size", "s.size", similarity)
+        & _places_allow("l.size", F.least(F.col("l.size") - F.col("l.at"), F.col("s.size") - F.col("s.at")), F.col("s.size"), similarity),
     )
     return met.select(F.least("l.short", "s.short").alias("x"), F.greatest("l.short", "s.short").alias("y")).distinct()
 
@@ -464,8 +483,11 @@ def similar_components(
     the heads of its prefix shingles; that contracts dense groups.  Then the
     grid join gives the pairs of groups whose fingerprints differ in three bits
     or fewer, and all texts of different groups that meet in a prefix shingle
-    are compared, so that no similar pair is left between two groups.
+    and may be similar by its place are compared, so that no similar pair is
+    left between two groups.  Where `found` has no places, none is ruled out by them.
     """
+    if "at" not in found.columns:
+        found = found.withColumn("at", F.lit(0))
     named = [nodes.select(F.col("short").alias(s), F.col("node").alias(n)) for s, n in (("x", "a"), ("y", "b"))]
     met = written(meetings(found), "prefix-meetings")
     stars = met.where(_sizes_allow("size", "head_size", similarity) & (F.col("short") != F.col("head"))).select(F.col("short").alias("x"), F.col("head").alias("y")).distinct()
@@ -481,7 +503,9 @@ def similar_components(
     links = _similar(candidates, sets, similarity, known)
     removed(*of_views)
     grouped = written(nodes.join(connected_components(links), "node", "left").select("node", "short", "fps", F.coalesce("root", "node").alias("group")), "groups")
-    stood = written(met.select("shingle", "short", "size").join(grouped.select("short", "group"), "short"), "grouped-meetings")
+    # most of a dense cloud's texts that aren't similar can't be so to the smallest text of the shingle either
+    open_ = met.where(_places_allow("size", F.col("size") - F.col("at"), F.col("least"), similarity))
+    stood = written(open_.select("shingle", "short", "size", "at").join(grouped.select("short", "group"), "short"), "grouped-meetings")
     removed(met)
     between = pairs_between_groups(stood, similarity).join(named[0], "x").join(named[1], "y").select("a", "b")
     for k in range(views):
