@@ -122,6 +122,18 @@ def test_repair_reaches_every_character_as_a_plain_run_does(spark):
             assert have >= min(9, sum(r[3].count(char) for r in rows if r[0] == split))
 
 
+def test_character_totals_and_reads_of_a_repair(spark, monkeypatch):
+    rows = [("a", "p0", "r0", "xx😀é"), ("a", "p1", "r1", None), (None, "p2", "r2", "😀 y"), ("b", "p3", "r3", ""), ("a", "p4", "r4", "y")]
+    df = spark.createDataFrame(rows, "split string, parent string, id string, label string")
+    assert W._character_totals(df, "split", "label", "xy😀é ") == {"a": {"x": 2, "y": 1, "😀": 1, "é": 1, " ": 0}, None: {"x": 0, "y": 1, "😀": 1, "é": 0, " ": 1}}
+    read = []
+    real = W._character_totals
+    monkeypatch.setattr(W, "_character_totals", lambda some, *a: read.append(some) or real(some, *a))
+    start = df.where("id = 'r1'")
+    assert sorted(r["id"] for r in W.repair_coverage(df, start, "xy😀é ", 1, "split", "parent", "id", "label", 1).collect()) == ["r0", "r1", "r2", "r4"]
+    assert sum(some is df for some in read) == 1 and sum(some is start for some in read) == 1
+
+
 def test_group_split_sizes(spark):
     got = W.group_split(spark.range(100).union(spark.range(40)), "id", 42)
     assert dict(got.groupBy("assigned_split").count().collect()) == {"protected_test": 15, "validation_calibration": 15, "development_design": 70}

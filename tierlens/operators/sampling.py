@@ -166,10 +166,13 @@ def _occurrences(label: str, char: str) -> Column:
 
 
 def _character_totals(df: DataFrame, split: str, label: str, vocabulary: str) -> dict[str, dict[str, int]]:
-    """Occurrences of every vocabulary character per split; one row per split comes to the driver."""
-    sums = [F.sum(_occurrences(label, c)).alias(f"c{k}") for k, c in enumerate(vocabulary)]
-    found = df.groupBy(split).agg(*sums).collect()
-    return {r[split]: {c: int(r[f"c{k}"] or 0) for k, c in enumerate(vocabulary)} for r in found}
+    """Occurrences of every vocabulary character per split that has any; one row per split and character comes to the driver."""
+    each = df.select(F.col(split).alias("s"), F.explode(F.split(label, "")).alias("c"))
+    found = each.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n")).where(F.col("c").isin(*vocabulary)).collect()
+    totals = {r["s"]: dict.fromkeys(vocabulary, 0) for r in found}
+    for r in found:
+        totals[r["s"]][r["c"]] = r["n"]
+    return totals
 
 
 def repair_coverage(
@@ -185,31 +188,50 @@ def repair_coverage(
     they meet.  Later steps start from what earlier ones added.  A rule that
     weighs every single addition anew can do with fewer rows; the guarantee
     per character is the same, and the number of jobs is bounded by the
-    vocabulary, not by the additions.
+    vocabulary, not by the additions.  What lacks only shrinks, so the rows
+    that hold a character lacking at first are written once; `rows` and
+    `selected` aren't read again by the steps, which add a few rows each.
     """
-    available = _character_totals(rows, split, label, vocabulary)
+    available, chosen = (_character_totals(df, split, label, vocabulary) for df in (rows, selected))
     rarity = sorted(vocabulary, key=lambda c: (sum(t[c] for t in available.values()), c))
+
+    def deficits(character: str, gained: dict[str, dict[str, int]]) -> dict[str, int]:
+        found = {s: min(minimum, t[character]) - sum(h.get(s, {}).get(character, 0) for h in (chosen, gained)) for s, t in available.items()}
+        return {s: n for s, n in found.items() if n > 0}
+
+    wanted = F.lit(False)
+    for character in rarity:
+        for s in deficits(character, {}):
+            wanted = wanted | (F.col(split).eqNullSafe(F.lit(s)) & (_occurrences(label, character) > 0))
+    if not any(deficits(c, {}) for c in rarity):
+        return selected
+
+    def unused(candidates: DataFrame, picked: DataFrame) -> DataFrame:
+        """Candidates that aren't picked, `_used` where their parent has a picked row."""
+        used = picked.select(split, parent, F.lit(True).alias("_now")).distinct()
+        marked = join_null_safe(candidates, used, [split, parent], "left").join(picked.select(row_id), row_id, "left_anti")
+        return marked.withColumn("_used", F.col("_used") | F.coalesce("_now", F.lit(False))).drop("_now")
+
+    candidates = materialize(unused(rows.where(wanted).withColumn("_used", F.lit(False)), selected), "repair-candidates")
+    added, gained = None, {}
     for character in rarity:
-        have = _character_totals(selected, split, label, character)
-        lacking = {s: min(minimum, t[character]) - have.get(s, {}).get(character, 0) for s, t in available.items()}
-        lacking = {s: n for s, n in lacking.items() if n > 0}
+        lacking = deficits(character, gained)
         if not lacking:
             continue
         deficit = F.lit(0)
         for s, n in lacking.items():
             deficit = F.when(F.col(split).eqNullSafe(F.lit(s)), n).otherwise(deficit)
-        used = selected.select(split, parent, F.lit(True).alias("_used")).distinct()
-        holders = (
-            join_null_safe(rows.withColumn("_n", _occurrences(label, character)).withColumn("_deficit", deficit).where("_n > 0 and _deficit > 0"), used, [split, parent], "left")
-            .join(selected.select(row_id), row_id, "left_anti")
-        )
-        order = [F.coalesce("_used", F.lit(False)), F.desc("_n"), hash_rank(seed, F.col(split), "repair", F.col(row_id)), F.col(row_id)]
+        holders = candidates.withColumn("_n", _occurrences(label, character)).withColumn("_deficit", deficit).where("_n > 0 and _deficit > 0")
+        holders = holders if added is None else unused(holders, added)
+        order = ["_used", F.desc("_n"), hash_rank(seed, F.col(split), "repair", F.col(row_id)), F.col(row_id)]
         line = Window.partitionBy(split).orderBy(*order)
         first = holders.withColumn("_place", F.row_number().over(line)).where(F.col("_place") <= minimum)
         sofar = Window.partitionBy(split).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
         taken = first.where("_place <= _deficit").withColumn("_sofar", F.coalesce(F.sum("_n").over(sofar), F.lit(0))).where("_sofar < _deficit")
-        selected = materialize(selected.unionByName(taken.select(*selected.columns)), "repaired")
-    return selected
+        taken = taken.select(*selected.columns)
+        added = materialize(taken if added is None else added.unionByName(taken), "repaired")
+        gained = _character_totals(added, split, label, vocabulary)
+    return selected.unionByName(added)
 
 
 # -- W5-W7 splits and limits -------------------------------------------------
