@@ -160,7 +160,7 @@ def j13(spark, sf):
     """Label texts (some with a miscopied count) against annotation rows (some missing)."""
     from pyspark.sql import Window
 
-    rows = B.notation(spark, sf)
+    rows = materialize(B.notation(spark, sf).drop("runs"), "notation")     # both sides derive from them
     count = F.when(F.col("tax") == 8, F.concat("count", F.lit("a"))).otherwise(F.col("count"))
     block = F.concat(F.col("upper"), F.lit("\n"), count, F.lit("\n"), F.col("lower"), F.lit("\n"))
     texts = rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", block.alias("b")))), lambda r: r["b"]), "\n").alias("text"))

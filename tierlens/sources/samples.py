@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tierlens.functions.bind import let
 from tierlens.functions.labels import normalize_newlines, strip_newline_end
 
 _S, _I = T.StringType(), T.IntegerType()
@@ -101,21 +102,32 @@ def parse_rows(df: DataFrame, key: str, text: str, lines_per_row: int = 4) -> Da
     A missing last separator is tolerated.  A text that does not fit the layout
     gives one row with the reason in `error` and no tiers.
     """
-    clean = normalize_newlines(F.col(text))
-    lines = F.split(F.regexp_replace(clean, r"\n\z", ""), "\n")
-    base = df.select(key, F.when(F.regexp_replace(clean, r"\s+", "") == "", F.array().cast("array<string>")).otherwise(lines).alias("_l"))
-    short = F.size("_l") % lines_per_row == lines_per_row - 1
-    base = base.withColumn("_l", F.when(short, F.concat("_l", F.array(F.lit("")))).otherwise(F.col("_l")))
-    filled = F.filter(F.col("_l"), lambda x, i: (i % lines_per_row == lines_per_row - 1) & (F.regexp_replace(x, r"\s+", "") != ""))
-    error = F.when(F.size("_l") % lines_per_row != 0, "line_count").when(F.size(filled) > 0, "separator_not_empty")
     tidy = lambda c: F.regexp_replace(c, r"[ \t]+$", "")
-    starts = F.sequence(F.lit(0), (F.size("_l") / lines_per_row).cast("int") - 1)
-    row = lambda r: F.struct(
-        r.alias("row_index"), *[tidy(F.get("_l", r * lines_per_row + k)).alias(t) for k, t in enumerate(("upper", "count", "lower"))]
-    )
-    rows = F.when(error.isNull() & (F.size("_l") > 0), F.transform(starts, row))
-    kept = base.select(key, error.alias("error"), rows.alias("_r")).where("error is not null or _r is not null")
-    return kept.select(key, "error", F.explode_outer("_r").alias("r")).select(key, "error", "r.*")
+
+    def rows(lines: Column) -> Column:
+        """The rows of a text, or the one row that says why there are none."""
+        filled = F.filter(lines, lambda x, i: (i % lines_per_row == lines_per_row - 1) & x.rlike(r"\S"))
+        error = F.when(F.size(lines) % lines_per_row != 0, "line_count").when(F.size(filled) > 0, "separator_not_empty")
+        starts = F.sequence(F.lit(0), (F.size(lines) / lines_per_row).cast("int") - 1)
+        row = lambda r: F.struct(
+            F.lit(None).cast("string").alias("error"), r.alias("row_index"),
+            *[tidy(F.get(lines, r * lines_per_row + k)).alias(t) for k, t in enumerate(("upper", "count", "lower"))],
+        )
+        refused = lambda e: F.array(F.struct(
+            e.alias("error"), F.lit(None).cast("int").alias("row_index"), *[F.lit(None).cast("string").alias(t) for t in ("upper", "count", "lower")]
+        ))
+        return let(error, lambda e: F.when(e.isNotNull(), refused(e)).when(F.size(lines) > 0, F.transform(starts, row)))
+
+    def ended(lines: Column) -> Column:
+        """Lines with the last separator, where only that is missing."""
+        return F.when(F.size(lines) % lines_per_row == lines_per_row - 1, F.concat(lines, F.array(F.lit("")))).otherwise(lines)
+
+    def split(clean: Column) -> Column:
+        return F.when(~clean.rlike(r"\S"), F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(clean, r"\n\z", ""), "\n"))
+
+    # every step is bound once; columns would be copied into the steps that read them, down to once per line
+    parsed = let(let(let(normalize_newlines(F.col(text)), split), ended), rows)
+    return df.select(key, F.explode(parsed).alias("r")).select(key, "r.*")
 
 
 def label_agreement(text_rows: DataFrame, json_rows: DataFrame, key: str) -> DataFrame:
