@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tierlens.functions.bind import let
-from tierlens.functions.labels import ctc_required_ids
+from tierlens.functions.labels import ctc_required, ctc_required_ids
 from tierlens.functions.notation import VOCABULARY
 
 UNKNOWN = -1
@@ -95,6 +95,28 @@ def softmax(frame: Column) -> Column:
     return let(exps, share)
 
 
+def ctc_text_problems(text: Column, steps: Column, vocabulary: str = VOCABULARY) -> Column:
+    """`ctc_problems` of the ids that `encode` gives a text, found on the text itself.
+
+    Nothing is evaluated per character: characters outside the vocabulary,
+    which share one id, become one character that it lacks.
+    """
+    stray = next(chr(k) for k in range(1, 0xD800) if chr(k) not in vocabulary)
+    foreign = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in vocabulary) + "]" if vocabulary else "(?s)."
+    merged = F.regexp_replace(text, foreign, stray)
+    filled = F.length(text) > 0
+    return let(
+        merged,
+        lambda m: F.array_compact(
+            F.array(
+                F.when(F.length(text) == 0, "empty_target"),
+                F.when(filled & F.contains(m, F.lit(stray)), "id_out_of_range"),
+                F.when(filled & (steps < ctc_required(m)), "too_few_steps"),
+            )
+        ),
+    )
+
+
 def ctc_problems(ids: Column, steps: Column, vocabulary_size: int, blank: int = 0) -> Column:
     """Names of everything that makes a target untrainable."""
     empty = F.size(ids) == 0

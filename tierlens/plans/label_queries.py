@@ -213,8 +213,8 @@ SELECT problem, count(*) AS rows FROM (
          = (CASE WHEN strpos({_VOCAB_SQL}, training_label[i - 1]) = 0 THEN -1 ELSE strpos({_VOCAB_SQL}, training_label[i - 1]) END))) THEN 'too_few_steps' END], lambda x: x IS NOT NULL)) AS problem
   FROM tiers) GROUP BY problem""", B.TIERS_SQL))
 def p07(spark, sf):
-    t = B.tiers(spark, sf).select(C.encode(F.col("training_label")).alias("ids"), "crnn_output_length")
-    problems = C.ctc_problems(F.col("ids"), F.col("crnn_output_length"), len(N.VOCABULARY) + 1)
+    t = B.tiers(spark, sf).select("training_label", "crnn_output_length")
+    problems = C.ctc_text_problems(F.col("training_label"), F.col("crnn_output_length"))
     return t.select(F.explode(problems).alias("problem")).groupBy("problem").agg(F.count(F.lit(1)).alias("rows"))
 
 
