@@ -16,6 +16,8 @@ from tierlens.sources.manifest import table_fingerprint
 BUCKETS = 16
 #: Bits of a segment's filter per id, and places that each id sets; about one id in 2,000 passes wrongly.
 FILTER_BITS, FILTER_PLACES = 16, 6
+#: Ids whose places are worked out together.
+SLICE = 1 << 16
 
 
 def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -27,6 +29,24 @@ def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
         return ((every ^ (every >> np.uint64(29))) % np.uint64(bits)).astype(np.int64)
 
 
+def _filter_of(hashes: np.ndarray) -> bytes:
+    """The filter that all these ids pass."""
+    bits = np.zeros(-(-FILTER_BITS * len(hashes) // 8) * 8, bool)
+    for k in range(0, len(hashes), SLICE):
+        bits[_places(hashes[k : k + SLICE], len(bits)).ravel()] = True
+    return np.packbits(bits).tobytes()
+
+
+def _some_pass(hashes: np.ndarray, packed: bytes) -> bool:
+    """Does any of these ids pass a filter?"""
+    bits = np.frombuffer(packed, np.uint8)
+    for k in range(0, len(hashes), SLICE):
+        place = _places(hashes[k : k + SLICE], len(bits) * 8)
+        if (((bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).all(1)).any():
+            return True
+    return False
+
+
 def _bucketed(records: DataFrame, key: str) -> DataFrame:
     hashed = F.xxhash64(key)
     return records.select("*", hashed.alias("_hash"), F.pmod(hashed, F.lit(BUCKETS)).cast("int").alias("bucket"))
@@ -43,10 +63,8 @@ def segments(records: DataFrame, key: str) -> DataFrame:
     """One row per bucket of new records: how many, the range of their ids and a filter of them."""
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(-(-FILTER_BITS * len(rows) // 8) * 8, bool)
-        bits[_places(rows["_hash"].to_numpy(), len(bits)).ravel()] = True
         return pd.DataFrame({
-            "bucket": [rows["bucket"].iloc[0]], "rows": [len(rows)], "low": [rows[key].min()], "high": [rows[key].max()], "bits": [np.packbits(bits).tobytes()],
+            "bucket": [rows["bucket"].iloc[0]], "rows": [len(rows)], "low": [rows[key].min()], "high": [rows[key].max()], "bits": [_filter_of(rows["_hash"].to_numpy())],
         })
 
     return _bucketed(records, key).select(key, "_hash", "bucket").groupBy("bucket").applyInPandas(summed, _segment_schema(records.schema[key].dataType))
@@ -75,10 +93,7 @@ def hit_segments(ids: DataFrame, target: str, key: str, run: str, batch_id: int)
         if len(wanted):
             hashes, values = wanted["_hash"].to_numpy(), wanted[key].to_numpy()
             for low, high, bits in zip(kept["low"], kept["high"], kept["bits"]):
-                near = hashes[(values >= low) & (values <= high)]
-                bits = np.frombuffer(bits, np.uint8)
-                place = _places(near, len(bits) * 8)
-                hit.append(bool((((bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).all(1)).any()))
+                hit.append(_some_pass(hashes[(values >= low) & (values <= high)], bits))
         return kept.loc[hit if hit else [False] * len(kept), ["run", "batch", "bucket", "rows"]]
 
     wanted = _bucketed(ids.select(key), key).groupBy("bucket")
