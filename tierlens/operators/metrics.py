@@ -287,19 +287,26 @@ def error_sizes(df: DataFrame, error: str, by: Sequence[str] = (), scale: str |
     sums = [F.avg(error).alias("signed_mean")]
     if covered:
         sums.append(ratio(F.sum(covered[0]), F.sum(covered[1])).alias("coverage"))
-    signed = df.groupBy(*by).agg(*sums)
-    sized = exact_quantiles(df.withColumn("_a", F.abs(error)), "_a", {"median_absolute": 0.5, "p95_absolute": 0.95}, by).select(*by, "rows", "median_absolute", "p95_absolute")
-    parts = [signed]
+    measures = [("absolute", F.abs(F.col(error)).cast("double"))]
     if scale:
-        normal = exact_quantiles(df.withColumn("_a", F.abs(F.try_divide(F.col(error).cast("double"), F.col(scale).cast("double")))), "_a", {"median_normalized": 0.5, "p95_normalized": 0.95}, by)
-        parts.append(normal.select(*by, "median_normalized", "p95_normalized"))
-    for part in parts:
-        if by:
-            sized = join_null_safe(sized, part, list(by))
-        else:
-            one = sized.withColumn("_one", part.select(F.struct(*part.columns)).scalar())
-            sized = one.select(*sized.columns, *[F.col(f"_one.{c}").alias(c) for c in part.columns])
-    return sized
+        measures.append(("normalized", F.abs(F.try_divide(F.col(error).cast("double"), F.col(scale).cast("double")))))
+    # both measures are ordered in one pass, as groups of one table
+    sizes = df.select(*by, F.explode(F.array(*[F.struct(F.lit(name).alias("_measure"), size.alias("_a")) for name, size in measures])).alias("_m")).select(*by, "_m.*")
+    found = exact_quantiles(sizes, "_a", {"median": 0.5, "p95": 0.95}, [*by, "_measure"])
+    of = lambda name: F.col("_measure") == name
+    wide = [F.max(F.when(of("absolute"), F.col("rows"))).alias("rows")]
+    wide += [F.max(F.when(of(name), F.col(q))).alias(f"{q}_{name}") for name, _ in measures for q in ("median", "p95")]
+    sized = found.groupBy(*by).agg(*wide, F.count(F.lit(1)).alias("_measures"))
+    if by:      # a group in which a measure has no value is left out
+        sized = sized.where(F.col("_measures") == len(measures))
+    sized, signed = sized.drop("_measures"), df.groupBy(*by).agg(*sums)
+    if by:
+        both = join_null_safe(sized, signed, list(by))
+    else:
+        one = sized.withColumn("_one", signed.select(F.struct(*signed.columns)).scalar())
+        both = one.select(*sized.columns, *[F.col(f"_one.{c}").alias(c) for c in signed.columns])
+    scaled = [f"{q}_normalized" for q in ("median", "p95")] if scale else []
+    return both.select(*by, "rows", "median_absolute", "p95_absolute", *[c for c in signed.columns if c not in by], *scaled)
 
 
 def hit_summary(df: DataFrame, metrics: Sequence[str], owner: str, targeted: Column) -> DataFrame:

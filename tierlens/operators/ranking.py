@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tierlens.functions.bind import let
-from tierlens.session import join_null_safe
+from tierlens.session import join_null_safe, materialize
 
 HASH_PREFIX = 3
 
@@ -73,10 +73,11 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (), pieces:
     """Distinct values per group with their count and the rows before them, in value order.
 
     Equal values are merged before anything is ordered, so a value that holds
-    a third of the rows is one row here.
+    a third of the rows is one row here.  The counts are written: cuts, bucket
+    totals and places all read them.
     """
     pieces = pieces or piece_count(df)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("rows"))
+    counts = materialize(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("rows")), "counts")
     keyed = counts.withColumn("_cuts", value_cuts(counts, value, pieces)).select(
         *by, value, "rows", cuts_below(F.col("_cuts"), F.col(value), pieces).alias("_bucket")
     )
