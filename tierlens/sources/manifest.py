@@ -58,14 +58,15 @@ def readback_differences(written: DataFrame, read: DataFrame, keep: Sequence[str
     """Records lost or gained by a write and read, with their number (duplicates count).
 
     Records are compared by the hash of all their columns, so texts do not
-    travel through the shuffle.
+    travel through the shuffle, and the hashes travel as 32 bytes each.
     """
     signed = [
-        df.select(*keep, record_hash(df).alias("record"), F.lit(sign).alias("_s"))
+        df.select(*keep, F.unhex(record_hash(df)).alias("record"), F.lit(sign).alias("_s"))
         for df, sign in ((written, 1), (read.select(*written.columns), -1))
     ]
     both = signed[0].unionByName(signed[1])
-    return both.groupBy(*keep, "record").agg(F.sum("_s").alias("difference")).where("difference <> 0")
+    found = both.groupBy(*keep, "record").agg(F.sum("_s").alias("difference")).where("difference <> 0")
+    return found.select(*keep, F.lower(F.hex("record")).alias("record"), "difference")
 
 
 def file_order_violations(read: DataFrame, order: Sequence[str]) -> DataFrame:
