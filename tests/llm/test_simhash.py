@@ -262,3 +262,11 @@ def test_a_dense_cloud_below_the_bound_is_not_compared_pair_by_pair(spark, monke
     groups = similar_groups(rows)
     assert kept == sorted(min(g) for g in groups) and 100 < len(kept) < 390
     assert made[0] < 10 * len(rows)
+
+
+def test_rows_of_the_grid_are_not_broadcast(spark):
+    """Spark takes the 66 rows that a fingerprint becomes for one; a plan that broadcasts them fills the driver."""
+    labelled = spark.range(3_000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("group"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")  # the default, above Spark's size of both sides
+    plan = simhash.grid_pairs(labelled)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Broadcast" not in plan

@@ -90,6 +90,16 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df` for a join that Spark must not broadcast, whichever side it thinks small.
+
+    Spark sizes the rows of an explode or an Arrow function by what goes in,
+    and a written table by its compressed files: tables that grow with the
+    corpus can be many times as large on the driver as the threshold allows.
+    """
+    return df.hint("merge")
+
+
 def hot_lookup(rows: DataFrame, key: str, table: DataFrame, hot: Column) -> DataFrame:
     """Inner join of `rows` with `table`, in which `key` is unique; the few table rows that are `hot` are broadcast.
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tierlens.llm import bitmaps
-from tierlens.llm.common import free_name, quoted, removed, written
+from tierlens.llm.common import free_name, quoted, removed, shuffled, written
 from tierlens.llm.components import connected_components
 from tierlens.llm.spans import BETWEEN_SPACES, Words, mixed, word_pieces
 
@@ -192,17 +192,17 @@ def grid_pairs(labelled: DataFrame) -> DataFrame:
         stood.select("fp", "group", "side", F.explode(F.transform(steps, lambda m: F.col("cell").bitwiseXOR(m))).alias("cell"))
         # only unary codes are cells: no segment has its upper bit alone
         .where(F.col("cell").bitwiseAND(high_bits).bitwiseAND(F.bitwise_not(F.shiftleft("cell", 1))) == 0)
-        .join(largest, ["side", "cell"])
+        .join(shuffled(largest), ["side", "cell"])
         .where((F.col("group") != F.col("main")) | (F.col("groups") > 1))
         .select("fp", "group", "side", "cell", F.explode(
             F.when(F.col("group") != F.col("main"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
         ).alias("in_main"))
     )
-    standing = stood.join(largest, ["side", "cell"]).select(
+    standing = stood.join(shuffled(largest), ["side", "cell"]).select(
         "side", "cell", F.col("fp").alias("other"), F.col("group").alias("other_group"), (F.col("group") == F.col("main")).alias("in_main"),
     )
     met = looking.alias("l").join(
-        standing.alias("s"),
+        shuffled(standing).alias("s"),
         (F.col("l.side") == F.col("s.side")) & (F.col("l.cell") == F.col("s.cell")) & (F.col("l.in_main") == F.col("s.in_main"))
         & (F.col("l.group") != F.col("s.other_group"))
         & _within(embedding(F.col("l.fp")), embedding(F.col("s.other"))) & _within(F.col("l.fp"), F.col("s.other")),
