@@ -270,3 +270,15 @@ def test_rows_of_the_grid_are_not_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")  # the default, above Spark's size of both sides
     plan = simhash.grid_pairs(labelled)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 3 and "Broadcast" not in plan
+
+
+def test_sets_and_meetings_are_not_broadcast(spark, monkeypatch):
+    """Written tables count by their compressed files, rows of Arrow functions by their input."""
+    plans = []
+    monkeypatch.setattr(simhash, "written", lambda df, name, write=simhash.written: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    texts = [(k, " ".join(f"w{k // 2}x{j}" for j in range(40)) + f" end{k % 2}", None, None, None) for k in range(40)]
+    assert simhash.keep_one(spark.createDataFrame(texts, DOCS)).count() == 20
+    joins = [(name, plan) for name, plan in plans if name in ("parities", "similar-links", "grouped-meetings", "shingle-sets")]
+    assert len(joins) == 6
+    assert all("SortMergeJoin" in plan for _, plan in joins) and not any("BroadcastHashJoin" in plan for name, plan in joins if name in ("similar-links", "grouped-meetings"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tierlens.llm.common import free_name, id_text, quoted, task_count, word_count, written
+from tierlens.llm.common import free_name, id_text, quoted, shuffled, task_count, word_count, written
 
 #: A document is taken this many times at most.
 REPEATS = 3
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     inside = Window.partitionBy("source", "slice").orderBy("key", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     queued = (
         queue.withColumn("inside", F.sum("size").over(inside))
-        .join(heads, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("slice") == F.col("s_slice")))
+        .join(shuffled(heads), F.col("source").eqNullSafe(F.col("s_source")) & (F.col("slice") == F.col("s_slice")))
         .select("doc_id", "source", "size", "row", "key", "source_size", "target", (F.col("head") + F.col("inside")).alias("upto"))
     )
     queued = written(queued, "mix-queue")

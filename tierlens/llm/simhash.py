@@ -271,7 +271,7 @@ def shingle_sets(placed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), sets], names=["row", "shingles"])
 
-    return placed.select("row", "text").mapInArrow(run, "row long, shingles array<long>").join(wanted, "row").select("node", "shingles")
+    return placed.select("row", "text").mapInArrow(run, "row long, shingles array<long>").join(shuffled(wanted), "row").select("node", "shingles")
 
 
 def parities(placed: DataFrame, distinct: DataFrame, width: int) -> DataFrame:
@@ -313,12 +313,12 @@ def _similar(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarit
     pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if known is not None:
         sides = [known.select(F.col("node").alias(n), F.col("size").alias(m), F.col("parity").alias(p)) for n, m, p in (("a", "m", "p"), ("b", "n", "q"))]
-        pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(_may_be_similar(similarity)).select("a", "b")
+        pairs = pairs.join(shuffled(sides[0]), "a").join(shuffled(sides[1]), "b").where(_may_be_similar(similarity)).select("a", "b")
     pairs = written(pairs, "candidate-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     found = written(sets(asked), "shingle-sets")
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-        found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
+    both = pairs.join(shuffled(found.select(F.col("node").alias("a"), F.col("shingles").alias("x"))), "a").join(
+        shuffled(found.select(F.col("node").alias("b"), F.col("shingles").alias("y"))), "b"
     )
     common = F.size(F.array_intersect("x", "y"))
     total = F.size("x") + F.size("y") - common
@@ -454,7 +454,7 @@ def pairs_between_groups(stood: DataFrame, similarity: float) -> DataFrame:
     largest = sizes.groupBy("shingle").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
     apart = written(stood.join(largest, "shingle").select("shingle", "short", "size", "at", "group", (F.col("group") == F.col("main")).alias("in_main")), "apart")
     met = apart.where("NOT in_main").alias("l").join(
-        apart.alias("s"),
+        shuffled(apart).alias("s"),
         (F.col("l.shingle") == F.col("s.shingle")) & (F.col("l.group") != F.col("s.group")) & (F.col("s.in_main") | (F.col("l.short") < F.col("s.short")))
         & _sizes_allow("l.size", "s.size", similarity)
         & _places_allow("l.size", F.least(F.col("l.size") - F.col("l.at"), F.col("s.size") - F.col("s.at")), F.col("s.size"), similarity),
@@ -505,7 +505,7 @@ def similar_components(
     grouped = written(nodes.join(connected_components(links), "node", "left").select("node", "short", "fps", F.coalesce("root", "node").alias("group")), "groups")
     # most of a dense cloud's texts that aren't similar can't be so to the smallest text of the shingle either
     open_ = met.where(_places_allow("size", F.col("size") - F.col("at"), F.col("least"), similarity))
-    stood = written(open_.select("shingle", "short", "size", "at").join(grouped.select("short", "group"), "short"), "grouped-meetings")
+    stood = written(open_.select("shingle", "short", "size", "at").join(shuffled(grouped.select("short", "group")), "short"), "grouped-meetings")
     removed(met)
     between = pairs_between_groups(stood, similarity).join(named[0], "x").join(named[1], "y").select("a", "b")
     for k in range(views):
@@ -545,7 +545,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
         return shingle_sets(lines, firsts.join(asked, "node").select("node", F.col("rank.place").alias("row")), width)
 
     distinct = firsts.select(F.col("rank.place").alias("row"))
-    known = parities(lines, distinct, width).join(firsts.select("node", F.col("rank.place").alias("row")), "row").select("node", "size", "parity")
+    known = parities(lines, distinct, width).join(shuffled(firsts.select("node", F.col("rank.place").alias("row"))), "row").select("node", "size", "parity")
     found = prefixes(lines, distinct, width, similarity)
     groups = similar_components(firsts.select("node", "short", "fps"), sets, found, written(known, "parities"), similarity)
     chosen = firsts.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank"))
