@@ -250,6 +250,17 @@ def test_bootstrap_draws_as_many_parents_as_there_are(spark):
     assert b["lower95"] == pytest.approx(low + 0.025 * (high - low)) and b["upper95"] == pytest.approx(low + 0.975 * (high - low))
 
 
+@pytest.mark.parametrize("most, join", [(1_000_000, "BroadcastHashJoin"), (100, "SortMergeJoin")])
+def test_bootstrap_draws_are_never_broadcast(spark, monkeypatch, most, join):
+    plans = {}
+    monkeypatch.setattr(P, "materialize", lambda df, name, write=P.materialize: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(df, name))
+    change = spark.range(5_000).select(F.col("id").alias("p"), (F.col("id") % 7).cast("double").alias("v"))
+    want = P.parent_bootstrap(change, "p", "v", 20).first()
+    monkeypatch.setattr(P, "_BROADCAST_PARENTS", most)
+    assert P.parent_bootstrap(change, "p", "v", 20).first() == want
+    assert join in plans["resample-means"] and "BuildLeft" not in plans["resample-means"]
+
+
 def test_rows_of_one_split_do_not_meet_in_one_task(spark):
     rows = spark.range(0, 40_000, 1, 8).selectExpr(
         "'train' as split", "concat('s', id % 2) as stratum", "id % 5000 as parent", "id as tier_id", "cast(id % 90 as int) as length"

@@ -97,6 +97,8 @@ def parent_outcomes(pages: DataFrame, by: Sequence[str], owner: str = "parent_id
 
 #: Draws that one step of a resample lists at once.
 _DRAW_BLOCK = 4_096
+#: Parents up to which their values are broadcast (some 40 MB); the draws of more are shuffled.
+_BROADCAST_PARENTS = 1_000_000
 
 
 def parent_bootstrap(change: DataFrame, owner: str, value: str, resamples: int, seed: int = 42) -> DataFrame:
@@ -106,7 +108,9 @@ def parent_bootstrap(change: DataFrame, owner: str, value: str, resamples: int,
     of resample b takes the parent whose rank is a hash of (seed, b, k), so the
     result does not depend on the partitioning.  A resample's draws are made
     and summed in one task, none of them is shuffled while the parents' values
-    can be broadcast; only sums and counts are kept for the quantiles.
+    can be broadcast; only sums and counts are kept for the quantiles.  Which
+    side is broadcast is said here: Spark sizes the draws, an explode, by the
+    resamples and would send them all to the driver.
     """
     spark = change.sparkSession
     hashed = materialize(change.select(owner, value, F.md5(F.col(owner).cast("string")).alias("_h")), "bootstrap-parents")
@@ -122,7 +126,8 @@ def parent_bootstrap(change: DataFrame, owner: str, value: str, resamples: int,
         .withColumn("draw", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (_DRAW_BLOCK - 1), F.col("_n") - 1))))
     )
     pick = F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(seed), "resample", "draw")), F.lit(1), F.lit(12)), 16, 10).cast("long")
-    drawn = drawing.select("resample", (pick % F.col("_n")).alias("_slot")).join(values, "_slot")
+    looked_up = F.broadcast(values) if values.count() <= _BROADCAST_PARENTS else values.hint("merge")
+    drawn = drawing.select("resample", (pick % F.col("_n")).alias("_slot")).join(looked_up, "_slot")
     # one row per resample; the quantiles read them several times
     means = materialize(drawn.groupBy("resample").agg(F.avg(value).alias("_mean")), "resample-means")
     limits = exact_quantiles(means, "_mean", {"lower95": 0.025, "upper95": 0.975})
