@@ -113,6 +113,29 @@ def test_spans_stand_where_they_say(spark):
     assert {(r["label"], r["start"], r["words"]) for r in got.collect()} == {("apache", 6, 2), ("apache-2.0", 2, 9)}
 
 
+def test_texts_without_key_words_go_first_and_the_others_are_read_once(spark):
+    keys = licenses.key_words()
+    for number, (words, _) in enumerate((*licenses.PHRASES, *licenses.NOTICES)):
+        w = words.split(" ")
+        left = [(a, b) for a, b in zip(w, w[1:]) if not any(key in a or key in b for key in keys)]
+        assert len(left) < (1 if number < len(licenses.PHRASES) else licenses.COVER) * (len(w) - 1)
+    plan = licenses.license_spans(spark.createDataFrame(license_rows(), DOCS))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" split(") + plan.count("(split(") == 1 and all(f", {key})" in plan for key in keys)
+
+
+def test_every_notice_is_found_with_a_word_in_capitals_or_left_out(spark):
+    rows, want = [], set()
+    for k, (notice, label) in enumerate(licenses.NOTICES):
+        words = notice.split(" ")
+        for j in range(-1, len(words)):
+            text = "x " + " ".join(w.upper() if i % 2 else w for i, w in enumerate(words) if i != j) + " y"
+            rows.append((100 * k + j + 1, text, None, None, None))
+            there = sum(i not in (j - 1, j) for i in range(len(words) - 1))
+            want |= {(100 * k + j + 1, label)} if there >= licenses.COVER * (len(words) - 1) else set()
+    got = licenses.license_spans(spark.createDataFrame(rows, DOCS)).where("NOT exact").collect()
+    assert want <= {(r["doc_id"], r["label"]) for r in got}
+
+
 def test_license_tables(spark):
     assert licenses.license_report(empty(spark)).count() == 0
     assert licenses.license_report(with_clashes(awkward(spark), "gram", "place", "text_hash", "label")).count() == len(awkward_rows())
